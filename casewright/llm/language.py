@@ -9,9 +9,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -137,13 +136,13 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     spark = docs.sparkSession
     common.prepare(spark)
     shipped = spark.sparkContext.broadcast((model.languages, model.words, model.grams, model.floor))
-    key = id(shipped)
+    key = uuid.uuid4().hex
     docs = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score") or c == text_col])
     at = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(shipped.id, key, shipped)
+        scorer = _scorer(key, shipped)
         for batch in batches:
             found = [scorer.predict(t) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=schema.names)
@@ -151,15 +150,15 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-_SCORERS: dict[tuple, Scorer] = {}
+_SCORERS: dict[str, Scorer] = {}
 
 
-def _scorer(number: int, key: int, shipped) -> Scorer:
+def _scorer(key: str, shipped) -> Scorer:
     """One for each worker process and model, the latest only."""
-    if (number, key) not in _SCORERS:
+    if key not in _SCORERS:
         _SCORERS.clear()
-        _SCORERS[number, key] = Scorer(Model(*shipped.value))
-    return _SCORERS[number, key]
+        _SCORERS[key] = Scorer(Model(*shipped.value))
+    return _SCORERS[key]
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, language, packing
+from . import bpe, exact_dedup, language, packing, quality
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_language": language.op3_language,
     "op8_bpe": bpe.op8_bpe,
+    "op10_quality": quality.op10_quality,
+}
+SQL: dict[str, str] = {
+    "op2_exact_dedup": exact_dedup.OP2_SQL,
 }
-SQL: dict[str, str] = {}
