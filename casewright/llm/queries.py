@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language, packing, quality, simhash
+from . import bpe, exact_dedup, language, packing, quality, simhash, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_language": language.op3_language,
+    "op5_warc": warc.op5_warc,
     "op6_simhash": simhash.op6_simhash,
     "op8_bpe": bpe.op8_bpe,
     "op10_quality": quality.op10_quality,
 }
 SQL: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op5_warc": warc.OP5_SQL,
 }
