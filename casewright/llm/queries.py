@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language, packing, quality, simhash, warc
+from . import bpe, exact_dedup, language, packing, quality, simhash, token_output, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_language": language.op3_language,
+    "op4_token_output": token_output.op4_token_output,
     "op5_warc": warc.op5_warc,
     "op6_simhash": simhash.op6_simhash,
     "op8_bpe": bpe.op8_bpe,
