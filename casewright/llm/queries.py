@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language, packing, quality, simhash, token_output, warc
+from . import bpe, exact_dedup, language, lm_scoring, packing, quality, simhash, token_output, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_token_output": token_output.op4_token_output,
     "op5_warc": warc.op5_warc,
     "op6_simhash": simhash.op6_simhash,
+    "op7_lm_scoring": lm_scoring.op7_lm_scoring,
     "op8_bpe": bpe.op8_bpe,
     "op10_quality": quality.op10_quality,
 }
