@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language, lm_scoring, packing, quality, simhash, token_output, warc
+from . import bpe, exact_dedup, language, lm_scoring, packing, quality, simhash, suffix_dedup, token_output, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_simhash": simhash.op6_simhash,
     "op7_lm_scoring": lm_scoring.op7_lm_scoring,
     "op8_bpe": bpe.op8_bpe,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_quality": quality.op10_quality,
 }
 SQL: dict[str, str] = {
