@@ -28,6 +28,7 @@ MODEL_GRAMS = 60_000
 ORDERS = (4, 3, 2, 1)
 KEPT_WORDS = 200_000
 UNKNOWN = "und"
+MIN_SCORE = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -161,6 +162,12 @@ def _scorer(key: str, shipped) -> Scorer:
     return _SCORERS[key]
 
 
+def recognised(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows whose text is in a language learned from the labelled rows with a score of ``min_score`` or more, columns as they were."""
+    marked = predict(docs.withColumn("_text", F.col(text_col)), fit(docs, text_col, lang_col), "_text")
+    return marked.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(*docs.columns)
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", common.fold("doc_id", 5) == 0)
     model = fit(docs.filter(~F.col("held_out")))

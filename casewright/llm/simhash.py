@@ -167,6 +167,28 @@ def _grouped(rows: DataFrame, id_col: str, distance: int) -> DataFrame:
     return common.attach(rows, classes, "fp", "n_rows", sums[1] or 0, id_col).select(id_col, "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 6) -> DataFrame:
+    """One row of each group of near duplicates, that with the smallest id, with the columns of ``docs``.
+
+    By default on five-word shingles: texts that share four fifths of them or more mostly differ in 6 bits or fewer, and
+    unrelated texts in far more. Of rows that repeat the smallest id of their group, the one of least fingerprint stays,
+    and of those with equal fingerprints the one of the longest text.
+    """
+    rows = common.materialise(fingerprints(docs.select(id_col, text_col), text_col, shingle), "fingerprints")
+    marked = _grouped(rows, id_col, distance).filter(F.col(id_col).eqNullSafe(F.col("component_id")))
+    heads = common.materialise(marked.groupBy(id_col).agg(F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n")), "near-heads")
+    joined = docs.join(heads.select(F.col(id_col).alias("_head")), F.col(id_col).eqNullSafe(F.col("_head")), "left_semi")
+    if heads.filter("n > 1").isEmpty():
+        return joined
+    # repeated ids: their rows alone are compared again
+    again = heads.filter("n > 1").select(F.col(id_col).alias("_head"))
+    single = joined.join(again, F.col(id_col).eqNullSafe(F.col("_head")), "left_anti")
+    repeated = joined.join(again, F.col(id_col).eqNullSafe(F.col("_head")), "left_semi")
+    signed = fingerprints(repeated.withColumn("_row", F.struct(*repeated.columns)).select("_row", text_col), text_col, shingle)
+    best = signed.groupBy(F.col(f"_row.{id_col}").alias("_id")).agg(F.min_by("_row", F.struct("fp", -F.length(F.coalesce(F.col(f"_row.{text_col}"), F.lit(""))))).alias("_row"))
+    return single.unionByName(best.select("_row.*"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = groups(common.read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
