@@ -114,8 +114,11 @@ class Scorer:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = _WORD.findall(text.lower()) if text and self.model.languages else []
-        if not words:
-            return UNKNOWN, 0.0
+        if not any(map(str.isalpha, words)):
+            # the pattern takes signs like a raised two along with letters; alone they say nothing
+            words = [w for w in words if any(map(str.isalpha, w))]
+            if not words:
+                return UNKNOWN, 0.0
         if len(self.known) > KEPT_WORDS:
             self.known.clear()
         get, row = self.known.get, self._row

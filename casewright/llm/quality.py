@@ -131,20 +131,25 @@ def _judged(measured: DataFrame, lang_col: str, max_char_distance: float, max_wo
     sums = lambda c, n: F.array(*[F.coalesce(F.sum(F.get(c, F.lit(k))), F.lit(0)) for k in range(n)])
     n_common = len(next(iter(COMMON_WORDS.values())))
     by_lang = spread.groupBy("_lang").agg(sums("_chars", len(CHAR_CLASSES) + 1).alias("_ref_chars"), sums("_counts", n_common).alias("_ref_counts"))
-    # one row: at most one entry for each listed language
-    references = by_lang.agg(F.map_from_entries(F.collect_list(F.struct("_lang", F.struct("_ref_chars", "_ref_counts")))).alias("_refs"))
+    # at most one row for each listed language
+    found = {r["_lang"]: r for r in by_lang.collect()}
+    numbers = lambda values: F.array(*[F.lit(float(v)) for v in values])
+
+    def reference(lang: Column, field: str) -> Column:
+        own = reduce(lambda chain, k: chain.when(lang == k, numbers(found[k][field])), found, F)
+        return own if found else F.lit(None).cast("array<double>")
+
     double = lambda c: c.cast("array<double>")
     total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
 
     def against(entry: Column) -> Column:
-        ref = F.col("_refs")[entry["key"]]
         return F.struct(
-            F.when(F.col("n_words") >= min_words, divergence(double(F.col("_chars")), double(ref["_ref_chars"]))).alias("char_distance"),
-            F.when(total(entry["value"]) >= min_common, divergence(double(entry["value"]), double(ref["_ref_counts"]))).alias("word_distance"),
+            F.when(F.col("n_words") >= min_words, divergence(double(F.col("_chars")), reference(entry["key"], "_ref_chars"))).alias("char_distance"),
+            F.when(total(entry["value"]) >= min_common, divergence(double(entry["value"]), reference(entry["key"], "_ref_counts"))).alias("word_distance"),
         )
 
     nearest = lambda field: F.array_min(F.transform("_against", lambda x: x[field]))
-    compared = measured.crossJoin(F.broadcast(references)).withColumn("_against", F.transform("words", against)).withColumn("char_distance", nearest("char_distance")).withColumn("word_distance", nearest("word_distance"))
+    compared = measured.withColumn("_against", F.transform("words", against)).withColumn("char_distance", nearest("char_distance")).withColumn("word_distance", nearest("word_distance"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     near = (F.coalesce("char_distance", F.lit(0.0)) <= max_char_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= max_word_distance)
     return compared.select("_row.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "char_distance", "word_distance", (~failed & near).alias("kept"))
