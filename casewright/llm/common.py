@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The bytes of ``[\x20\x09-\x0D]``, the white space that all contracts here name.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -58,6 +59,17 @@ def attach(left: DataFrame, right: DataFrame, key: str, weight: str, total: int,
     return joined.select(*[F.col(c) for c in left.columns], *[F.coalesce(f"_hot_{c}", f"_cold_{c}").alias(c) for c in columns])
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Add ``_doc``, a distinct long without nulls in the ids' order: the id itself, or, if ids repeat or are missing, a
+    place among them (equal ids in the order of their texts' hashes), written to the shared folder."""
+    rows = docs.select(*[c for c in docs.columns if c != "_doc"])
+    if rows.groupBy(id_col).count().filter(F.col("count").__gt__(1) | F.col(id_col).isNull()).isEmpty():
+        return rows.withColumn("_doc", F.col(id_col).cast("bigint"))
+    spark = docs.sparkSession
+    ordered = rows.orderBy(id_col, F.xxhash64(text_col)).rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
+    return materialise(spark.createDataFrame(ordered, T.StructType([*rows.schema.fields, T.StructField("_doc", T.LongType())])), "keyed")
+
+
 def fold(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id written as text, modulo n."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % n

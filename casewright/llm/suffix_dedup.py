@@ -302,11 +302,7 @@ def cut_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spark = docs.sparkSession
     common.prepare(spark)
     docs = docs.select(*[c for c in docs.columns if c not in ("n_bytes", "spans", "kept", "_doc") or c in (id_col, text_col)])
-    if docs.groupBy(id_col).count().filter(f"count > 1 or `{id_col}` is null").isEmpty():
-        keyed = docs.withColumn("_doc", F.col(id_col).cast("bigint"))
-    else:
-        ordered = docs.orderBy(id_col, F.xxhash64(text_col)).rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-        keyed = common.materialise(spark.createDataFrame(ordered, T.StructType([*docs.schema.fields, T.StructField("_doc", T.LongType())])), "suffix-keyed")
+    keyed = common.keyed(docs, id_col, text_col)
     by_doc = repeats(keyed, "_doc", text_col).groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("start", "n")).alias("_runs"))
     joined = keyed.join(by_doc, "_doc", "left").drop("_doc")
     at = joined.columns.index(text_col)
