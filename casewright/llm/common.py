@@ -59,6 +59,18 @@ def attach(left: DataFrame, right: DataFrame, key: str, weight: str, total: int,
     return joined.select(*[F.col(c) for c in left.columns], *[F.coalesce(f"_hot_{c}", f"_cold_{c}").alias(c) for c in columns])
 
 
+def pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text, and all other columns as one struct ``rest``, so that no name of theirs meets one that an operator adds."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct(F.lit(0).alias("_"), *others).alias("rest"))
+
+
+def unpack(df: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The columns of ``docs`` again."""
+    named = {id_col: "doc_id", text_col: "text"}
+    return df.select(*[F.col(named[c] if c in named else f"rest.`{c}`").alias(c) for c in docs.columns])
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Add ``_doc``, a distinct long without nulls in the ids' order: the id itself, or, if ids repeat or are missing, a
     place among them (equal ids in the order of their texts' hashes), written to the shared folder."""

@@ -176,7 +176,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     kept here (``keep_one`` then leaves one). Texts of any length are compared whole. An empty table stays empty.
     Other columns pass through; those named like the four added ones are replaced. Ids must be integers.
     """
-    return _marked(docs, classes(docs, id_col, text_col), id_col, text_col)
+    return _marked(docs.drop("alike") if "alike" not in (id_col, text_col) else docs, classes(docs, id_col, text_col), id_col, text_col).drop("alike")
 
 
 def _marked(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -192,14 +192,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Of rows that repeat the kept row's id, one of those with the longest text stays.
     """
-    found = classes(docs, id_col, text_col)
-    marked = _marked(docs, found, id_col, text_col).withColumn("_length", F.length(F.coalesce(F.col(text_col), F.lit(""))))
+    packed = common.pack(docs, id_col, text_col)
+    found = classes(packed)
+    marked = _marked(packed, found, "doc_id", "text").withColumn("_length", F.length(F.coalesce(F.col("text"), F.lit(""))))
     marked = marked.filter("kept")
-    if found.filter("alike > 1").isEmpty():
-        return marked.select(*docs.columns)
-    # some classes hold rows that agree in id and length: of these few classes' kept rows, one each
-    first = marked.filter("alike > 1").groupBy("text_sha256").agg(F.max_by(F.struct(*docs.columns), "_length").alias("row")).select("row.*")
-    return marked.filter("alike = 1").select(*docs.columns).unionByName(first.select(*docs.columns))
+    if not found.filter("alike > 1").isEmpty():
+        # some classes hold rows that agree in id and length: of these few classes' kept rows, one each
+        first = marked.filter("alike > 1").groupBy("text_sha256").agg(F.max_by(F.struct(*packed.columns), "_length").alias("row")).select("row.*")
+        marked = marked.filter("alike = 1").select(*packed.columns).unionByName(first)
+    return common.unpack(marked, docs, id_col, text_col)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

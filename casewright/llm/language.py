@@ -165,10 +165,12 @@ def _scorer(key: str, shipped) -> Scorer:
     return _SCORERS[key]
 
 
-def recognised(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_score: float = MIN_SCORE) -> DataFrame:
+def recognised(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", min_score: float = MIN_SCORE) -> DataFrame:
     """The rows whose text is in a language learned from the labelled rows with a score of ``min_score`` or more, columns as they were."""
-    marked = predict(docs.withColumn("_text", F.col(text_col)), fit(docs, text_col, lang_col), "_text")
-    return marked.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(*docs.columns)
+    # other columns travel as one struct, so that none meets a name that is added
+    packed = docs.select(F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("rest"))
+    marked = predict(packed, fit(docs, text_col, lang_col, id_col)).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
+    return marked.select(*[F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -340,7 +340,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     the order of their texts' hashes. Other columns pass through; an empty table stays empty.
     """
     common.prepare(docs.sparkSession)
-    keyed = common.keyed(docs, id_col, text_col)
+    keyed = common.keyed(common.pack(docs, id_col, text_col), "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -348,14 +348,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
             data = np.frombuffer(b"".join([bits for bits, _ in made]), dtype=">i8").astype(np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(data[:, k]) for k in range(3)], pa.array([low for _, low in made], pa.binary())], names=["node", "fp", "first", "second", "low"])
 
-    rows = common.materialise(keyed.select("_doc", text_col).mapInArrow(run, "node bigint, fp bigint, first bigint, second bigint, low binary"), "near-sketches")
+    rows = common.materialise(keyed.select("_doc", "text").mapInArrow(run, "node bigint, fp bigint, first bigint, second bigint, low binary"), "near-sketches")
     # rows of equal sketches are one class, which its least row stands for
     one = common.materialise(rows.groupBy("fp", "first", "second").agg(F.min("node").alias("node")), "near-classes")
     met = near_links(one, limit).distinct()
     edges = common.materialise(_verified(met, rows.select("node", "low"), least), "near-links")
     gone = components(edges).filter("node != root").select(F.col("node").alias("_gone"))
     heads = common.materialise(one.join(gone, F.col("node") == F.col("_gone"), "left_anti").select(F.col("node").alias("_head")), "near-heads")
-    return keyed.join(heads, F.col("_doc") == F.col("_head"), "left_semi").select(*docs.columns)
+    return common.unpack(keyed.join(heads, F.col("_doc") == F.col("_head"), "left_semi"), docs, id_col, text_col)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

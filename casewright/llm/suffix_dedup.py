@@ -331,11 +331,11 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rows of which nothing remains are left out; rows without a cut, null and empty texts among them, stay as they were.
     """
-    found = cut_out(docs, id_col, text_col)
+    found = cut_out(common.pack(docs, id_col, text_col))
     # a byte that goes on a character, at the head of what remains after a cut, or a character that breaks off before one
     whole = F.udf(lambda data: bytes(data).decode("utf-8", "ignore"), "string", useArrow=True)
-    text = F.when(F.size("spans") == 0, F.col(text_col)).otherwise(whole("kept"))
-    return found.filter("size(spans) = 0 or octet_length(kept) > 0").withColumn(text_col, text).select(*docs.columns)
+    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(whole("kept"))
+    return common.unpack(found.filter("size(spans) = 0 or octet_length(kept) > 0").withColumn("text", text), docs, id_col, text_col)
 
 
 def merged(runs: list[dict]) -> list[list[int]]:
