@@ -181,13 +181,16 @@ def sorted_windows(texts: list[bytes], counts: np.ndarray) -> tuple[np.ndarray,
     flat, stride = grid.ravel(), width + 1
     edge = np.arange(1, len(texts) + 1, dtype=np.int32) * stride  # the empty suffixes
     left = edge - sizes.astype(np.int32)
-    suffixes = np.sort(edge)
-    empties = suffixes.copy()
+    # the places before the suffixes; those of the empty ones stay at the head
+    places = np.empty(len(raw) + len(texts), dtype=np.int32)
+    places[: len(texts)] = edge - 1
+    n = len(texts)
     for _ in range(width):
-        before = flat[suffixes - 1]
-        order = np.argsort(before, kind="stable")
-        moved = suffixes[order][np.searchsorted(before[order], 1) :] - 1
-        suffixes = np.concatenate([empties, moved])
+        symbols = flat[places[:n]]
+        order = np.argsort(symbols, kind="stable")[n - np.count_nonzero(symbols) :]
+        places[len(texts) : len(texts) + len(order)] = places[:n][order] - 1
+        n = len(texts) + len(order)
+    suffixes = places[:n] + 1
     text = (suffixes - 1) // stride
     start = suffixes - left[text]
     real = np.flatnonzero((start >= 0) & (start < counts[text]) & (suffixes < edge[text]))
