@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,7 +29,7 @@ from . import common, tokens
 #: How byte-level BPE splits text before merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Chunks of text kept in each of two generations.
-KEPT_CHUNKS = 200_000
+KEPT_CHUNKS = 350_000
 KEPT_PAIRS = 1_000_000
 NEVER = 1 << 60
 
@@ -122,10 +123,19 @@ class Vocabulary:
         """Ids of one pre-token."""
         last: list[int] = [-1] * len(piece)
         sizes: list[int] = [0] * len(piece)
+        known = self.pairs.get
         for end, (token, size) in self.automaton.iter(piece.decode("latin-1")):
+            if last[end] >= 0:
+                continue
             before = end - size
-            if last[end] < 0 and (before < 0 or (last[before] >= 0 and self.beside(last[before], token))):
-                last[end], sizes[end] = token, size
+            if before >= 0:
+                left = last[before]
+                if left < 0:
+                    continue
+                fits = known(left << 32 | token)
+                if not (self.beside(left, token) if fits is None else fits):
+                    continue
+            last[end], sizes[end] = token, size
         out, at = [], len(piece) - 1
         while at >= 0:
             out.append(last[at])
@@ -136,6 +146,8 @@ class Vocabulary:
 
 #: Python's and the pattern's white space beyond ASCII, and separators on which the two differ.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+_HEADS = {b" ", *(bytes([c]) for c in b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")}
+_TAILS = {b".", b",", b";", b":", b"!", b"?"}
 _MIXED_SPACE = re.compile(rb"^[\x09-\x0D]|[\x09-\x0D] | [\x09-\x0D]|  |[ \x09-\x0D]$")
 
 
@@ -148,14 +160,19 @@ class Encoder:
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def _ids(self, text: str) -> bytes:
+    def _ids(self, chunk: bytes) -> bytes:
         encode = self.vocabulary.encode
-        return np.array([i for piece in self.pattern.findall(text) for i in encode(piece.encode())], dtype="<u4").tobytes()
+        # a word of plain letters is one pre-token, and so is a sign of this list behind one
+        if chunk[1:].isalpha() and chunk[:1] in _HEADS:
+            return array("I", encode(chunk)).tobytes()
+        if chunk[-1:] in _TAILS and chunk[1:-1].isalpha() and chunk[:1] in _HEADS:
+            return self._chunk(chunk[:-1]) + self._chunk(chunk[-1:])
+        return array("I", [i for piece in self.pattern.findall(chunk.decode()) for i in encode(piece.encode())]).tobytes()
 
     def _chunk(self, chunk: bytes) -> bytes:
         if (ids := self.young.get(chunk)) is None:
             if (ids := self.old.get(chunk)) is None:
-                ids = self._ids(chunk.decode())
+                ids = self._ids(chunk)
             if len(self.young) >= KEPT_CHUNKS:
                 self.old, self.young = self.young, {}
             self.young[chunk] = ids
