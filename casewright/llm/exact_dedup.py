@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -111,11 +112,11 @@ def _batches(records: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _gather(batches: Iterator[pa.RecordBatch], table_bytes: int) -> Iterator[pa.RecordBatch]:
     """Within an input partition: one record for each content, as far as the table holds them; a full table is passed on and begun anew."""
 
     def records() -> Iterator[tuple]:
-        table = Table(TABLE_BYTES)
+        table = Table(table_bytes)
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 text = text or ""
@@ -123,18 +124,18 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 h = xxhash.xxh3_64_intdigest(content)
                 if not table.put(h, content, len(text), doc, 1, 1):
                     yield from ((*r, None) for r in table.records())
-                    table = Table(TABLE_BYTES)
+                    table = Table(table_bytes)
                     table.put(h, content, len(text), doc, 1, 1)
         yield from ((*r, None) for r in table.records())
 
     return _batches(records())
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _settle(batches: Iterator[pa.RecordBatch], table_bytes: int) -> Iterator[pa.RecordBatch]:
     """Within a hash partition: classes (content null, sha set), and records for which there was no room (content set)."""
 
     def records() -> Iterator[tuple]:
-        table = Table(TABLE_BYTES)
+        table = Table(table_bytes)
         for batch in batches:
             for content, length, doc, rows, alike in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 if not table.put(xxhash.xxh3_64_intdigest(content), content, length, doc, rows, alike):
@@ -145,15 +146,15 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return _batches(records())
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
     """One row per distinct normalised text: sha, keep_id, n_rows, alike (rows with the keep_id and its length)."""
     spark = docs.sparkSession
     common.prepare(spark)
-    records = docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(_gather, RECORDS)
+    records = docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(partial(_gather, table_bytes=table_bytes), RECORDS)
     settled, level, parts = None, 0, int(spark.conf.get("spark.sql.shuffle.partitions"))
     while True:
         dealt = records.repartition(parts, F.xxhash64("content", F.lit(level)))
-        done = common.materialise(dealt.mapInArrow(_settle, RECORDS), "exact-dedup")
+        done = common.materialise(dealt.mapInArrow(partial(_settle, table_bytes=table_bytes), RECORDS), "exact-dedup")
         found = done.filter(F.col("content").isNull())
         settled = found if settled is None else settled.unionAll(found)
         records = done.filter(F.col("content").isNotNull())
@@ -163,11 +164,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         level += 1
         if level >= MAX_LEVELS:
             raise RuntimeError(f"{left} bytes remain after {level} partitionings")
-        parts = max(parts, int(left // (TABLE_BYTES // 2)) + 1)
+        parts = max(parts, int(left // (table_bytes // 2)) + 1)
     return settled.select("sha", F.col("doc").alias("keep_id"), "n_rows", "alike")
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
     """Add keep_id, group_size, kept and text_sha256 to every row.
 
     Of the rows whose texts are equal without the characters of ``[\\x20\\x09-\\x0D]``, the one with the most code points in
@@ -176,7 +177,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     kept here (``keep_one`` then leaves one). Texts of any length are compared whole. An empty table stays empty.
     Other columns pass through; those named like the four added ones are replaced. Ids must be integers.
     """
-    return _marked(docs.drop("alike") if "alike" not in (id_col, text_col) else docs, classes(docs, id_col, text_col), id_col, text_col).drop("alike")
+    return _marked(docs.drop("alike") if "alike" not in (id_col, text_col) else docs, classes(docs, id_col, text_col, table_bytes), id_col, text_col).drop("alike")
 
 
 def _marked(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:

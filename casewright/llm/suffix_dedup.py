@@ -20,6 +20,7 @@ sides of the shuffle, since one anchor's segments may be a third of all.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -87,7 +88,7 @@ def segments(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[n
     return owner[first], at[first], np.diff(np.append(first, len(at))), hashes[anchor[first].astype(np.int64)]
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
     """Segments of a partition's texts; of equal ones, all but the first are marked."""
     held: list[tuple[np.ndarray, ...]] = []
     n_held = 0
@@ -117,13 +118,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             data = (text or "").encode()
             # a very long text goes in pieces that share LENGTH - 1 bytes, so each window is in one
-            for at in range(0, len(data), 8 * BLOCK_BYTES) if len(data) >= LENGTH else ():
-                piece = data[at : at + 8 * BLOCK_BYTES + LENGTH - 1]
+            for at in range(0, len(data), 8 * block_bytes) if len(data) >= LENGTH else ():
+                piece = data[at : at + 8 * block_bytes + LENGTH - 1]
                 if len(piece) < LENGTH:
                     continue
                 pieces.append((doc, at, piece))
                 size += len(piece)
-                if size >= BLOCK_BYTES:
+                if size >= block_bytes:
                     block(pieces)
                     pieces, size = [], 0
         if n_held >= BLOCK_SEGMENTS:
@@ -229,7 +230,7 @@ def repeated_windows(rows: list[tuple[int, int, int, bytes]]) -> list[tuple[int,
     return list(zip(doc[first].tolist(), place[first].tolist(), np.diff(np.append(first, len(doc))).tolist(), strict=True))
 
 
-def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _collect(batches: Iterator[pa.RecordBatch], collection: int) -> Iterator[pa.RecordBatch]:
     """Collections of segments, sorted by anchor: whole anchors together, several to a collection."""
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
@@ -242,7 +243,7 @@ def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for anchor, doc, start, n, data in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
             if anchor != at:
-                if len(rows) + len(own) > COLLECTION and rows:
+                if len(rows) + len(own) > collection and rows:
                     yield out(rows)
                     rows = []
                 rows += own
@@ -260,13 +261,13 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(data[k : k + LENGTH]) for k in range(n)], pa.binary()), pa.array([doc] * n, pa.int64()), pa.array(range(start, start + n), pa.int32())], names=["window", "doc", "start"])
 
 
-def repeats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str, text_col: str, collection: int = COLLECTION, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc, start, n): runs of starts of windows that also start earlier. Ids must be distinct and not null."""
     spark = docs.sparkSession
     common.prepare(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
-    cut = texts.mapInArrow(_cut, SEGMENTS)
+    cut = texts.mapInArrow(partial(_cut, block_bytes=block_bytes), SEGMENTS)
     found = common.materialise(cut, "suffix-segments")
     local = found.filter("repeats").select("doc", "start", "n")
     dealt = found.filter("not repeats").repartition(parts, "anchor").sortWithinPartitions("anchor", "content", "doc", "start")
@@ -274,7 +275,7 @@ def repeats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     whole = compared.filter("repeats").select("doc", "start", "n")
     wanted = compared.filter("not repeats").select("anchor", "doc", "start", "n")
     by_anchor = wanted.groupBy("anchor").agg(F.count(F.lit(1)).alias("members"))
-    crowded = common.materialise(by_anchor.filter(F.col("members") > COLLECTION), "suffix-crowded")
+    crowded = common.materialise(by_anchor.filter(F.col("members") > collection), "suffix-crowded")
     by_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("segments"))
     fetched = texts.join(by_doc, "doc").select("doc", F.encode("text", "utf-8").alias("data"), F.explode("segments").alias("s"))
     fetched = fetched.select(F.col("s.anchor").alias("anchor"), "doc", F.col("s.start").alias("start"), F.col("s.n").alias("n"), F.expr(f"substring(data, s.start + 1, s.n + {LENGTH - 1})").alias("data"))
@@ -284,7 +285,7 @@ def repeats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         fetched = common.materialise(fetched, "suffix-fetched")
         # anchors over the limit: fewer than a row for each COLLECTION segments
         few, many = fetched.join(crowded, "anchor", "left_anti"), fetched.join(crowded, "anchor", "left_semi")
-    sorted_out = few.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_collect, FOUND)
+    sorted_out = few.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(partial(_collect, collection=collection), FOUND)
     result = local.unionAll(whole).unionAll(sorted_out)
     if many is not None:
         windows = common.materialise(many.mapInArrow(_windows, "window binary, doc bigint, start int"), "suffix-windows")
@@ -295,7 +296,7 @@ def repeats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return common.materialise(result, "suffix-repeats")
 
 
-def cut_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", collection: int = COLLECTION, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Add n_bytes, spans (array of [begin, end) of removed bytes) and kept (the bytes that remain) to every row.
 
     Null texts are empty. Texts under LENGTH bytes are never cut. Of rows that repeat an id, the order is that of their
@@ -306,7 +307,7 @@ def cut_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     common.prepare(spark)
     docs = docs.select(*[c for c in docs.columns if c not in ("n_bytes", "spans", "kept", "_doc") or c in (id_col, text_col)])
     keyed = common.keyed(docs, id_col, text_col)
-    by_doc = repeats(keyed, "_doc", text_col).groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("start", "n")).alias("_runs"))
+    by_doc = repeats(keyed, "_doc", text_col, collection, block_bytes).groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("start", "n")).alias("_runs"))
     joined = keyed.join(by_doc, "_doc", "left").drop("_doc")
     at = joined.columns.index(text_col)
     names = [c for c in joined.columns if c != "_runs"]
@@ -352,6 +353,9 @@ def merged(runs: list[dict]) -> list[list[int]]:
     return out
 
 
-def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = cut_out(common.read(spark, sf_dir, "documents").select("doc_id", "text"))
+def digests(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("bigint").alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(cut_out(common.read(spark, sf_dir, "documents").select("doc_id", "text")))

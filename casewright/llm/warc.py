@@ -95,11 +95,12 @@ def read_seek_table(tail: bytes) -> list[tuple[int, int, int]]:
 class Bundles:
     """Writes a task's bundles. A file's name holds the attempt, and only the files of the attempt that ends well are listed."""
 
-    def __init__(self, folder: str, task: str):
+    def __init__(self, folder: str, task: str, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES):
         from pyarrow import fs
         from zstandard import ZstdCompressor
 
         self.store, self.root = fs.FileSystem.from_uri(folder)
+        self.frame_bytes, self.bundle_bytes = frame_bytes, bundle_bytes
         self.task, self.packer, self.number = task, ZstdCompressor(level=LEVEL), 0
         self.parts: list[bytes] = []
         self.frames: list[tuple[int, int]] = []
@@ -115,7 +116,7 @@ class Bundles:
     def add(self, key: str, data: bytes) -> None:
         self.waiting.append((key, len(self.plain), len(data)))
         self.plain += data
-        if len(self.plain) >= FRAME_BYTES:
+        if len(self.plain) >= self.frame_bytes:
             self.end_frame()
 
     def end_frame(self) -> None:
@@ -125,7 +126,7 @@ class Bundles:
         self.parts.append(packed)
         self.at += len(packed)
         self.plain, self.waiting = bytearray(), []
-        if self.at >= BUNDLE_BYTES:
+        if self.at >= self.bundle_bytes:
             self.close()
 
     def close(self) -> None:
@@ -153,7 +154,7 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
     return found.withColumn("refers_to", F.when(F.col(id_col) < F.col("_response"), F.col("_response"))).drop("_key", "_response", "_n")
 
 
-def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
     """Write a record for each row into bundles in ``folder`` (a URI all executors share); returns the index, written there too.
 
     Null texts are empty payloads, null urls empty; ids may be null or repeat (their records then share an identifier).
@@ -167,7 +168,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
 
         context, bundles = TaskContext.get(), None
         for batch in batches:
-            bundles = bundles or Bundles(folder, f"{context.partitionId():06d}-{context.taskAttemptId()}")
+            bundles = bundles or Bundles(folder, f"{context.partitionId():06d}-{context.taskAttemptId()}", frame_bytes, bundle_bytes)
             for page, url, html, digest, refers_to in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 bundles.add(record_id(page), record(page, url, (html or "").encode(), digest, refers_to))
         if bundles:

@@ -26,13 +26,12 @@ def test_exact_against_sql(spark, folder):
     assert sorted(got) == sorted(expected)
 
 
-def test_exact_when_tables_are_full(spark, docs, monkeypatch):
+def test_exact_when_tables_are_full(spark, docs):
     whole = sorted(map(str, exact_dedup.groups(docs).collect()))
-    monkeypatch.setattr(exact_dedup, "TABLE_BYTES", 4000)
     found = exact_dedup.Table(10)
     assert found.put(1, b"a" * 20, 20, 1, 1, 1) and not found.put(2, b"b", 1, 2, 1, 1) and found.put(1, b"a" * 20, 20, 0, 1, 1)
     assert [r[2:] for r in found.records()] == [(0, 2, 1)]
-    assert sorted(map(str, exact_dedup.groups(docs).collect())) == whole
+    assert sorted(map(str, exact_dedup.groups(docs, table_bytes=4000).collect())) == whole
 
 
 def test_hash_collisions_are_told_apart():
@@ -183,30 +182,31 @@ def got_cut(df):
 
 
 @pytest.mark.parametrize("collection", [4096, 5])
-def test_repeated_strings_against_brute_force(spark, folder, texts, collection, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "COLLECTION", collection)
+def test_repeated_strings_against_brute_force(spark, docs, texts, collection):
     expected = cut([(i, (t or "").encode()) for i, t, _ in sorted(texts)])
     assert any(v[2] for v in expected.values())
-    assert got_cut(suffix_dedup.op9_suffix_dedup(spark, folder)) == expected
+    assert got_cut(suffix_dedup.digests(suffix_dedup.cut_out(docs, collection=collection))) == expected
 
 
 @pytest.mark.parametrize("collection", [4096, 3])
-def test_repeats_that_overlap(spark, collection, monkeypatch, tmp_path):
-    monkeypatch.setattr(suffix_dedup, "COLLECTION", collection)
+def test_repeats_that_overlap(spark, collection):
     r = random.Random(9)
     parts = ["".join(r.choices("ab é", k=r.randrange(60, 160))) for _ in range(12)]
     rows = [(i, "".join(r.choices(parts, k=r.randrange(1, 6)))) for i in range(60)] + [(70, "a" * 450), (71, "a" * 120), (72, "ab" * 300), (73, "é" * 49), (74, "é" * 50), (75, "é" * 50)]
-    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
-    assert got_cut(suffix_dedup.op9_suffix_dedup(spark, str(tmp_path))) == cut([(i, t.encode()) for i, t in rows])
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert got_cut(suffix_dedup.digests(suffix_dedup.cut_out(df, collection=collection))) == cut([(i, t.encode()) for i, t in rows])
 
 
-def test_long_texts_in_pieces(spark, monkeypatch, tmp_path):
-    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 64)
+def test_op9(spark, folder, texts):
+    assert got_cut(suffix_dedup.op9_suffix_dedup(spark, folder)) == cut([(i, (t or "").encode()) for i, t, _ in sorted(texts)])
+
+
+def test_long_texts_in_pieces(spark):
     r = random.Random(4)
     a = "".join(r.choices("abcdef ", k=3000))
     rows = [(0, a), (1, "z" * 50 + a[700:2100] + "y" * 30), (2, a[::-1])]
-    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert got_cut(suffix_dedup.op9_suffix_dedup(spark, str(tmp_path))) == cut([(i, t.encode()) for i, t in rows])
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert got_cut(suffix_dedup.digests(suffix_dedup.cut_out(df, block_bytes=64))) == cut([(i, t.encode()) for i, t in rows])
 
 
 def test_column_wise_order():
