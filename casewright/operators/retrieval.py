@@ -78,3 +78,17 @@ def similar_examples_by_vector(examples: DataFrame, vectors: DataFrame, query: S
     """The ``k`` examples of nearest vectors; those without a vector are left out. ``vectors``: the order column and embedding."""
     rows = examples.join(vectors.select(order, "embedding"), order)
     return by_vector(rows if exclude is None else rows.filter(F.col(order) != exclude), query, k, id_col=order)
+
+
+def by_listed_places(examples: DataFrame, answer: str | None, k: int = 3, order: str = "idx") -> DataFrame:
+    """The examples at the places that an answer lists as a JSON array of numbers, in its order, scored 1 less 0.01 for each
+    place before; places out of range or listed twice are passed over. Without such a list, the first ``k``."""
+    listed = F.from_json(F.regexp_extract(F.lit(answer or ""), r"\[[\d\s,]*\]", 0), "array<int>")
+    wanted = examples.select(F.array_distinct(F.coalesce(listed, F.array().cast("array<int>"))).alias("_w"), "*")
+    found = wanted.withColumn("_at", F.array_position("_w", F.col(order).cast("int"))).filter(F.col("_at") > 0)
+    if found.isEmpty():
+        return examples.orderBy(order).limit(k).withColumn("score", F.lit(1.0) - F.col(order) * 0.01)
+    from pyspark.sql import Window
+
+    ranked = found.withColumn("_rank", F.row_number().over(Window.orderBy("_at")))  # at most as many rows as the answer lists
+    return ranked.withColumn("score", F.lit(1.0) - (F.col("_rank") - 1) * 0.01).orderBy("_rank").limit(k).drop("_w", "_at", "_rank")

@@ -124,3 +124,25 @@ def test_stream_counts_like_a_batch(spark, tmp_path):
     batch = spark.read.parquet(source).withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", "7 days").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("week_start"), "event_type", "n")
     # windows that the newest event hasn't passed stay open
     assert closed.count() > 0 and closed.exceptAll(batch).isEmpty()
+
+
+def test_evaluation(spark):
+    from casewright.plans import evaluate
+
+    examples = spark.createDataFrame([(0, "count the cases", "SELECT count(*) FROM range(3)"), (1, "list the cases", "SELECT * FROM range(3)")], "idx bigint, question string, sql string")
+    said = lambda question, near: near[0]["sql"] if question.startswith("count") else "DROP TABLE x"
+    results = evaluate.evaluate(spark, examples, said)
+    got = {r.idx: r for r in results.collect()}
+    assert got[0].passed and got[0].token_overlap == 1.0 and got[0].top_score == 1.0 and not got[1].passed and "Refused" in got[1].error
+    assert evaluate.summary(results).first().passed_percent == 50.0
+    held = {r.idx: r for r in evaluate.evaluate(spark, examples, lambda q, near: near[0]["sql"], hold_out=True).collect()}
+    assert held[0].generated_sql == "SELECT * FROM range(3)" and held[0].top_score < 1
+
+
+def test_listed_places(spark):
+    from casewright.operators import retrieval
+
+    examples = spark.createDataFrame([(i, f"q{i}") for i in range(5)], "idx int, question string")
+    places = lambda answer: [(r.idx, round(r.score, 2)) for r in retrieval.by_listed_places(examples, answer).collect()]
+    assert places("best: [3, 9, 1, 3]") == [(3, 1.0), (1, 0.99)]
+    assert places("none") == places(None) == places("[77]") == [(0, 1.0), (1, 0.99), (2, 0.98)]
