@@ -38,11 +38,15 @@ COLLECTION = 4096
 #: Bytes that are hashed at a time, and segments that a task reduces at a time.
 BLOCK_BYTES = 1 << 19
 BLOCK_SEGMENTS = 400_000
+#: Segments that are compared at a time.
+COMPARED = 50_000
 _PLACE = np.uint64((1 << 24) - 1)
 _C = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
 
-SEGMENTS = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("content", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("repeats", T.BooleanType())])
-_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+SEGMENTS = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("content", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("contexts", T.LongType()), T.StructField("repeats", T.BooleanType())])
+_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
+#: A window holds so many bytes to the left of its anchor or so many to the right of it.
+CONTEXT = (LENGTH - GRAM) // 2
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -73,10 +77,23 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - size)], values[width - size :]) if width > size else values
 
 
+def _contexts(hashes: np.ndarray, place: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes, of 32 bits each, of the CONTEXT bytes left and right of anchors; 0 where the segment doesn't hold them."""
+
+    def joined(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        last = len(hashes) - 1
+        both = hashes[np.clip(first, 0, last)] * _C[0] + hashes[np.clip(second, 0, last)]
+        return (both >> np.uint64(32)) | np.uint64(1)
+
+    left = np.where(place - CONTEXT >= start, joined(place - CONTEXT, place - GRAM), np.uint64(0))
+    right = np.where(place + GRAM + CONTEXT <= end, joined(place + GRAM, place + CONTEXT), np.uint64(0))
+    return left << np.uint64(32) | right
+
+
 def segments(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of texts that lie one after another in ``data``: (text, start in data, number of windows, anchor's hash) of each segment."""
+    """Of texts that lie one after another in ``data``: (text, start in data, number of windows, anchor's hash, contexts) of each segment."""
     if len(data) < LENGTH:
-        return (np.zeros(0, dtype=np.int64),) * 3 + (np.zeros(0, dtype=np.uint64),)
+        return (np.zeros(0, dtype=np.int64),) * 3 + (np.zeros(0, dtype=np.uint64),) * 2
     hashes = _gram_hashes(data)
     place = _least((hashes & ~_PLACE) | np.arange(len(hashes), dtype=np.uint64), LENGTH - GRAM + 1) & _PLACE
     owner = np.repeat(np.arange(len(sizes)), np.maximum(sizes - LENGTH + 1, 0))
@@ -85,32 +102,34 @@ def segments(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[n
     new = np.ones(len(at), dtype=bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])
     first = np.flatnonzero(new)
-    return owner[first], at[first], np.diff(np.append(first, len(at))), hashes[anchor[first].astype(np.int64)]
+    owner, start, n, anchor = owner[first], at[first], np.diff(np.append(first, len(at))), anchor[first].astype(np.int64)
+    return owner, start, n, hashes[anchor], _contexts(hashes, anchor, start, start + n + LENGTH - 1)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
     """Segments of a partition's texts; of equal ones, all but the first are marked."""
+    common.alone()
     held: list[tuple[np.ndarray, ...]] = []
     n_held = 0
 
     def out() -> pa.RecordBatch:
-        anchor, content, doc, start, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        anchor, content, doc, start, n, contexts = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((start, doc, content, anchor))
-        anchor, content, doc, start, n = (x[order] for x in (anchor, content, doc, start, n))
+        anchor, content, doc, start, n, contexts = (x[order] for x in (anchor, content, doc, start, n, contexts))
         repeats = np.zeros(len(anchor), dtype=bool)
         repeats[1:] = (anchor[1:] == anchor[:-1]) & (content[1:] == content[:-1])
-        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip((anchor, content, doc, start, n, repeats), _KINDS, strict=True)], names=SEGMENTS.names)
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip((anchor, content, doc, start, n, contexts, repeats), _KINDS, strict=True)], names=SEGMENTS.names)
 
     def block(pieces: list[tuple[int, int, bytes]]) -> None:
         """pieces: document, place in it, bytes."""
         nonlocal n_held
         raw = b"".join([p[2] for p in pieces])
         sizes = np.array([len(p[2]) for p in pieces])
-        owner, at, n, anchor = segments(np.frombuffer(raw, dtype=np.uint8), np.cumsum(sizes) - sizes, sizes)
+        owner, at, n, anchor, contexts = segments(np.frombuffer(raw, dtype=np.uint8), np.cumsum(sizes) - sizes, sizes)
         view = memoryview(raw)
         content = np.array([xxhash.xxh3_64_intdigest(view[a : a + k]) for a, k in zip(at.tolist(), (n + LENGTH - 1).tolist(), strict=True)], dtype=np.uint64)
         docs, places, begins = np.array([p[0] for p in pieces]), np.array([p[1] for p in pieces]), np.cumsum(sizes) - sizes
-        held.append((anchor.view(np.int64), content.view(np.int64), docs[owner], (at - begins[owner] + places[owner]).astype(np.int32), n.astype(np.int32)))
+        held.append((anchor.view(np.int64), content.view(np.int64), docs[owner], (at - begins[owner] + places[owner]).astype(np.int32), n.astype(np.int32), contexts.view(np.int64)))
         n_held += len(n)
 
     pieces, size = [], 0
@@ -136,15 +155,42 @@ def _cut(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.Rec
         yield out()
 
 
+def _large(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The first six columns, ``rows`` rows and more at a time."""
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append([batch.column(k).to_numpy() for k in range(6)])
+            n += batch.num_rows
+        if n >= rows:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, n = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def _paired(anchor: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Which rows share anchor and context with another; a context of 0 is none."""
+    order = np.lexsort((context, anchor))
+    a, c = anchor[order], context[order]
+    same = (a[1:] == a[:-1]) & (c[1:] == c[:-1]) & (c[1:] != 0)
+    found = np.zeros(len(a), dtype=bool)
+    found[order[1:][same]] = True
+    found[order[:-1][same]] = True
+    return found
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of segments sorted by anchor, content and place: those that repeat (marked), and those whose anchor has several contents."""
+    """Of segments sorted by anchor, content and place: those that repeat (marked), and those whose anchor has several contents.
+
+    Of the latter, those go no further that share neither the left nor the right context of the anchor with another, as
+    no window of theirs can be another's; this is judged where all segments of an anchor are at hand.
+    """
     last: tuple | None = None  # the last first-of-its-content row, and whether it is out already
-    for batch in batches:
-        anchor, content, doc, start, n = (batch.column(k).to_numpy() for k in range(5))
-        if not len(anchor):
-            continue
+    for columns in _large(batches, COMPARED):
         if last is not None:
-            anchor, content, doc, start, n = (np.concatenate([[x], y]).astype(y.dtype) for x, y in zip(last[0], (anchor, content, doc, start, n), strict=True))
+            columns = tuple(np.concatenate([[x], y]).astype(y.dtype) for x, y in zip(last[0], columns, strict=True))
+        anchor, content, doc, start, n, contexts = columns
         same_anchor = np.zeros(len(anchor), dtype=bool)
         same_anchor[1:] = anchor[1:] == anchor[:-1]
         repeats = np.zeros(len(anchor), dtype=bool)
@@ -158,10 +204,13 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             several[0] = False
         end = firsts[-1]
         was_out = bool(several[end]) or (end == 0 and last is not None and last[1])
-        last = (tuple(x[end] for x in (anchor, content, doc, start, n)), was_out)
+        last = (tuple(x[end] for x in columns), was_out)
+        whole = np.flatnonzero(several & (anchor != anchor[0]) & (anchor != anchor[-1]))
+        left, right = contexts[whole].view(np.uint64) >> np.uint64(32), contexts[whole].view(np.uint64) & np.uint64(0xFFFFFFFF)
+        several[whole] = _paired(anchor[whole], left) | _paired(anchor[whole], right)
         kept = np.flatnonzero(repeats | several)
         if len(kept):
-            yield pa.RecordBatch.from_arrays([pa.array(x[kept], kind) for x, kind in zip((anchor, content, doc, start, n, repeats), _KINDS, strict=True)], names=SEGMENTS.names)
+            yield pa.RecordBatch.from_arrays([pa.array(x[kept], kind) for x, kind in zip((*columns, repeats), _KINDS, strict=True)], names=SEGMENTS.names)
 
 
 def sorted_windows(texts: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
