@@ -49,13 +49,14 @@ def nodes(t: Tables, shown: DataFrame) -> DataFrame:
     The name is the greatest of the person's, or the id; the crime group the commonest on the person's entries, of
     equally common ones the first by name, or Unknown. No edges, no nodes.
     """
-    ends = degrees(shown)
-    rows = t["Accused"].join(ends.select(F.col("id").alias("PersonID")), "PersonID", "left_semi")
-    facts = rows.groupBy(F.col("PersonID").alias("id")).agg(F.max("AccusedName").alias("name"), F.count_distinct("CaseMasterID").alias("case_count"))
-    with_cases = rows.join(t["CaseMaster"].select("CaseMasterID", "CrimeMajorHeadID"), "CaseMasterID")
-    groups = C.mode_per_group(cases.attach(t, with_cases, "head").withColumnRenamed("PersonID", "id"), ["id"], "CrimeGroupName")
-    joined = facts.join(groups, "id", "left").join(ends, "id", "left")
-    return joined.select("id", F.coalesce("name", "id").alias("name"), "case_count", F.coalesce("CrimeGroupName", F.lit("Unknown")).alias("crime_group"), F.coalesce("degree", F.lit(0).cast("bigint")).alias("degree"))
+    rows = t["Accused"].select("CaseMasterID", F.col("PersonID").alias("id"), "AccusedName").join(degrees(shown), "id")
+    grouped = cases.attach(t, rows.join(t["CaseMaster"].select("CaseMasterID", "CrimeMajorHeadID"), "CaseMasterID", "left"), "head", how="left")
+    # a case has one group, so cases are counted once each however the groups are summed; the shown edges are computed once
+    by_case = grouped.groupBy("id", "CaseMasterID", "CrimeGroupName").agg(F.count(F.lit(1)).alias("n"), F.max("AccusedName").alias("name"), F.max("degree").alias("degree"))
+    by_group = by_case.groupBy("id", "CrimeGroupName").agg(F.sum("n").alias("n"), F.count("CaseMasterID").alias("cases"), F.max("name").alias("name"), F.max("degree").alias("degree"))
+    commonest = F.min(F.when(F.col("CrimeGroupName").isNotNull(), F.struct(-F.col("n"), F.col("CrimeGroupName").alias("group"))))["group"]
+    found = by_group.groupBy("id").agg(F.max("name").alias("name"), F.sum("cases").alias("case_count"), commonest.alias("crime_group"), F.max("degree").alias("degree"))
+    return found.select("id", F.coalesce("name", "id").alias("name"), "case_count", F.coalesce("crime_group", F.lit("Unknown")).alias("crime_group"), "degree")
 
 
 # Names under which results carry a person, a number of cases and crime types, in the order of preference.

@@ -15,7 +15,7 @@ from casewright.sources.tables import Tables, from_star, star_sql
 AS_OF, MONTH_END = "2001-08-01 00:00:00", "2001-07-31 00:00:00"
 EVENTS_AS_OF = "2024-01-31 00:00:00"
 DISTRICT, GROUP, SUBHEAD = "NATION_3", "2-HIGH", "Sub-head 2.1"
-WORDS = "the question of entre werden"
+WORDS = "the and that with this"
 Q = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Q] = {}
 SQL: dict[str, str] = {}
