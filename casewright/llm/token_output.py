@@ -69,7 +69,8 @@ def sequences(docs: DataFrame, tokenizer_path: str, text_col: str = "text", wind
         from pyspark import TaskContext
         from zstandard import ZstdCompressor
 
-        part, packer, encoder = TaskContext.get().partitionId(), ZstdCompressor(level=1), tokens.word_encoder(tokenizer_path)
+        common.alone("tokens")
+        part, packer, encoder = TaskContext.get().partitionId(), ZstdCompressor(level=6), tokens.word_encoder(tokenizer_path)
         end, held, k = np.array([end_id], dtype="<u4").tobytes(), b"", 0
 
         def out(data: bytes) -> pa.RecordBatch:
