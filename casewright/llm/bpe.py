@@ -217,6 +217,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+common.kept_by("bpe", encoder.cache_clear)
+
+
 def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """Add the text's ids as array<int>. A column of that name is replaced; all others stay.
 
@@ -242,6 +245,7 @@ def _mapped(df: DataFrame, source: str, target: str, kind: T.DataType, f) -> Dat
     schema = T.StructType([kept.schema[c] for c in names] + [T.StructField(target, kind, True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.alone("bpe")
         for batch in batches:
             columns = {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True)}
             yield pa.RecordBatch.from_arrays([*[columns[n] for n in names], f(batch.column(at))], names=[*names, target])

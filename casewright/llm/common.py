@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,19 @@ SPACE_CLASS = "\\x20\\x09-\\x0D"
 #: A key is hot if it holds more than this share of the rows; so at most 1 / HOT_SHARE keys are hot.
 HOT_SHARE = 0.001
 _SHIPPED: set[str] = set()
+_DROPS: dict[str, Callable[[], object]] = {}
+
+
+def kept_by(owner: str, drop: Callable[[], object]) -> None:
+    """Say how to drop what a module keeps in a worker process from task to task."""
+    _DROPS[owner] = drop
+
+
+def alone(owner: str | None = None) -> None:
+    """At a task's start: drop what other modules than ``owner`` keep in this worker process, which earlier stages left."""
+    for name, drop in _DROPS.items():
+        if name != owner:
+            drop()
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -115,6 +115,8 @@ def _batches(records: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
 def _gather(batches: Iterator[pa.RecordBatch], table_bytes: int) -> Iterator[pa.RecordBatch]:
     """Within an input partition: one record for each content, as far as the table holds them; a full table is passed on and begun anew."""
 
+    common.alone()
+
     def records() -> Iterator[tuple]:
         table = Table(table_bytes)
         for batch in batches:

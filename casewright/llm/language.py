@@ -146,6 +146,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.alone("language")
         scorer = _scorer(key, shipped)
         for batch in batches:
             found = [scorer.predict(t) for t in batch.column(at).to_pylist()]
@@ -155,6 +156,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
 
 _SCORERS: dict[str, Scorer] = {}
+common.kept_by("language", _SCORERS.clear)
 
 
 def _scorer(key: str, shipped) -> Scorer:

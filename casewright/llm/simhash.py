@@ -35,12 +35,13 @@ NEAR_SHINGLE = 5
 NEAR_LEAST = 0.8
 NEAR_BITS = 30
 LEAST_HASHES = 512
-#: Bits that the four segments of the near copies' index stand for; more are found as far as some segment differs by one at most.
-NEAR_CUT = 7
+#: Segments of each fingerprint of the near copies' index: up to 7 differing bits are always found, more as far as a segment differs by one at most.
+NEAR_SEGMENTS = 4
 #: Buckets up to this size give all links, larger ones connecting links; a bucket of more than a block is dealt out.
 SMALL_BUCKET = 16
 BLOCK = 16_384
 HELD_ROWS = 500_000
+LABEL_ROWS = 10_000
 BROADCAST_KEYS = 100_000
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64)[:, 0]
 
@@ -68,6 +69,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE
     schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField(out_col, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.alone()
         for batch in batches:
             found = [fingerprint(t, shingle) for t in batch.column(len(kept)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(found, pa.int64())], names=schema.names)
@@ -139,21 +141,22 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of the edges (a, b): the smallest node reachable.
 
     Labels fall to the least among the neighbours' and then to their label's own label, so paths shrink by half and
-    more each round. Every round is written to the shared folder.
+    more each round. Every round is written to the shared folder, a file for each LABEL_ROWS rows or so.
     """
     both = common.materialise(edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    files = both.count() // LABEL_ROWS + 1
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root"))
-    labels = common.materialise(labels, "labels")
+    labels = common.materialise(labels.coalesce(files), "labels")
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("least"))
         moved = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("root", "least").alias("root"), (F.col("least") < F.col("root")).alias("changed"))
-        moved = common.materialise(moved, "labels")
+        moved = common.materialise(moved.coalesce(files), "labels")
         if not moved.filter("changed").isEmpty():
             sizes = moved.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
             total = moved.count()
             parents = sizes.join(moved.select(F.col("node").alias("root"), F.col("root").alias("above")), "root", "left")
             jumped = common.attach(moved.drop("changed"), parents, "root", "n", total, "node")
-            labels = common.materialise(jumped.select("node", F.least("root", F.coalesce("above", "root")).alias("root")), "labels")
+            labels = common.materialise(jumped.select("node", F.least("root", F.coalesce("above", "root")).alias("root")).coalesce(files), "labels")
             continue
         return moved.select("node", "root")
 
@@ -195,17 +198,17 @@ def _majority(hashed: bytes, width: int) -> bytes:
 
 
 def sketch(text: str | None, shingle: int = NEAR_SHINGLE) -> tuple[bytes, bytes]:
-    """24 bytes: the 64-bit fingerprint over pairs of words, by which near copies meet, then 128 bits over ``shingle`` words,
+    """32 bytes: two 64-bit fingerprints over pairs of words, by which near copies meet, then 128 bits over ``shingle`` words,
     by which they are told apart first; zeros without words. And the LEAST_HASHES least hashes of distinct shingles, of all
     if they are no more."""
     line, starts, ends = _lines(text)
     if not starts:
-        return bytes(24), b""
-    digest, wide = xxhash.xxh64_digest, xxhash.xxh3_128_digest
-    pairs = b"".join([digest(line[a:b], SEED) for a, b in zip(starts, ends[1:], strict=False)] or [digest(line, SEED)])
+        return bytes(32), b""
+    wide = xxhash.xxh3_128_digest
+    pairs = b"".join([wide(line[a:b], SEED) for a, b in zip(starts, ends[1:], strict=False)] or [wide(line, SEED)])
     whole = b"".join([wide(line[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :], strict=False)] or [wide(line, SEED)])
     least = np.unique(np.frombuffer(whole, dtype="<u4")[::4])[:LEAST_HASHES]
-    return _majority(pairs, 8) + _majority(whole, 16), least.tobytes()
+    return _majority(pairs, 16) + _majority(whole, 16), least.tobytes()
 
 
 def similarity(a: bytes, b: bytes) -> float:
@@ -285,34 +288,31 @@ def _meetings(limit: int):
 
 
 def near_links(sketches: DataFrame, limit: int = NEAR_BITS, block: int = BLOCK) -> DataFrame:
-    """Links (a < b) that connect near copies, of a table with one row for each sketch: node, fp, first, second (longs).
+    """Links (a < b) that connect near copies, of a table with one row for each sketch: node, fp, fp2, first, second (longs).
 
-    Rows meet under the one-wildcard variants of their four 16-bit segments of ``fp``. A bucket of over ``block`` rows is dealt
-    out as pairs of blocks: any two of its rows are together in some task, and no task holds more than two blocks of it.
+    Rows meet under the one-wildcard variants of the four 16-bit segments of ``fp`` and of ``fp2``. A bucket of over ``block``
+    rows is dealt out as pairs of blocks: any two of its rows are together in some task, and no task holds more than two
+    blocks of it.
     """
-    every = list(range(BITS))
-    cut = segments(every, NEAR_CUT)
-    whole = [(k, seg, F.shiftrightunsigned(F.col("fp"), seg[0]).bitwiseAND(F.lit((1 << len(seg)) - 1))) for k, seg in enumerate(cut)]
-    variants = [F.lit(k * BITS + b).cast("bigint") * F.lit(1 << 20) + value.bitwiseAND(F.lit(((1 << len(seg)) - 1) ^ (1 << (b - seg[0])))) for k, seg, value in whole for b in seg]
+    width = BITS // NEAR_SEGMENTS
+    values = [F.shiftrightunsigned(fp, k * width).bitwiseAND(F.lit((1 << width) - 1)) for fp in ("fp", "fp2") for k in range(NEAR_SEGMENTS)]
+    # a key is a place (segment and bit left out) and the segment's other bits
+    variants = [F.lit((k * width + b) << 20).cast("bigint") + value.bitwiseAND(F.lit(((1 << width) - 1) ^ (1 << b))) for k, value in enumerate(values) for b in range(width)]
     # a bucket's size is the sum of two segment values' counts, and these are few
-    counted = sketches.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), value.alias("value")) for k, _, value in whole])).alias("s")).groupBy("s.k", "s.value").agg(F.count(F.lit(1)).alias("n"))
-    large = None
-    for k, seg in enumerate(cut):
-        keys = F.array(*[F.lit(k * BITS + b).cast("bigint") * F.lit(1 << 20) + F.col("value").bitwiseAND(F.lit(((1 << len(seg)) - 1) ^ (1 << (b - seg[0])))) for b in seg])
-        own = counted.filter(F.col("k") == k).select(F.explode(keys).alias("key"), "n")
-        large = own if large is None else large.unionAll(own)
-    large = common.materialise(large.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > block).select(F.col("key").alias("_key"), F.ceil(F.col("n") / block).cast("int").alias("_blocks")), "near-large")
+    counted = sketches.select(F.posexplode(F.array(*values)).alias("k", "value")).groupBy("k", "value").agg(F.count(F.lit(1)).alias("n"))
+    keys = F.expr(f"transform(sequence(0, {width - 1}), b -> (k * {width} + b) * 1048576L + (value & ~shiftleft(1L, b)))")
+    sizes = counted.select(F.explode(keys).alias("_key"), "n").groupBy("_key").agg(F.sum("n").alias("n"))
+    large = common.materialise(sizes.filter(F.col("n") > block).select("_key", F.ceil(F.col("n") / block).cast("int").alias("_blocks")), "near-large")
     n_large = large.count()
-    signed = sketches.select(F.explode(F.array(*variants)).alias("key"), "node", "first", "second")
-    dealt = signed.withColumn("cell", F.lit(0))
+    dealt = sketches.select(F.explode(F.array(*variants)).alias("key"), "node", "first", "second")
     if n_large:
-        marked = signed.join(F.broadcast(large) if n_large <= BROADCAST_KEYS else large, F.col("key") == F.col("_key"), "left")
+        marked = dealt.join(F.broadcast(large) if n_large <= BROADCAST_KEYS else large, F.col("key") == F.col("_key"), "left")
         own = F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
         cells = F.when(F.col("_blocks").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda j: F.least(own, j) * F.col("_blocks") + F.greatest(own, j)))
         # equal keys of different cells must not stand together
-        dealt = marked.withColumn("cell", F.explode(cells)).select((F.col("key") + F.col("cell").cast("bigint") * F.lit(1 << 28)).alias("key"), "node", "first", "second", "cell")
+        dealt = marked.withColumn("cell", F.explode(cells)).select((F.col("key") + F.shiftleft(F.col("cell").cast("bigint"), 30)).alias("key"), "node", "first", "second")
     parts = int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_out = dealt.drop("cell").repartition(parts, "key").sortWithinPartitions("key", F.xxhash64("node", "key"))
+    sorted_out = dealt.repartition(parts, "key").sortWithinPartitions("key", F.xxhash64("node", "key"))
     return sorted_out.mapInArrow(_meetings(limit), "a bigint, b bigint")
 
 
@@ -332,7 +332,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """One row of each group of near copies, that with the smallest id, with the columns of ``docs``.
 
     Rows are near copies if their ``shingle``-word shingles agree to ``least`` (see ``similarity``). They meet, for that test,
-    under the deletion variants of a fingerprint over pairs of words, which edits change far less than one over longer
+    under the deletion variants of two fingerprints over pairs of words, which edits change far less than one over longer
     shingles; then 128-bit fingerprints over ``shingle`` words must differ in at most ``limit`` bits, which cost the test few
     of its pairs: at an agreement of 0.8, 19 bits differ on average, with a deviation of 4, and of unrelated texts 64.
 
@@ -343,14 +343,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     keyed = common.keyed(common.pack(docs, id_col, text_col), "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.alone()
         for batch in batches:
             made = [sketch(t, shingle) for t in batch.column(1).to_pylist()]
-            data = np.frombuffer(b"".join([bits for bits, _ in made]), dtype=">i8").astype(np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(data[:, k]) for k in range(3)], pa.array([low for _, low in made], pa.binary())], names=["node", "fp", "first", "second", "low"])
+            data = np.frombuffer(b"".join([bits for bits, _ in made]), dtype=">i8").astype(np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(data[:, k]) for k in range(4)], pa.array([low for _, low in made], pa.binary())], names=["node", "fp", "fp2", "first", "second", "low"])
 
-    rows = common.materialise(keyed.select("_doc", "text").mapInArrow(run, "node bigint, fp bigint, first bigint, second bigint, low binary"), "near-sketches")
+    rows = common.materialise(keyed.select("_doc", "text").mapInArrow(run, "node bigint, fp bigint, fp2 bigint, first bigint, second bigint, low binary"), "near-sketches")
     # rows of equal sketches are one class, which its least row stands for
-    one = common.materialise(rows.groupBy("fp", "first", "second").agg(F.min("node").alias("node")), "near-classes")
+    one = common.materialise(rows.groupBy("fp", "fp2", "first", "second").agg(F.min("node").alias("node")), "near-classes")
     met = near_links(one, limit).distinct()
     edges = common.materialise(_verified(met, rows.select("node", "low"), least), "near-links")
     gone = components(edges).filter("node != root").select(F.col("node").alias("_gone"))

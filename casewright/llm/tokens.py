@@ -8,6 +8,8 @@ from functools import lru_cache
 
 import regex
 
+from . import common
+
 #: What the word tokenizer splits a text into; no match holds white space.
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 #: White space and separators of Latin-1 that aren't in the ASCII white space at which words are cut.
@@ -83,6 +85,9 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+common.kept_by("tokens", word_encoder.cache_clear)
+
+
 def vocabulary_path(name: str) -> str:
     import public_tokenizers
 
