@@ -75,12 +75,13 @@ def galaxy(rows: DataFrame, order: list[Column], shown: int = 80, priority: int
     def pick(names: list[str], default: Column) -> Column:
         return F.coalesce(*[F.col(c).cast("string") for c in names if c in rows.columns], default)
 
-    placed = rows.select(
+    # the first rows are found without a global order of the others
+    placed = rows.orderBy(*order).limit(shown).select(
         F.row_number().over(Window.orderBy(*order)).alias("place"),
         pick(NAME_COLUMNS, F.lit("Unknown")).alias("name"),
         pick(COUNT_COLUMNS, F.lit("1")).cast("double").alias("count"),
         C.split_list(pick(TYPE_COLUMNS, F.lit(""))).alias("types"),
-    ).filter(F.col("place") <= shown)
+    )
     people = C.top_per_group(placed, ["name"], [F.col("place")])
     hubs = placed.select(F.explode("types").alias("hub")).distinct()
     made = hubs.select(F.concat(F.lit("crime_"), "hub").alias("id"), F.col("hub").alias("label"), F.lit("crime").alias("kind"), F.lit(None).cast("double").alias("count"), F.lit(None).cast("string").alias("crime_types"), F.lit(0).alias("priority"))
