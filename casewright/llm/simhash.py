@@ -312,7 +312,9 @@ def near_links(sketches: DataFrame, limit: int = NEAR_BITS, block: int = BLOCK)
         # equal keys of different cells must not stand together
         dealt = marked.withColumn("cell", F.explode(cells)).select((F.col("key") + F.shiftleft(F.col("cell").cast("bigint"), 30)).alias("key"), "node", "first", "second")
     parts = int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_out = dealt.repartition(parts, "key").sortWithinPartitions("key", F.xxhash64("node", "key"))
+    # one order of the rows for each segment: what a large group links to agrees in the segment's buckets and differs elsewhere
+    segment = F.shiftright("key", 20 + (width - 1).bit_length())
+    sorted_out = dealt.repartition(parts, "key").sortWithinPartitions("key", F.xxhash64("node", segment))
     return sorted_out.mapInArrow(_meetings(limit), "a bigint, b bigint")
 
 
