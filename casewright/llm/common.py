@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,10 +32,15 @@ def kept_by(owner: str, drop: Callable[[], object]) -> None:
 
 
 def alone(owner: str | None = None) -> None:
-    """At a task's start: drop what other modules than ``owner`` keep in this worker process, which earlier stages left."""
+    """At a task's start: drop what other modules than ``owner`` keep in this worker process, which earlier stages left, and
+    give memory that is free back to the system, as workers live on beside the executor."""
     for name, drop in _DROPS.items():
         if name != owner:
             drop()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -33,22 +33,22 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 class Model:
-    """Log frequencies by language of words and n-grams."""
+    """Log frequencies by language of words and n-grams: rows of ``table`` at the places that ``words`` and ``grams`` name."""
 
-    def __init__(self, languages: list[str], words: dict[str, list[float]], grams: dict[str, list[float]], floor: list[float]):
-        self.languages, self.words, self.grams, self.floor = languages, words, grams, floor
+    def __init__(self, languages: list[str], words: dict[str, int], grams: dict[str, int], table: np.ndarray, floor: list[float]):
+        self.languages, self.words, self.grams, self.table, self.floor = languages, words, grams, table, floor
 
     def word(self, word: str) -> np.ndarray:
         """Log score of one word in each language."""
         if (known := self.words.get(word)) is not None:
-            return np.array(known)
+            return self.table[known]
         padded, scores = f"<{word[:64]}>", np.zeros(len(self.languages))
         longest = ORDERS[0]
         places = max(1, len(padded) - longest + 1)
         for at in range(places):
             for order in ORDERS:
                 if (known := self.grams.get(padded[at : at + order])) is not None:
-                    scores += known
+                    scores += self.table[known]
                     break
             else:
                 scores += self.floor
@@ -95,7 +95,9 @@ def build(counts: list[tuple[str, str, int]]) -> Model:
         kept = dict(sorted(grams[order].items(), key=lambda x: (-sum(x[1]), x[0]))[:MODEL_GRAMS])
         scores, floor = table(kept, 0.5)
         gram_scores |= scores
-    return Model(languages, word_scores, gram_scores, floor)
+    rows = np.array([*word_scores.values(), *gram_scores.values()]).reshape(len(word_scores) + len(gram_scores), len(languages))
+    first = len(word_scores)
+    return Model(languages, {w: k for k, w in enumerate(word_scores)}, {g: first + k for k, g in enumerate(gram_scores)}, rows, floor)
 
 
 class Scorer:
@@ -139,7 +141,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """
     spark = docs.sparkSession
     common.prepare(spark)
-    shipped = spark.sparkContext.broadcast((model.languages, model.words, model.grams, model.floor))
+    shipped = spark.sparkContext.broadcast((model.languages, model.words, model.grams, model.table, model.floor))
     key = uuid.uuid4().hex
     docs = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score") or c == text_col])
     at = docs.columns.index(text_col)
