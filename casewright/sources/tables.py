@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -96,21 +97,24 @@ LOOKUPS = {
 
 
 class Tables:
-    """Case tables by name; each is a DataFrame that is read when it is used."""
+    """Case tables by name: DataFrames, or functions that make them when they are first asked for."""
 
-    def __init__(self, tables: dict[str, DataFrame]):
-        self.tables = tables
+    def __init__(self, tables: dict[str, DataFrame] | dict[str, Callable[[], DataFrame]]):
+        self.tables = dict(tables)
 
     def __getitem__(self, name: str) -> DataFrame:
-        return self.tables[name]
+        found = self.tables[name]
+        if not isinstance(found, DataFrame):
+            found = self.tables[name] = found()
+        return found
 
     def __iter__(self) -> Iterator[str]:
-        return iter(self.tables)
+        return iter(list(self.tables))
 
     def register(self) -> None:
         """Temporary views of the tables' names, for SQL."""
-        for name, df in self.tables.items():
-            df.createOrReplaceTempView(name)
+        for name in self:
+            self[name].createOrReplaceTempView(name)
 
 
 def from_folder(spark: SparkSession, folder: str) -> Tables:
@@ -126,13 +130,13 @@ def from_folder(spark: SparkSession, folder: str) -> Tables:
 
 def from_star(spark: SparkSession, folder: str) -> Tables:
     """Case tables over star-schema Parquet files (region, nation, customer, supplier, orders, lineitem)."""
-    found = {}
-    for name, (source, condition, columns) in STAR.items():
+
+    def facts(source: str, condition: str | None, columns: list[str]) -> DataFrame:
         df = spark.read.parquet(f"{folder}/{source}.parquet")
-        found[name] = (df.where(condition) if condition else df).selectExpr(*columns)
-    for name, (columns, rows) in LOOKUPS.items():
-        found[name] = spark.createDataFrame(rows, columns)
-    return Tables(found)
+        return (df.where(condition) if condition else df).selectExpr(*columns)
+
+    found = {name: partial(facts, *how) for name, how in STAR.items()}
+    return Tables(found | {name: partial(spark.createDataFrame, rows, columns) for name, (columns, rows) in LOOKUPS.items()})
 
 
 def star_sql(*names: str) -> str:
