@@ -12,6 +12,7 @@ classes (the fingerprints within k bits), whatever the number of rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -42,6 +43,11 @@ SMALL_BUCKET = 16
 BLOCK = 16_384
 HELD_ROWS = 500_000
 LABEL_ROWS = 10_000
+#: The exact index puts rare shingles first: one document in so many is counted, and a shingle in so many of these is not rare.
+#: At most so many are told apart. These numbers change what the index costs, not what it finds.
+COUNTED_DOCS = 8
+COUNTED_LEAST = 4
+COUNTED_SHINGLES = 1_000_000
 BROADCAST_KEYS = 100_000
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64)[:, 0]
 
@@ -330,13 +336,120 @@ def _verified(edges: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
     return joined.select("a", "b", "low_a", "low_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def _shingles(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of a text's distinct shingles, in order; none without words."""
+    line, starts, ends = _lines(text)
+    if not starts:
+        return np.zeros(0, dtype=np.int64)
+    hashed = b"".join([xxhash.xxh3_64_digest(line[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :], strict=False)] or [xxhash.xxh3_64_digest(line, SEED)])
+    return np.unique(np.frombuffer(hashed, dtype="<i8"))
+
+
+def _prefix(hashes: np.ndarray, least: float, often: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The first shingles in the order of rarity: so many that a set that agrees to ``least`` has one of them among its own first."""
+    if not len(hashes):
+        return hashes
+    level = np.zeros(len(hashes), dtype=np.int64)
+    if len(often):
+        at = np.minimum(np.searchsorted(often, hashes), len(often) - 1)
+        level = np.where(often[at] == hashes, levels[at], 0)
+    return hashes[np.lexsort((hashes, level))][: len(hashes) - math.ceil(least * len(hashes) - 1e-9) + 1]
+
+
+def _candidates(least: float):
+    """For rows (key, node, root, n, at) sorted by key and n: pairs of different roots whose sizes and places allow ``least``."""
+
+    def pairs(key: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        live = np.arange(len(key) - 1)
+        lag = 1
+        while len(live):
+            # a row meets those after it in its bucket while their sizes allow it
+            live = live[live + lag < len(key)]
+            other = live + lag
+            live = live[(key[other] == key[live]) & (n[live] >= least * n[other] - 1e-9)]
+            other = live + lag
+            common_most = np.minimum(n[live] - at[live], n[other] - at[other])
+            near = (root[live] != root[other]) & (common_most >= least / (1 + least) * (n[live] + n[other]) - 1e-9)
+            if near.any():
+                a, b = node[live[near]], node[other[near]]
+                held.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+            lag += 1
+            if held and (not len(live) or sum(map(len, held)) >= HELD_ROWS):
+                both = np.unique(np.concatenate(held), axis=0)
+                held = []
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0], pa.int64()), pa.array(both[:, 1], pa.int64())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.alone()
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(tuple(batch.column(k).to_numpy() for k in range(5)))
+            size += batch.num_rows
+            if size >= HELD_ROWS:
+                columns = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                begun = int(np.searchsorted(columns[0], columns[0][-1]))  # the last bucket may go on
+                if begun:
+                    yield from pairs(*(x[:begun] for x in columns))
+                held, size = [tuple(x[begun:] for x in columns)], len(columns[0]) - begun
+        if held:
+            yield from pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return run
+
+
+def exact_candidates(docs: DataFrame, roots: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Pairs (a < b) with different roots, among them all whose shingles agree to ``least``; of docs with _doc and text and a
+    table with a node and its root for each row that is asked about.
+
+    In any order of all shingles, two sets that agree to ``least`` have one in common among the first n - least * n + 1 of
+    each. The order is rare ones first, so few others meet.
+    """
+    spark = docs.sparkSession
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(_shingles(text, shingle))], names=["key"])
+
+    counted = docs.filter(F.pmod(F.xxhash64("_doc"), F.lit(COUNTED_DOCS)) == 0).select("text").mapInArrow(every, "key bigint")
+    often = counted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COUNTED_LEAST).orderBy(F.desc("n"), "key").limit(COUNTED_SHINGLES).toArrow()
+    keys, times = (often.column(k).to_numpy() for k in range(2))
+    order = np.argsort(keys)
+    shipped = spark.sparkContext.broadcast((keys[order], np.log2(times[order]).astype(np.int64) if len(times) else times))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.alone()
+        for batch in batches:
+            sets = [_shingles(t, shingle) for t in batch.column(1).to_pylist()]
+            own = [_prefix(x, least, *shipped.value).tobytes() for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(own, pa.binary())], names=["node", "n", "first"])
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [np.frombuffer(x, dtype=np.int64) for x in batch.column(3).to_pylist()]
+            sizes = np.array([len(x) for x in keys])
+            if not sizes.sum():
+                continue
+            node, root, n = (np.repeat(batch.column(k).to_numpy(), sizes) for k in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(keys), node, root, n, np.concatenate([np.arange(k) for k in sizes]))], names=["key", "node", "root", "n", "at"])
+
+    firsts = common.materialise(docs.select("_doc", "text").mapInArrow(first, "node bigint, n bigint, first binary"), "near-firsts")
+    rows = firsts.join(roots, "node").select("node", "root", "n", "first").mapInArrow(dealt, "key bigint, node bigint, root bigint, n bigint, at bigint")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "key").sortWithinPartitions("key", "n").mapInArrow(_candidates(least), "a bigint, b bigint").distinct()
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, least: float = NEAR_LEAST, limit: int = NEAR_BITS) -> DataFrame:
     """One row of each group of near copies, that with the smallest id, with the columns of ``docs``.
 
     Rows are near copies if their ``shingle``-word shingles agree to ``least`` (see ``similarity``). They meet, for that test,
     under the deletion variants of two fingerprints over pairs of words, which edits change far less than one over longer
-    shingles; then 128-bit fingerprints over ``shingle`` words must differ in at most ``limit`` bits, which cost the test few
-    of its pairs: at an agreement of 0.8, 19 bits differ on average, with a deviation of 4, and of unrelated texts 64.
+    shingles; then 128-bit fingerprints over ``shingle`` words must differ in at most ``limit`` bits. This connects most, and
+    large groups with few links. Pairs that it leaves apart are sought by ``exact_candidates``, which misses none.
 
     Rows without words are near copies of each other. Of rows that repeat an id or have none, each counts by itself, in
     the order of their texts' hashes. Other columns pass through; an empty table stays empty.
@@ -355,7 +468,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     # rows of equal sketches are one class, which its least row stands for
     one = common.materialise(rows.groupBy("fp", "fp2", "first", "second").agg(F.min("node").alias("node")), "near-classes")
     met = near_links(one, limit).distinct()
-    edges = common.materialise(_verified(met, rows.select("node", "low"), least), "near-links")
+    lows = rows.select("node", "low")
+    edges = common.materialise(_verified(met, lows, least), "near-links")
+    # links of large buckets are a forest of what may be near, of which the test leaves parts: pairs across parts are sought exactly
+    roots = one.select("node").join(components(edges), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    across = exact_candidates(keyed.select("_doc", "text"), roots, shingle, least)
+    edges = edges.unionAll(common.materialise(_verified(across, lows, least), "near-links"))
     gone = components(edges).filter("node != root").select(F.col("node").alias("_gone"))
     heads = common.materialise(one.join(gone, F.col("node") == F.col("_gone"), "left_anti").select(F.col("node").alias("_head")), "near-heads")
     return common.unpack(keyed.join(heads, F.col("_doc") == F.col("_head"), "left_semi"), docs, id_col, text_col)

@@ -139,6 +139,19 @@ def test_near_links_of_a_large_group(spark, small, block, monkeypatch):
     assert kept == {0, *range(100, 140)}
 
 
+def test_near_pairs_of_a_templated_group(spark):
+    r = random.Random(6)
+    template = [f"v{i}" for i in range(200)]
+    rows = []
+    for i in range(300):
+        own = template + [f"o{i}x{k}" for k in range(r.randrange(30, 55))]  # 0.6 to 0.77 across
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join([*own[:-3], f"e{i}", *own[-2:]]))]
+    assert all(agreement(rows[i][1], rows[i + 1][1]) >= 0.8 for i in range(0, 600, 2))
+    assert all(agreement(rows[i][1], rows[j][1]) < 0.8 for i, j in (sorted(r.sample(range(600), 2)) for _ in range(2000)) if i // 2 != j // 2)
+    kept = {x.doc_id for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert kept == set(range(0, 600, 2))
+
+
 def test_spanning_connects_like_all_pairs():
     import numpy as np
 
