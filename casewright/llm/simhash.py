@@ -36,6 +36,10 @@ NEAR_SHINGLE = 5
 NEAR_LEAST = 0.8
 NEAR_BITS = 30
 LEAST_HASHES = 512
+#: Agreements by least hashes that are less than this from NEAR_LEAST are settled by all shingles: seven deviations of a sample;
+#: where the hashes are those of all shingles, far more than equal ones of 32 bits can move it.
+UNSURE = 0.13
+UNSURE_WHOLE = 0.02
 #: Segments of each fingerprint of the near copies' index: up to 7 differing bits are always found, more as far as a segment differs by one at most.
 NEAR_SEGMENTS = 4
 #: Buckets up to this size give all links, larger ones connecting links; a bucket of more than a block is dealt out.
@@ -324,16 +328,39 @@ def near_links(sketches: DataFrame, limit: int = NEAR_BITS, block: int = BLOCK)
     return sorted_out.mapInArrow(_meetings(limit), "a bigint, b bigint")
 
 
-def _verified(edges: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """The links whose texts' shingles agree to ``least`` or more."""
+def _verified(edges: DataFrame, sketches: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The links whose texts' shingles agree to ``least`` or more.
+
+    The least hashes settle links that are further from ``least`` than these can be wrong; the others are settled by all
+    shingles of both texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            yield batch.select([0, 1]).filter(pa.array([similarity(x, y) >= least for x, y in zip(a, b, strict=True)], pa.bool_()))
+            found = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                excess = similarity(x, y) - least
+                unsure = UNSURE_WHOLE if max(len(x), len(y)) < 4 * LEAST_HASHES else UNSURE
+                found.append(None if abs(excess) < unsure else excess > 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.bool_())], names=["a", "b", "near"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = _shingles(x, shingle), _shingles(y, shingle)
+                common_ones = len(np.intersect1d(x, y, assume_unique=True))
+                found.append(common_ones >= least * (len(x) + len(y) - common_ones) - 1e-9)
+            yield batch.select([0, 1]).filter(pa.array(found, pa.bool_()))
+
+    def sides(pairs: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
+        return pairs.join(nodes.select(F.col("node").alias("a"), F.col(column).alias("_x")), "a").join(nodes.select(F.col("node").alias("b"), F.col(column).alias("_y")), "b").select("a", "b", "_x", "_y")
 
-    joined = edges.join(sketches.select(F.col("node").alias("a"), F.col("low").alias("low_a")), "a").join(sketches.select(F.col("node").alias("b"), F.col("low").alias("low_b")), "b")
-    return joined.select("a", "b", "low_a", "low_b").mapInArrow(run, "a bigint, b bigint")
+    judged = common.materialise(sides(edges, sketches, "low").mapInArrow(run, "a bigint, b bigint, near boolean"), "near-judged")
+    unsure = judged.filter("near is null").select("a", "b")
+    asked = common.materialise(unsure.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-asked")
+    texts = common.materialise(docs.select(F.col("_doc").alias("node"), "text").join(asked, "node", "left_semi"), "near-texts")
+    return judged.filter("near").select("a", "b").unionAll(sides(unsure, texts, "text").mapInArrow(whole, "a bigint, b bigint"))
 
 
 def _shingles(text: str | None, shingle: int) -> np.ndarray:
@@ -446,7 +473,7 @@ def exact_candidates(docs: DataFrame, roots: DataFrame, shingle: int, least: flo
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, least: float = NEAR_LEAST, limit: int = NEAR_BITS) -> DataFrame:
     """One row of each group of near copies, that with the smallest id, with the columns of ``docs``.
 
-    Rows are near copies if their ``shingle``-word shingles agree to ``least`` (see ``similarity``). They meet, for that test,
+    Rows are near copies if their distinct ``shingle``-word shingles agree to ``least``, common ones in proportion to all. They meet, for that test,
     under the deletion variants of two fingerprints over pairs of words, which edits change far less than one over longer
     shingles; then 128-bit fingerprints over ``shingle`` words must differ in at most ``limit`` bits. This connects most, and
     large groups with few links. Pairs that it leaves apart are sought by ``exact_candidates``, which misses none.
@@ -468,12 +495,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     # rows of equal sketches are one class, which its least row stands for
     one = common.materialise(rows.groupBy("fp", "fp2", "first", "second").agg(F.min("node").alias("node")), "near-classes")
     met = near_links(one, limit).distinct()
-    lows = rows.select("node", "low")
-    edges = common.materialise(_verified(met, lows, least), "near-links")
+    lows, texts = rows.select("node", "low"), keyed.select("_doc", "text")
+    edges = common.materialise(_verified(met, lows, texts, shingle, least), "near-links")
     # links of large buckets are a forest of what may be near, of which the test leaves parts: pairs across parts are sought exactly
     roots = one.select("node").join(components(edges), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    across = exact_candidates(keyed.select("_doc", "text"), roots, shingle, least)
-    edges = edges.unionAll(common.materialise(_verified(across, lows, least), "near-links"))
+    across = exact_candidates(texts, roots, shingle, least)
+    edges = edges.unionAll(common.materialise(_verified(across, lows, texts, shingle, least), "near-links"))
     gone = components(edges).filter("node != root").select(F.col("node").alias("_gone"))
     heads = common.materialise(one.join(gone, F.col("node") == F.col("_gone"), "left_anti").select(F.col("node").alias("_head")), "near-heads")
     return common.unpack(keyed.join(heads, F.col("_doc") == F.col("_head"), "left_semi"), docs, id_col, text_col)

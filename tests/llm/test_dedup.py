@@ -152,6 +152,26 @@ def test_near_pairs_of_a_templated_group(spark):
     assert kept == set(range(0, 600, 2))
 
 
+def test_near_copies_that_fingerprints_keep_apart(spark):
+    r = random.Random(12)
+    rows, expected = [], set()
+    for k in range(30):
+        # one half many times over in one copy, once in the other
+        half, rest = ([f"w{r.randrange(10**6)}" for _ in range(60)] for _ in range(2))
+        rows += [(10 * k, " ".join(half + rest)), (10 * k + 1, " ".join(half * 20 + rest))]
+        # long texts that agree to just over or under 0.8: each change takes five shingles
+        base = [f"u{r.randrange(10**7)}" for _ in range(1500)]
+        changed = list(base)
+        for i in range(32 + k % 3):
+            changed[20 + 40 * i] = f"c{k}x{i}"
+        rows += [(10 * k + 2, " ".join(base)), (10 * k + 3, " ".join(changed))]
+        expected |= {10 * k, 10 * k + 2} | ({10 * k + 3} if agreement(rows[-1][1], rows[-2][1]) < 0.8 else set())
+    assert {agreement(rows[4 * k + 2][1], rows[4 * k + 3][1]) >= 0.8 for k in range(30)} == {True, False}
+    assert all(agreement(rows[4 * k][1], rows[4 * k + 1][1]) >= 0.8 for k in range(30))
+    kept = {x.doc_id for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert kept == expected
+
+
 def test_spanning_connects_like_all_pairs():
     import numpy as np
 
