@@ -208,17 +208,18 @@ def _majority(hashed: bytes, width: int) -> bytes:
 
 
 def sketch(text: str | None, shingle: int = NEAR_SHINGLE) -> tuple[bytes, bytes]:
-    """32 bytes: two 64-bit fingerprints over pairs of words, by which near copies meet, then 128 bits over ``shingle`` words,
-    by which they are told apart first; zeros without words. And the LEAST_HASHES least hashes of distinct shingles, of all
+    """48 bytes: two 64-bit fingerprints over pairs of words, by which near copies meet, then 128 bits over ``shingle`` words,
+    by which they are told apart first, and a hash of the set of distinct shingles; zeros without words. And the LEAST_HASHES least hashes of distinct shingles, of all
     if they are no more."""
     line, starts, ends = _lines(text)
     if not starts:
-        return bytes(32), b""
+        return bytes(48), b""
     wide = xxhash.xxh3_128_digest
     pairs = b"".join([wide(line[a:b], SEED) for a, b in zip(starts, ends[1:], strict=False)] or [wide(line, SEED)])
     whole = b"".join([wide(line[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :], strict=False)] or [wide(line, SEED)])
     least = np.unique(np.frombuffer(whole, dtype="<u4")[::4])[:LEAST_HASHES]
-    return _majority(pairs, 16) + _majority(whole, 16), least.tobytes()
+    every = np.unique(np.frombuffer(whole, dtype="<u8")[::2])
+    return _majority(pairs, 16) + _majority(whole, 16) + wide(every.tobytes(), SEED), least.tobytes()
 
 
 def similarity(a: bytes, b: bytes) -> float:
@@ -488,12 +489,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
         common.alone()
         for batch in batches:
             made = [sketch(t, shingle) for t in batch.column(1).to_pylist()]
-            data = np.frombuffer(b"".join([bits for bits, _ in made]), dtype=">i8").astype(np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(data[:, k]) for k in range(4)], pa.array([low for _, low in made], pa.binary())], names=["node", "fp", "fp2", "first", "second", "low"])
+            data = np.frombuffer(b"".join([bits for bits, _ in made]), dtype=">i8").astype(np.int64).reshape(-1, 6)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(data[:, k]) for k in range(6)], pa.array([low for _, low in made], pa.binary())], names=["node", "fp", "fp2", "first", "second", "set", "set2", "low"])
 
-    rows = common.materialise(keyed.select("_doc", "text").mapInArrow(run, "node bigint, fp bigint, fp2 bigint, first bigint, second bigint, low binary"), "near-sketches")
-    # rows of equal sketches are one class, which its least row stands for
-    one = common.materialise(rows.groupBy("fp", "fp2", "first", "second").agg(F.min("node").alias("node")), "near-classes")
+    rows = common.materialise(keyed.select("_doc", "text").mapInArrow(run, "node bigint, fp bigint, fp2 bigint, first bigint, second bigint, set bigint, set2 bigint, low binary"), "near-sketches")
+    # rows of equal sketches and equal sets of shingles are one class, which its least row stands for
+    one = common.materialise(rows.groupBy("fp", "fp2", "first", "second", "set", "set2").agg(F.min("node").alias("node")), "near-classes")
     met = near_links(one, limit).distinct()
     lows, texts = rows.select("node", "low"), keyed.select("_doc", "text")
     edges = common.materialise(_verified(met, lows, texts, shingle, least), "near-links")

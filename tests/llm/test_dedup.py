@@ -172,6 +172,15 @@ def test_near_copies_that_fingerprints_keep_apart(spark):
     assert kept == expected
 
 
+def test_equal_sketches_of_different_texts(spark):
+    r = random.Random(13)
+    rows = [(i, "| " * 600 + " ".join(f"w{r.randrange(10**7)}" for _ in range(500))) for i in range(4)]
+    rows += [(4, rows[0][1]), (5, rows[1][1] + " end")]
+    assert len({simhash.sketch(t)[0][:32] for _, t in rows}) == 1
+    kept = {x.doc_id for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert kept == {0, 1, 2, 3}
+
+
 def test_spanning_connects_like_all_pairs():
     import numpy as np
 
