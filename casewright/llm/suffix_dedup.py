@@ -218,7 +218,8 @@ def sorted_windows(texts: list[bytes], counts: np.ndarray) -> tuple[np.ndarray,
 
     Round t holds all suffixes of up to t symbols, in order, as the transform: the symbol before each. Put in order by that
     symbol, stably, they are the suffixes one symbol longer; with the empty suffixes before them they make up the next round.
-    Texts end at their right edge; the shorter enter later, so all begin in the same round.
+    Texts end at their right edge; a suffix that is a whole text has no symbol before it and goes no further. Places tell
+    edges, not symbols, so texts may hold any byte.
     """
     sizes = np.array([len(t) for t in texts])
     width = int(sizes.max())
@@ -235,9 +236,11 @@ def sorted_windows(texts: list[bytes], counts: np.ndarray) -> tuple[np.ndarray,
     places = np.empty(len(raw) + len(texts), dtype=np.int32)
     places[: len(texts)] = edge - 1
     n = len(texts)
+    inside = np.ones(len(flat), dtype=bool)
+    inside[left - 1] = False
     for _ in range(width):
-        symbols = flat[places[:n]]
-        order = np.argsort(symbols, kind="stable")[n - np.count_nonzero(symbols) :]
+        goes_on = np.flatnonzero(inside[places[:n]])
+        order = goes_on[np.argsort(flat[places[goes_on]], kind="stable")]
         places[len(texts) : len(texts) + len(order)] = places[:n][order] - 1
         n = len(texts) + len(order)
     suffixes = places[:n] + 1

@@ -263,6 +263,18 @@ def test_column_wise_order():
     assert [bool(x) for x in equal[1:]] == [a == b for a, b in zip(windows, windows[1:], strict=False)]
 
 
+def test_zero_bytes(spark):
+    r = random.Random(10)
+    texts = [bytes(r.choices(b"\0ab", k=r.randrange(100, 170))) for _ in range(30)]
+    text, start, _ = suffix_dedup.sorted_windows(texts, suffix_dedup.np.array([len(t) - 99 for t in texts]))
+    windows = [texts[t][s : s + 100] for t, s in zip(text, start, strict=True)]
+    assert windows == sorted(windows) and len(windows) == sum(len(t) - 99 for t in texts)
+    part = "".join(r.choices("abcdef \0", k=300))
+    rows = [(i, f"{i}" * 40 + part[: 140 + 9 * i] + "\0" + f"{i}x" * 30) for i in range(9)] + [(20, "\0" * 250)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert got_cut(suffix_dedup.digests(suffix_dedup.cut_out(df))) == cut([(i, t.encode()) for i, t in rows])
+
+
 def test_cut_awkward(awkward, empty):
     found = suffix_dedup.without_repeats(awkward)
     assert found.columns == [c for c in awkward.columns]
