@@ -14,7 +14,6 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: The bytes of ``[\x20\x09-\x0D]``, the white space that all contracts here name.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -22,6 +21,7 @@ SPACES = b" \t\n\x0b\x0c\r"
 SPACE_CLASS = "\\x20\\x09-\\x0D"
 #: A key is hot if it holds more than this share of the rows; so at most 1 / HOT_SHARE keys are hot.
 HOT_SHARE = 0.001
+BATCH_BYTES = 4 << 20
 _SHIPPED: set[str] = set()
 _DROPS: dict[str, Callable[[], object]] = {}
 
@@ -44,9 +44,12 @@ def alone(owner: str | None = None) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from ``spark.checkpoint.dir``; where that is unset (local runs, tests), a new temporary one."""
+    """The folder that the cluster shares, from ``spark.checkpoint.dir``. Where that is unset, a local master (tests) gets a new
+    temporary one; on a cluster it is an error, as other machines couldn't read what one writes to its own disk."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         base = "file://" + tempfile.mkdtemp(prefix="casewright-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -96,13 +99,12 @@ def unpack(df: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFr
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Add ``_doc``, a distinct long without nulls in the ids' order: the id itself, or, if ids repeat or are missing, a
-    place among them (equal ids in the order of their texts' hashes), written to the shared folder."""
+    number that rises with them (equal ids in the order of their texts' hashes), written to the shared folder."""
     rows = docs.select(*[c for c in docs.columns if c != "_doc"])
     if rows.groupBy(id_col).count().filter(F.col("count").__gt__(1) | F.col(id_col).isNull()).isEmpty():
         return rows.withColumn("_doc", F.col(id_col).cast("bigint"))
-    spark = docs.sparkSession
-    ordered = rows.orderBy(id_col, F.xxhash64(text_col)).rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return materialise(spark.createDataFrame(ordered, T.StructType([*rows.schema.fields, T.StructField("_doc", T.LongType())])), "keyed")
+    # in a sorted table, partitions are in order as well, so these numbers rise with the rows
+    return materialise(rows.orderBy(id_col, F.xxhash64(text_col)).withColumn("_doc", F.monotonically_increasing_id()), "keyed")
 
 
 def fold(doc_id: str | Column, n: int) -> Column:
@@ -115,9 +117,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession, rows: int = 1000) -> None:
-    """For operators with Python parts: executors get this package, and texts travel to them in batches of ``rows`` at most,
-    so that a batch of long texts stays small beside a worker's memory."""
+    """For operators with Python parts: executors get this package, and texts travel to them in batches of ``rows`` rows and
+    BATCH_BYTES at most, so that a batch of long texts stays small beside a worker's memory. Results are lazy, so the two
+    settings stay with the session; an operator's own results don't depend on them."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     context = spark.sparkContext
     if context.applicationId not in _SHIPPED:
         package = Path(__file__).resolve().parents[1]

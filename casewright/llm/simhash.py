@@ -31,17 +31,12 @@ SEED = 42
 BITS = 64
 #: Signatures with more classes than this are refined, by the same cut of the bits outside the segment.
 DENSE = 500
-#: Near copies: words in a shingle, the agreement of shingles asked for, bits of 128 in which they differ at most.
+#: Near copies: words in a shingle, the agreement of shingles asked for, differing bits up to which signatures' rows are put to the test.
 NEAR_SHINGLE = 5
 NEAR_LEAST = 0.8
-NEAR_BITS = 30
-LEAST_HASHES = 512
-#: Agreements by least hashes that are less than this from NEAR_LEAST are settled by all shingles: seven deviations of a sample;
-#: where the hashes are those of all shingles, far more than equal ones of 32 bits can move it.
-UNSURE = 0.13
-UNSURE_WHOLE = 0.02
-#: Segments of each fingerprint of the near copies' index: up to 7 differing bits are always found, more as far as a segment differs by one at most.
-NEAR_SEGMENTS = 4
+NEAR_BITS = 8
+#: Segments of the near copies' fingerprint: up to three differing bits are always found here.
+NEAR_SEGMENTS = 2
 #: Buckets up to this size give all links, larger ones connecting links; a bucket of more than a block is dealt out.
 SMALL_BUCKET = 16
 BLOCK = 16_384
@@ -53,6 +48,16 @@ COUNTED_DOCS = 8
 COUNTED_LEAST = 4
 COUNTED_SHINGLES = 1_000_000
 BROADCAST_KEYS = 100_000
+#: Shingles of the exact index with more rows than this are hot: their rows meet in cells of two blocks, of so many rows and
+#: bytes of text at most by the hash's lot. Shingles counted so often are known to be hot before they are dealt.
+HOT_ROWS = 64
+CELL_ROWS = 2048
+CELL_BYTES = 8_000_000
+COUNTED_HOT = 200
+HELD_WORDS = 300_000
+#: Shingles whose bits are counted at a time.
+COUNTED_AT_ONCE = 1 << 16
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64)[:, 0]
 
 
@@ -65,11 +70,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     ends = [e - 1 for e in accumulate(len(w) + 1 for w in words)]
     starts = [0, *[e + 1 for e in ends[:-1]]]
     hashed = b"".join([xxhash.xxh64_digest(line[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :], strict=False)] or [xxhash.xxh64_digest(line, SEED)])
-    lanes = _LANES[np.frombuffer(hashed, dtype=np.uint8).reshape(-1, 8)]
-    n = len(lanes)
-    # eight counters of a byte each in a word; sums of up to 255 don't overflow
-    counts = np.add.reduceat(lanes, np.arange(0, n, 255), axis=0).view(np.uint8).reshape(-1, BITS).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big", signed=True)
+    return int.from_bytes(_majority(hashed), "big", signed=True)
+
+
+def _majority(hashed: bytes) -> bytes:
+    """Of hashes of eight bytes, one after another: the bits set in over half."""
+    rows = np.frombuffer(hashed, dtype=np.uint8).reshape(-1, 8)
+    counts = np.zeros(BITS, dtype=np.int64)
+    for at in range(0, len(rows), COUNTED_AT_ONCE):
+        lanes = _LANES[rows[at : at + COUNTED_AT_ONCE]]
+        # eight counters of a byte each in a word; sums of up to 255 don't overflow
+        counts += np.add.reduceat(lanes, np.arange(0, len(lanes), 255), axis=0).view(np.uint8).reshape(-1, BITS).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(rows)).tobytes()
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE, out_col: str = "fp") -> DataFrame:
@@ -192,50 +204,66 @@ def _grouped(rows: DataFrame, id_col: str, distance: int) -> DataFrame:
     return common.attach(rows, classes, "fp", "n_rows", sums[1] or 0, id_col).select(id_col, "fp", "component_id")
 
 
-def _lines(text: str | None) -> tuple[bytes, list[int], list[int]]:
-    """A text's words in lower case with single spaces between, and where each begins and ends."""
+class _Hashes(dict):
+    """64-bit hashes of words, kept as they are asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= HELD_WORDS:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word, SEED)
+        return h
+
+
+_HASHES = _Hashes()
+common.kept_by("simhash", _HASHES.clear)
+
+
+def _words(text: str | None) -> np.ndarray:
+    """Hashes of a text's words in lower case."""
     words = (text or "").encode().lower().split()
-    ends = [e - 1 for e in accumulate(len(w) + 1 for w in words)]
-    return b" ".join(words), [0, *[e + 1 for e in ends[:-1]]] if words else [], ends
-
-
-def _majority(hashed: bytes, width: int) -> bytes:
-    """Of hashes of ``width`` bytes, one after another: the bits set in over half."""
-    lanes = _LANES[np.frombuffer(hashed, dtype=np.uint8).reshape(-1, width)]
-    n = len(lanes)
-    counts = np.add.reduceat(lanes, np.arange(0, n, 255), axis=0).view(np.uint8).reshape(-1, 8 * width).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * counts > n).tobytes()
-
-
-def sketch(text: str | None, shingle: int = NEAR_SHINGLE) -> tuple[bytes, bytes]:
-    """48 bytes: two 64-bit fingerprints over pairs of words, by which near copies meet, then 128 bits over ``shingle`` words,
-    by which they are told apart first, and a hash of the set of distinct shingles; zeros without words. And the LEAST_HASHES least hashes of distinct shingles, of all
-    if they are no more."""
-    line, starts, ends = _lines(text)
-    if not starts:
-        return bytes(48), b""
-    wide = xxhash.xxh3_128_digest
-    pairs = b"".join([wide(line[a:b], SEED) for a, b in zip(starts, ends[1:], strict=False)] or [wide(line, SEED)])
-    whole = b"".join([wide(line[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :], strict=False)] or [wide(line, SEED)])
-    least = np.unique(np.frombuffer(whole, dtype="<u4")[::4])[:LEAST_HASHES]
-    every = np.unique(np.frombuffer(whole, dtype="<u8")[::2])
-    return _majority(pairs, 16) + _majority(whole, 16) + wide(every.tobytes(), SEED), least.tobytes()
-
-
-def similarity(a: bytes, b: bytes) -> float:
-    """Common shingles in proportion to all, from two texts' least hashes: exact if neither has more than LEAST_HASHES, else
-    of the least of both together (a deviation of 0.018 at 0.8)."""
-    x, y = np.frombuffer(a, dtype="<u4"), np.frombuffer(b, dtype="<u4")
-    if not len(x) or not len(y):
-        return float(len(x) == len(y))
-    both, counts = np.unique(np.concatenate([x, y]), return_counts=True)
-    if max(len(x), len(y)) == LEAST_HASHES:
-        counts = counts[:LEAST_HASHES]
-    return float((counts == 2).mean())
+    return np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+def _runs(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each run of ``n`` words; of all of them if they are fewer. None without words."""
+    n = min(n, len(words))
+    if not n:
+        return words
+    m = len(words) - n + 1
+    h = np.full(m, n, dtype=np.uint64)
+    for k in range(n):
+        h = (h ^ words[k : k + m]) * _MIX[0]
+        h ^= h >> np.uint64(32)
+    h *= _MIX[1]
+    h ^= h >> np.uint64(29)
+    h *= _MIX[2]
+    return h ^ (h >> np.uint64(32))
+
+
+def _distinct(hashes: np.ndarray) -> np.ndarray:
+    """Distinct ones, in order."""
+    hashes = np.sort(hashes)
+    new = np.ones(len(hashes), dtype=bool)
+    np.not_equal(hashes[1:], hashes[:-1], out=new[1:])
+    return hashes[new]
+
+
+def _shingles(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of a text's distinct shingles, in order; none without words."""
+    return _distinct(_runs(_words(text), shingle).view(np.int64))
+
+
+def sketch(text: str | None, shingle: int = NEAR_SHINGLE) -> bytes:
+    """24 bytes: the fingerprint over distinct pairs of words, by which near copies meet, and a hash of the set of distinct
+    shingles. Zero bits without words."""
+    words = _words(text)
+    if not len(words):
+        return bytes(24)
+    return _majority(_distinct(_runs(words, 2)).tobytes()) + xxhash.xxh3_128_digest(_distinct(_runs(words, shingle).view(np.int64)).tobytes(), SEED)
 
 
 def spanning(sketches: np.ndarray, limit: int) -> list[tuple[int, int]]:
-    """Pairs (i, j) that connect all rows (of two 64-bit words each) that links of ``limit`` bits or fewer connect.
+    """Pairs (i, j) that connect all rows (64-bit words) that links of ``limit`` bits or fewer connect.
 
     Rows reached are taken off, so a group of copies costs about a pass over its rows for each ring around its first.
     """
@@ -245,7 +273,7 @@ def spanning(sketches: np.ndarray, limit: int) -> list[tuple[int, int]]:
         ring, left = left[:1], left[1:]
         while len(ring) and len(left):
             own, ring = ring[:64], ring[64:]
-            near = np.bitwise_count(sketches[own][:, None] ^ sketches[left][None]).sum(axis=2, dtype=np.uint16) <= limit
+            near = np.bitwise_count(sketches[own][:, None] ^ sketches[left][None]) <= limit
             hit = near.any(axis=0)
             if hit.any():
                 found += zip(own[near[:, hit].argmax(axis=0)].tolist(), left[hit].tolist(), strict=True)
@@ -253,231 +281,354 @@ def spanning(sketches: np.ndarray, limit: int) -> list[tuple[int, int]]:
     return found
 
 
-def _meetings(limit: int):
-    """For rows sorted by bucket: links (a, b) within each. Small buckets give all, large ones those that connect their rows."""
+def _first_place(difference: np.ndarray) -> np.ndarray:
+    """The first signature in common of fingerprints that differ in these bits: the first segment with one such bit at most."""
+    width = BITS // NEAR_SEGMENTS
+    place = np.full(len(difference), BITS, dtype=np.int64)
+    for k in reversed(range(NEAR_SEGMENTS)):
+        own = difference >> np.uint64(k * width) & np.uint64((1 << width) - 1)
+        bit = np.where(own == 0, 0, np.bitwise_count(own - np.uint64(1)))
+        place = np.where(np.bitwise_count(own) <= 1, k * width + bit, place)
+    return place
+
+
+def _meetings(limit: int, small: int):
+    """For rows (key, place, node, fp) sorted by bucket: links (a, b) within each. Small buckets give all, large ones those that
+    connect their rows. A link is given only at the pair's first place: where a bucket leaves a connecting link out, its two
+    rows are connected at an earlier place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links_of(key: np.ndarray, ids: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
+        common.alone()
+
+        def links_of(key: np.ndarray, place: np.ndarray, ids: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
             """Whole buckets, one after another."""
             bounds = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
             sizes = np.diff(bounds)
-            a, b = [], []
-            in_small = np.repeat(sizes <= SMALL_BUCKET, sizes)
-            for lag in range(1, min(SMALL_BUCKET, int(sizes.max()))):
+            i, j = [], []
+            in_small = np.repeat(sizes <= small, sizes)
+            for lag in range(1, min(small, int(sizes.max()))):
                 met = np.flatnonzero((key[lag:] == key[:-lag]) & in_small[lag:])
-                near = met[np.bitwise_count(words[met] ^ words[met + lag]).sum(axis=1, dtype=np.uint16) <= limit]
-                a.append(ids[near])
-                b.append(ids[near + lag])
-            for k in np.flatnonzero(sizes > SMALL_BUCKET):
+                met = met[np.bitwise_count(fps[met] ^ fps[met + lag]) <= limit]
+                i.append(met)
+                j.append(met + lag)
+            for k in np.flatnonzero(sizes > small):
                 begin, end = bounds[k], bounds[k + 1]
-                if pairs := spanning(words[begin:end], limit):
-                    i, j = np.array(pairs).T
-                    a.append(ids[begin:end][i])
-                    b.append(ids[begin:end][j])
-            a, b = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (a, b))
-            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0], pa.int64()), pa.array(both[:, 1], pa.int64())], names=["a", "b"])
+                if pairs := spanning(fps[begin:end], limit):
+                    own = np.array(pairs) + begin
+                    i.append(own[:, 0])
+                    j.append(own[:, 1])
+            i, j = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (i, j))
+            first = _first_place(fps[i] ^ fps[j]) == place[i]
+            a, b = ids[i[first]], ids[j[first]]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
 
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
         for batch in batches:
-            key, ids, first, second = (batch.column(k).to_numpy() for k in range(4))
+            key, place, ids, fps = (batch.column(k).to_numpy() for k in range(4))
             if not len(key):
                 continue
-            held.append((key, ids, np.stack([first, second], axis=1).view(np.uint64)))
+            held.append((key, place, ids, fps.view(np.uint64)))
             size += len(key)
             if size >= HELD_ROWS:
-                key, ids, words = (np.concatenate(x) for x in zip(*held, strict=True))
-                begun = int(np.searchsorted(key, key[-1]))  # the last bucket may go on
+                columns = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                begun = int(np.searchsorted(columns[0], columns[0][-1]))  # the last bucket may go on
                 if begun:
-                    yield links_of(key[:begun], ids[:begun], words[:begun])
-                held, size = [(key[begun:], ids[begun:], words[begun:])], len(key) - begun
+                    yield links_of(*(x[:begun] for x in columns))
+                held, size = [tuple(x[begun:] for x in columns)], len(columns[0]) - begun
         if held:
             yield links_of(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return run
 
 
-def near_links(sketches: DataFrame, limit: int = NEAR_BITS, block: int = BLOCK) -> DataFrame:
-    """Links (a < b) that connect near copies, of a table with one row for each sketch: node, fp, fp2, first, second (longs).
+def _cells(df: DataFrame, blocks: str, node: str = "node") -> DataFrame:
+    """Deal rows with a number of blocks out as pairs of blocks: ``cell`` (0 where blocks is null); any two are together in one."""
+    own = F.pmod(F.xxhash64(node), F.col(blocks)).cast("bigint")
+    pairs = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col(blocks) - 1), lambda j: F.least(own, j) * F.col(blocks) + F.greatest(own, j))
+    return df.withColumn("cell", F.explode(F.when(F.col(blocks).isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(pairs)))
 
-    Rows meet under the one-wildcard variants of the four 16-bit segments of ``fp`` and of ``fp2``. A bucket of over ``block``
-    rows is dealt out as pairs of blocks: any two of its rows are together in some task, and no task holds more than two
-    blocks of it.
+
+def near_links(sketches: DataFrame, limit: int = NEAR_BITS, block: int = BLOCK, small: int = SMALL_BUCKET) -> DataFrame:
+    """Links (a < b) that connect rows of near fingerprints, of a table with one row for each sketch: node, fp (longs).
+
+    Rows meet under the one-wildcard variants of the two 32-bit segments of ``fp``. A bucket of over ``block`` rows is dealt
+    out as pairs of blocks: any two of its rows are together in some task, and no task holds more than two blocks of it.
     """
     width = BITS // NEAR_SEGMENTS
-    values = [F.shiftrightunsigned(fp, k * width).bitwiseAND(F.lit((1 << width) - 1)) for fp in ("fp", "fp2") for k in range(NEAR_SEGMENTS)]
+    values = [F.shiftrightunsigned("fp", k * width).bitwiseAND(F.lit((1 << width) - 1)) for k in range(NEAR_SEGMENTS)]
     # a key is a place (segment and bit left out) and the segment's other bits
-    variants = [F.lit((k * width + b) << 20).cast("bigint") + value.bitwiseAND(F.lit(((1 << width) - 1) ^ (1 << b))) for k, value in enumerate(values) for b in range(width)]
-    # a bucket's size is the sum of two segment values' counts, and these are few
-    counted = sketches.select(F.posexplode(F.array(*values)).alias("k", "value")).groupBy("k", "value").agg(F.count(F.lit(1)).alias("n"))
-    keys = F.expr(f"transform(sequence(0, {width - 1}), b -> (k * {width} + b) * 1048576L + (value & ~shiftleft(1L, b)))")
+    variants = [F.lit((k * width + b) << width).cast("bigint") + value.bitwiseAND(F.lit(((1 << width) - 1) ^ (1 << b))) for k, value in enumerate(values) for b in range(width)]
+    # a bucket holds the rows of two values of its segment, so one of over a block has a value of over half a block; these are few
+    counted = sketches.select(F.posexplode(F.array(*values)).alias("k", "value")).groupBy("k", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block // 2)
+    keys = F.expr(f"transform(sequence(0, {width - 1}), b -> shiftleft(cast(k * {width} + b as bigint), {width}) + (value & ~shiftleft(1L, b)))")
     sizes = counted.select(F.explode(keys).alias("_key"), "n").groupBy("_key").agg(F.sum("n").alias("n"))
-    large = common.materialise(sizes.filter(F.col("n") > block).select("_key", F.ceil(F.col("n") / block).cast("int").alias("_blocks")), "near-large")
+    large = common.materialise(sizes.select("_key", F.ceil((F.col("n") + block // 2) / block).cast("bigint").alias("_blocks")), "near-large")
     n_large = large.count()
-    dealt = sketches.select(F.explode(F.array(*variants)).alias("key"), "node", "first", "second")
+    dealt = sketches.select(F.explode(F.array(*variants)).alias("key"), "node", "fp").withColumn("place", F.shiftright("key", width).cast("int"))
     if n_large:
         marked = dealt.join(F.broadcast(large) if n_large <= BROADCAST_KEYS else large, F.col("key") == F.col("_key"), "left")
-        own = F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
-        cells = F.when(F.col("_blocks").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda j: F.least(own, j) * F.col("_blocks") + F.greatest(own, j)))
         # equal keys of different cells must not stand together
-        dealt = marked.withColumn("cell", F.explode(cells)).select((F.col("key") + F.shiftleft(F.col("cell").cast("bigint"), 30)).alias("key"), "node", "first", "second")
+        dealt = _cells(marked, "_blocks").withColumn("key", F.when(F.col("_blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", "cell")))
     parts = int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # one order of the rows for each segment: what a large group links to agrees in the segment's buckets and differs elsewhere
-    segment = F.shiftright("key", 20 + (width - 1).bit_length())
-    sorted_out = dealt.repartition(parts, "key").sortWithinPartitions("key", F.xxhash64("node", segment))
-    return sorted_out.mapInArrow(_meetings(limit), "a bigint, b bigint")
+    sorted_out = dealt.select("key", "place", "node", "fp").repartition(parts, "key").sortWithinPartitions("key", F.xxhash64("node", F.floor(F.col("place") / width)))
+    return sorted_out.mapInArrow(_meetings(limit, small), "a bigint, b bigint")
 
 
-def _verified(edges: DataFrame, sketches: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """The links whose texts' shingles agree to ``least`` or more.
+def _agree(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    """Whether the common shingles are at least ``least`` of all."""
+    if min(len(x), len(y)) < least * max(len(x), len(y)) - 1e-9:
+        return False
+    both = np.sort(np.concatenate([x, y]))
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared >= least * (len(x) + len(y) - shared) - 1e-9
 
-    The least hashes settle links that are further from ``least`` than these can be wrong; the others are settled by all
-    shingles of both texts.
-    """
+
+def _verified(edges: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The links whose texts' distinct shingles agree to ``least`` or more, all shingles of both texts compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.alone("simhash")
         for batch in batches:
-            found = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                excess = similarity(x, y) - least
-                unsure = UNSURE_WHOLE if max(len(x), len(y)) < 4 * LEAST_HASHES else UNSURE
-                found.append(None if abs(excess) < unsure else excess > 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.bool_())], names=["a", "b", "near"])
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = _shingles(x, shingle), _shingles(y, shingle)
-                common_ones = len(np.intersect1d(x, y, assume_unique=True))
-                found.append(common_ones >= least * (len(x) + len(y) - common_ones) - 1e-9)
+            found = [_agree(_shingles(x, shingle), _shingles(y, shingle), least) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(found, pa.bool_()))
 
-    def sides(pairs: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
-        return pairs.join(nodes.select(F.col("node").alias("a"), F.col(column).alias("_x")), "a").join(nodes.select(F.col("node").alias("b"), F.col(column).alias("_y")), "b").select("a", "b", "_x", "_y")
+    asked = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    own = common.materialise(texts.join(asked, F.col("_doc") == F.col("node"), "left_semi"), "near-texts")
+    sides = edges.join(own.select(F.col("_doc").alias("a"), F.col("text").alias("_x")), "a").join(own.select(F.col("_doc").alias("b"), F.col("text").alias("_y")), "b")
+    return sides.select("a", "b", "_x", "_y").mapInArrow(run, "a bigint, b bigint")
 
-    judged = common.materialise(sides(edges, sketches, "low").mapInArrow(run, "a bigint, b bigint, near boolean"), "near-judged")
-    unsure = judged.filter("near is null").select("a", "b")
-    asked = common.materialise(unsure.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-asked")
-    texts = common.materialise(docs.select(F.col("_doc").alias("node"), "text").join(asked, "node", "left_semi"), "near-texts")
-    return judged.filter("near").select("a", "b").unionAll(sides(unsure, texts, "text").mapInArrow(whole, "a bigint, b bigint"))
 
-
-def _shingles(text: str | None, shingle: int) -> np.ndarray:
-    """Hashes of a text's distinct shingles, in order; none without words."""
-    line, starts, ends = _lines(text)
-    if not starts:
-        return np.zeros(0, dtype=np.int64)
-    hashed = b"".join([xxhash.xxh3_64_digest(line[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :], strict=False)] or [xxhash.xxh3_64_digest(line, SEED)])
-    return np.unique(np.frombuffer(hashed, dtype="<i8"))
-
-
-def _prefix(hashes: np.ndarray, least: float, often: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """The first shingles in the order of rarity: so many that a set that agrees to ``least`` has one of them among its own first."""
-    if not len(hashes):
-        return hashes
-    level = np.zeros(len(hashes), dtype=np.int64)
-    if len(often):
+def _prefix(hashes: np.ndarray, least: float, often: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles in the order of rarity, so many that a set that agrees to ``least`` has one of them among its own
+    first; and how often each was counted."""
+    counted = np.zeros(len(hashes), dtype=np.int64)
+    if len(often) and len(hashes):
         at = np.minimum(np.searchsorted(often, hashes), len(often) - 1)
-        level = np.where(often[at] == hashes, levels[at], 0)
-    return hashes[np.lexsort((hashes, level))][: len(hashes) - math.ceil(least * len(hashes) - 1e-9) + 1]
+        counted = np.where(often[at] == hashes, times[at], 0)
+    level = np.floor(np.log2(np.maximum(counted, 1))).astype(np.int64)
+    kept = np.lexsort((hashes, level))[: len(hashes) - math.ceil(least * len(hashes) - 1e-9) + 1]
+    return hashes[kept], counted[kept]
+
+
+ACROSS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("hot", T.LongType())])
+
 
+def _candidates(least: float, hot_rows: int):
+    """For rows (key, node, root, n, at, salt) sorted by key, salt and n: pairs (a, b) of different roots whose sizes and places
+    allow ``least``; of a hot key, that is one with more than ``hot_rows`` rows or with a salt, its rows (node, root, key)."""
 
-def _candidates(least: float):
-    """For rows (key, node, root, n, at) sorted by key and n: pairs of different roots whose sizes and places allow ``least``."""
+    def out(a: np.ndarray, b: np.ndarray, hot: np.ndarray | None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.int64()) if hot is None else pa.array(hot, pa.int64())], names=ACROSS.names)
 
-    def pairs(key: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def buckets(key: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray, at: np.ndarray, salt: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Whole buckets, one after another."""
+        bounds = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+        sizes = np.diff(bounds)
+        mixed = np.minimum.reduceat(root, bounds[:-1]) != np.maximum.reduceat(root, bounds[:-1])
+        hot = np.repeat((sizes > hot_rows) & mixed, sizes) | (salt > 0)
+        if hot.any():
+            yield out(node[hot], root[hot], key[hot])
+        # a salted key's rows, and those of one root alone, have no pairs here
+        live = np.flatnonzero(np.repeat((sizes <= hot_rows) & mixed, sizes) & (salt == 0))
         held: list[np.ndarray] = []
-        live = np.arange(len(key) - 1)
-        lag = 1
-        while len(live):
+        for lag in range(1, hot_rows):
             # a row meets those after it in its bucket while their sizes allow it
             live = live[live + lag < len(key)]
             other = live + lag
             live = live[(key[other] == key[live]) & (n[live] >= least * n[other] - 1e-9)]
+            if not len(live):
+                break
             other = live + lag
             common_most = np.minimum(n[live] - at[live], n[other] - at[other])
             near = (root[live] != root[other]) & (common_most >= least / (1 + least) * (n[live] + n[other]) - 1e-9)
             if near.any():
                 a, b = node[live[near]], node[other[near]]
                 held.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
-            lag += 1
-            if held and (not len(live) or sum(map(len, held)) >= HELD_ROWS):
-                both = np.unique(np.concatenate(held), axis=0)
-                held = []
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0], pa.int64()), pa.array(both[:, 1], pa.int64())], names=["a", "b"])
+        if held:
+            both = np.unique(np.concatenate(held), axis=0)
+            yield out(both[:, 0], both[:, 1], None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.alone()
         held: list[tuple[np.ndarray, ...]] = []
-        size = 0
+        size, streaming = 0, None  # the key of a bucket larger than what is held, of which a part is out already
         for batch in batches:
-            if not batch.num_rows:
+            columns = tuple(batch.column(k).to_numpy() for k in range(6))
+            if streaming is not None and len(columns[0]):
+                own = int(np.searchsorted(columns[0], streaming, "right"))
+                if own:
+                    yield out(columns[1][:own], columns[2][:own], columns[0][:own])
+                columns = tuple(x[own:] for x in columns)
+                streaming = None if len(columns[0]) else streaming
+            if not len(columns[0]):
                 continue
-            held.append(tuple(batch.column(k).to_numpy() for k in range(5)))
-            size += batch.num_rows
+            held.append(columns)
+            size += len(columns[0])
             if size >= HELD_ROWS:
                 columns = tuple(np.concatenate(x) for x in zip(*held, strict=True))
                 begun = int(np.searchsorted(columns[0], columns[0][-1]))  # the last bucket may go on
                 if begun:
-                    yield from pairs(*(x[:begun] for x in columns))
-                held, size = [tuple(x[begun:] for x in columns)], len(columns[0]) - begun
+                    yield from buckets(*(x[:begun] for x in columns))
+                    held, size = [tuple(x[begun:] for x in columns)], size - begun
+                else:
+                    yield out(columns[1], columns[2], columns[0])
+                    held, size, streaming = [], 0, columns[0][-1]
         if held:
-            yield from pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield from buckets(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return run
+
+
+def spanned(sets: list[np.ndarray], roots: list[int], least: float) -> list[tuple[int, int]]:
+    """Of sets of hashes (sorted, distinct) and their components: pairs that agree to ``least`` and connect all components that such
+    pairs connect.
+
+    Each row outside the largest component is compared with all rows of other components that its size allows. Shingles of
+    one row alone count for its size only.
+    """
+    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+    n = np.array([len(sets[i]) for i in order])
+    owner = np.repeat(np.arange(len(order)), n)
+    if not len(owner):
+        # rows without words agree with each other
+        return [(order[0], i) for i in order[1:] if roots[i] != roots[order[0]]]
+    _, ids, times = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True, return_counts=True)
+    shared = times[ids] > 1
+    ids, owner = ids[shared], owner[shared]
+    bounds = np.searchsorted(owner, np.arange(len(order) + 1))
+    _, label = np.unique(np.array([roots[i] for i in order]), return_inverse=True)
+    marked = np.zeros(len(times), dtype=bool)
+    found = []
+    sizes = np.bincount(label)
+    for i in np.lexsort((np.arange(len(order)), sizes[label])).tolist():
+        if sizes[label[i]] == sizes.max() and label[i] == sizes.argmax():
+            continue
+        low, high = np.searchsorted(n, least * n[i] - 1e-9), np.searchsorted(n, n[i] / least + 1e-9, "right")
+        if not (label[low:high] != label[i]).any():
+            continue
+        own = ids[bounds[i] : bounds[i + 1]]
+        marked[own] = True
+        begin, end = bounds[low], bounds[high]
+        common_ones = np.bincount(owner[begin:end][marked[ids[begin:end]]] - low, minlength=high - low)
+        marked[own] = False
+        near = np.flatnonzero(common_ones >= least * (n[i] + n[low:high] - common_ones) - 1e-9) + low
+        for j in near.tolist():
+            if label[j] != label[i]:
+                found.append((order[i], order[j]))
+                gone = label == label[j]
+                sizes[label[i]] += gone.sum()
+                sizes[label[j]] = 0
+                label[gone] = label[i]
+    return found
+
+
+def _within(shingle: int, least: float):
+    """For rows (group, cell, node, root, text) sorted by group and cell: verified links (a < b) across each cell's components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.alone("simhash")
+        at, nodes, roots, sets = None, [], [], []
+
+        def out() -> pa.RecordBatch:
+            pairs = [(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for i, j in spanned(sets, roots, least)] if len(set(roots)) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in range(2)], names=["a", "b"])
+
+        for batch in batches:
+            for group, cell, node, root, text in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if (group, cell) != at:
+                    if nodes:
+                        yield out()
+                    at, nodes, roots, sets = (group, cell), [], [], []
+                nodes.append(node)
+                roots.append(root)
+                sets.append(_shingles(text, shingle))
+        if nodes:
+            yield out()
 
     return run
 
 
-def exact_candidates(docs: DataFrame, roots: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Pairs (a < b) with different roots, among them all whose shingles agree to ``least``; of docs with _doc and text and a
-    table with a node and its root for each row that is asked about.
+def _hot_links(members: DataFrame, texts: DataFrame, shingle: int, least: float, cell_rows: int, cell_bytes: int) -> DataFrame | None:
+    """Verified links across components of rows that share hot keys, of rows (node, root, key). Hot keys with rows in common
+    make up a group, so that a row is in one group only; a group is dealt out as pairs of blocks. None if there are none."""
+    mixed = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+    members = common.materialise(members.join(mixed, "key", "left_semi"), "near-hot")
+    if members.isEmpty():
+        return None
+    homes = common.materialise(members.groupBy("node").agg(F.min("key").alias("home"), F.first("root").alias("root")), "near-homes")
+    together = members.join(homes.select("node", "home"), "node").select(F.col("home").alias("a"), F.col("key").alias("b")).distinct()
+    groups = components(together)
+    rows = homes.join(groups.select(F.col("node").alias("home"), F.col("root").alias("group")), "home").select("node", "root", "group")
+    rows = common.materialise(rows.join(texts.select(F.col("_doc").alias("node"), "text"), "node"), "near-hot-texts")
+    sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes"))
+    sizes = sizes.select("group", F.ceil(F.greatest(F.col("n") / cell_rows, F.col("bytes") / cell_bytes)).cast("bigint").alias("blocks"))
+    dealt = _cells(rows.join(sizes, "group"), "blocks").select("group", "cell", "node", "root", "text")
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, "group", "cell").sortWithinPartitions("group", "cell").mapInArrow(_within(shingle, least), "a bigint, b bigint")
+
+
+def exact_links(texts: DataFrame, roots: DataFrame, shingle: int, least: float, hot_rows: int = HOT_ROWS, cell_rows: int = CELL_ROWS, cell_bytes: int = CELL_BYTES, counted_hot: int = COUNTED_HOT) -> DataFrame:
+    """Links (a < b) that connect all components that pairs of shingle sets that agree to ``least`` connect; of texts (_doc, text)
+    and a table with a node and its root for each row that is asked about.
 
     In any order of all shingles, two sets that agree to ``least`` have one in common among the first n - least * n + 1 of
-    each. The order is rare ones first, so few others meet.
+    each. The order is rare ones first, so few others meet. Keys that many share are left to ``_hot_links``.
     """
-    spark = docs.sparkSession
+    spark = texts.sparkSession
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.alone("simhash")
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(_shingles(text, shingle))], names=["key"])
+            own = [_shingles(text, shingle) for text in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own) if own else np.zeros(0, dtype=np.int64))], names=["key"])
 
-    counted = docs.filter(F.pmod(F.xxhash64("_doc"), F.lit(COUNTED_DOCS)) == 0).select("text").mapInArrow(every, "key bigint")
+    counted = texts.filter(F.pmod(F.xxhash64("_doc"), F.lit(COUNTED_DOCS)) == 0).select("text").mapInArrow(every, "key bigint")
     often = counted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COUNTED_LEAST).orderBy(F.desc("n"), "key").limit(COUNTED_SHINGLES).toArrow()
     keys, times = (often.column(k).to_numpy() for k in range(2))
     order = np.argsort(keys)
-    shipped = spark.sparkContext.broadcast((keys[order], np.log2(times[order]).astype(np.int64) if len(times) else times))
+    shipped = spark.sparkContext.broadcast((keys[order], times[order].astype(np.int64)))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.alone()
+        common.alone("simhash")
         for batch in batches:
             sets = [_shingles(t, shingle) for t in batch.column(1).to_pylist()]
-            own = [_prefix(x, least, *shipped.value).tobytes() for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(own, pa.binary())], names=["node", "n", "first"])
+            own = [_prefix(x, least, *shipped.value) for x in sets]
+            columns = [batch.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array([k.tobytes() for k, _ in own], pa.binary()), pa.array([(n > counted_hot).tobytes() for _, n in own], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "first", "often"])
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [np.frombuffer(x, dtype=np.int64) for x in batch.column(3).to_pylist()]
+            hot = [np.frombuffer(x, dtype=bool) for x in batch.column(4).to_pylist()]
             sizes = np.array([len(x) for x in keys])
             if not sizes.sum():
                 continue
             node, root, n = (np.repeat(batch.column(k).to_numpy(), sizes) for k in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(keys), node, root, n, np.concatenate([np.arange(k) for k in sizes]))], names=["key", "node", "root", "n", "at"])
+            # a key known to be hot has no one task: its rows are dealt out by salts
+            salt = np.where(np.concatenate(hot), 1 + (node.view(np.uint64) * _MIX[0] >> np.uint64(48)).astype(np.int64), 0)
+            columns = (np.concatenate(keys), node, root, n, np.concatenate([np.arange(k) for k in sizes]), salt)
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["key", "node", "root", "n", "at", "salt"])
 
-    firsts = common.materialise(docs.select("_doc", "text").mapInArrow(first, "node bigint, n bigint, first binary"), "near-firsts")
-    rows = firsts.join(roots, "node").select("node", "root", "n", "first").mapInArrow(dealt, "key bigint, node bigint, root bigint, n bigint, at bigint")
+    firsts = texts.select("_doc", "text").mapInArrow(first, "node bigint, n int, first binary, often binary")
+    rows = firsts.join(roots, "node").select("node", "root", "n", "first", "often").mapInArrow(dealt, "key bigint, node bigint, root bigint, n int, at int, salt int")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "key").sortWithinPartitions("key", "n").mapInArrow(_candidates(least), "a bigint, b bigint").distinct()
+    met = rows.repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "n").mapInArrow(_candidates(least, hot_rows), ACROSS)
+    met = common.materialise(met, "near-across")
+    pairs = met.filter("hot is null").select("a", "b").distinct()
+    links = common.materialise(_verified(pairs, texts, shingle, least), "near-links")
+    hot = _hot_links(met.filter("hot is not null").select(F.col("a").alias("node"), F.col("b").alias("root"), F.col("hot").alias("key")), texts, shingle, least, cell_rows, cell_bytes)
+    return links if hot is None else links.unionAll(common.materialise(hot, "near-links"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, least: float = NEAR_LEAST, limit: int = NEAR_BITS) -> DataFrame:
     """One row of each group of near copies, that with the smallest id, with the columns of ``docs``.
 
-    Rows are near copies if their distinct ``shingle``-word shingles agree to ``least``, common ones in proportion to all. They meet, for that test,
-    under the deletion variants of two fingerprints over pairs of words, which edits change far less than one over longer
-    shingles; then 128-bit fingerprints over ``shingle`` words must differ in at most ``limit`` bits. This connects most, and
-    large groups with few links. Pairs that it leaves apart are sought by ``exact_candidates``, which misses none.
+    Rows are near copies if their distinct ``shingle``-word shingles agree to ``least``, common ones in proportion to all; groups are
+    what such links connect. Most meet under the deletion variants of a fingerprint over pairs of words, which edits change
+    far less than one over longer shingles, and are put to that test within ``limit`` bits; large groups with few links. What
+    this leaves apart is sought by ``exact_links``, which misses no link between the components found so far.
 
     Rows without words are near copies of each other. Of rows that repeat an id or have none, each counts by itself, in
     the order of their texts' hashes. Other columns pass through; an empty table stays empty.
@@ -486,27 +637,25 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     keyed = common.keyed(common.pack(docs, id_col, text_col), "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.alone()
+        common.alone("simhash")
         for batch in batches:
-            made = [sketch(t, shingle) for t in batch.column(1).to_pylist()]
-            data = np.frombuffer(b"".join([bits for bits, _ in made]), dtype=">i8").astype(np.int64).reshape(-1, 6)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(data[:, k]) for k in range(6)], pa.array([low for _, low in made], pa.binary())], names=["node", "fp", "fp2", "first", "second", "set", "set2", "low"])
-
-    rows = common.materialise(keyed.select("_doc", "text").mapInArrow(run, "node bigint, fp bigint, fp2 bigint, first bigint, second bigint, set bigint, set2 bigint, low binary"), "near-sketches")
-    # rows of equal sketches and equal sets of shingles are one class, which its least row stands for
-    one = common.materialise(rows.groupBy("fp", "fp2", "first", "second", "set", "set2").agg(F.min("node").alias("node")), "near-classes")
-    met = near_links(one, limit).distinct()
-    lows, texts = rows.select("node", "low"), keyed.select("_doc", "text")
-    edges = common.materialise(_verified(met, lows, texts, shingle, least), "near-links")
-    # links of large buckets are a forest of what may be near, of which the test leaves parts: pairs across parts are sought exactly
+            data = np.frombuffer(b"".join([sketch(t, shingle) for t in batch.column(1).to_pylist()]), dtype=">i8").astype(np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(data[:, k]) for k in range(3)]], names=["node", "fp", "set", "set2"])
+
+    texts = keyed.select("_doc", "text")
+    rows = texts.mapInArrow(run, "node bigint, fp bigint, set bigint, set2 bigint")
+    # rows of equal fingerprints and equal sets of shingles are one class, which its least row stands for
+    one = common.materialise(rows.groupBy("fp", "set", "set2").agg(F.min("node").alias("node")), "near-classes")
+    met = near_links(one.select("node", "fp"), limit).distinct()
+    edges = common.materialise(_verified(met, texts, shingle, least), "near-links")
     roots = one.select("node").join(components(edges), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    across = exact_candidates(texts, roots, shingle, least)
-    edges = edges.unionAll(common.materialise(_verified(across, lows, texts, shingle, least), "near-links"))
+    edges = edges.unionAll(exact_links(texts, roots, shingle, least))
     gone = components(edges).filter("node != root").select(F.col("node").alias("_gone"))
     heads = common.materialise(one.join(gone, F.col("node") == F.col("_gone"), "left_anti").select(F.col("node").alias("_head")), "near-heads")
     return common.unpack(keyed.join(heads, F.col("_doc") == F.col("_head"), "left_semi"), docs, id_col, text_col)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint over three words and the smallest doc_id that links of two bits or fewer reach."""
     found = groups(common.read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
