@@ -26,9 +26,10 @@ from . import common
 
 #: Bytes of content that one table holds.
 TABLE_BYTES = 96_000_000
+#: What an entry costs besides its content.
+ENTRY_BYTES = 200
 #: Bytes of output that a task gathers before it passes them on.
 OUT_BYTES = 8_000_000
-MAX_LEVELS = 12
 
 
 class Table:
@@ -74,7 +75,7 @@ class Table:
         if self.contents and self.bytes + len(content) > self.limit:
             return False
         self.slots[at] = len(self.contents)
-        self.bytes += len(content) + 200
+        self.bytes += len(content) + ENTRY_BYTES
         self.hashes.append(h)
         self.contents.append(content)
         self.best.append(key)
@@ -160,13 +161,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tab
         found = done.filter(F.col("content").isNull())
         settled = found if settled is None else settled.unionAll(found)
         records = done.filter(F.col("content").isNotNull())
-        left = records.agg(F.sum(F.octet_length("content"))).first()[0]
-        if not left:
+        # every table takes a content at least, so levels come to an end; empty contents count as rows
+        n_left, left = records.agg(F.count(F.lit(1)), F.sum(F.octet_length("content") + ENTRY_BYTES)).first()
+        if not n_left:
             break
         level += 1
-        if level >= MAX_LEVELS:
-            raise RuntimeError(f"{left} bytes remain after {level} partitionings")
-        parts = max(parts, int(left // (table_bytes // 2)) + 1)
+        parts = max(parts, int(left // (table_bytes // 2 + 1)) + 1)
     return settled.select("sha", F.col("doc").alias("keep_id"), "n_rows", "alike")
 
 
@@ -207,6 +207,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one that stays of its group of equal texts."""
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
     return groups(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 

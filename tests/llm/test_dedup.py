@@ -34,6 +34,15 @@ def test_exact_when_tables_are_full(spark, docs):
     assert sorted(map(str, exact_dedup.groups(docs, table_bytes=4000).collect())) == whole
 
 
+def test_blank_texts_that_find_no_room(spark):
+    # one small table for all: empty contents are left over last, and still make up a class
+    rows = [(i, "a" * 150) for i in range(3)] + [(10, ""), (11, None), (12, " \n")] + [(20 + i, chr(98 + i) * 40) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    for table_bytes in (1, 300, 1000):
+        got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.groups(df, table_bytes=table_bytes).collect()}
+        assert {i: got[i] for i in (10, 11, 12)} == {10: (12, 3, False), 11: (12, 3, False), 12: (12, 3, True)} and got[0] == (0, 3, True)
+
+
 def test_hash_collisions_are_told_apart():
     table = exact_dedup.Table(1 << 20)
     for k in range(3000):
