@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -103,15 +103,19 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, text_col: str = "te
     """Write all sequences in training order to shards in ``folder`` (a URI all executors share); returns the manifest by slot.
 
     A shard is written under its attempt's name and then moved, so a lost executor leaves no half shard; a shard that is
-    there already at its full size is kept, so a run can be resumed. Null and empty texts give their end id alone; repeated
+    there already with the very same bytes is kept, so a run can be resumed, and one of another key, vocabulary or text is
+    replaced. Shards that an earlier, longer run left behind the last one aren't read. Null and empty texts give their end id alone; repeated
     rows are documents of their own; ids and other columns aren't used. An empty table gives no shard.
     """
     stride = window * np.dtype(dtype).itemsize
     made = common.materialise(sequences(docs, tokenizer_path, text_col, window, dtype=dtype), "sequences")
-    # one row for each input partition
-    counts = made.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    bases = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
-    size = made.count()
+    # two numbers for each input partition
+    counts = sorted((r.part, r.n) for r in made.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
+    size, firsts = 0, []
+    for part, n in counts:
+        firsts.append((part, size))
+        size += n
+    bases = docs.sparkSession.createDataFrame(firsts, "part int, base bigint")
 
     @F.pandas_udf("bigint")
     def slot(index: pd.Series) -> pd.Series:
@@ -131,19 +135,28 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, text_col: str = "te
                 rows.append((s, s // shard_slots, s % shard_slots * stride, n, zlib.crc32(ids)))
         if rows:
             path, data = f"{root}/{shard_name(rows[0][1])}", b"".join(parts)
-            there = store.get_file_info(path)
-            if not there.is_file or there.size != len(data):
+            if not _holds(store, path, data):
                 with store.open_output_stream(f"{path}.{attempt}", compression=None) as f:
                     f.write(data)
                 store.move(f"{path}.{attempt}", path)
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()], strict=True)], names=SHARDS.names)
 
-    placed = made.join(F.broadcast(bases), "part").select(slot(F.col("base") + F.col("k")).alias("slot"), "n_tokens", "packed")
+    placed = made.join(bases, "part").select(slot(F.col("base") + F.col("k")).alias("slot"), "n_tokens", "packed")
     dealt = placed.repartitionById(max(1, -(-size // shard_slots)), F.floor(F.col("slot") / shard_slots).cast("int")).sortWithinPartitions("slot")
     dealt.mapInArrow(run, SHARDS).write.mode("overwrite").parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(SHARDS).parquet(f"{folder}/manifest")
 
 
+def _holds(store, path: str, data: bytes) -> bool:
+    """Whether the file is there with these bytes."""
+    there = store.get_file_info(path)
+    if not there.is_file or there.size != len(data):
+        return False
+    with store.open_input_stream(path, compression=None) as f:
+        step = 1 << 20
+        return all(f.read(step) == data[at : at + step] for at in range(0, len(data), step))
+
+
 def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
@@ -157,8 +170,8 @@ def read_slots(folder: str, start: int, stop: int, window: int = WINDOW, shard_s
     while start < stop:
         shard, first = divmod(start, shard_slots)
         last = min(stop, (shard + 1) * shard_slots)
-        with store.open_input_stream(f"{root}/{shard_name(shard)}", compression=None) as f:
-            f.read(first * stride) if first else None
+        with store.open_input_file(f"{root}/{shard_name(shard)}") as f:
+            f.seek(first * stride)
             for _ in range(last - start):
                 data = f.read(stride)
                 if len(data) < stride:
@@ -168,11 +181,12 @@ def read_slots(folder: str, start: int, stop: int, window: int = WINDOW, shard_s
 
 
 def read(spark: SparkSession, folder: str, window: int = WINDOW, shard_slots: int = SHARD_SLOTS, dtype: str = "<u2") -> DataFrame:
-    """Every sequence of the shards: slot, shard, byte_offset, ids (bytes)."""
+    """Every sequence of the manifest's shards: slot, shard, byte_offset, ids (bytes)."""
     stride = window * np.dtype(dtype).itemsize
     files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.bin").load(folder)
     shard = F.regexp_extract("path", r"shard-(\d+)\.bin$", 1).cast("bigint")
     common.prepare(spark)
+    last = spark.read.schema(SHARDS).parquet(f"{folder}/manifest").agg(F.max("shard")).first()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,10 +195,11 @@ def read(spark: SparkSession, folder: str, window: int = WINDOW, shard_slots: in
                 offsets = list(range(0, len(data), stride))
                 yield pa.RecordBatch.from_arrays([pa.array([number * shard_slots + o // stride for o in offsets], pa.int64()), pa.array([number] * len(offsets), pa.int64()), pa.array(offsets, pa.int64()), pa.array([data[o : o + stride].tobytes() for o in offsets], pa.binary())], names=["slot", "shard", "byte_offset", "ids"])
 
-    return files.select(shard.alias("shard"), "content").mapInArrow(run, "slot bigint, shard bigint, byte_offset bigint, ids binary")
+    return files.select(shard.alias("shard"), "content").filter(F.col("shard") <= F.lit(-1 if last is None else last)).mapInArrow(run, "slot bigint, shard bigint, byte_offset bigint, ids binary")
 
 
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every slot of the shards written of all documents, with what the writer and a reader found there."""
     folder = common.run_dir(spark, "shards")
     manifest = write(common.read(spark, sf_dir, "documents"), folder, tokens.vocabulary_path("word_bpe_49k.json"))
     back = read(spark, folder).select("slot", F.crc32("ids").alias("read_crc32"))

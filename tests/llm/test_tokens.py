@@ -166,6 +166,41 @@ def test_shards(spark, docs, texts, word_tokenizer, tmp_path):
     assert shard.read_bytes() == whole
 
 
+def plain_slot(index, size, key, rounds=6):
+    """The permutation by definition: Feistel rounds over two halves, again and again until the value is inside."""
+    mask = (1 << 64) - 1
+
+    def mixed(x, k):
+        x = (x + k) & mask
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = ((x ^ (x >> shift)) * factor) & mask
+        return x ^ (x >> 31)
+
+    half = max(1, ((max(size, 2) - 1).bit_length() + 1) // 2)
+    keys = [mixed((r * 0x9E3779B97F4A7C15) & mask, key & mask) for r in range(1, rounds + 1)]
+    while True:
+        left, right = index >> half, index & (1 << half) - 1
+        for k in keys:
+            left, right = right, left ^ mixed(right, k) & (1 << half) - 1
+        index = left << half | right
+        if index < size:
+            return index
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 100, 1025])
+def test_slots_by_definition(size):
+    for key in (0, 5, token_output.KEY, 1 << 60):
+        assert token_output.permuted(np.arange(size), size, key).tolist() == [plain_slot(i, size, key) for i in range(size)]
+
+
+def test_another_key_or_text_in_the_same_folder(spark, docs, tmp_path):
+    folder = f"file://{tmp_path}/shards"
+    for key, df in ((1, docs), (2, docs), (2, docs.limit(20)), (2, docs)):
+        manifest = token_output.write(df, folder, WORD, window=32, shard_slots=10, key=key)
+        back = {r.slot: zlib.crc32(bytes(r.ids)) for r in token_output.read(spark, folder, window=32, shard_slots=10).collect()}
+        assert back == {r.slot: r.ids_crc32 for r in manifest.collect()}
+
+
 def test_op4(spark, folder):
     rows = token_output.op4_token_output(spark, folder).collect()
     assert len({r.slot for r in rows}) == len(rows) > 0 and all(r.ids_crc32 == r.read_crc32 for r in rows)
