@@ -14,18 +14,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
 
-#: Rows that the model is fitted on, at most about; a bound of the fit, not of what is predicted.
-TRAIN_ROWS = 20_000
-#: Words of the model, the most frequent; a bound of the model's size.
-MODEL_WORDS = 60_000
-MODEL_GRAMS = 60_000
+#: Rows of each language that the model is fitted on, at most about; a bound of the fit, not of what is predicted.
+TRAIN_ROWS = 8_000
 ORDERS = (4, 3, 2, 1)
+#: What is added to each count of a word, and of an n-gram.
+SMOOTH_WORDS, SMOOTH_GRAMS = 0.1, 0.5
 KEPT_WORDS = 200_000
 UNKNOWN = "und"
 MIN_SCORE = 0.5
@@ -33,16 +34,19 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 class Model:
-    """Log frequencies by language of words and n-grams: rows of ``table`` at the places that ``words`` and ``grams`` name."""
+    """Log frequencies by language of words and n-grams: rows of ``table`` at the places of a word's hash among ``words``, and
+    then at those that ``grams`` names."""
 
-    def __init__(self, languages: list[str], words: dict[str, int], grams: dict[str, int], table: np.ndarray, floor: list[float]):
+    def __init__(self, languages: list[str], words: np.ndarray, grams: dict[str, int], table: np.ndarray, floor: np.ndarray):
         self.languages, self.words, self.grams, self.table, self.floor = languages, words, grams, table, floor
 
     def word(self, word: str) -> np.ndarray:
         """Log score of one word in each language."""
-        if (known := self.words.get(word)) is not None:
-            return self.table[known]
-        padded, scores = f"<{word[:64]}>", np.zeros(len(self.languages))
+        h = np.uint64(xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")))
+        at = int(np.searchsorted(self.words, h))
+        if at < len(self.words) and self.words[at] == h:
+            return self.table[at]
+        padded, scores = f"<{word}>", np.zeros(len(self.languages))
         longest = ORDERS[0]
         places = max(1, len(padded) - longest + 1)
         for at in range(places):
@@ -56,48 +60,50 @@ class Model:
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", train_rows: int = TRAIN_ROWS) -> Model:
-    """Fit on the labelled rows, or on about ``train_rows`` of them, chosen by a hash of their id.
+    """Fit on the labelled rows, or on about ``train_rows`` of each language, chosen by a hash of their id and text.
 
-    Rows without a language or text teach nothing; without any row the model has no languages. Word counts are
-    aggregated on the executors; the driver gets at most MODEL_WORDS of them.
+    All their words and all n-grams of whole words count. Rows without a language or text teach nothing; without any row the
+    model has no languages. Counts are aggregated on the executors; what the driver gets is bounded by the sampled rows.
     """
-    labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    total = labelled.count()
-    if total > train_rows:
-        labelled = labelled.filter(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 20)) < max(1, (train_rows << 20) // total))
-    words = F.explode(F.split(F.lower(text_col), r"[^\p{L}]+")).alias("word")
-    counted = labelled.select(F.col(lang_col).alias("lang"), words).filter("word != ''").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    top = counted.orderBy(F.desc("n"), "lang", "word").limit(MODEL_WORDS).collect()
-    return build([(r.lang, r.word, r.n) for r in top])
-
-
-def build(counts: list[tuple[str, str, int]]) -> Model:
-    languages = sorted({lang for lang, _, _ in counts})
-    index = {lang: k for k, lang in enumerate(languages)}
-
-    def table(units: dict[str, list[float]], smooth: float) -> tuple[dict[str, list[float]], list[float]]:
-        totals = np.array(list(units.values())).sum(axis=0) + smooth * (len(units) + 1) if units else np.ones(len(languages))
-        return {u: np.log((np.array(c) + smooth) / totals).tolist() for u, c in units.items()}, np.log(smooth / totals).tolist()
-
-    words: dict[str, list[float]] = {}
-    grams: dict[int, dict[str, list[float]]] = {order: {} for order in ORDERS}
-    for lang, word, n in counts:
-        words.setdefault(word, [0.0] * len(languages))[index[lang]] += n
-        padded = f"<{word[:64]}>"
-        for order in ORDERS:
-            own = grams[order]
-            for at in range(len(padded) - order + 1):
-                own.setdefault(padded[at : at + order], [0.0] * len(languages))[index[lang]] += n
-    word_scores, _ = table(words, 0.1)
-    gram_scores: dict[str, list[float]] = {}
-    floor = [0.0] * len(languages)
-    for order in ORDERS:
-        kept = dict(sorted(grams[order].items(), key=lambda x: (-sum(x[1]), x[0]))[:MODEL_GRAMS])
-        scores, floor = table(kept, 0.5)
-        gram_scores |= scores
-    rows = np.array([*word_scores.values(), *gram_scores.values()]).reshape(len(word_scores) + len(gram_scores), len(languages))
-    first = len(word_scores)
-    return Model(languages, {w: k for k, w in enumerate(word_scores)}, {g: first + k for k, g in enumerate(gram_scores)}, rows, floor)
+    labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), text_col).alias("h"))
+    shares = {r.lang: min(1.0, train_rows / r["count"]) for r in labelled.groupBy("lang").count().collect()}
+    if not shares:
+        return Model([], np.zeros(0, dtype=np.uint64), {}, np.zeros((0, 0)), np.zeros(0))
+    below = F.create_map(*[x for lang, share in shares.items() for x in (F.lit(lang), F.lit(int(share * (1 << 20))))])
+    chosen = labelled.filter(F.pmod("h", F.lit(1 << 20)) < F.element_at(below, F.col("lang")))
+    words = F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")
+    counted = common.materialise(chosen.select("lang", words).filter("word != ''").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "language-words")
+    cut = F.expr("transform(filter(array({}), k -> length(w) >= k), k -> transform(sequence(1, length(w) - k + 1), i -> substring(w, i, k)))".format(", ".join(map(str, ORDERS))))
+    grams = counted.select("lang", "n", F.concat(F.lit("<"), "word", F.lit(">")).alias("w")).select("lang", "n", F.explode(F.flatten(cut)).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return build(sorted(shares), counted.toArrow(), grams.toArrow())
+
+
+def build(languages: list[str], words: pa.Table, grams: pa.Table) -> Model:
+    """The model, from counts (lang, word, n) and (lang, gram, n)."""
+
+    def counts(table: pa.Table, unit: str) -> tuple[list[str], np.ndarray]:
+        units = pa.compute.unique(table[unit])
+        found = np.zeros((len(units), len(languages)))
+        rows = pa.compute.index_in(table[unit], units).to_numpy()
+        columns = pa.compute.index_in(table["lang"], pa.array(languages, pa.string())).to_numpy()
+        np.add.at(found, (rows, columns), table["n"].to_numpy())
+        return units.to_pylist(), found
+
+    def logs(found: np.ndarray, smooth: float) -> tuple[np.ndarray, np.ndarray]:
+        totals = found.sum(axis=0) + smooth * (len(found) + 1)
+        return np.log((found + smooth) / totals), np.log(smooth / totals)
+
+    names, found = counts(words, "word")
+    hashes = np.array([xxhash.xxh3_64_intdigest(w.encode()) for w in names], dtype=np.uint64)
+    order = np.argsort(hashes)
+    tables = [logs(found, SMOOTH_WORDS)[0][order]]
+    names, found = counts(grams, "gram")
+    lengths = np.array([len(g) for g in names], dtype=np.int64)
+    places = {g: len(hashes) + k for k, g in enumerate(names)}
+    scored, floor = np.zeros_like(found), np.zeros(len(languages))
+    for k in ORDERS:
+        scored[lengths == k], floor = logs(found[lengths == k], SMOOTH_GRAMS)
+    return Model(languages, hashes[order], places, np.concatenate([*tables, scored]), floor)
 
 
 class Scorer:
@@ -178,6 +184,7 @@ def recognised(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from the four folds that aren't held out."""
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", common.fold("doc_id", 5) == 0)
     model = fit(docs.filter(~F.col("held_out")))
     return predict(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score")
