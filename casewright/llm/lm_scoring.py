@@ -5,89 +5,138 @@ binary decisions; for each decision and each context of 0 to DEPTH bytes before,
 texts. At every node of a context tree the Krichevsky-Trofimov estimate is weighted, half and half, against the product of
 its children's weighted probabilities. The posterior weights then mix the estimates of all depths into one prediction.
 
+The model stays where its counts are. Texts are cut into chunks, and each chunk asks about its distinct strings of DEPTH + 1
+bytes and its distinct words:
+
+1. Chunks' strings are dealt out by their nearest BOUNDARY bytes of context, so a task holds whole subtrees. It adds the counts up
+   and passes the subtrees' weighted probabilities to the nodes above, of which there are 65,536 at most.
+2. The nodes above are weighted on the driver and shipped.
+3. The questions come to the subtrees, and the answers go back to the chunks, which score their texts with them.
+
 Beside it, a unigram baseline with add-one smoothing is computed from exact counts of all words.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
 
-DEPTH = 4
-#: Deepest contexts of the model, the most frequent; what the others count goes to one node for each shorter context.
-MAX_CONTEXTS = 65_536
-#: Words with a larger share of the training tokens are broadcast, so 1 / HOT_WORDS at most.
-HOT_WORDS = 2e-5
-#: Distinct words that a task gathers before it passes them on.
-HELD_WORDS = 200_000
-END, REST = 0x0A, 0xFF
+DEPTH = 5
+#: Bytes of context of the subtrees that are dealt out; nodes above have fewer.
+BOUNDARY = 3
+#: A chunk ends after so many bytes of text or distinct words.
+CHUNK_BYTES = 16_000_000
+CHUNK_WORDS = 400_000
+#: Strings whose subtrees are computed at a time.
+BATCH_GRAMS = 150_000
+END = 0x0A
 _PAD = bytes([END]) * DEPTH
-COUNTS = T.StructType([T.StructField("word", T.BinaryType()), T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
+_REST = np.uint64((1 << 8 * (DEPTH + 1 - BOUNDARY)) - 1)
+_BOUND = np.uint64(8 * (DEPTH + 1 - BOUNDARY))
+CUT = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("line", T.BinaryType()), T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("top", T.IntegerType()), T.StructField("rests", T.BinaryType()), T.StructField("counts", T.BinaryType())])
+_CUT = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+
+
+def _keys(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of each line and its end: the bytes before it, nearest first, and the byte itself, as one number; and where
+    each line's numbers begin."""
+    data = np.frombuffer(b"".join([_PAD + t + b"\n" for t in lines]), dtype=np.uint8)
+    sizes = np.array([len(t) + DEPTH + 1 for t in lines])
+    n = len(data) - DEPTH
+    keys = data[DEPTH:].astype(np.uint64)
+    for k in range(1, DEPTH + 1):
+        keys |= data[DEPTH - k : len(data) - k].astype(np.uint64) << np.uint64(8 * (DEPTH + 1 - k))
+    scored = np.ones(len(data), dtype=bool)
+    starts = np.cumsum(sizes) - sizes
+    for k in range(DEPTH):
+        scored[starts + k] = False
+    own = sizes - DEPTH
+    return keys[scored[DEPTH:]] if n else keys, np.cumsum(own) - own
 
 
-def _lines(texts: list[str | None]) -> list[list[bytes]]:
-    return [(t or "").encode().lower().split() for t in texts]
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with the sums of their numbers."""
+    if not len(keys):
+        return keys, n
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[new], np.add.reduceat(n[order], new)
 
 
-def _stream(lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All texts' bytes, each after DEPTH end bytes and before one; the first scored place of each; which places are scored."""
-    texts = [b" ".join(words) for words in lines]
-    data = np.frombuffer(b"".join([_PAD + t + b"\n" for t in texts]), dtype=np.uint8)
-    sizes = np.array([len(t) + DEPTH + 1 for t in texts])
-    starts = np.cumsum(sizes) - sizes + DEPTH
-    scored = np.ones(len(data), dtype=bool)
-    for k in range(1, DEPTH + 1):
-        scored[starts - k] = False
-    return data, starts, scored
+def _blobs(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Stretches of an array as binary values."""
+    offsets = (np.asarray(bounds) * values.itemsize).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
+
+
+def _by_top(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of keys in order: the contexts of BOUNDARY bytes, and where each one's keys begin and end."""
+    tops = (keys >> _BOUND).astype(np.int32)
+    bounds = np.flatnonzero(np.r_[True, tops[1:] != tops[:-1], True])
+    return tops[bounds[:-1]], bounds
 
 
-def count(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, gram, n): how often each word (gram null) and each DEPTH + 1 bytes (word null) occur in the texts."""
+def cut(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Three kinds of rows by chunk: texts (doc, held_out, line), distinct words with their training counts (word, n), and distinct
+    strings by the nearest bytes of context (top, rests, counts)."""
     common.prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        common.alone()
+        chunk, size = TaskContext.get().partitionId() << 24, 0
         words: Counter = Counter()
         grams: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            codes, where = np.unique(np.concatenate([g for g, _ in grams]), return_inverse=True)
-            return codes, np.bincount(where, weights=np.concatenate([n for _, n in grams])).astype(np.int64)
+        def out(size: int, /, **columns: pa.Array) -> pa.RecordBatch:
+            columns["chunk"] = pa.array(np.full(size, chunk), pa.int64())
+            return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(size, kind) for c, kind in zip(CUT.names, _CUT, strict=True)], names=CUT.names)
 
-        def out(words: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.binary()), pa.nulls(len(words), pa.int64()), pa.array(words.values(), pa.int64())], names=COUNTS.names)
+        def flush() -> Iterator[pa.RecordBatch]:
+            names = list(words)
+            for at in range(0, len(names), 50_000):
+                own = names[at : at + 50_000]
+                yield out(len(own), word=pa.array(own, pa.binary()), n=pa.array([words[w] for w in own], pa.int64()))
+            keys, n = (np.concatenate(x) for x in zip(*grams, strict=True))
+            keys, n = _summed(keys, n)
+            tops, bounds = _by_top(keys)
+            yield out(len(tops), top=pa.array(tops), rests=_blobs((keys & _REST).astype("<u4"), bounds), counts=_blobs(n.astype("<u4"), bounds))
 
         for batch in batches:
-            lines = _lines(batch.column(0).to_pylist())
-            if not lines:
+            if not batch.num_rows:
                 continue
-            for line in lines:
-                words.update(line)
-            data, _, scored = _stream(lines)
-            code = data[DEPTH:].astype(np.uint64)
-            for k in range(1, DEPTH + 1):
-                code |= data[DEPTH - k : -k].astype(np.uint64) << np.uint64(8 * k)
-            grams.append(np.unique(code[scored[DEPTH:]], return_counts=True))
-            if len(grams) > 16:
-                grams[:] = [merged()]
-            if len(words) > HELD_WORDS:
-                yield out(words)
-                words = Counter()
-        if words:
-            yield out(words)
+            lines = [b" ".join((t or "").encode().lower().split()) for t in batch.column(2).to_pylist()]
+            held = batch.column(1).to_pylist()
+            yield out(len(lines), doc=batch.column(0), held_out=batch.column(1), line=pa.array(lines, pa.binary()))
+            for asked in (False, True):
+                own = [line for line, h in zip(lines, held, strict=True) if h == asked]
+                if not own:
+                    continue
+                keys, _ = _keys(own)
+                keys, n = _summed(keys, np.full(len(keys), 0 if asked else 1, dtype=np.int64))
+                grams.append((keys, n))
+                for line in own:
+                    words.update(dict.fromkeys(line.split(), 0) if asked else line.split())
+            size += sum(map(len, lines))
+            if len(grams) > 12:
+                grams[:] = [_summed(*(np.concatenate(x) for x in zip(*grams, strict=True)))]
+            if size >= CHUNK_BYTES or len(words) >= CHUNK_WORDS:
+                yield from flush()
+                words, grams, size, chunk = Counter(), [], 0, chunk + 1
         if grams:
-            codes, n = merged()
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(codes), pa.binary()), pa.array(codes.astype(np.int64)), pa.array(n)], names=COUNTS.names)
+            yield from flush()
 
-    return docs.select(text_col).mapInArrow(run, COUNTS).groupBy("word", "gram").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(id_col).cast("bigint"), "held_out", text_col).mapInArrow(run, CUT)
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -99,226 +148,344 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) - np.log(product)
 
 
-def _bits(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones at each of a byte's 255 decisions, from counts of bytes (contexts x 256)."""
-    zeros, ones = [], []
-    for level in range(8):
-        sums = counts.reshape(len(counts), 1 << level, 2, -1).sum(axis=3, dtype=np.float64)
-        zeros.append(sums[:, :, 0])
-        ones.append(sums[:, :, 1])
-    return np.concatenate(zeros, axis=1), np.concatenate(ones, axis=1)
+_HALVES = _lgamma(np.arange(4096) + 0.5)
+_WHOLES = _lgamma(np.arange(4096) + 1.0)
 
 
 def _kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """Log of the Krichevsky-Trofimov probability of so many zeros and ones."""
-    return _lgamma(zeros + 0.5) + _lgamma(ones + 0.5) - _lgamma(zeros + ones + 1) - np.log(np.pi)
+    """Log of the Krichevsky-Trofimov probability of so many zeros and ones (whole numbers)."""
+    total = zeros + ones
+    small = np.minimum(total, 4095).astype(np.int64)
+    found = _HALVES[np.minimum(zeros, small).astype(np.int64)] + _HALVES[np.minimum(ones, small).astype(np.int64)] - _WHOLES[small]
+    large = np.nonzero(total > 4095)
+    z, o = zeros[large].astype(np.float64), ones[large].astype(np.float64)
+    found[large] = _lgamma(z + 0.5) + _lgamma(o + 0.5) - _lgamma(z + o + 1)
+    return found - np.log(np.pi)
 
 
-def _log10_bytes(p: np.ndarray) -> np.ndarray:
-    """Log10 probability of each byte, from the probability of a one at each decision."""
-    out = np.zeros((len(p), 1))
-    for level in range(8):
-        own = p[:, (1 << level) - 1 : (2 << level) - 1]
-        out = (out[:, :, None] + np.log10(np.stack([1 - own, own], axis=2))).reshape(len(p), -1)
-    return out.astype(np.float32)
+class Subtrees:
+    """The nodes of BOUNDARY to DEPTH bytes of context over distinct keys in order, with their counts (0 for keys only asked about).
 
-
-class Model:
-    """Log10 probabilities of the next byte in ``table``: a row for each context node, a column for each class of bytes.
-
-    ``steps[d]`` leads from a node reached after d bytes (or at which the walk has stopped) by the class of the byte before
-    them to the next node, or to itself where the tree goes no further.
+    A run is a node and decision. For each depth and level of decision, ``runs`` leads from a key to its run, and the others
+    hold each run's numbers.
     """
 
-    def __init__(self, classes: np.ndarray, steps: list[np.ndarray], table: np.ndarray):
-        self.classes, self.steps, self.table = classes, steps, table
-        self.n = table.shape[1]
-
-    def score(self, lines: list[list[bytes]]) -> np.ndarray:
-        """Log10 probability of each text."""
-        data, starts, scored = _stream(lines)
-        own = self.classes[data]
-        at = np.zeros(len(data) - DEPTH, dtype=np.int64)
-        for k, step in enumerate(self.steps, 1):
-            at = step.ravel()[at * self.n + own[DEPTH - k : -k]].astype(np.int64)
-        found = self.table.ravel()[at * self.n + own[DEPTH:]]
-        found[~scored[DEPTH:]] = 0
-        return np.add.reduceat(found, starts - DEPTH, dtype=np.float64)
-
-
-def build(codes: np.ndarray, counts: np.ndarray) -> Model:
-    """The model, from counts of DEPTH + 1 bytes (the last is the one predicted); contexts that begin with REST stand for the others."""
-    symbols, context = (codes & 255).astype(np.int64), (codes >> 8).astype(np.int64)
-    last = lambda code, depth: code & ((1 << 8 * depth) - 1)  # noqa: E731  a context's nearest bytes
-    nodes = [np.unique(last(context, depth)) for depth in range(DEPTH + 1)]
-    tables = []
-    for depth, own in enumerate(nodes):
-        table = np.zeros((len(own), 256), dtype=np.float32 if depth == DEPTH else np.float64)
-        np.add.at(table, (np.searchsorted(own, last(context, depth)), symbols), counts)
-        tables.append(table)
-    step = 2048
-    parts = lambda depth: (slice(at, at + step) for at in range(0, len(nodes[depth]), step))
-    weights: list[np.ndarray] = [np.zeros(0)] * DEPTH
-    below = np.zeros(0)
-    for depth in range(DEPTH, -1, -1):
-        above = np.zeros((len(nodes[depth - 1]), 255)) if depth else np.zeros(0)
-        if depth < DEPTH:
-            weights[depth] = np.empty((len(nodes[depth]), 255), dtype=np.float32)
-        for part in parts(depth):
-            weighted = estimate = _kt(*_bits(tables[depth][part]))
-            if depth < DEPTH:
-                weighted = np.logaddexp(estimate, below[part]) - np.log(2)
-                weights[depth][part] = np.exp(estimate - np.log(2) - weighted)
-            if depth:
-                np.add.at(above, np.searchsorted(nodes[depth - 1], last(nodes[depth][part], depth - 1)), weighted)
-        below = above
-    # bytes that no training text holds share a class, and each has the mean of their probabilities
-    present = np.zeros(256, dtype=bool)
-    present[symbols] = True
-    present[END] = True
-    n = int(present.sum()) + 1
-    classes = np.full(256, n - 1, dtype=np.int64)
-    classes[present] = np.arange(n - 1)
-    made = []
-    for depth in range(DEPTH + 1):
-        for part in parts(depth):
-            zeros, ones = _bits(tables[depth][part])
-            mixed = (ones + 0.5) / (zeros + ones + 1)
-            for above in range(depth - 1, -1, -1):
-                where = np.searchsorted(nodes[above], last(nodes[depth][part], above))
-                zeros, ones = _bits(tables[above][where])
-                w = weights[above][where]
-                mixed = w * (ones + 0.5) / (zeros + ones + 1) + (1 - w) * mixed
-            logs = _log10_bytes(mixed)
-            made.append(np.concatenate([logs[:, present], np.log10((10.0 ** logs[:, ~present]).mean(axis=1, keepdims=True))], axis=1).astype(np.float32))
-    steps, first = [], np.cumsum([0, *map(len, nodes)])
-    for depth in range(1, DEPTH + 1):
-        step = np.repeat(np.arange(first[depth], dtype=np.int32)[:, None], n, axis=1)
-        parents = first[depth - 1] + np.searchsorted(nodes[depth - 1], last(nodes[depth], depth - 1))
-        children, byte = np.arange(first[depth], first[depth + 1], dtype=np.int32), nodes[depth] >> 8 * (depth - 1) & 255
-        rest = (byte == REST) & (depth == DEPTH)
-        step[parents[rest]] = children[rest][:, None]
-        step[parents[~rest], classes[byte[~rest]]] = children[~rest]
-        steps.append(step)
-    return Model(classes, steps, np.concatenate(made))
-
-
-def fit(counted: DataFrame) -> Model:
-    """The model from ``count``'s rows. The driver gets counts of MAX_CONTEXTS deepest contexts and of as many rests at most."""
-    grams = counted.filter("gram is not null").select("gram", "n")
-    contexts = grams.groupBy(F.shiftright("gram", 8).alias("context")).agg(F.sum("n").alias("total"))
-    if contexts.count() > MAX_CONTEXTS:
-        kept = contexts.orderBy(F.desc("total"), "context").limit(MAX_CONTEXTS).withColumn("kept", F.lit(True))
-        low = (1 << 8 * DEPTH) - 1
-        marked = grams.withColumn("context", F.shiftright("gram", 8)).join(F.broadcast(kept.select("context", "kept")), "context", "left")
-        grams = marked.select(F.when(F.col("kept"), F.col("gram")).otherwise(F.col("gram").bitwiseAND(F.lit(low)) + F.lit(REST << 8 * DEPTH)).alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n"))
-    table = grams.toArrow()
-    codes, n = table["gram"].to_numpy(), table["n"].to_numpy()
-    if not len(codes):
-        codes, n = np.array([END], dtype=np.int64), np.array([0], dtype=np.int64)
-    return build(codes, n)
-
-
-SCORED = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("hot_known", T.LongType()), T.StructField("hot_sum", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("word", T.BinaryType()), T.StructField("rows", T.ArrayType(T.LongType(), False)), T.StructField("times", T.ArrayType(T.IntegerType(), False))])
-_KEPT: dict[str, tuple] = {}
-common.kept_by("lm", _KEPT.clear)
-
-
-def _here(key: str, shipped) -> tuple:
-    """The model and the hot words, unpacked once for each worker process."""
-    if key not in _KEPT:
-        _KEPT.clear()
-        classes, steps, table, hot = shipped.value
-        _KEPT[key] = Model(classes, steps, table), hot
-    return _KEPT[key]
-
-
-def _scored(docs: DataFrame, model: Model, hot: dict[bytes, float], id_col: str, text_col: str) -> DataFrame:
-    """Two kinds of rows: of texts (word null), and of words that aren't hot, with the texts they occur in and how often."""
-    spark = docs.sparkSession
-    common.prepare(spark)
-    shipped, key = spark.sparkContext.broadcast((model.classes, model.steps, model.table, hot)), uuid.uuid4().hex
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        self.keys = keys
+        self.runs: dict[int, list[np.ndarray]] = {}
+        self.own: dict[int, list[np.ndarray]] = {}
+        self.weight: dict[int, list[np.ndarray]] = {}
+        self.present: dict[int, np.ndarray] = {}
+        below: list[np.ndarray] | None = None
+        for depth in range(DEPTH, BOUNDARY - 1, -1):
+            code = keys >> np.uint64(8 * (DEPTH + 1 - depth)) << np.uint64(8) | keys & np.uint64(255)
+            order = np.argsort(code, kind="stable") if depth < DEPTH else np.arange(len(keys))
+            code = code[order]
+            new = np.r_[True, code[1:] != code[:-1]]
+            first = np.flatnonzero(new)
+            place = np.empty(len(keys), dtype=np.int32)
+            place[order] = np.cumsum(new) - 1
+            code, n = code[first], np.add.reduceat(counts[order], first)
+            runs, own, weight, weighted = [], [], [], []
+            for level in range(8):
+                part = code >> np.uint64(8 - level)
+                starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+                run = np.zeros(len(code), dtype=np.int32)
+                run[starts[1:]] = 1
+                ones = np.add.reduceat(n * (code >> np.uint64(7 - level) & np.uint64(1)).astype(np.int64), starts)
+                total = np.add.reduceat(n, starts)
+                run = np.cumsum(run, dtype=np.int32)
+                estimate = _kt(total - ones, ones)
+                mixed = estimate if below is None else np.logaddexp(estimate, np.bincount(run[place[self._first[level]]], weights=below[level], minlength=len(starts))) - np.log(2)
+                runs.append(run[place])
+                own.append((ones + 0.5) / (total + 1))
+                weight.append(np.exp(estimate - np.log(2) - mixed))
+                weighted.append(mixed)
+                if level == 0:
+                    self.present[depth] = total > 0
+            # a key of each run, by which the run above is found
+            self._first = []
+            for run, mixed in zip(runs, weighted, strict=True):
+                some = np.empty(len(mixed), dtype=np.int64)
+                some[run] = np.arange(len(keys))
+                self._first.append(some)
+            self.runs[depth], self.own[depth], self.weight[depth], below = runs, own, weight, weighted
+        self.weighted = below
+
+    def above(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What the nodes above need, as (node, slot, value): sums of weighted log probabilities, at slots 1 to 255 by decision."""
+        nodes, slots, values = [], [], []
+        for level in range(8):
+            key = self.keys[self._first[level]]
+            nodes.append((key >> np.uint64(8 * (DEPTH + 2 - BOUNDARY))).astype(np.int64))
+            slots.append((1 << level) + (key >> np.uint64(8 - level) & np.uint64((1 << level) - 1)).astype(np.int64))
+            values.append(self.weighted[level])
+        return np.concatenate(nodes), np.concatenate(slots), np.concatenate(values)
+
+    def log10(self, top: Top) -> np.ndarray:
+        """Log10 probability of each key's last byte after its context."""
+        out = np.zeros(len(self.keys))
+        combine = top.at((self.keys >> np.uint64(8 * (DEPTH + 2 - BOUNDARY))).astype(np.int64))
+        for level in range(8):
+            mixed = np.full(len(self.keys), np.nan)
+            for depth in range(DEPTH, BOUNDARY - 1, -1):
+                run = self.runs[depth][level]
+                own, w = self.own[depth][level][run], self.weight[depth][level][run]
+                present = self.present[depth][self.runs[depth][0]]
+                mixed = np.where(present, np.where(np.isnan(mixed), own, w * own + (1 - w) * mixed), mixed)
+            decision = (1 << level) + (self.keys >> np.uint64(8 - level) & np.uint64((1 << level) - 1)).astype(np.int64)
+            p = combine(decision, mixed)
+            out += np.log10(np.where(self.keys >> np.uint64(7 - level) & np.uint64(1), p, 1 - p))
+        return out
+
+
+class Top:
+    """The nodes of fewer than BOUNDARY (three) bytes of context, at most 65,536 of two: what they make of the mixture below."""
+
+    def __init__(self, nodes: np.ndarray, keep: np.ndarray, pass_on: np.ndarray, alone: np.ndarray, nodes1: np.ndarray, alone1: np.ndarray, root: np.ndarray):
+        self.nodes, self.keep, self.pass_on, self.alone, self.nodes1, self.alone1, self.root = nodes, keep, pass_on, alone, nodes1, alone1, root
+
+    def at(self, context: np.ndarray):
+        """For contexts of two bytes: a function of decisions and mixtures below (nan: no longer context was seen)."""
+
+        def place(nodes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            if not len(nodes):
+                return np.zeros(len(wanted), dtype=np.int64), np.zeros(len(wanted), dtype=bool)
+            at = np.minimum(np.searchsorted(nodes, wanted), len(nodes) - 1)
+            return at, nodes[at] == wanted
+
+        k, known = place(self.nodes, context)
+        k1, known1 = place(self.nodes1, context >> 8)
+
+        def combined(decision: np.ndarray, mixed: np.ndarray) -> np.ndarray:
+            out = self.root[decision]
+            if known1.any():
+                out = np.where(known1, self.alone1[k1, decision], out)
+            if known.any():
+                out = np.where(known, np.where(np.isnan(mixed), self.alone[k, decision], self.keep[k, decision] + self.pass_on[k, decision] * mixed), out)
+            return out
+
+        return combined
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        common.alone("lm")
-        own, hot = _here(key, shipped)
-        row, local = TaskContext.get().partitionId() << 40, {}
-        held: list[tuple[list[int], int, list[int]]] = []
+def _bits(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Zeros and ones at each of a byte's decisions 1 to 255 (0 is unused), from counts of bytes (contexts x 256)."""
+    zeros, ones = [np.zeros((len(counts), 1))], [np.zeros((len(counts), 1))]
+    for level in range(8):
+        sums = counts.reshape(len(counts), 1 << level, 2, 128 >> level).sum(axis=3)
+        zeros.append(sums[:, :, 0])
+        ones.append(sums[:, :, 1])
+    return np.concatenate(zeros, axis=1), np.concatenate(ones, axis=1)
 
-        def words() -> pa.RecordBatch:
-            ids = np.concatenate([np.array(x, dtype=np.int64) for x, _, _ in held])
-            order = np.argsort(ids, kind="stable")
-            rows = np.repeat([r for _, r, _ in held], [len(x) for x, _, _ in held])[order]
-            times = np.concatenate([np.array(t, dtype=np.int32) for _, _, t in held])[order]
-            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(ids, minlength=len(local)))]), pa.int32())
-            empty = [pa.nulls(len(local), k) for k in (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-            return pa.RecordBatch.from_arrays([*empty, pa.array(local.keys(), pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(rows)), pa.ListArray.from_arrays(offsets, pa.array(times))], names=SCORED.names)
 
+def _top(node: np.ndarray, slot: np.ndarray, value: np.ndarray) -> Top:
+    """From sums by node of two bytes: weighted logs below by decision (slots 1 to 255), counts by byte (slots 256 to 511)."""
+    nodes = np.unique(node)
+    nodes1, parent = np.unique(nodes >> 8, return_inverse=True)
+    counts, below = np.zeros((len(nodes), 256)), np.zeros((len(nodes), 256))
+    at = np.searchsorted(nodes, node)
+    counts[at[slot >= 256], slot[slot >= 256] - 256] = value[slot >= 256]
+    below[at[slot < 256], slot[slot < 256]] = value[slot < 256]
+
+    def node_of(counts: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        zeros, ones = _bits(counts)
+        estimate = _kt(zeros, ones)
+        weighted = np.logaddexp(estimate, below) - np.log(2)
+        return weighted, np.exp(estimate - np.log(2) - weighted), (ones + 0.5) / (zeros + ones + 1)
+
+    def up(rows: np.ndarray, to: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros((n, 256))
+        np.add.at(out, to, rows)
+        return out
+
+    weighted2, w2, own2 = node_of(counts, below)
+    counts1 = up(counts, parent, len(nodes1))
+    weighted1, w1, own1 = node_of(counts1, up(weighted2, parent, len(nodes1)))
+    _, w0, own0 = node_of(counts1.sum(axis=0, keepdims=True), weighted1.sum(axis=0, keepdims=True))
+    alone1 = w0 * own0 + (1 - w0) * own1
+    keep1, pass1 = (w0 * own0 + (1 - w0) * w1 * own1)[parent], ((1 - w0) * (1 - w1))[parent]
+    few = lambda x: x.astype(np.float32)
+    return Top(nodes, few(keep1 + pass1 * w2 * own2), few(pass1 * (1 - w2)), few(keep1 + pass1 * own2), nodes1, few(alone1), own0[0])
+
+
+def _whole(top: int, rests: bytes) -> np.ndarray:
+    return np.frombuffer(rests, dtype="<u4").astype(np.uint64) | np.uint64(top) << _BOUND
+
+
+MODEL = T.StructType([T.StructField("top", T.IntegerType()), T.StructField("rests", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("node", T.IntegerType()), T.StructField("slot", T.IntegerType()), T.StructField("value", T.DoubleType())])
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For rows (top, rests, counts) sorted by top: the counts added up (top, rests, counts), and what the nodes above need (node, slot, value)."""
+    common.alone()
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size, at = 0, None
+
+    def out() -> Iterator[pa.RecordBatch]:
+        keys, n = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        tops, bounds = _by_top(keys)
+        m = len(tops)
+        yield pa.RecordBatch.from_arrays([pa.array(tops), _blobs((keys & _REST).astype("<u4"), bounds), _blobs(n.astype("<i8"), bounds), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.float64())], names=MODEL.names)
+        node, slot, value = Subtrees(keys, n).above()
+        node = np.concatenate([node, (keys >> np.uint64(8 * (DEPTH + 2 - BOUNDARY))).astype(np.int64)])
+        slot = np.concatenate([slot, 256 + (keys & np.uint64(255)).astype(np.int64)])
+        which, value = _summed(node << 9 | slot, np.concatenate([value, n.astype(np.float64)]))
+        m = len(which)
+        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.array((which >> 9).astype(np.int32)), pa.array((which & 511).astype(np.int32)), pa.array(value)], names=MODEL.names)
+
+    for batch in batches:
+        for top, rests, counts in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            if top != at and size >= BATCH_GRAMS:
+                yield from out()
+                held, size = [], 0
+            elif size >= 4 * BATCH_GRAMS and len(held) > 1:
+                held = [_summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                size = len(held[0][0])
+            n = np.frombuffer(counts, dtype="<u4").astype(np.int64)
+            seen = n > 0
+            held.append((_whole(top, rests)[seen], n[seen]))
+            size, at = size + len(n), top
+    if held and any(len(k) for k, _ in held):
+        yield from out()
+
+
+ANSWERS = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("top", T.IntegerType()), T.StructField("rests", T.BinaryType()), T.StructField("values", T.BinaryType())])
+
+
+def _answers(top_nodes):
+    """For rows (top, chunk, rests, counts) sorted by top, the model's (chunk null) before those that ask: the asked strings' logs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.alone()
+        above = Top(*top_nodes.value)
+        model: list[tuple[int, np.ndarray, np.ndarray]] = []
+        asked: list[tuple[int, int, bytes]] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            own = [_whole(top, rests) for _, top, rests in asked]
+            wanted = np.concatenate(own)
+            keys, n = _summed(np.concatenate([*[k for _, k, _ in model], wanted]), np.concatenate([*[n for _, _, n in model], np.zeros(len(wanted), dtype=np.int64)]))
+            found = Subtrees(keys, n).log10(above).astype("<f4")[np.searchsorted(keys, wanted)]
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in asked], pa.int64()), pa.array([x[1] for x in asked], pa.int32()), pa.array([x[2] for x in asked], pa.binary()), _blobs(found, np.r_[0, np.cumsum([len(x) for x in own])])], names=ANSWERS.names)
+
+        at = None
         for batch in batches:
-            lines = _lines(batch.column(2).to_pylist())
-            if not lines:
-                continue
-            first, known, sums = row, [], []
-            for line in lines:
-                times = Counter(line)
-                n, s, ids, own_times = 0, 0.0, [], []
-                for word, k in times.items():
-                    if (value := hot.get(word)) is not None:
-                        n += k
-                        s += k * value
-                    else:
-                        ids.append(local.setdefault(word, len(local)))
-                        own_times.append(k)
-                if ids:
-                    held.append((ids, row, own_times))
-                known.append(n)
-                sums.append(s)
-                row += 1
-            m = len(lines)
-            yield pa.RecordBatch.from_arrays([pa.array(range(first, row), pa.int64()), batch.column(0), batch.column(1), pa.array([len(x) + 1 for x in lines], pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(own.score(lines)), pa.nulls(m, pa.binary()), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.list_(pa.int32()))], names=SCORED.names)
-            if len(local) > HELD_WORDS:
-                yield words()
-                local, held = {}, []
-        if held:
-            yield words()
-
-    return docs.select(F.col(id_col).cast("bigint"), "held_out", text_col).mapInArrow(run, SCORED)
+            for top, chunk, rests, counts in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if size >= BATCH_GRAMS and asked and (top != at or len(asked) > 1):
+                    yield out()
+                    # a context that goes on keeps its model
+                    model, asked = [m for m in model if m[0] == top], []
+                    size = sum(len(m[1]) for m in model) if top != at else 0
+                if chunk is None:
+                    if not asked and size >= BATCH_GRAMS and top != at:
+                        model, size = [], 0  # nobody asks about these
+                    model.append((top, _whole(top, rests), np.frombuffer(counts, dtype="<i8")))
+                else:
+                    asked.append((chunk, top, rests))
+                size, at = size + len(rests) // 4, top
+        if asked:
+            yield out()
+
+    return run
+
+
+SCORED = T.StructType([T.StructField("doc", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_sum", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("n_bytes", T.LongType())])
+
+
+def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For rows (chunk, kind, word, n, top, rests, values, doc, held_out, line) sorted by chunk and kind: answers about words, then
+    about strings, then the chunk's texts; the texts' sums."""
+    common.alone()
+    at, words, grams = None, {}, []
+    keys, values = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.float32)
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        lines = [r[2] for r in rows]
+        codes, starts = _keys(lines)
+        scores = np.add.reduceat(values[np.searchsorted(keys, codes)].astype(np.float64), starts)
+        known, sums, sizes = [], [], []
+        for line in lines:
+            own = list(map(words.__getitem__, line.split()))
+            sizes.append(len(own) + 1)
+            known.append(len(own) - own.count(0.0))
+            sums.append(sum(own))
+        columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.bool_()), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(scores), pa.array([len(x) + 1 for x in lines], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=SCORED.names)
+
+    for batch in batches:
+        rows: list[tuple] = []
+        for chunk, kind, word, n, top, rests, found, doc, held_out, line in zip(*(batch.column(k).to_pylist() for k in range(10)), strict=True):
+            if chunk != at:
+                if rows:
+                    yield out(rows)
+                at, words, grams, rows = chunk, {}, [], []
+            if kind == 0:
+                words[word] = n
+            elif kind == 1:
+                grams.append((_whole(top, rests), np.frombuffer(found, dtype="<f4")))
+            else:
+                if grams:
+                    keys, values = (np.concatenate(x) for x in zip(*grams, strict=True))
+                    grams = []
+                rows.append((doc, held_out, line))
+        if rows:
+            yield out(rows)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: ``id_col`` (integer), held_out, n_tokens, n_known, train_tokens, base_score, score. Learns from the rows whose ``held_out`` is false.
-
-    score is the model's log10 probability of the whole text. Null and empty texts hold the end alone. A word counts as
-    unknown if no training text has it. With no training text, base and model still give probabilities. Repeated rows
-    and ids are scored row by row; other columns are left out; an empty table gives no rows.
+    """Per row: ``id_col`` (integer), held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte. Learns from the rows
+    whose ``held_out`` is false.
+
+    score is the model's log10 probability of the whole text, that is of its words in lower case with single spaces between, and an
+    end; other white space isn't told apart. bits_per_byte is the code length of that in proportion. Null and empty texts hold
+    the end alone. Texts of any length count whole. A word counts as unknown if no training text has it. With no training text,
+    base and model still give probabilities. Repeated rows and ids are scored row by row; other columns are left out; an
+    empty table gives no rows.
     """
-    train = docs.filter(~F.col("held_out"))
-    counted = common.materialise(count(train, text_col), "lm-counts")
-    n_docs = train.count()
-    words = counted.filter("word is not null").select("word", "n")
-    n_words, distinct = words.agg(F.sum("n"), F.count(F.lit(1))).first()
-    total, kinds = (n_words or 0) + n_docs, distinct + (n_docs > 0)
-    hot = {bytes(r.word): float(np.log10(r.n + 1)) for r in words.filter(F.col("n") > HOT_WORDS * total).collect()}
-    both = common.materialise(_scored(docs, fit(counted), hot, id_col, text_col), "lm-scored")
-    texts = both.filter("word is null").drop("word", "rows", "times")
-    rare = both.filter("word is not null").select("word", "rows", "times").join(words, "word")
-    spread = rare.select("n", F.explode(F.arrays_zip("rows", "times")).alias("x")).select(F.col("x.rows").alias("row_id"), F.col("x.times").alias("k"), F.log10(F.col("n") + 1).alias("value"))
-    found = spread.groupBy("row_id").agg(F.sum("k").alias("rare_known"), F.sum(F.col("k") * F.col("value")).alias("rare_sum"))
-    joined = texts.join(found, "row_id", "left").withColumn("rare_known", F.coalesce("rare_known", F.lit(0))).withColumn("rare_sum", F.coalesce("rare_sum", F.lit(0.0)))
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pieces = common.materialise(cut(docs, id_col, text_col), "lm-chunks")
+    n_docs = pieces.filter("line is not null and not held_out").count()
+    by_word = Window.partitionBy("word")
+    words = pieces.filter("word is not null").select("chunk", "word", F.col("n").alias("local"), F.sum("n").over(by_word).alias("n"), (F.min("chunk").over(by_word) == F.col("chunk")).alias("first"))
+    words = common.materialise(words, "lm-words")
+    n_words, distinct = words.agg(F.sum("local"), F.sum((F.col("first") & (F.col("n") > 0)).cast("bigint"))).first()
+    total, kinds = (n_words or 0) + n_docs, (distinct or 0) + (n_docs > 0)
+
+    grams = pieces.filter("top is not null")
+    model = common.materialise(grams.select("top", "rests", "counts").repartition(parts, "top").sortWithinPartitions("top").mapInArrow(_fitted, MODEL), "lm-model")
+    sums = model.filter("node is not null").groupBy("node", "slot").agg(F.sum("value").alias("value")).toArrow()
+    top = _top(*(sums[c].to_numpy().astype(kind) for c, kind in (("node", np.int64), ("slot", np.int64), ("value", np.float64))))
+    shipped = spark.sparkContext.broadcast((top.nodes, top.keep, top.pass_on, top.alone, top.nodes1, top.alone1, top.root))
+    questions = model.filter("top is not null").select("top", F.lit(None).cast("bigint").alias("chunk"), "rests", "counts").unionAll(grams.select("top", "chunk", "rests", F.lit(None).cast("binary")))
+    answers = questions.repartition(parts, "top").sortWithinPartitions("top", "chunk").mapInArrow(_answers(shipped), ANSWERS)
+
+    null = lambda kind: F.lit(None).cast(kind)
+    kinds_of = {"chunk": "bigint", "kind": "int", "word": "binary", "n": "double", "top": "int", "rests": "binary", "values": "binary", "doc": "bigint", "held_out": "boolean", "line": "binary"}
+
+    def rows(df: DataFrame, kind: int, **columns) -> DataFrame:
+        columns |= {"chunk": F.col("chunk"), "kind": F.lit(kind)}
+        return df.select(*[(columns[c] if c in columns else null(k)).cast(k).alias(c) for c, k in kinds_of.items()])
+
+    told = rows(words, 0, word=F.col("word"), n=F.log10(F.col("n") + 1))
+    told = told.unionAll(rows(answers, 1, top=F.col("top"), rests=F.col("rests"), values=F.col("values")))
+    told = told.unionAll(rows(pieces.filter("line is not null"), 2, doc=F.col("doc"), held_out=F.col("held_out"), line=F.col("line")))
+    found = told.repartition(parts, "chunk").sortWithinPartitions("chunk", "kind", "top").mapInArrow(_scored, SCORED)
     end = float(np.log10(n_docs + 1))
-    return joined.select(
+    return found.select(
         F.col("doc").alias(id_col),
         "held_out",
         "n_tokens",
-        (F.col("hot_known") + F.col("rare_known") + F.lit(int(n_docs > 0))).cast("bigint").alias("n_known"),
+        (F.col("n_known") + F.lit(int(n_docs > 0))).cast("bigint").alias("n_known"),
         F.lit(total).cast("bigint").alias("train_tokens"),
-        (F.col("hot_sum") + F.col("rare_sum") + F.lit(end) - F.col("n_tokens") * F.lit(float(np.log10(total + kinds + 1)))).alias("base_score"),
+        (F.col("base_sum") + F.lit(end) - F.col("n_tokens") * F.lit(float(np.log10(total + kinds + 1)))).alias("base_score"),
         "score",
+        (-F.col("score") * F.lit(float(np.log2(10))) / F.col("n_bytes")).alias("bits_per_byte"),
     )
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score, learned from the folds that aren't held out."""
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", common.fold("doc_id", 7) == 2)
     return score(docs)

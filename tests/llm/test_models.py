@@ -32,14 +32,69 @@ def test_language_held_out(spark, folder, texts):
     assert [got[i].lang_pred for i in (100, 101, 102, 103)] == ["und"] * 4 and got[104].lang_pred != "und" and got[105].lang_pred == "de"
 
 
-def test_backoff_for_unseen_words():
-    model = language.build([("en", "walking", 5), ("en", "king", 3), ("fr", "manger", 5), ("fr", "nager", 3)])
+def plain_language(rows):
+    """The back-off by definition, from (lang, text) rows: a function from a text to its languages' log scores."""
+    languages = sorted({lang for lang, _ in rows})
+    words, grams = Counter(), Counter()
+    for lang, text in rows:
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            words[w, lang] += 1
+    for (w, lang), n in words.items():
+        padded = f"<{w}>"
+        for order in (4, 3, 2, 1):
+            for at in range(len(padded) - order + 1):
+                grams[padded[at : at + order], lang] += n
+
+    def table(counts, smooth):
+        names = {x for x, _ in counts}
+        totals = {lang: sum(n for (_, x), n in counts.items() if x == lang) + smooth * (len(names) + 1) for lang in languages}
+        return {x: [math.log((counts[x, lang] + smooth) / totals[lang]) for lang in languages] for x in names}, [math.log(smooth / totals[lang]) for lang in languages]
+
+    known, _ = table(words, 0.1)
+    by_order = {order: table(Counter({k: n for k, n in grams.items() if len(k[0]) == order}), 0.5) for order in (4, 3, 2, 1)}
+
+    def of_word(w):
+        if w in known:
+            return known[w]
+        padded = f"<{w}>"
+        places = max(1, len(padded) - 3)
+        sums = [0.0] * len(languages)
+        for at in range(places):
+            own = next((t[padded[at : at + order]] for order, (t, _) in by_order.items() if padded[at : at + order] in t), by_order[1][1])
+            sums = [a + b for a, b in zip(sums, own, strict=True)]
+        return [s / places for s in sums]
+
+    def scores(text):
+        found = [of_word(w) for w in re.findall(r"[^\W\d_]+", text.lower())]
+        sums = [sum(x) for x in zip(*found, strict=True)]
+        best = max(sums)
+        odds = [math.exp((s - best) / math.sqrt(len(found))) for s in sums]
+        return languages[sums.index(best)], 1 / sum(odds)
+
+    return scores
+
+
+def test_backoff_by_definition(spark):
+    r = random.Random(4)
+    rows = [("en", prose(r, "en", 40)) for _ in range(30)] + [("fr", prose(r, "fr", 40)) for _ in range(30)] + [("xx", "zugu zagu gezu " + "uz" * 100)]
+    df = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id bigint, text string, lang string")
+    plain = plain_language(rows)
+    asked = ["talking rivers", "manger la rivière", "zugu gazu", "uz" * 100, "uzuz" * 70, "漢字", "stone zagu", "w" * 3000, *[t for _, t in rows[::9]]]
+    got = language.predict(spark.createDataFrame(list(enumerate(asked)), "k int, text string"), language.fit(df)).collect()
+    for x in got:
+        lang, score = plain(asked[x.k])
+        assert (x.lang_pred, round(x.score, 6)) == (lang, round(score, 6)), asked[x.k]
+    # a rare language is learned, and words are looked at whole
+    assert {x.k: x.lang_pred for x in got}[3] == "xx"
+
+
+def test_rare_language_beside_a_large_one(spark):
+    r = random.Random(5)
+    rows = [(i, prose(r, "en", 50) + f" w{i}".replace("0", "o"), "en") for i in range(400)] + [(1000 + i, prose(r, "de", 30), "de") for i in range(3)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), train_rows=40)
+    assert model.languages == ["de", "en"] and language.Scorer(model).predict("der fluss und die brücke")[0] == "de"
     scorer = language.Scorer(model)
-    assert scorer.predict("talking")[0] == "en" and scorer.predict("ranger")[0] == "fr"
     assert scorer.predict("2 ²")[0] == "und" and scorer.predict(None) == ("und", 0.0)
-    a = model.word("walking")
-    assert a.tolist() == model.table[model.words["walking"]].tolist()  # a known word is scored as a word
-    assert scorer.predict("漢字")[0] in ("en", "fr") and 0 <= scorer.predict("漢字")[1] <= 1
 
 
 def test_language_only_looks_at_texts(spark, docs):
@@ -92,6 +147,10 @@ def context_tree(data, depth):
                     counts[padded[at - d : at], node, bit] += 1
                     node = 2 * node + bit
     contexts = {c for c, _, _ in counts}
+    children = {}
+    for c in contexts:
+        if c:
+            children.setdefault(c[1:], []).append(c)
 
     @lru_cache(maxsize=None)
     def kt(c, node):
@@ -103,7 +162,7 @@ def context_tree(data, depth):
         own = kt(c, node)
         if len(c) == depth:
             return own
-        below = sum(weighted(x, node) for x in contexts if len(x) == len(c) + 1 and x[1:] == c)
+        below = sum(weighted(x, node) for x in children[c])
         top = max(own, below)
         return top + math.log(math.exp(own - top) + math.exp(below - top)) - math.log(2)
 
@@ -135,25 +194,49 @@ def context_tree(data, depth):
     return score
 
 
-def test_context_tree_by_definition(spark):
+def by_definition(train, asked, spark):
+    """(got, expected) scores of texts, from the operator and by definition."""
+    rows = [(i, t, False) for i, t in enumerate(train)] + [(1000 + i, t, True) for i, t in enumerate(asked)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, held_out boolean").repartition(3)
+    got = {r.doc_id: r for r in lm_scoring.score(df).collect()}
+    score = context_tree([b" ".join(t.encode().lower().split()) for t in train], lm_scoring.DEPTH)
+    lines = {i: b" ".join(t.encode().lower().split()) for i, t, _ in rows}
+    assert all(abs(got[i].bits_per_byte + got[i].score * math.log2(10) / (len(lines[i]) + 1)) < 1e-9 for i in lines)
+    return {i: (got[i].score, score(t)) for i, t in lines.items()}
+
+
+@pytest.mark.parametrize(("batch", "chunk"), [(150_000, 16_000_000), (40, 60)])
+def test_context_tree_by_definition(spark, monkeypatch, batch, chunk):
+    monkeypatch.setattr(lm_scoring, "BATCH_GRAMS", batch)
+    monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", chunk)
     r = random.Random(2)
-    train = ["abracadabra", "abc abc", "banana band", "".join(r.choices("abn ", k=30))]
-    docs = spark.createDataFrame([(t,) for t in train], "text string")
-    model = lm_scoring.fit(lm_scoring.count(docs))
-    score = context_tree([b" ".join(t.encode().split()) for t in train], lm_scoring.DEPTH)
-    for t in ["abra", "banana", "nab a", "bad band", ""]:
-        (got,) = model.score([t.encode().split()])
-        assert abs(got - score(t.encode())) < 2e-3 * max(1, abs(got))
-    # a text of bytes that were never seen still has a probability
-    assert -200 < model.score([["漢".encode()]])[0] < 0
-
-
-def test_kept_contexts_and_rests(spark, docs, monkeypatch):
-    whole = lm_scoring.fit(lm_scoring.count(docs))
-    monkeypatch.setattr(lm_scoring, "MAX_CONTEXTS", 200)
-    small = lm_scoring.fit(lm_scoring.count(docs))
-    lines = [t.encode().lower().split() for t in ("the river walked over stone", "la rivière")]
-    assert len(small.table) < len(whole.table) and np.isfinite(small.score(lines)).all()
+    train = ["abracadabra", "abc  abc", "banana band", "".join(r.choices("abn ", k=30)), "", "née"]
+    asked = ["abra", "banana", "nab a", "bad band", "", "漢字 zzz", "QUITE other w0rds!"]
+    for got, expected in by_definition(train, asked, spark).values():
+        assert abs(got - expected) < 1e-4 * max(1, abs(expected)), (got, expected)
+
+
+def test_many_contexts(spark):
+    r = random.Random(3)
+    train = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=1800)) for _ in range(40)]
+    contexts = {("\n" * 5 + t)[k : k + 5] for t in train for k in range(len(t) + 1)}
+    assert len(contexts) > 65_536
+    df = spark.createDataFrame([(i, t, False) for i, t in enumerate(train)] + [(99, train[0][:40], True)], "doc_id bigint, text string, held_out boolean")
+    got = {x.doc_id: x.score for x in lm_scoring.score(df).collect()}
+    score = context_tree([t.encode() for t in train], lm_scoring.DEPTH)
+    assert abs(got[99] - score(train[0][:40].encode())) < 1e-4 * abs(got[99])
+
+
+def test_training_order_and_cutting_change_nothing(spark, docs, monkeypatch):
+    marked = docs.withColumn("held_out", F.col("doc_id") % 3 == 0)
+    whole = {r.doc_id: r for r in lm_scoring.score(marked).collect()}
+    monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 2000)
+    monkeypatch.setattr(lm_scoring, "CHUNK_WORDS", 50)
+    monkeypatch.setattr(lm_scoring, "BATCH_GRAMS", 500)
+    cut = {r.doc_id: r for r in lm_scoring.score(marked.repartition(7)).collect()}
+    assert whole.keys() == cut.keys()
+    for i, r in whole.items():
+        assert abs(r.score - cut[i].score) < 1e-4 * max(1, abs(r.score)) and abs(r.base_score - cut[i].base_score) < 1e-6 * max(1, abs(r.base_score)) and r[2:5] == cut[i][2:5]
 
 
 def test_scores_awkward(awkward, empty):
