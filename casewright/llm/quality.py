@@ -1,33 +1,31 @@
 """Quality rules by distribution divergence, in DataFrame functions alone.
 
-A text's histogram of character classes and its histogram of a language's commonest words are compared with that language's
-reference by the Jensen-Shannon distance. References are the sums over all rows of a language; the commonest words are
-given lists. Texts of fewer words or common words than the guards ask for aren't judged by the histogram in question.
+A text's histogram of character classes and its histogram of its language's commonest words, with all other words as one more
+kind, are compared with that language's reference by the Jensen-Shannon distance. Both references are taken from all rows
+of the language: the commonest words are counted, and the counts of classes and words are summed. Texts of fewer words than the
+guards ask for aren't judged by the histogram in question.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Common words of the languages with references; a parameter.
-COMMON_WORDS = {
-    "en": ["the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "as", "was", "with", "be", "by", "on", "not", "he", "this", "are", "or", "his", "from", "at"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "a", "par", "plus", "pas", "au", "sur", "ne", "se", "ce"],
-    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "für", "ist", "im", "dem", "nicht", "ein", "eine", "als", "auch", "es", "an", "werden"],
-    "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un", "por", "con", "no", "una", "su", "para", "es", "al", "lo", "como", "más", "o"],
-}
+#: So many of each language's commonest words are told apart.
+COMMON = 24
 #: Character classes, as what is deleted to leave the others; the rest is its own class.
 CHAR_CLASSES = {"lower": r"\p{Ll}", "upper": r"\p{Lu}\p{Lt}", "letter": r"\p{Lo}\p{Lm}\p{M}", "digit": r"\p{N}", "space": common.SPACE_CLASS, "stop": r".,;:!?'\"()\-"}
 MAX_CHAR_DISTANCE = 0.30
 MAX_WORD_DISTANCE = 0.60
-#: Fewer words than this: no verdict by characters. Fewer common words: none by words.
+#: Fewer words than this: no verdict by characters; none by words.
 MIN_WORDS = 20
-MIN_COMMON = 30
+MIN_WORDS_FOR_WORDS = 60
+#: Signs at a word's end that don't belong to it.
+STOPS = ".,;:!?"
 SYMBOLS = r"#*$%&|<>"
 WINDOW = 5
 
@@ -61,100 +59,157 @@ def _repeated(words: Column) -> Column:
     return F.when(differ, F.lit(0).cast("bigint")).otherwise(exact)
 
 
-def measures(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def divergence(p: Column, q: Column) -> Column:
+    """Jensen-Shannon distance, to the base of 2, of two histograms of counts (arrays of one size); null if either is empty."""
+    total = lambda h: F.aggregate(h, F.lit(0).cast("double"), lambda a, x: a + x)
+    part = lambda a, b: F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(0.0)
+
+    def distance(sums: Column) -> Column:
+        terms = F.zip_with(p, q, lambda a, b: part(a / sums["p"], b / sums["q"]) + part(b / sums["q"], a / sums["p"]))
+        return F.when((sums["p"] > 0) & (sums["q"] > 0), F.sqrt(F.greatest(F.lit(0.0), total(terms) / 2)))
+
+    return _let(F.struct(total(p).alias("p"), total(q).alias("q")), distance)
+
+
+def bare(word: Column) -> Column:
+    """A word in lower case without the signs at its end."""
+    return F.lower(F.rtrim(word, F.lit(STOPS)))
+
+
+def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Add to each row, from its whole text: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, chars (array of
-    counts by character class), words (map of language to counts of its common words and of all other words)."""
+    counts by character class, the last of all others), bare (its words as ``bare`` has them)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     length = lambda keep: F.length(F.regexp_replace(text, f"[^{keep}]+", "")).cast("bigint")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{common.SPACE_CLASS}]"))
-    listed = sorted({w for words in COMMON_WORDS.values() for w in words})
     split = docs.withColumn("_words", F.filter(F.split(text, f"[{common.SPACE_CLASS}]+"), lambda w: w != ""))
-    n_words = F.size("_words").cast("bigint")
-    classes = [length(c) for c in CHAR_CLASSES.values()]
-    bare = F.filter(F.transform("_words", lambda w: F.lower(F.rtrim(w, F.lit(".,;:!?")))), lambda w: w.isin(listed))
-
-    def counted(found: Column) -> Column:
-        """Counts for the row's own language; for a row without a listed one, for each language."""
-        times = lambda word: F.size(F.filter(found, lambda w: w == word)).cast("bigint")
-        by = lambda lang: F.array(*[times(word) for word in COMMON_WORDS[lang]])
-        entry = lambda lang: F.struct(F.lit(lang).alias("key"), by(lang).alias("value"))
-        own = reduce(lambda found, lang: found.when(F.col(lang_col) == lang, F.array(entry(lang))), COMMON_WORDS, F)
-        return F.coalesce(own, F.array(*[entry(lang) for lang in COMMON_WORDS]))
-
+    classes = F.array(*[length(c) for c in CHAR_CLASSES.values()])
+    rest = lambda found: F.concat(found, F.array(F.length(text).cast("bigint") - F.aggregate(found, F.lit(0).cast("bigint"), lambda a, x: a + x)))
     return split.select(
         *docs.columns,
-        n_words.alias("n_words"),
+        F.size("_words").cast("bigint").alias("n_words"),
         F.length(F.regexp_replace(text, f"[{common.SPACE_CLASS}]+", "")).cast("bigint").alias("word_chars"),
         length(SYMBOLS).alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint").alias("n_dup_lines"),
         _repeated(F.col("_words")).alias("n_repeat_words"),
-        F.array(*classes, F.length(text).cast("bigint")).alias("chars"),
-        _let(bare, counted).alias("words"),
+        _let(classes, rest).alias("chars"),
+        F.transform("_words", bare).alias("bare"),
     )
 
 
-def _histogram(counts: Column, total: Column) -> Column:
-    """Counts of named kinds, and what the total holds besides."""
-    return F.concat(counts, F.array(total - F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, x: a + x)))
-
-
-def divergence(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance, to the base of 2, of two histograms of counts (arrays of one size); null if either is empty."""
-    total = lambda h: F.aggregate(h, F.lit(0).cast("double"), lambda a, x: a + x)
-    part = lambda a, b: F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(0.0)
+def common_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", n: int = COMMON) -> DataFrame:
+    """(lang, word, place): the ``n`` commonest words of each language over all its rows, by count and then by the word; place from 0."""
+    words = docs.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), f"[{common.SPACE_CLASS}]+")).alias("word"))
+    counted = words.filter("word != ''").groupBy("lang", bare(F.col("word")).alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    return counted.filter("word != ''").withColumn("place", F.row_number().over(order) - 1).filter(F.col("place") < n).select("lang", "word", "place")
 
-    def distance(sums: Column) -> Column:
-        terms = F.zip_with(p, q, lambda a, b: part(a / sums["p"], b / sums["q"]) + part(b / sums["q"], a / sums["p"]))
-        return F.when((sums["p"] > 0) & (sums["q"] > 0), F.sqrt(F.greatest(F.lit(0.0), total(terms) / 2)))
-
-    return _let(F.struct(total(p).alias("p"), total(q).alias("q")), distance)
 
-
-def rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_char_distance: float = MAX_CHAR_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE, min_words: int = MIN_WORDS, min_common: int = MIN_COMMON) -> DataFrame:
+def rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_char_distance: float = MAX_CHAR_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE, min_words: int = MIN_WORDS, min_words_for_words: int = MIN_WORDS_FOR_WORDS) -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance, word_distance and kept.
 
-    A row is compared with its own language's reference, or, if its language has none or is null, with the nearest.
-    References are measured on all rows of the listed languages. A null or empty text has no words, so it fails the base rule.
-    Distances are null where a guard holds the verdict back or no reference exists. Each row is judged alone; repeated
-    rows get equal results; an empty table stays empty. Columns named like the added ones are replaced, others pass through.
+    A row is compared with its own language's references, which every language that any row names has; a row without a language
+    with the nearest. A null or empty text has no words, so it fails the base rule. Distances are null where a guard holds the
+    verdict back or no reference exists. Texts of any length count whole. Each row is judged alone; repeated rows get equal
+    results; an empty table stays empty. Columns named like the added ones are replaced, others pass through.
     """
     added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept")
     docs = docs.select(*[c for c in docs.columns if c not in added or c in (text_col, lang_col)])
-    measured = common.materialise(
-        measures(docs, text_col, lang_col).withColumn("_row", F.struct(*[c for c in docs.columns if c != text_col])).drop(*docs.columns).withColumn("_chars", _histogram(F.slice("chars", 1, len(CHAR_CLASSES)), F.get("chars", F.lit(len(CHAR_CLASSES))))).drop("chars"), "quality"
+    # a row for each language and place, of which there are as many as languages times COMMON
+    listed = common.materialise(common_words(docs, text_col, lang_col), "quality-words")
+    packed = docs.select(F.struct(*[c for c in docs.columns if c != text_col]).alias("_row"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
+    measured = measures(packed, "_text").drop("_text").withColumn("_id", F.monotonically_increasing_id())
+    kept = [c for c in measured.columns if c not in ("bare", "_id")]
+    # a row of its own language is asked about that one, a row without about each
+    languages = F.array(*[F.lit(r.lang) for r in listed.select("lang").distinct().orderBy("lang").collect()]).cast("array<string>")
+    asked = measured.withColumn("_ref", F.explode(F.when(F.col("_lang").isNotNull() | (F.size(languages) == 0), F.array("_lang")).otherwise(languages)))
+    words = asked.select(F.struct(*kept).alias("_kept"), "_id", "_ref", F.explode_outer("bare").alias("_word"))
+    told = words.join(listed.select(F.col("lang").alias("_l"), F.col("word").alias("_w"), "place"), (F.col("_ref") == F.col("_l")) & (F.col("_word") == F.col("_w")), "left")
+    counts = F.array(*[F.sum(F.when(F.col("place") == k, 1).otherwise(0)).cast("bigint") for k in range(COMMON)], F.sum(F.when(F.col("place").isNull() & F.col("_word").isNotNull(), 1).otherwise(0)).cast("bigint"))
+    found = told.groupBy("_id", "_ref").agg(F.first("_kept").alias("_kept"), counts.alias("words")).select("_kept.*", "_id", "_ref", "words")
+    return _judged(common.materialise(found, "quality"), max_char_distance, max_word_distance, min_words, min_words_for_words)
+
+
+def _judged(measured: DataFrame, max_char_distance: float, max_word_distance: float, min_words: int, min_words_for_words: int) -> DataFrame:
+    sums = lambda c, n: F.array(*[F.sum(F.get(c, F.lit(k))) for k in range(n)])
+    by_lang = measured.filter("_lang is not null").groupBy(F.col("_lang").alias("_of")).agg(sums("chars", len(CHAR_CLASSES) + 1).alias("_ref_chars"), sums("words", COMMON + 1).alias("_ref_words"))
+    double = lambda c: F.col(c).cast("array<double>")
+    compared = measured.join(by_lang, F.col("_ref") == F.col("_of"), "left").select(
+        "*",
+        F.when(F.col("n_words") >= min_words, divergence(double("chars"), double("_ref_chars"))).alias("_char_distance"),
+        F.when(F.col("n_words") >= min_words_for_words, divergence(double("words"), double("_ref_words"))).alias("_word_distance"),
     )
-    return _judged(measured, lang_col, max_char_distance, max_word_distance, min_words, min_common)
-
-
-def _judged(measured: DataFrame, lang_col: str, max_char_distance: float, max_word_distance: float, min_words: int, min_common: int) -> DataFrame:
-    spread = measured.filter(F.col(f"_row.{lang_col}").isin(list(COMMON_WORDS))).select(F.col(f"_row.{lang_col}").alias("_lang"), "_chars", F.get("words", F.lit(0))["value"].alias("_counts"))
-    sums = lambda c, n: F.array(*[F.coalesce(F.sum(F.get(c, F.lit(k))), F.lit(0)) for k in range(n)])
-    n_common = len(next(iter(COMMON_WORDS.values())))
-    by_lang = spread.groupBy("_lang").agg(sums("_chars", len(CHAR_CLASSES) + 1).alias("_ref_chars"), sums("_counts", n_common).alias("_ref_counts"))
-    # at most one row for each listed language
-    found = {r["_lang"]: r for r in by_lang.collect()}
-    numbers = lambda values: F.array(*[F.lit(float(v)) for v in values])
-
-    def reference(lang: Column, field: str) -> Column:
-        own = reduce(lambda chain, k: chain.when(lang == k, numbers(found[k][field])), found, F)
-        return own if found else F.lit(None).cast("array<double>")
-
-    double = lambda c: c.cast("array<double>")
-    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
-
-    def against(entry: Column) -> Column:
-        return F.struct(
-            F.when(F.col("n_words") >= min_words, divergence(double(F.col("_chars")), reference(entry["key"], "_ref_chars"))).alias("char_distance"),
-            F.when(total(entry["value"]) >= min_common, divergence(double(entry["value"]), reference(entry["key"], "_ref_counts"))).alias("word_distance"),
-        )
-
-    nearest = lambda field: F.array_min(F.transform("_against", lambda x: x[field]))
-    compared = measured.withColumn("_against", F.transform("words", against)).withColumn("char_distance", nearest("char_distance")).withColumn("word_distance", nearest("word_distance"))
+    judged = lambda rows, char, word: rows.withColumn("char_distance", char).withColumn("word_distance", word)
+    own = judged(compared.filter("_lang is not null"), F.col("_char_distance"), F.col("_word_distance"))
+    names = ["_row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    none = compared.filter("_lang is null").groupBy("_id").agg(*[F.first(c).alias(c) for c in names], F.min("_char_distance").alias("char_distance"), F.min("_word_distance").alias("word_distance"))
+    both = own.select(*names, "char_distance", "word_distance").unionByName(none.select(*names, "char_distance", "word_distance"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     near = (F.coalesce("char_distance", F.lit(0.0)) <= max_char_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= max_word_distance)
-    return compared.select("_row.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "char_distance", "word_distance", (~failed & near).alias("kept"))
+    return both.select("_row.*", *names[1:], failed.alias("base_failed"), "char_distance", "word_distance", (~failed & near).alias("kept"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's measures and verdict; distances to nine places."""
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
+    found = rules(docs)
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *[F.round(c, 6).alias(c) for c in ("char_distance", "word_distance")])
+
+
+_SPACE = r"\x20\x09-\x0D"
+_COUNTS = ", ".join(f"length(regexp_replace(t, '[^{c.replace(chr(39), chr(39) * 2)}]+', '', 'g')) AS c{k}" for k, c in enumerate(CHAR_CLASSES.values()))
+_N_CHARS, _N_WORDS = len(CHAR_CLASSES) + 1, COMMON + 1
+
+
+def _distance_sql(table: str, name: str) -> str:
+    """Distances by document of two histograms with a row for each doc_id, ref and kind: n, and ref_n of the reference."""
+    return f"""{name}_sums AS (SELECT doc_id, ref, sum(n) AS p, sum(ref_n) AS q FROM {table} GROUP BY ALL),
+{name} AS (
+  SELECT doc_id, ref, CASE WHEN min(s.p) > 0 AND min(s.q) > 0 THEN sqrt(greatest(0.0, sum(
+    CASE WHEN h.n > 0 THEN h.n / s.p * log2(2 * (h.n / s.p) / (h.n / s.p + h.ref_n / s.q)) ELSE 0.0 END
+    + CASE WHEN h.ref_n > 0 THEN h.ref_n / s.q * log2(2 * (h.ref_n / s.q) / (h.n / s.p + h.ref_n / s.q)) ELSE 0.0 END) / 2)) END AS distance
+  FROM {table} h JOIN {name}_sums s USING (doc_id, ref) GROUP BY ALL)"""
+
+
+OP10_SQL = rf"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, lang, w, i FROM (SELECT doc_id, lang, unnest(regexp_extract_all(t, '[^{_SPACE}]+')) AS w, generate_subscripts(regexp_extract_all(t, '[^{_SPACE}]+'), 1) AS i FROM d)),
+windows AS (SELECT doc_id, i, concat_ws(' ', w, lead(w) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o) AS g, lead(w, 4) OVER o AS last FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM windows WHERE last IS NOT NULL) WHERE k > 1),
+repeated AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, range(0, {WINDOW}) r(k) GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
+dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^{_SPACE}]') GROUP BY doc_id),
+base AS (
+  SELECT d.doc_id, lang, (SELECT count(*) FROM w WHERE w.doc_id = d.doc_id) AS n_words,
+    length(regexp_replace(t, '[{_SPACE}]+', '', 'g')) AS word_chars, length(regexp_replace(t, '[^{SYMBOLS}]+', '', 'g')) AS n_symbols,
+    coalesce(dups.n, 0) AS n_dup_lines, coalesce(repeated.n, 0) AS n_repeat_words, length(t) AS n_chars, {_COUNTS}
+  FROM d LEFT JOIN dups ON dups.doc_id = d.doc_id LEFT JOIN repeated ON repeated.doc_id = d.doc_id),
+b AS (SELECT doc_id, lang, lower(rtrim(w, '{STOPS}')) AS word FROM w),
+listed AS (
+  SELECT lang AS ref, word, place FROM (
+    SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) - 1 AS place
+    FROM b WHERE lang IS NOT NULL AND word <> '' GROUP BY lang, word) WHERE place < {COMMON}),
+refs AS (SELECT doc_id, lang AS ref FROM d WHERE lang IS NOT NULL UNION ALL SELECT doc_id, ref FROM d, (SELECT DISTINCT ref FROM listed) WHERE lang IS NULL),
+word_kinds AS (
+  SELECT refs.doc_id, refs.ref, coalesce(place, {COMMON}) AS kind, count(*) AS n
+  FROM refs JOIN b ON b.doc_id = refs.doc_id LEFT JOIN listed l ON l.ref = refs.ref AND l.word = b.word GROUP BY ALL),
+word_refs AS (SELECT k.ref, kind, sum(n) AS ref_n FROM word_kinds k JOIN d ON d.doc_id = k.doc_id AND d.lang = k.ref GROUP BY ALL),
+word_all AS (
+  SELECT refs.doc_id, refs.ref, kind, coalesce(k.n, 0) AS n, coalesce(r.ref_n, 0) AS ref_n
+  FROM refs CROSS JOIN range(0, {_N_WORDS}) x(kind) LEFT JOIN word_kinds k USING (doc_id, ref, kind) LEFT JOIN word_refs r USING (ref, kind)),
+char_kinds AS (SELECT doc_id, kind, n FROM (
+  SELECT doc_id, unnest(range(0, {_N_CHARS})) AS kind, unnest([{", ".join(f"c{k}" for k in range(_N_CHARS - 1))}, n_chars - {" - ".join(f"c{k}" for k in range(_N_CHARS - 1))}]) AS n FROM base)),
+char_refs AS (SELECT lang AS ref, kind, sum(n) AS ref_n FROM char_kinds JOIN d USING (doc_id) WHERE lang IS NOT NULL GROUP BY ALL),
+char_all AS (SELECT refs.doc_id, refs.ref, kind, n, coalesce(ref_n, 0) AS ref_n FROM refs JOIN char_kinds USING (doc_id) LEFT JOIN char_refs USING (ref, kind)),
+{_distance_sql("char_all", "char_found")},
+{_distance_sql("word_all", "word_found")},
+nearest AS (SELECT refs.doc_id, min(c.distance) AS c, min(x.distance) AS x FROM refs LEFT JOIN char_found c USING (doc_id, ref) LEFT JOIN word_found x USING (doc_id, ref) GROUP BY refs.doc_id),
+judged AS (
+  SELECT b.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    CASE WHEN n_words >= {MIN_WORDS} THEN c END AS cd, CASE WHEN n_words >= {MIN_WORDS_FOR_WORDS} THEN x END AS wd
+  FROM base b LEFT JOIN nearest USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(cd, 0.0) <= {MAX_CHAR_DISTANCE} AND coalesce(wd, 0.0) <= {MAX_WORD_DISTANCE} AS kept,
+  round(cd, 6) AS char_distance, round(wd, 6) AS word_distance
+FROM judged
+"""

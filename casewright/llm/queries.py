@@ -19,4 +19,5 @@ QUERIES = {
 SQL: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op5_warc": warc.OP5_SQL,
+    "op10_quality": quality.OP10_SQL,
 }

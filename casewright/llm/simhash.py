@@ -55,6 +55,7 @@ CELL_ROWS = 2048
 CELL_BYTES = 8_000_000
 COUNTED_HOT = 200
 HELD_WORDS = 300_000
+HELD_SHINGLES = 2_000_000
 #: Shingles whose bits are counted at a time.
 COUNTED_AT_ONCE = 1 << 16
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -390,8 +391,21 @@ def _verified(edges: DataFrame, texts: DataFrame, shingle: int, least: float) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.alone("simhash")
+        known: dict[int, np.ndarray] = {}  # many links share a text
+        size = 0
+
+        def of(node: int, text: str | None) -> np.ndarray:
+            nonlocal size
+            if (own := known.get(node)) is None:
+                own = known[node] = _shingles(text, shingle)
+                size += len(own)
+                if size > HELD_SHINGLES:
+                    known.clear()
+                    size = 0
+            return own
+
         for batch in batches:
-            found = [_agree(_shingles(x, shingle), _shingles(y, shingle), least) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            found = [_agree(of(a, x), of(b, y), least) for a, b, x, y in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(found, pa.bool_()))
 
     asked = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -616,7 +630,7 @@ def exact_links(texts: DataFrame, roots: DataFrame, shingle: int, least: float,
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = rows.repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "n").mapInArrow(_candidates(least, hot_rows), ACROSS)
     met = common.materialise(met, "near-across")
-    pairs = met.filter("hot is null").select("a", "b").distinct()
+    pairs = common.materialise(met.filter("hot is null").select("a", "b").distinct(), "near-met")
     links = common.materialise(_verified(pairs, texts, shingle, least), "near-links")
     hot = _hot_links(met.filter("hot is not null").select(F.col("a").alias("node"), F.col("b").alias("root"), F.col("hot").alias("key")), texts, shingle, least, cell_rows, cell_bytes)
     return links if hot is None else links.unionAll(common.materialise(hot, "near-links"))
@@ -646,7 +660,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     rows = texts.mapInArrow(run, "node bigint, fp bigint, set bigint, set2 bigint")
     # rows of equal fingerprints and equal sets of shingles are one class, which its least row stands for
     one = common.materialise(rows.groupBy("fp", "set", "set2").agg(F.min("node").alias("node")), "near-classes")
-    met = near_links(one.select("node", "fp"), limit).distinct()
+    met = common.materialise(near_links(one.select("node", "fp"), limit).distinct(), "near-met")
     edges = common.materialise(_verified(met, texts, shingle, least), "near-links")
     roots = one.select("node").join(components(edges), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     edges = edges.unionAll(exact_links(texts, roots, shingle, least))
