@@ -5,16 +5,17 @@ A byte goes if a string of LENGTH bytes that covers it also starts earlier, in a
 1. Every window of LENGTH bytes has an anchor, the gram in it with the least hash (the leftmost such). Equal windows have
    equal anchors at equal places, so only texts around equal anchors need comparing. A run of windows with one anchor is a
    segment; within an input partition, equal segments are reduced to the first.
-2. Segments are shuffled by their anchor's hash. Equal segments repeat as a whole. An anchor with segments that differ asks
-   for their bytes.
-3. The segments that differ around an anchor are sorted together by column-wise construction: in each round one more symbol
-   of every segment, from the last to the first, is inserted, and the collection's Burrows-Wheeler transform is brought up
-   to date in one sequential pass. In the order of the suffixes, equal windows are neighbours, and all but the earliest repeat.
-   The segments of one collection are few, so its columns are arrays in memory; files aren't needed.
+2. Segments meet by their anchor's hash. Those whose content's hash or whose context of the anchor is another's ask for their bytes.
+3. Segments of equal bytes repeat as a whole. Those that differ around an anchor are sorted together by column-wise
+   construction: in each round one more symbol of every segment, from the last to the first, is inserted, and the collection's
+   Burrows-Wheeler transform and the common prefixes of neighbours are brought up to date in one sequential pass. In the
+   order of the suffixes, windows with a common prefix of LENGTH are equal, and all but the earliest repeat. A collection's
+   segments are few, so its columns are arrays in memory; files aren't needed.
 4. What repeats is cut out of the texts.
 
-Anchors with more segments than one collection holds are compared by 128-bit hashes of their windows, aggregated on both
-sides of the shuffle, since one anchor's segments may be a third of all.
+An anchor with many different segments is cut up before: windows that hold it at nearby places have more bytes around it in
+common, and only those with equal such bytes can be equal. The places are halved until few segments are left together, at
+last down to whole windows. Hashes decide what is compared; bytes alone decide what is equal.
 """
 
 from __future__ import annotations
@@ -33,8 +34,11 @@ from . import common
 
 LENGTH = 100
 GRAM = 24
-#: Segments in a collection.
+#: Segments in a collection; different ones of one anchor that may stay together.
 COLLECTION = 4096
+CROWD = 512
+#: Places of an anchor in a window.
+PLACES = LENGTH - GRAM + 1
 #: Bytes that are hashed at a time, and segments that a task reduces at a time.
 BLOCK_BYTES = 1 << 19
 BLOCK_SEGMENTS = 400_000
@@ -44,6 +48,7 @@ _PLACE = np.uint64((1 << 24) - 1)
 _C = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
 
 SEGMENTS = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("content", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("contexts", T.LongType()), T.StructField("repeats", T.BooleanType())])
+COMPARED_ROWS = T.StructType(SEGMENTS.fields[:5])
 _KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
 #: A window holds so many bytes to the left of its anchor or so many to the right of it.
 CONTEXT = (LENGTH - GRAM) // 2
@@ -110,14 +115,19 @@ def _cut(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.Rec
     """Segments of a partition's texts; of equal ones, all but the first are marked."""
     common.alone()
     held: list[tuple[np.ndarray, ...]] = []
+    raws: list[bytes] = []
     n_held = 0
 
     def out() -> pa.RecordBatch:
-        anchor, content, doc, start, n, contexts = (np.concatenate(x) for x in zip(*held, strict=True))
+        anchor, content, doc, start, n, contexts, raw, place = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((start, doc, content, anchor))
-        anchor, content, doc, start, n, contexts = (x[order] for x in (anchor, content, doc, start, n, contexts))
+        anchor, content, doc, start, n, contexts, raw, place = (x[order] for x in (anchor, content, doc, start, n, contexts, raw, place))
         repeats = np.zeros(len(anchor), dtype=bool)
         repeats[1:] = (anchor[1:] == anchor[:-1]) & (content[1:] == content[:-1])
+        alike = np.flatnonzero(repeats)
+        ends = place + n + LENGTH - 1
+        sides = (x[k].tolist() for k in (alike - 1, alike) for x in (raw, place, ends))
+        repeats[alike] = [raws[r][a:b] == raws[q][c:d] for r, a, b, q, c, d in zip(*sides, strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip((anchor, content, doc, start, n, contexts, repeats), _KINDS, strict=True)], names=SEGMENTS.names)
 
     def block(pieces: list[tuple[int, int, bytes]]) -> None:
@@ -129,7 +139,8 @@ def _cut(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.Rec
         view = memoryview(raw)
         content = np.array([xxhash.xxh3_64_intdigest(view[a : a + k]) for a, k in zip(at.tolist(), (n + LENGTH - 1).tolist(), strict=True)], dtype=np.uint64)
         docs, places, begins = np.array([p[0] for p in pieces]), np.array([p[1] for p in pieces]), np.cumsum(sizes) - sizes
-        held.append((anchor.view(np.int64), content.view(np.int64), docs[owner], (at - begins[owner] + places[owner]).astype(np.int32), n.astype(np.int32), contexts.view(np.int64)))
+        held.append((anchor.view(np.int64), content.view(np.int64), docs[owner], (at - begins[owner] + places[owner]).astype(np.int32), n.astype(np.int32), contexts.view(np.int64), np.full(len(n), len(raws), dtype=np.int32), at))
+        raws.append(raw)
         n_held += len(n)
 
     pieces, size = [], 0
@@ -148,27 +159,13 @@ def _cut(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.Rec
                     pieces, size = [], 0
         if n_held >= BLOCK_SEGMENTS:
             yield out()
-            held, n_held = [], 0
+            held, raws, n_held = [], [], 0
     if pieces:
         block(pieces)
     if held:
         yield out()
 
 
-def _large(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """The first six columns, ``rows`` rows and more at a time."""
-    held, n = [], 0
-    for batch in batches:
-        if batch.num_rows:
-            held.append([batch.column(k).to_numpy() for k in range(6)])
-            n += batch.num_rows
-        if n >= rows:
-            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
-            held, n = [], 0
-    if held:
-        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
-
-
 def _paired(anchor: np.ndarray, context: np.ndarray) -> np.ndarray:
     """Which rows share anchor and context with another; a context of 0 is none."""
     order = np.lexsort((context, anchor))
@@ -181,36 +178,59 @@ def _paired(anchor: np.ndarray, context: np.ndarray) -> np.ndarray:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of segments sorted by anchor, content and place: those that repeat (marked), and those whose anchor has several contents.
+    """Of segments sorted by anchor and content: those that may share a window with another, by the contents' hashes or, where an
+    anchor has several contents, by the left or right context of the anchor. An anchor with more segments than are held
+    at a time goes on whole."""
+
+    def out(columns: tuple[np.ndarray, ...], kept: np.ndarray | slice = slice(None)) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x[kept], kind) for x, kind in zip(columns[:5], _KINDS, strict=False)], names=COMPARED_ROWS.names)
+
+    def compared(columns: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        anchor, content, _, _, _, contexts = columns
+        new = np.r_[True, (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])]
+        alike = ~new
+        alike[:-1] |= alike[1:]
+        firsts = np.flatnonzero(new)
+        left, right = contexts[firsts].view(np.uint64) >> np.uint64(32), contexts[firsts].view(np.uint64) & np.uint64(0xFFFFFFFF)
+        alike[firsts] |= _paired(anchor[firsts], left) | _paired(anchor[firsts], right)
+        return out(columns, alike)
 
-    Of the latter, those go no further that share neither the left nor the right context of the anchor with another, as
-    no window of theirs can be another's; this is judged where all segments of an anchor are at hand.
-    """
-    last: tuple | None = None  # the last first-of-its-content row, and whether it is out already
-    for columns in _large(batches, COMPARED):
-        if last is not None:
-            columns = tuple(np.concatenate([[x], y]).astype(y.dtype) for x, y in zip(last[0], columns, strict=True))
-        anchor, content, doc, start, n, contexts = columns
-        same_anchor = np.zeros(len(anchor), dtype=bool)
-        same_anchor[1:] = anchor[1:] == anchor[:-1]
-        repeats = np.zeros(len(anchor), dtype=bool)
-        repeats[1:] = same_anchor[1:] & (content[1:] == content[:-1])
-        firsts = np.flatnonzero(~repeats)
-        several = np.zeros(len(anchor), dtype=bool)
-        joined = anchor[firsts[1:]] == anchor[firsts[:-1]]
-        several[firsts[1:][joined]] = True
-        several[firsts[:-1][joined]] = True
-        if last is not None and last[1]:
-            several[0] = False
-        end = firsts[-1]
-        was_out = bool(several[end]) or (end == 0 and last is not None and last[1])
-        last = (tuple(x[end] for x in columns), was_out)
-        whole = np.flatnonzero(several & (anchor != anchor[0]) & (anchor != anchor[-1]))
-        left, right = contexts[whole].view(np.uint64) >> np.uint64(32), contexts[whole].view(np.uint64) & np.uint64(0xFFFFFFFF)
-        several[whole] = _paired(anchor[whole], left) | _paired(anchor[whole], right)
-        kept = np.flatnonzero(repeats | several)
-        if len(kept):
-            yield pa.RecordBatch.from_arrays([pa.array(x[kept], kind) for x, kind in zip((*columns, repeats), _KINDS, strict=True)], names=SEGMENTS.names)
+    held: list[tuple[np.ndarray, ...]] = []
+    size, streaming = 0, None
+    for batch in batches:
+        columns = tuple(batch.column(k).to_numpy() for k in range(6))
+        if streaming is not None and len(columns[0]):
+            own = int(np.searchsorted(columns[0], streaming, "right"))
+            if own:
+                yield out(columns, slice(own))
+            columns = tuple(x[own:] for x in columns)
+            streaming = None if len(columns[0]) else streaming
+        if not len(columns[0]):
+            continue
+        held.append(columns)
+        size += len(columns[0])
+        if size >= COMPARED:
+            columns = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            begun = int(np.searchsorted(columns[0], columns[0][-1]))  # the last anchor may go on
+            if begun:
+                yield compared(tuple(x[:begun] for x in columns))
+                held, size = [tuple(x[begun:] for x in columns)], size - begun
+            else:
+                yield out(columns)
+                held, size, streaming = [], 0, columns[0][-1]
+    if held:
+        yield compared(tuple(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
+def _least_between(table: list[np.ndarray], first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The least of values first ... last, from the minima over runs of 1, 2, 4 ... values."""
+    levels = np.frexp((last - first + 1).astype(np.float32))[1] - 1
+    out = np.empty(len(first), dtype=table[0].dtype)
+    for level in np.flatnonzero(np.bincount(levels)).tolist() if len(levels) else []:
+        own = np.flatnonzero(levels == level)
+        runs = table[level]
+        out[own] = np.minimum(runs[first[own]], runs[last[own] + 1 - (1 << level)])
+    return out
 
 
 def sorted_windows(texts: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -232,31 +252,39 @@ def sorted_windows(texts: list[bytes], counts: np.ndarray) -> tuple[np.ndarray,
     flat, stride = grid.ravel(), width + 1
     edge = np.arange(1, len(texts) + 1, dtype=np.int32) * stride  # the empty suffixes
     left = edge - sizes.astype(np.int32)
-    # the places before the suffixes; those of the empty ones stay at the head
+    # the places before the suffixes; those of the empty ones stay at the head; and each one's common prefix with that before
     places = np.empty(len(raw) + len(texts), dtype=np.int32)
     places[: len(texts)] = edge - 1
+    prefixes = np.zeros(len(places), dtype=np.uint8)
     n = len(texts)
     inside = np.ones(len(flat), dtype=bool)
     inside[left - 1] = False
     for _ in range(width):
         goes_on = np.flatnonzero(inside[places[:n]])
-        order = goes_on[np.argsort(flat[places[goes_on]], kind="stable")]
+        symbols = flat[places[goes_on]]
+        own = np.argsort(symbols, kind="stable")
+        order, symbols = goes_on[own], symbols[own]
+        same = np.flatnonzero(symbols[1:] == symbols[:-1])
+        # a common first symbol, and the least common prefix of what stood between in the round before
+        table, size = [prefixes[:n]], 1
+        widest = int((order[same + 1] - order[same]).max(initial=0))
+        while 2 * size <= widest:
+            table.append(np.minimum(table[-1][:-size], table[-1][size:]))
+            size *= 2
+        found = np.minimum(_least_between(table, order[same] + 1, order[same + 1]), LENGTH - 1) + 1
+        prefixes[len(texts) : len(texts) + len(order)] = 0
+        prefixes[len(texts) + 1 + same] = found
         places[len(texts) : len(texts) + len(order)] = places[:n][order] - 1
         n = len(texts) + len(order)
     suffixes = places[:n] + 1
     text = (suffixes - 1) // stride
     start = suffixes - left[text]
+    group = np.cumsum(prefixes[:n] < LENGTH)
     real = np.flatnonzero((start >= 0) & (start < counts[text]) & (suffixes < edge[text]))
-    suffixes, text, start = suffixes[real], text[real], start[real]
+    group = group[real]
     equal = np.zeros(len(real), dtype=bool)
-    if len(real) > 1:
-        # common prefixes of neighbours: blocks of the window's bytes, compared as far as they agree
-        near = np.arange(1, len(real))
-        for at in range(0, LENGTH, 4):
-            k = np.arange(at, min(at + 4, LENGTH))
-            near = near[(flat[suffixes[near][:, None] + k] == flat[suffixes[near - 1][:, None] + k]).all(axis=1)]
-        equal[near] = True
-    return text, start, equal
+    equal[1:] = group[1:] == group[:-1]
+    return text[real], start[real], equal
 
 
 FOUND = T.StructType([T.StructField("doc", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType())])
@@ -282,38 +310,85 @@ def repeated_windows(rows: list[tuple[int, int, int, bytes]]) -> list[tuple[int,
     return list(zip(doc[first].tolist(), place[first].tolist(), np.diff(np.append(first, len(doc))).tolist(), strict=True))
 
 
+FETCHED = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("content", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("data", T.BinaryType()), T.StructField("low", T.IntegerType()), T.StructField("high", T.IntegerType()), T.StructField("repeats", T.BooleanType())])
+_FETCHED = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.bool_()]
+
+
 def _collect(batches: Iterator[pa.RecordBatch], collection: int) -> Iterator[pa.RecordBatch]:
-    """Collections of segments, sorted by anchor: whole anchors together, several to a collection."""
+    """Of segments (anchor, content, doc, start, n, data) sorted by all but the last two: those of equal bytes repeat the first; those that
+    differ go by whole anchors, several to a collection."""
 
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        found = repeated_windows(rows)
+    def out(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*found, strict=True) if found else [[]] * 3, [pa.int64(), pa.int32(), pa.int32()], strict=True)], names=FOUND.names)
 
     rows: list[tuple] = []
     own: list[tuple] = []
-    at = None
+    whole: list[tuple[int, int, int]] = []
+    alike: set[bytes] = set()
+    at = of = None
     for batch in batches:
-        for anchor, doc, start, n, data in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+        for anchor, content, doc, start, n, data in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
             if anchor != at:
-                if len(rows) + len(own) > collection and rows:
-                    yield out(rows)
-                    rows = []
-                rows += own
-                own, at = [], anchor
-            own.append((doc, start, n, data))
-    rows += own
+                if len(own) > 1:
+                    if len(rows) + len(own) > collection and rows:
+                        yield out(repeated_windows(rows))
+                        rows = []
+                    rows += own
+                own, at, of = [], anchor, None
+            if content != of:
+                alike, of = set(), content
+            if data in alike:
+                whole.append((doc, start, n))
+            else:
+                alike.add(data)
+                own.append((doc, start, n, data))
+        if whole:
+            yield out(whole)
+            whole = []
+    if len(own) > 1:
+        rows += own
     if rows:
-        yield out(rows)
+        yield out(repeated_windows(rows))
+
+
+def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments of crowded anchors, cut by the places at which their windows hold the anchor: of each half of the places the windows,
+    under a key of what bytes around the anchor these have in common. Of equal ones in a task, all but the first are marked."""
+    held: dict[tuple[int, bytes], list[tuple[int, int, int, int, int]]] = {}
+    size = 0
 
+    def out() -> pa.RecordBatch:
+        made = []
+        for (key, data), rows in held.items():
+            rows.sort()
+            content = xxhash.xxh3_64_intdigest(data)
+            content -= (content >> 63) << 64
+            made += [(key, content, doc, start, n, data if k == 0 else None, low, high, k > 0) for k, (doc, start, n, low, high) in enumerate(rows)]
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*made, strict=True), _FETCHED, strict=True)], names=FETCHED.names)
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each window's hash and place."""
     for batch in batches:
-        for _, doc, start, n, data in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(data[k : k + LENGTH]) for k in range(n)], pa.binary()), pa.array([doc] * n, pa.int64()), pa.array(range(start, start + n), pa.int32())], names=["window", "doc", "start"])
+        for _, _, doc, start, n, data, low, high in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+            # the anchor is the least gram of those that all windows hold
+            shared = _gram_hashes(np.frombuffer(data, dtype=np.uint8)[n - 1 : LENGTH])
+            anchor = n - 1 + int(((shared & ~_PLACE) | np.arange(len(shared), dtype=np.uint64)).argmin())
+            middle = (low + high) // 2
+            for a, b in ((low, middle), (middle, high)) if high - low > 1 else ((low, high),):
+                # window j holds the anchor at place anchor - j
+                first, last = max(0, anchor - b + 1), min(n, anchor - a + 1)
+                if first >= last:
+                    continue
+                # places a ... b - 1: at least a bytes before the anchor, and PLACES - b after it
+                key = xxhash.xxh3_64_intdigest(data[anchor - a : anchor + GRAM + PLACES - b] + bytes([a, b]))
+                held.setdefault((key - ((key >> 63) << 64), data[first : last + LENGTH - 1]), []).append((doc, start + first, last - first, a, b))
+                size += 1
+        if size >= COMPARED:
+            yield out()
+            held, size = {}, 0
+    if held:
+        yield out()
 
 
-def repeats(docs: DataFrame, id_col: str, text_col: str, collection: int = COLLECTION, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str, text_col: str, collection: int = COLLECTION, block_bytes: int = BLOCK_BYTES, crowd: int = CROWD) -> DataFrame:
     """(doc, start, n): runs of starts of windows that also start earlier. Ids must be distinct and not null."""
     spark = docs.sparkSession
     common.prepare(spark)
@@ -321,34 +396,41 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, collection: int = COLLE
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
     cut = texts.mapInArrow(partial(_cut, block_bytes=block_bytes), SEGMENTS)
     found = common.materialise(cut, "suffix-segments")
-    local = found.filter("repeats").select("doc", "start", "n")
-    dealt = found.filter("not repeats").repartition(parts, "anchor").sortWithinPartitions("anchor", "content", "doc", "start")
-    compared = common.materialise(dealt.drop("repeats").mapInArrow(_compare, SEGMENTS), "suffix-compared")
-    whole = compared.filter("repeats").select("doc", "start", "n")
-    wanted = compared.filter("not repeats").select("anchor", "doc", "start", "n")
-    by_anchor = wanted.groupBy("anchor").agg(F.count(F.lit(1)).alias("members"))
-    crowded = common.materialise(by_anchor.filter(F.col("members") > collection), "suffix-crowded")
-    by_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("segments"))
+    result = found.filter("repeats").select("doc", "start", "n")
+    dealt = found.filter("not repeats").repartition(parts, "anchor").sortWithinPartitions("anchor", "content")
+    compared = common.materialise(dealt.drop("repeats").mapInArrow(_compare, COMPARED_ROWS), "suffix-compared")
+    by_doc = compared.groupBy("doc").agg(F.collect_list(F.struct("anchor", "content", "start", "n")).alias("segments"))
     fetched = texts.join(by_doc, "doc").select("doc", F.encode("text", "utf-8").alias("data"), F.explode("segments").alias("s"))
-    fetched = fetched.select(F.col("s.anchor").alias("anchor"), "doc", F.col("s.start").alias("start"), F.col("s.n").alias("n"), F.expr(f"substring(data, s.start + 1, s.n + {LENGTH - 1})").alias("data"))
-    if crowded.isEmpty():
-        few, many = fetched, None
-    else:
-        fetched = common.materialise(fetched, "suffix-fetched")
-        # anchors over the limit: fewer than a row for each COLLECTION segments
-        few, many = fetched.join(crowded, "anchor", "left_anti"), fetched.join(crowded, "anchor", "left_semi")
-    sorted_out = few.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(partial(_collect, collection=collection), FOUND)
-    result = local.unionAll(whole).unionAll(sorted_out)
-    if many is not None:
-        windows = common.materialise(many.mapInArrow(_windows, "window binary, doc bigint, start int"), "suffix-windows")
-        firsts = windows.groupBy("window").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1")
-        firsts = common.materialise(firsts.withColumn("window", F.hex("window")), "suffix-firsts")
-        joined = common.attach(windows.withColumn("window", F.hex("window")), firsts, "window", "times", windows.count(), "doc")
-        result = result.unionAll(joined.filter("struct(doc, start) > first").select("doc", "start", F.lit(1).alias("n")))
-    return common.materialise(result, "suffix-repeats")
-
-
-def cut_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", collection: int = COLLECTION, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    fetched = fetched.select(F.col("s.anchor").alias("anchor"), F.col("s.content").alias("content"), "doc", F.col("s.start").alias("start"), F.col("s.n").alias("n"), F.expr(f"substring(data, s.start + 1, s.n + {LENGTH - 1})").alias("data"))
+
+    def crowded(rows: DataFrame) -> DataFrame:
+        """Anchors with more than ``crowd`` different contents."""
+        kinds = rows.groupBy("anchor", "content").agg(F.lit(1).alias("one")).groupBy("anchor").agg(F.count("one").alias("kinds"))
+        return common.materialise(kinds.filter(F.col("kinds") > crowd).select("anchor"), "suffix-crowded")
+
+    def collected(rows: DataFrame) -> DataFrame:
+        order = rows.select(*FETCHED.names[:6]).repartition(parts, "anchor").sortWithinPartitions("anchor", "content", "doc", "start")
+        return common.materialise(order.mapInArrow(partial(_collect, collection=collection), FOUND), "suffix-found")
+
+    many = crowded(compared)
+    if many.isEmpty():
+        return result.unionAll(collected(fetched))
+    fetched = common.materialise(fetched, "suffix-fetched")
+    result = result.unionAll(collected(fetched.join(many, "anchor", "left_anti")))
+    rows, width = fetched.join(many, "anchor", "left_semi").select(*FETCHED.names[:6], F.lit(0).alias("low"), F.lit(PLACES).alias("high")), PLACES
+    while True:
+        made = common.materialise(rows.mapInArrow(_halves, FETCHED), "suffix-halves")
+        width = (width + 1) // 2
+        result = result.unionAll(made.filter("repeats").select("doc", "start", "n"))
+        rows = made.filter("not repeats").drop("repeats")
+        many = crowded(rows) if width > 1 else None
+        if many is None or many.isEmpty():
+            return result.unionAll(collected(rows))
+        result = result.unionAll(collected(rows.join(many, "anchor", "left_anti")))
+        rows = rows.join(many, "anchor", "left_semi")
+
+
+def cut_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", collection: int = COLLECTION, block_bytes: int = BLOCK_BYTES, crowd: int = CROWD) -> DataFrame:
     """Add n_bytes, spans (array of [begin, end) of removed bytes) and kept (the bytes that remain) to every row.
 
     Null texts are empty. Texts under LENGTH bytes are never cut. Of rows that repeat an id, the order is that of their
@@ -359,7 +441,7 @@ def cut_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", col
     common.prepare(spark)
     docs = docs.select(*[c for c in docs.columns if c not in ("n_bytes", "spans", "kept", "_doc") or c in (id_col, text_col)])
     keyed = common.keyed(docs, id_col, text_col)
-    by_doc = repeats(keyed, "_doc", text_col, collection, block_bytes).groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("start", "n")).alias("_runs"))
+    by_doc = repeats(keyed, "_doc", text_col, collection, block_bytes, crowd).groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("start", "n")).alias("_runs"))
     joined = keyed.join(by_doc, "_doc", "left").drop("_doc")
     at = joined.columns.index(text_col)
     names = [c for c in joined.columns if c != "_runs"]
@@ -410,4 +492,5 @@ def digests(found: DataFrame) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's digests after its repeated strings are cut out."""
     return digests(cut_out(common.read(spark, sf_dir, "documents").select("doc_id", "text")))
