@@ -23,7 +23,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,12 +38,16 @@ CHUNK_BYTES = 16_000_000
 CHUNK_WORDS = 400_000
 #: Strings whose subtrees are computed at a time.
 BATCH_GRAMS = 150_000
+#: Words are dealt out by so many buckets of their hash; a bucket's words from all chunks are added up at once.
+WORD_BUCKETS = 16_384
 END = 0x0A
 _PAD = bytes([END]) * DEPTH
 _REST = np.uint64((1 << 8 * (DEPTH + 1 - BOUNDARY)) - 1)
 _BOUND = np.uint64(8 * (DEPTH + 1 - BOUNDARY))
-CUT = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("line", T.BinaryType()), T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("top", T.IntegerType()), T.StructField("rests", T.BinaryType()), T.StructField("counts", T.BinaryType())])
-_CUT = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+#: A part is a bucket of words or a context of BOUNDARY bytes; first and second are words and counts, rests of strings and counts, or
+#: packed lines and what belongs to them.
+CUT = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("first", T.BinaryType()), T.StructField("second", T.BinaryType())])
+_WORDS, _GRAMS, _LINES = range(3)
 
 
 def _keys(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -72,6 +77,13 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[new], np.add.reduceat(n[order], new)
 
 
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how often each occurs."""
+    keys = np.sort(keys)
+    new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[new], np.diff(np.r_[new, len(keys)])
+
+
 def _blobs(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """Stretches of an array as binary values."""
     offsets = (np.asarray(bounds) * values.itemsize).astype(np.int32)
@@ -85,46 +97,52 @@ def _by_top(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tops[bounds[:-1]], bounds
 
 
-def cut(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Three kinds of rows by chunk: texts (doc, held_out, line), distinct words with their training counts (word, n), and distinct
-    strings by the nearest bytes of context (top, rests, counts)."""
+def _batch(chunk, kind: int, part: pa.Array, first: pa.Array, second: pa.Array) -> pa.RecordBatch:
+    m = len(part)
+    chunk = pa.nulls(m, pa.int64()) if chunk is None else pa.array(chunk if isinstance(chunk, list) else [chunk] * m, pa.int64())
+    return pa.RecordBatch.from_arrays([chunk, pa.array([kind] * m, pa.int32()), part, first, second], names=CUT.names)
+
+
+def cut(docs: DataFrame, id_col: str, text_col: str, buckets: int = WORD_BUCKETS) -> DataFrame:
+    """Three kinds of rows by chunk: distinct words with their training counts by bucket, distinct strings with theirs by the nearest
+    bytes of context, and packed lines with their documents' ids."""
     common.prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
+        from zstandard import ZstdCompressor
 
         common.alone()
+        packer = ZstdCompressor(level=3)
         chunk, size = TaskContext.get().partitionId() << 24, 0
         words: Counter = Counter()
         grams: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def out(size: int, /, **columns: pa.Array) -> pa.RecordBatch:
-            columns["chunk"] = pa.array(np.full(size, chunk), pa.int64())
-            return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(size, kind) for c, kind in zip(CUT.names, _CUT, strict=True)], names=CUT.names)
-
         def flush() -> Iterator[pa.RecordBatch]:
-            names = list(words)
-            for at in range(0, len(names), 50_000):
-                own = names[at : at + 50_000]
-                yield out(len(own), word=pa.array(own, pa.binary()), n=pa.array([words[w] for w in own], pa.int64()))
-            keys, n = (np.concatenate(x) for x in zip(*grams, strict=True))
-            keys, n = _summed(keys, n)
+            by_bucket: dict[int, list[bytes]] = {}
+            for word in words:
+                by_bucket.setdefault(xxhash.xxh3_64_intdigest(word) % buckets, []).append(word)
+            names = list(by_bucket.values())
+            counts = np.array([words[w] for own in names for w in own], dtype="<u4")
+            bounds = np.cumsum([0, *map(len, names)])
+            yield _batch(chunk, _WORDS, pa.array(list(by_bucket), pa.int32()), pa.array([b"\n".join(own) for own in names], pa.binary()), _blobs(counts, bounds))
+            keys, n = _summed(*(np.concatenate(x) for x in zip(*grams, strict=True)))
             tops, bounds = _by_top(keys)
-            yield out(len(tops), top=pa.array(tops), rests=_blobs((keys & _REST).astype("<u4"), bounds), counts=_blobs(n.astype("<u4"), bounds))
+            yield _batch(chunk, _GRAMS, pa.array(tops), _blobs((keys & _REST).astype("<u4"), bounds), _blobs(n.astype("<u4"), bounds))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             lines = [b" ".join((t or "").encode().lower().split()) for t in batch.column(2).to_pylist()]
-            held = batch.column(1).to_pylist()
-            yield out(len(lines), doc=batch.column(0), held_out=batch.column(1), line=pa.array(lines, pa.binary()))
+            ids, held = batch.column(0), np.array(batch.column(1).to_pylist(), dtype=bool)
+            facts = np.stack([ids.fill_null(0).to_numpy().astype("<i8"), np.array(ids.is_null().to_pylist(), dtype="<i8"), held.astype("<i8")])
+            yield _batch(chunk, _LINES, pa.array([0], pa.int32()), pa.array([packer.compress(b"\n".join(lines))], pa.binary()), pa.array([facts.tobytes()], pa.binary()))
             for asked in (False, True):
-                own = [line for line, h in zip(lines, held, strict=True) if h == asked]
+                own = [line for line, h in zip(lines, held.tolist(), strict=True) if h == asked]
                 if not own:
                     continue
-                keys, _ = _keys(own)
-                keys, n = _summed(keys, np.full(len(keys), 0 if asked else 1, dtype=np.int64))
-                grams.append((keys, n))
+                keys, n = _counted(_keys(own)[0])
+                grams.append((keys, np.zeros_like(n) if asked else n))
                 for line in own:
                     words.update(dict.fromkeys(line.split(), 0) if asked else line.split())
             size += sum(map(len, lines))
@@ -136,7 +154,37 @@ def cut(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if grams:
             yield from flush()
 
-    return docs.select(F.col(id_col).cast("bigint"), "held_out", text_col).mapInArrow(run, CUT)
+    return docs.select(F.col(id_col).cast("bigint"), F.coalesce("held_out", F.lit(False)), text_col).mapInArrow(run, CUT)
+
+
+def _told_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For rows (chunk, part, words, counts) sorted by part: each word's log of one more than its count in all chunks; and rows with
+    sums (chunk null): tokens, different words."""
+    common.alone()
+    held: list[tuple[int, list[bytes], np.ndarray]] = []
+    at, tokens, kinds = None, 0, 0
+
+    def out() -> pa.RecordBatch:
+        nonlocal tokens, kinds
+        sums: Counter = Counter()
+        for _, words, counts in held:
+            for word, n in zip(words, counts.tolist(), strict=True):
+                sums[word] += n
+        tokens += sum(sums.values())
+        kinds += sum(n > 0 for n in sums.values())
+        logs = [np.log10(np.array([sums[w] for w in words], dtype="<f8") + 1).tobytes() for _, words, _ in held]
+        return _batch([c for c, _, _ in held], _WORDS, pa.array([at] * len(held), pa.int32()), pa.array([b"\n".join(w) for _, w, _ in held], pa.binary()), pa.array(logs, pa.binary()))
+
+    for batch in batches:
+        for chunk, part, words, counts in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            if part != at and held:
+                yield out()
+                held = []
+            at = part
+            held.append((chunk, words.split(b"\n"), np.frombuffer(counts, dtype="<u4")))
+    if held:
+        yield out()
+    yield _batch(None, _WORDS, pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([np.array([tokens, kinds], dtype="<i8").tobytes()], pa.binary()))
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -349,9 +397,6 @@ def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out()
 
 
-ANSWERS = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("top", T.IntegerType()), T.StructField("rests", T.BinaryType()), T.StructField("values", T.BinaryType())])
-
-
 def _answers(top_nodes):
     """For rows (top, chunk, rests, counts) sorted by top, the model's (chunk null) before those that ask: the asked strings' logs."""
 
@@ -367,7 +412,7 @@ def _answers(top_nodes):
             wanted = np.concatenate(own)
             keys, n = _summed(np.concatenate([*[k for _, k, _ in model], wanted]), np.concatenate([*[n for _, _, n in model], np.zeros(len(wanted), dtype=np.int64)]))
             found = Subtrees(keys, n).log10(above).astype("<f4")[np.searchsorted(keys, wanted)]
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in asked], pa.int64()), pa.array([x[1] for x in asked], pa.int32()), pa.array([x[2] for x in asked], pa.binary()), _blobs(found, np.r_[0, np.cumsum([len(x) for x in own])])], names=ANSWERS.names)
+            return _batch([x[0] for x in asked], _GRAMS, pa.array([x[1] for x in asked], pa.int32()), pa.array([x[2] for x in asked], pa.binary()), _blobs(found, np.r_[0, np.cumsum([len(x) for x in own])]))
 
         at = None
         for batch in batches:
@@ -393,85 +438,103 @@ def _answers(top_nodes):
 SCORED = T.StructType([T.StructField("doc", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_sum", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("n_bytes", T.LongType())])
 
 
+class Lookup:
+    """Values by key, in an open-addressing table that is asked about many keys at a time; all of them must be there."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.shift = np.uint64(64 - max(4, (2 * len(keys)).bit_length()))
+        self.mask = np.int64((1 << (64 - int(self.shift))) - 1)
+        self.keys = np.full(int(self.mask) + 1, np.iinfo(np.uint64).max, dtype=np.uint64)
+        self.values = np.zeros(len(self.keys), dtype=values.dtype)
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[slot[left]] == np.iinfo(np.uint64).max]
+            self.keys[slot[free]] = keys[free]
+            left = left[self.keys[slot[left]] != keys[left]]
+            slot[left] = (slot[left] + 1) & self.mask
+        self.values[slot] = values
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        left = np.flatnonzero(self.keys[slot] != keys)
+        while len(left):
+            slot[left] = (slot[left] + 1) & self.mask
+            left = left[self.keys[slot[left]] != keys[left]]
+        return self.values[slot]
+
+
 def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For rows (chunk, kind, word, n, top, rests, values, doc, held_out, line) sorted by chunk and kind: answers about words, then
-    about strings, then the chunk's texts; the texts' sums."""
+    """For rows (chunk, kind, part, first, second) sorted by chunk, kind and part: answers about words, then about strings, then the
+    chunk's lines; the texts' sums."""
+    from zstandard import ZstdDecompressor
+
     common.alone()
+    unpacker = ZstdDecompressor()
     at, words, grams = None, {}, []
-    keys, values = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.float32)
+    lookup = Lookup(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.float32))
 
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        lines = [r[2] for r in rows]
+    def out(lines: list[bytes], facts: np.ndarray) -> pa.RecordBatch:
         codes, starts = _keys(lines)
-        scores = np.add.reduceat(values[np.searchsorted(keys, codes)].astype(np.float64), starts)
+        scores = np.add.reduceat(lookup.of(codes), starts, dtype=np.float64)
         known, sums, sizes = [], [], []
         for line in lines:
             own = list(map(words.__getitem__, line.split()))
             sizes.append(len(own) + 1)
             known.append(len(own) - own.count(0.0))
             sums.append(sum(own))
-        columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.bool_()), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(scores), pa.array([len(x) + 1 for x in lines], pa.int64())]
+        columns = [pa.array(facts[0], mask=facts[1] > 0), pa.array(facts[2] > 0), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(scores), pa.array([len(x) + 1 for x in lines], pa.int64())]
         return pa.RecordBatch.from_arrays(columns, names=SCORED.names)
 
     for batch in batches:
-        rows: list[tuple] = []
-        for chunk, kind, word, n, top, rests, found, doc, held_out, line in zip(*(batch.column(k).to_pylist() for k in range(10)), strict=True):
+        for chunk, kind, part, first, second in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
             if chunk != at:
-                if rows:
-                    yield out(rows)
-                at, words, grams, rows = chunk, {}, [], []
-            if kind == 0:
-                words[word] = n
-            elif kind == 1:
-                grams.append((_whole(top, rests), np.frombuffer(found, dtype="<f4")))
+                at, words, grams = chunk, {}, []
+            if kind == _WORDS:
+                words.update(zip(first.split(b"\n"), np.frombuffer(second, dtype="<f8").tolist(), strict=True))
+            elif kind == _GRAMS:
+                grams.append((_whole(part, first), np.frombuffer(second, dtype="<f4")))
             else:
                 if grams:
-                    keys, values = (np.concatenate(x) for x in zip(*grams, strict=True))
-                    grams = []
-                rows.append((doc, held_out, line))
-        if rows:
-            yield out(rows)
+                    lookup, grams = Lookup(*(np.concatenate(x) for x in zip(*grams, strict=True))), []
+                yield out(unpacker.decompress(first, max_output_size=1 << 31).split(b"\n"), np.frombuffer(second, dtype="<i8").reshape(3, -1))
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = WORD_BUCKETS) -> DataFrame:
     """Per row: ``id_col`` (integer), held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte. Learns from the rows
     whose ``held_out`` is false.
 
     score is the model's log10 probability of the whole text, that is of its words in lower case with single spaces between, and an
     end; other white space isn't told apart. bits_per_byte is the code length of that in proportion. Null and empty texts hold
     the end alone. Texts of any length count whole. A word counts as unknown if no training text has it. With no training text,
-    base and model still give probabilities. Repeated rows and ids are scored row by row; other columns are left out; an
+    base and model still give probabilities. A null ``held_out`` counts as false. Repeated rows and ids are scored row by row; other columns are left out; an
     empty table gives no rows.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pieces = common.materialise(cut(docs, id_col, text_col), "lm-chunks")
-    n_docs = pieces.filter("line is not null and not held_out").count()
-    by_word = Window.partitionBy("word")
-    words = pieces.filter("word is not null").select("chunk", "word", F.col("n").alias("local"), F.sum("n").over(by_word).alias("n"), (F.min("chunk").over(by_word) == F.col("chunk")).alias("first"))
+    n_docs = docs.filter(~F.coalesce("held_out", F.lit(False))).count()
+    pieces = common.materialise(cut(docs, id_col, text_col, buckets), "lm-chunks")
+    of_kind = lambda kind: pieces.filter(F.col("kind") == kind)
+    words = of_kind(_WORDS).select("chunk", "part", "first", "second").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_told_words, CUT)
     words = common.materialise(words, "lm-words")
-    n_words, distinct = words.agg(F.sum("local"), F.sum((F.col("first") & (F.col("n") > 0)).cast("bigint"))).first()
-    total, kinds = (n_words or 0) + n_docs, (distinct or 0) + (n_docs > 0)
+    # a row for each task
+    sums = np.sum([np.frombuffer(bytes(r[0]), dtype="<i8") for r in words.filter("chunk is null").select("second").collect()] or [[0, 0]], axis=0)
+    total, kinds = int(sums[0]) + n_docs, int(sums[1]) + (n_docs > 0)
 
-    grams = pieces.filter("top is not null")
-    model = common.materialise(grams.select("top", "rests", "counts").repartition(parts, "top").sortWithinPartitions("top").mapInArrow(_fitted, MODEL), "lm-model")
+    grams = of_kind(_GRAMS)
+    model = common.materialise(grams.select("part", "first", "second").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_fitted, MODEL), "lm-model")
     sums = model.filter("node is not null").groupBy("node", "slot").agg(F.sum("value").alias("value")).toArrow()
     top = _top(*(sums[c].to_numpy().astype(kind) for c, kind in (("node", np.int64), ("slot", np.int64), ("value", np.float64))))
     shipped = spark.sparkContext.broadcast((top.nodes, top.keep, top.pass_on, top.alone, top.nodes1, top.alone1, top.root))
-    questions = model.filter("top is not null").select("top", F.lit(None).cast("bigint").alias("chunk"), "rests", "counts").unionAll(grams.select("top", "chunk", "rests", F.lit(None).cast("binary")))
-    answers = questions.repartition(parts, "top").sortWithinPartitions("top", "chunk").mapInArrow(_answers(shipped), ANSWERS)
-
-    null = lambda kind: F.lit(None).cast(kind)
-    kinds_of = {"chunk": "bigint", "kind": "int", "word": "binary", "n": "double", "top": "int", "rests": "binary", "values": "binary", "doc": "bigint", "held_out": "boolean", "line": "binary"}
-
-    def rows(df: DataFrame, kind: int, **columns) -> DataFrame:
-        columns |= {"chunk": F.col("chunk"), "kind": F.lit(kind)}
-        return df.select(*[(columns[c] if c in columns else null(k)).cast(k).alias(c) for c, k in kinds_of.items()])
+    none = lambda kind: F.lit(None).cast(kind)
+    questions = model.filter("top is not null").select(F.col("top").alias("part"), none("bigint").alias("chunk"), "rests", "counts").unionAll(grams.select("part", "chunk", "first", none("binary")))
+    answers = questions.repartition(parts, "part").sortWithinPartitions("part", "chunk").mapInArrow(_answers(shipped), CUT)
 
-    told = rows(words, 0, word=F.col("word"), n=F.log10(F.col("n") + 1))
-    told = told.unionAll(rows(answers, 1, top=F.col("top"), rests=F.col("rests"), values=F.col("values")))
-    told = told.unionAll(rows(pieces.filter("line is not null"), 2, doc=F.col("doc"), held_out=F.col("held_out"), line=F.col("line")))
-    found = told.repartition(parts, "chunk").sortWithinPartitions("chunk", "kind", "top").mapInArrow(_scored, SCORED)
+    told = words.filter("chunk is not null").unionAll(answers).unionAll(of_kind(_LINES))
+    # chunks are large, so they get more tasks than there are partitions elsewhere
+    found = told.repartition(4 * parts, "chunk").sortWithinPartitions("chunk", "kind", "part").mapInArrow(_scored, SCORED)
     end = float(np.log10(n_docs + 1))
     return found.select(
         F.col("doc").alias(id_col),
