@@ -241,7 +241,8 @@ def test_training_order_and_cutting_change_nothing(spark, docs, monkeypatch):
 
 def test_scores_awkward(awkward, empty):
     marked = awkward.withColumn("held_out", F.col("doc_id").isNull())
-    assert lm_scoring.score(marked).count() == 5
+    got = sorted((r.n_tokens, r.held_out, r.n_known > 1) for r in lm_scoring.score(marked).collect())
+    assert got == [(1, True, False), (4, False, True), (81, False, True), (81, False, True), (82, True, True)]
     assert lm_scoring.score(empty.withColumn("held_out", F.lit(False))).count() == 0
     all_held = lm_scoring.score(awkward.withColumn("held_out", F.lit(True))).collect()
     assert all(r.train_tokens == 0 and r.n_known == 0 and np.isfinite(r.score) for r in all_held)
@@ -287,8 +288,40 @@ def test_odd_texts_are_told_from_clean_ones(spark):
     rows[40] = (100, " ".join(str(r.random()) for _ in range(80)), "en")
     got = {x.doc_id: x for x in quality.rules(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
     assert all(got[i].kept for i in range(40)) and not got[100].kept and not got[101].kept and got[102].kept
-    assert "PythonUDF" not in quality.rules(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))._jdf.queryExecution().toString()
-
-
-def test_quality_awkward(awkward, empty):
-    assert quality.rules(awkward).count() == 5 and quality.rules(empty).count() == 0
+    assert "Python" not in quality.rules(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))._jdf.queryExecution().toString()
+
+
+def against_sql(spark, path, rows):
+    import duckdb
+
+    spark.createDataFrame([(*r, None, None) for r in rows], DOCS).write.parquet(f"{path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/documents.parquet/*.parquet')")
+    df = quality.op10_quality(spark, str(path))
+    found = c.execute(quality.OP10_SQL)
+    assert [x[0] for x in found.description] == df.columns
+    return sorted(map(tuple, df.collect())), sorted(found.fetchall())
+
+
+def test_quality_against_sql(spark, texts, tmp_path):
+    r = random.Random(8)
+    rows = list(texts)
+    # a language without a list of its own, words of one language under another's name, texts without a language
+    invented = ["zor", "mab", "kel", "tiv", "ruo", "pex", "lam", "dut"]
+    rows += [(1000 + i, " ".join(r.choices(invented, k=90)), "xx") for i in range(12)]
+    rows += [(1100 + i, prose(r, "de", 90), "en") for i in range(2)] + [(1200 + i, prose(r, "fr", 90), None) for i in range(3)]
+    rows += [(1300, " ".join(f"q{r.randrange(10**6)}z" for _ in range(100)), "en"), (1301, prose(r, "en", 70).upper(), None)]
+    got, expected = against_sql(spark, tmp_path, rows)
+    assert got == expected
+    kept, distance = {x[0]: x[7] for x in got}, {x[0]: x[9] for x in got}
+    assert all(distance[1000 + i] is not None and distance[1000 + i] < 0.2 for i in range(12))
+    # gibberish has no common words, and another language's words are not the named one's
+    assert not kept[1300] and distance[1300] > 0.6 and distance[1100] > 0.5
+
+
+def test_quality_awkward(spark, awkward, empty, tmp_path):
+    rows = quality.rules(awkward).collect()
+    assert sorted(str(x.n_words) for x in rows) == sorted(["80", "80", "3", "0", "81"]) and all(x.base_failed == (x.n_words < 10) for x in rows)
+    assert quality.rules(empty).count() == 0
+    got, expected = against_sql(spark, tmp_path, [(0, "one two", None), (1, None, None)])
+    assert got == expected
