@@ -62,6 +62,11 @@ def padded(value: Column, width: int) -> Column:
     return F.lpad(value.cast("string"), width, "0")
 
 
+def thousands(number: Column) -> Column:
+    """A whole number with commas between thousands."""
+    return F.format_number(number, 0)
+
+
 def split_list(text: Column, separator: str = ",") -> Column:
     """Parts of a separated text, trimmed, without empty ones."""
     return F.filter(F.transform(F.split(text, separator), lambda x: F.trim(x)), lambda x: x != "")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewright.functions import columns as C
@@ -66,16 +68,11 @@ def search(t: Tables, term: str = "", limit: int = 100) -> DataFrame:
     )
 
 
-def _children(rows: DataFrame, name: str, *fields: str | Column) -> DataFrame:
-    """Per case, its rows as one sorted array."""
-    return rows.groupBy(F.col("CaseMasterID").alias("_case")).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))
-
-
 def case_files(t: Tables, cases: DataFrame | None = None) -> DataFrame:
     """One nested row for each case (of ``cases``, a table of CaseMasterID, or of all): the header, and its victims,
     accused, arrests, chargesheets and sections as sorted arrays, empty where there are none.
 
-    Each child table is reduced to a row for each case before it is joined, so children never multiply each other.
+    The child tables are reduced together to a row for each case before they are joined, so children never multiply each other.
     """
     only = (lambda df: df) if cases is None else (lambda df: df.join(cases.select("CaseMasterID").distinct(), "CaseMasterID", "left_semi"))
     head = attach(t, only(t["CaseMaster"]), "unit", "district", "head", "subhead", "status", "category", "gravity", "officer", "court", how="left")
@@ -88,14 +85,17 @@ def case_files(t: Tables, cases: DataFrame | None = None) -> DataFrame:
     sheets = only(t["ChargesheetDetails"]).join(officers, F.col("PolicePersonID") == F.col("_officer"), "left")
     sections = only(t["ActSectionAssociation"]).select("CaseMasterID", "ActCode", "SectionCode").join(t["Section"].select("ActCode", "SectionCode", "SectionDescription"), ["ActCode", "SectionCode"], "left")
     children = {
-        "victims": _children(only(t["Victim"]), "victims", "VictimName", "AgeYear", named),
-        "accused": _children(accused, "accused", "AccusedName", "AgeYear", named),
-        "arrests": _children(arrests, "arrests", "ArrestSurrenderDate", "AccusedName", "arrest_district"),
-        "chargesheet": _children(sheets, "chargesheet", "csdate", "cstype", "filed_by"),
-        "act_sections": _children(sections, "act_sections", "ActCode", "SectionCode", "SectionDescription"),
+        "victims": (only(t["Victim"]), ["VictimName", "AgeYear", named]),
+        "accused": (accused, ["AccusedName", "AgeYear", named]),
+        "arrests": (arrests, ["ArrestSurrenderDate", "AccusedName", "arrest_district"]),
+        "chargesheet": (sheets, ["csdate", "cstype", "filed_by"]),
+        "act_sections": (sections, ["ActCode", "SectionCode", "SectionDescription"]),
     }
-    for name, child in children.items():
-        head = head.join(child, F.col("CaseMasterID") == F.col("_case"), "left").drop("_case").withColumn(name, F.coalesce(name, F.array().cast(child.schema[name].dataType)))
+    # all children in one table, so that one shuffle by case brings each case's rows together
+    rows = [df.select(F.col("CaseMasterID").alias("_case"), F.struct(*fields).alias(name)) for name, (df, fields) in children.items()]
+    together = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows).groupBy("_case").agg(*[F.sort_array(F.collect_list(name)).alias(name) for name in children])
+    head = head.join(together, F.col("CaseMasterID") == F.col("_case"), "left").drop("_case")
+    head = head.withColumns({name: F.coalesce(name, F.array().cast(together.schema[name].dataType)) for name in children})
     return head.select(
         "CaseMasterID",
         F.col("CrimeNo").alias("crime_no"),

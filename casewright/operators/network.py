@@ -12,13 +12,14 @@ from casewright.sources.tables import Tables
 LEAST_SHARED, LEAST_DEGREE, MOST_PERSONS = 2, 2, 90
 
 
-def strong_pairs(t: Tables, least: int = LEAST_SHARED) -> DataFrame:
-    """source, target, weight: pairs of persons (source < target) with ``least`` or more distinct cases in common.
+def strong_pairs(t: Tables, least: int = LEAST_SHARED, among: list[str] | None = None) -> DataFrame:
+    """source, target, weight: pairs of persons (source < target), of ``among`` if given, with ``least`` or more distinct cases in common.
 
     A person counts once in a case, which is settled before the self-join. Persons on fewer than ``least`` cases can't be
-    in a pair and are taken out before it as well.
+    in a pair and are taken out before it as well. A case with very many persons is a skewed key of an inner join, which
+    adaptive execution splits.
     """
-    seen = t["Accused"].filter(F.col("PersonID").isNotNull()).select("CaseMasterID", "PersonID").distinct()
+    seen = t["Accused"].filter(F.col("PersonID").isNotNull() if among is None else F.col("PersonID").isin(among)).select("CaseMasterID", "PersonID").distinct()
     often = seen.groupBy("PersonID").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("PersonID")
     kept = seen.join(often, "PersonID", "left_semi")
     a, b = kept.withColumnRenamed("PersonID", "source"), kept.withColumnRenamed("PersonID", "target")
@@ -35,12 +36,12 @@ def degrees(edges: DataFrame) -> DataFrame:
 def edges(t: Tables, most: int = MOST_PERSONS) -> DataFrame:
     """Strong pairs among the ``most`` persons of highest degree, of those of degree 2 or more; heaviest first.
 
-    Persons of equal degree enter by id, so both uses of the list agree.
+    Persons of equal degree enter by id. The list of these few persons is found first, so all pairs are counted once, and
+    then only the entries of the listed persons are read into pairs again.
     """
-    strong = strong_pairs(t)
-    clustered = degrees(strong).filter(F.col("degree") >= LEAST_DEGREE).orderBy(F.desc("degree"), "id").limit(most).select("id")
-    inside = strong.join(clustered.withColumnRenamed("id", "source"), "source", "left_semi").join(clustered.withColumnRenamed("id", "target"), "target", "left_semi")
-    return inside.select("source", "target", "weight").orderBy(F.desc("weight"), "source", "target")
+    clustered = degrees(strong_pairs(t)).filter(F.col("degree") >= LEAST_DEGREE).orderBy(F.desc("degree"), "id").limit(most)
+    shown = [r.id for r in clustered.collect()]
+    return strong_pairs(t, among=shown).select("source", "target", "weight").orderBy(F.desc("weight"), "source", "target")
 
 
 def nodes(t: Tables, shown: DataFrame) -> DataFrame:
@@ -88,3 +89,8 @@ def galaxy(rows: DataFrame, order: list[Column], shown: int = 80, priority: int
     named = people.select(F.col("name").alias("id"), C.first_words(F.col("name")).alias("label"), F.lit("accused").alias("kind"), "count", F.array_join("types", ", ").alias("crime_types"), (F.col("place") <= priority).cast("int").alias("priority"))
     links = people.select(F.col("name").alias("source"), F.explode("types").alias("hub")).select("source", F.concat(F.lit("crime_"), "hub").alias("target"))
     return made.unionByName(named), links
+
+
+def flagged(found: DataFrame, hub: int = 3) -> DataFrame:
+    """Nodes with a flag for those that ``hub`` or more edges end at."""
+    return found.withColumn("hub", F.col("degree") >= hub)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +41,10 @@ def by_words(rows: DataFrame, query: str, k: int = 5, text_col: str = "text", id
         return rows.limit(0).withColumn("score", F.lit(0.0))
     listed = F.array(*[F.lit(w) for w in asked])
     found = F.filter(words(F.col(text_col)), lambda w: w.isin(sorted(set(asked))))
-    scored = rows.withColumn("_found", found).filter(F.size("_found") > 0).withColumn("score", F.size("_found") / (F.size("_found") + 1))
+    # most rows hold none of the words, which is cheaper to see than what words they have
+    lowered = F.lower(F.col(text_col))
+    held = rows.filter(reduce(lambda a, b: a | b, [lowered.contains(w) for w in sorted(set(asked))]))
+    scored = held.withColumn("_found", found).filter(F.size("_found") > 0).withColumn("score", F.size("_found") / (F.size("_found") + 1))
     best = scored.orderBy(F.desc("score"), id_col).limit(OVERFETCH * k)
     gated = best.filter(F.size(F.filter(listed, lambda w: F.array_contains("_found", w))) >= min(LEAST_OVERLAP, len(asked)))
     return gated.drop("_found").orderBy(F.desc("score"), id_col).limit(k)
@@ -80,6 +84,18 @@ def similar_examples_by_vector(examples: DataFrame, vectors: DataFrame, query: S
     return by_vector(rows if exclude is None else rows.filter(F.col(order) != exclude), query, k, id_col=order)
 
 
+def routed_examples(examples: DataFrame, vectors: DataFrame | None, question: str, k: int = 3, embed: Callable[[str], Sequence[float] | None] | None = None, order: str = "idx", exclude: int | None = None) -> DataFrame:
+    """Examples by vector where ``embed`` gives one and something is found, by common words on any failure; idx and score."""
+    if embed is not None and vectors is not None:
+        try:
+            vector = embed(question)
+            if vector is not None and not (found := similar_examples_by_vector(examples, vectors, vector, k, order, exclude)).isEmpty():
+                return found.select(order, "score")
+        except Exception:  # whatever the service does, there are still the words
+            pass
+    return similar_examples(examples, question, k, order=order, exclude=exclude).select(order, "score")
+
+
 def by_listed_places(examples: DataFrame, answer: str | None, k: int = 3, order: str = "idx") -> DataFrame:
     """The examples at the places that an answer lists as a JSON array of numbers, in its order, scored 1 less 0.01 for each
     place before; places out of range or listed twice are passed over. Without such a list, the first ``k``."""

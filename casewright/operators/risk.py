@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,11 +12,13 @@ from pyspark.sql import functions as F
 from casewright.functions import columns as C
 from casewright.functions import timewin as W
 from casewright.operators import cases
+from casewright.sources import store
 from casewright.sources.tables import Tables
 
 DAYS = 180
 
 
+# The labels and reasons below are what results show.
 def with_risk(rows: DataFrame) -> DataFrame:
     """Add probability, label and contributions (array of label, sign, strength) to rows with has_arrest, days, heinous and
     accused_count. Missing features count as no arrest, no days, not heinous, no accused."""
@@ -35,10 +39,12 @@ def with_risk(rows: DataFrame) -> DataFrame:
 
 def case_features(t: Tables, as_of: date | datetime | str) -> DataFrame:
     """CaseMasterID, has_arrest, days (since registration), heinous, victim_count, accused_count of every case."""
-    count = lambda table, name: t[table].groupBy(F.col("CaseMasterID").alias("_case")).agg(F.count(F.lit(1)).alias(name))
-    rows = cases.attach(t, t["CaseMaster"], "gravity", how="left")
-    for table, name in (("ArrestSurrender", "arrests"), ("Victim", "victim_count"), ("Accused", "accused_count")):
-        rows = rows.join(count(table, name), F.col("CaseMasterID") == F.col("_case"), "left").drop("_case").withColumn(name, F.coalesce(name, F.lit(0).cast("bigint")))
+    kinds = {"arrests": "ArrestSurrender", "victim_count": "Victim", "accused_count": "Accused"}
+    # one shuffle for the three tables, and one join
+    rows = reduce(DataFrame.unionAll, [t[table].select(F.col("CaseMasterID").alias("_case"), F.lit(name).alias("kind")) for name, table in kinds.items()])
+    counts = rows.groupBy("_case").agg(*[C.count_if(F.col("kind") == name).alias(name) for name in kinds])
+    rows = cases.attach(t, t["CaseMaster"], "gravity", how="left").join(counts, F.col("CaseMasterID") == F.col("_case"), "left")
+    rows = rows.withColumns({name: F.coalesce(name, F.lit(0).cast("bigint")) for name in kinds})
     days = F.datediff(F.lit(W.moment(as_of).date()), "CrimeRegisteredDate")
     return rows.select("CaseMasterID", (F.col("arrests") > 0).alias("has_arrest"), days.alias("days"), (F.coalesce("Gravity", F.lit("")) == "Heinous").alias("heinous"), "victim_count", "accused_count")
 
@@ -48,3 +54,10 @@ def likeliest_class(rows: DataFrame, probabilities: str, label: str = "label") -
     entries = F.map_entries(probabilities) if rows.schema[probabilities].dataType.typeName() == "map" else F.col(probabilities)
     best = F.aggregate(entries, F.get(entries, F.lit(0)), lambda a, x: F.when(x["value"] > a["value"], x).otherwise(a))
     return rows.withColumn(label, best["key"])
+
+
+def classified(rows: DataFrame, features: list[str], service: Callable[[list], list], label: str = "label") -> DataFrame:
+    """Add probabilities (a map by class) that a service gives for rows of features written as text, and the likeliest class."""
+    asked = rows.withColumn("_features", F.to_json(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in features])))
+    told = store.enriched(asked, "_features", "probabilities", "map<string,double>", service)
+    return likeliest_class(told.drop("_features"), "probabilities", label)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from casewright.functions import columns as C
+
 
 def missing(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``source`` whose keys ``target`` doesn't hold. A null key matches a null key."""
@@ -35,13 +39,51 @@ def delete_with_dependents(parent: DataFrame, child: DataFrame, gone: DataFrame,
     return parent.join(ids, F.col(key) == F.col("_gone"), "left_anti"), child.join(ids, F.col(child_key) == F.col("_gone"), "left_anti")
 
 
-def with_ids(rows: DataFrame, id_col: str, order: list[str], start: int = 1) -> DataFrame:
-    """Dense ids in a stable order. Rows are sorted by range; numbering follows the partitions, so no task sees all."""
-    spark = rows.sparkSession
-    ordered = rows.orderBy(*order)
-    schema = ordered.schema
-    numbered = ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + start))
-    return spark.createDataFrame(numbered, schema.add(id_col, "long"))
+def with_ids(rows: DataFrame, id_col: str, order: list[str], start: int = 1, ranges: int = 64) -> DataFrame:
+    """Dense ids in the order of ``order``, which must be the same each time (end in a key).
+
+    Rows are numbered within ranges of the order, whose bounds come from a sample; a range's first number is the sum of the counts
+    before it. So no task sees all rows, and the bounds change how even the ranges are, not the numbers.
+    """
+    total = rows.count()
+    key = F.struct(*order)
+    sampled = rows.select(*order).sample(min(1.0, 100.0 * ranges / max(total, 1)), seed=7).orderBy(*order).collect()
+    bounds = [sampled[k * len(sampled) // ranges] for k in range(1, ranges)] if len(sampled) >= 2 * ranges else []
+    of = F.lit(0)
+    for bound in bounds:
+        of = of + (key >= F.struct(*[F.lit(v).alias(c) for c, v in zip(order, bound, strict=True)])).cast("int")
+    placed = rows.withColumn("_range", F.coalesce(of, F.lit(0)))
+    counts = {r._range: r["count"] for r in placed.groupBy("_range").count().collect()}
+    first, firsts = start, []
+    for k in sorted(counts):
+        firsts += [F.lit(k), F.lit(first).cast("bigint")]
+        first += counts[k]
+    base = F.element_at(F.create_map(*firsts), F.col("_range")) if firsts else F.lit(start).cast("bigint")
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return placed.withColumn(id_col, base + place - 1).drop("_range")
+
+
+def zipped(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str]) -> DataFrame:
+    """Rows of two tables side by side, the first with the first and so on, with their place from 0; as many as the shorter has."""
+    return with_ids(left, "place", left_order, 0).join(with_ids(right, "place", right_order, 0), "place")
+
+
+def merged_by_id(rows: DataFrame, results: DataFrame, id_col: str) -> DataFrame:
+    """Rows with what came back for their ids; rows without a result and results without a row are dropped. Of results that repeat
+    an id, the least counts."""
+    columns = [c for c in results.columns if c != id_col]
+    one = results.groupBy(F.col(id_col).alias("_id")).agg(F.min(F.struct(*columns)).alias("_r"))
+    kept = [c for c in rows.columns if c not in columns]
+    return rows.join(one, F.col(id_col) == F.col("_id")).select(*kept, *[F.col(f"_r.{c}").alias(c) for c in columns])
+
+
+def truncated(tables: Mapping[str, DataFrame], names: list[str], references: Mapping[str, list[str]]) -> dict[str, DataFrame]:
+    """The tables with the named ones empty, and all that refer to them, directly or through others (``references``: a table's name
+    to those it refers to)."""
+    gone = set(names)
+    while more := {child for child, parents in references.items() if gone & set(parents)} - gone:
+        gone |= more
+    return {name: df.limit(0) if name in gone else df for name, df in tables.items()}
 
 
 def to_backfill(rows: DataFrame, id_col: str, text_col: str, done_col: str, limit: int | None = None) -> DataFrame:
@@ -61,3 +103,8 @@ def with_children(parent: DataFrame, child: DataFrame, key: str, order: list[str
     kids = child.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, *[c for c in columns if c not in order]))).alias(name))
     joined = parent.join(kids, key, "left")
     return joined.withColumn(name, F.coalesce(name, F.array().cast(kids.schema[name].dataType)))
+
+
+def history(turns: DataFrame, last: int, conversation: str, order: list[str]) -> DataFrame:
+    """The last turns of each conversation, which is what a planner is shown."""
+    return C.top_per_group(turns, [conversation], [F.desc(c) for c in order], last)

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import time
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from datetime import datetime, timedelta
 from typing import Any
@@ -18,6 +21,16 @@ from casewright.functions import timewin as W
 AUDIT = "at timestamp_ntz, run_id string, step int, tool string, args string, status string, row_count bigint, error string"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares; with a local master and none named, in a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        base = "file://" + tempfile.mkdtemp(prefix="casewright-")
+    return f"{base.rstrip('/')}/casewright-{name}-{uuid.uuid4().hex}"
+
+
 def read_examples(spark: SparkSession, path: str) -> DataFrame:
     """idx, question, sql from a JSON array of question and SQL pairs, in the file's order."""
     rows = spark.read.schema("question string, sql string").option("multiLine", True).json(path)
@@ -68,19 +81,35 @@ def for_print(df: DataFrame, rows: int = 100) -> DataFrame:
     return df.limit(rows)
 
 
-def enriched(df: DataFrame, column: str, out: str, kind: str, service: Callable[[list], list], batch: int = 100) -> DataFrame:
+def enriched(df: DataFrame, column: str, out: str, kind: str, service: Callable[[list], list], batch: int = 100, per_minute: float | None = None, retries: int = 3, wait: float = 1.0) -> DataFrame:
     """Add what ``service`` gives for the values of ``column``, asked in batches on the executors; null where it gives none.
 
-    The service is any importable or picklable function from a list of values to a list of results (embeddings, texts).
+    The service is any importable or picklable function from a list of values to a list of results (embeddings, texts). A
+    task asks no faster than ``per_minute`` values a minute, if that is given. A refused batch is asked again up to ``retries``
+    times, each time after twice the wait; if it is refused still, its results are null, and the others go on.
     """
     rest = [c for c in df.columns if c != out]
-    schema = T.StructType([df.schema[c] for c in rest]).add(out, kind)
+    schema = df.select(*rest, F.lit(None).cast(kind).alias(out)).schema
+
+    def asked(values: list) -> list:
+        for attempt in range(retries + 1):
+            try:
+                found = service(values)
+                return found + [None] * (len(values) - len(found))
+            except Exception:
+                if attempt < retries:
+                    time.sleep(wait * 2**attempt)
+        return [None] * len(values)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        due = time.monotonic()
         for frame in frames:
             values: list = []
             for at in range(0, len(frame), batch):
-                values += service(frame[column].iloc[at : at + batch].tolist())
+                own = frame[column].iloc[at : at + batch].tolist()
+                time.sleep(max(0.0, due - time.monotonic()))
+                due = max(due, time.monotonic()) + (60.0 * len(own) / per_minute if per_minute else 0.0)
+                values += asked(own)
             yield frame.assign(**{out: pd.Series(values, index=frame.index, dtype=object)})
 
     return df.select(*rest).mapInPandas(run, schema)

@@ -72,7 +72,7 @@ STAR = {
     ),
     "Victim": ("orders", None, ["o_orderkey AS VictimMasterID", "o_orderkey AS CaseMasterID", "concat('Victim ', CAST(o_orderkey AS STRING)) AS VictimName", "CAST(o_orderkey % 80 AS INT) AS AgeYear", "CAST(o_orderkey % 4 AS INT) AS GenderID"]),
     "ComplainantDetails": ("orders", None, ["o_orderkey AS ComplainantID", "o_orderkey AS CaseMasterID", "CAST(o_orderkey % 15 AS INT) AS OccupationID", "CAST(o_custkey % 6 AS INT) AS ReligionID", "CAST((o_orderkey + o_custkey) % 14 AS INT) AS CasteID"]),
-    "ActSectionAssociation": ("lineitem", "l_linenumber <= 2", ["l_orderkey AS CaseMasterID", "l_returnflag AS ActCode", "l_linestatus AS SectionCode", "l_linenumber AS ActOrderID"]),
+    "ActSectionAssociation": ("lineitem", None, ["l_orderkey AS CaseMasterID", "l_returnflag AS ActCode", "l_linestatus AS SectionCode", "l_linenumber AS ActOrderID"]),
     "ArrestSurrender": (
         "lineitem",
         "l_returnflag = 'R'",

@@ -7,7 +7,9 @@ from datetime import datetime
 import duckdb
 import pytest
 
-from casewright.plans import star
+from casewright.plans import items, star
+
+QUERIES, SQL = star.QUERIES | items.QUERIES, star.SQL | items.SQL
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -28,12 +30,12 @@ def db():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(star.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_same_rows(spark, db, name):
-    df = star.QUERIES[name](spark, FOLDER)
+    df = QUERIES[name](spark, FOLDER)
     columns = sorted(df.columns)
     ours = sorted([tuple(plain(r[c]) for c in columns) for r in df.collect()], key=repr)
-    found = db.execute(star.SQL[name])
+    found = db.execute(SQL[name])
     names = [x[0] for x in found.description]
     assert sorted(names) == columns
     places = [names.index(c) for c in columns]
