@@ -267,6 +267,7 @@ def _decoded(ids: pa.Array, path: str) -> pa.Array:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids and what they decode to, as digests."""
     path = tokens.vocabulary_path("byte_bpe_50k.json")
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = encode(docs, path).select("doc_id", "ids")

@@ -170,6 +170,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document, with its place in its sequence."""
     pieces = pack(common.read(spark, sf_dir, "documents"), tokens.vocabulary_path("word_bpe_49k.json"))
     length = F.expr("cast(octet_length(ids) / 4 as bigint)")
     return pieces.select("doc_id", "start", length.alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

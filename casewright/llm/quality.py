@@ -150,7 +150,7 @@ def _judged(measured: DataFrame, max_char_distance: float, max_word_distance: fl
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's measures and verdict; distances to nine places."""
+    """Every document's measures and verdict; distances to six places."""
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = rules(docs)
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *[F.round(c, 6).alias(c) for c in ("char_distance", "word_distance")])

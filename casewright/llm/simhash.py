@@ -135,6 +135,8 @@ def _first(difference: Column, bits: list[int], distance: int) -> Column:
 def links(fps: DataFrame, distance: int = DISTANCE, dense: int = DENSE) -> DataFrame:
     """Pairs (a < b) of distinct fingerprints, of a table with one row for each in ``fp``, that differ in at most ``distance`` bits."""
     every = list(range(BITS))
+    # the table may lie in few files; its signatures are many
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     signed = fps.select("fp", F.explode(_signatures(every, distance)).alias("s")).select("fp", "s.place", "s.value")
     met = signed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("value", "place"))).filter("n > 1")
     met = common.materialise(met, "simhash-signatures")
@@ -357,6 +359,8 @@ def near_links(sketches: DataFrame, limit: int = NEAR_BITS, block: int = BLOCK,
     out as pairs of blocks: any two of its rows are together in some task, and no task holds more than two blocks of it.
     """
     width = BITS // NEAR_SEGMENTS
+    parts = int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sketches = sketches.repartition(parts, "node")
     values = [F.shiftrightunsigned("fp", k * width).bitwiseAND(F.lit((1 << width) - 1)) for k in range(NEAR_SEGMENTS)]
     # a key is a place (segment and bit left out) and the segment's other bits
     variants = [F.lit((k * width + b) << width).cast("bigint") + value.bitwiseAND(F.lit(((1 << width) - 1) ^ (1 << b))) for k, value in enumerate(values) for b in range(width)]
@@ -371,7 +375,6 @@ def near_links(sketches: DataFrame, limit: int = NEAR_BITS, block: int = BLOCK,
         marked = dealt.join(F.broadcast(large) if n_large <= BROADCAST_KEYS else large, F.col("key") == F.col("_key"), "left")
         # equal keys of different cells must not stand together
         dealt = _cells(marked, "_blocks").withColumn("key", F.when(F.col("_blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", "cell")))
-    parts = int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # one order of the rows for each segment: what a large group links to agrees in the segment's buckets and differs elsewhere
     sorted_out = dealt.select("key", "place", "node", "fp").repartition(parts, "key").sortWithinPartitions("key", F.xxhash64("node", F.floor(F.col("place") / width)))
     return sorted_out.mapInArrow(_meetings(limit, small), "a bigint, b bigint")

@@ -224,6 +224,7 @@ def fetch(folder: str, entry: dict) -> tuple[dict[str, str], bytes]:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, as read back from the archives."""
     folder = common.run_dir(spark, "warc")
     write(common.read(spark, sf_dir, "pages"), folder)
     return read(spark, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
