@@ -48,7 +48,7 @@ _PLACE = np.uint64((1 << 24) - 1)
 _C = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
 
 SEGMENTS = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("content", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("contexts", T.LongType()), T.StructField("repeats", T.BooleanType())])
-COMPARED_ROWS = T.StructType(SEGMENTS.fields[:5])
+COMPARED_ROWS = T.StructType([*SEGMENTS.fields[:5], T.StructField("mixed", T.BooleanType())])
 _KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
 #: A window holds so many bytes to the left of its anchor or so many to the right of it.
 CONTEXT = (LENGTH - GRAM) // 2
@@ -179,11 +179,12 @@ def _paired(anchor: np.ndarray, context: np.ndarray) -> np.ndarray:
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of segments sorted by anchor and content: those that may share a window with another, by the contents' hashes or, where an
-    anchor has several contents, by the left or right context of the anchor. An anchor with more segments than are held
-    at a time goes on whole."""
+    anchor has several contents, by the left or right context of the anchor (mixed). An anchor with more segments than are
+    held at a time goes on whole."""
 
-    def out(columns: tuple[np.ndarray, ...], kept: np.ndarray | slice = slice(None)) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x[kept], kind) for x, kind in zip(columns[:5], _KINDS, strict=False)], names=COMPARED_ROWS.names)
+    def out(columns: tuple[np.ndarray, ...], kept: np.ndarray | slice = slice(None), mixed: np.ndarray | None = None) -> pa.RecordBatch:
+        found = [pa.array(x[kept], kind) for x, kind in zip(columns[:5], _KINDS, strict=False)]
+        return pa.RecordBatch.from_arrays([*found, pa.array(np.ones(len(found[0]), dtype=bool) if mixed is None else mixed[kept])], names=COMPARED_ROWS.names)
 
     def compared(columns: tuple[np.ndarray, ...]) -> pa.RecordBatch:
         anchor, content, _, _, _, contexts = columns
@@ -192,8 +193,9 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alike[:-1] |= alike[1:]
         firsts = np.flatnonzero(new)
         left, right = contexts[firsts].view(np.uint64) >> np.uint64(32), contexts[firsts].view(np.uint64) & np.uint64(0xFFFFFFFF)
-        alike[firsts] |= _paired(anchor[firsts], left) | _paired(anchor[firsts], right)
-        return out(columns, alike)
+        paired = _paired(anchor[firsts], left) | _paired(anchor[firsts], right)
+        mixed = paired[np.cumsum(new) - 1]
+        return out(columns, alike | mixed, mixed)
 
     held: list[tuple[np.ndarray, ...]] = []
     size, streaming = 0, None
@@ -222,15 +224,23 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield compared(tuple(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
-def _least_between(table: list[np.ndarray], first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """The least of values first ... last, from the minima over runs of 1, 2, 4 ... values."""
-    levels = np.frexp((last - first + 1).astype(np.float32))[1] - 1
-    out = np.empty(len(first), dtype=table[0].dtype)
-    for level in np.flatnonzero(np.bincount(levels)).tolist() if len(levels) else []:
-        own = np.flatnonzero(levels == level)
-        runs = table[level]
-        out[own] = np.minimum(runs[first[own]], runs[last[own] + 1 - (1 << level)])
-    return out
+_LEVELS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8) - np.uint8(1)
+
+
+def _least_between(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The least of values first ... last, for many such stretches, from the minima over runs of 1, 2, 4 ... values."""
+    if not len(first):
+        return values[:0]
+    size = last - first + 1
+    levels = np.where(size < 1 << 16, _LEVELS[np.minimum(size, (1 << 16) - 1)], np.frexp(size.astype(np.float64))[1] - 1).astype(np.int64)
+    n, most = len(values), int(levels.max())
+    table = np.empty((most + 1, n), dtype=values.dtype)
+    table[0] = values
+    for level in range(1, most + 1):
+        half = 1 << level - 1
+        np.minimum(table[level - 1, : n - 2 * half + 1], table[level - 1, half : n - half + 1], out=table[level, : n - 2 * half + 1])
+    flat, at = table.ravel(), levels * n
+    return np.minimum(flat[at + first], flat[at + last + 1 - (np.int64(1) << levels)])
 
 
 def sorted_windows(texts: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -259,23 +269,27 @@ def sorted_windows(texts: list[bytes], counts: np.ndarray) -> tuple[np.ndarray,
     n = len(texts)
     inside = np.ones(len(flat), dtype=bool)
     inside[left - 1] = False
-    for _ in range(width):
-        goes_on = np.flatnonzero(inside[places[:n]])
-        symbols = flat[places[goes_on]]
+    shortest = int(sizes.min())
+    for t in range(width):
+        # until the shortest text is all in, every suffix goes on
+        goes_on = None if t < shortest else np.flatnonzero(inside[places[:n]])
+        symbols = flat[places[:n] if goes_on is None else places[goes_on]]
         own = np.argsort(symbols, kind="stable")
-        order, symbols = goes_on[own], symbols[own]
-        same = np.flatnonzero(symbols[1:] == symbols[:-1])
+        order, symbols = own if goes_on is None else goes_on[own], symbols[own]
         # a common first symbol, and the least common prefix of what stood between in the round before
-        table, size = [prefixes[:n]], 1
-        widest = int((order[same + 1] - order[same]).max(initial=0))
-        while 2 * size <= widest:
-            table.append(np.minimum(table[-1][:-size], table[-1][size:]))
-            size *= 2
-        found = np.minimum(_least_between(table, order[same] + 1, order[same + 1]), LENGTH - 1) + 1
-        prefixes[len(texts) : len(texts) + len(order)] = 0
-        prefixes[len(texts) + 1 + same] = found
-        places[len(texts) : len(texts) + len(order)] = places[:n][order] - 1
+        found = prefixes[order]
+        gaps = np.diff(order, prepend=-1)
+        far = np.flatnonzero(gaps != 1)
+        far = far[symbols[far] == symbols[far - 1]]
+        far = far[1:] if len(far) and far[0] == 0 else far
+        found[far] = _least_between(prefixes[:n], order[far - 1] + 1, order[far])
+        found = np.minimum(found, LENGTH - 1) + np.uint8(1)
+        found[np.flatnonzero(symbols[1:] != symbols[:-1]) + 1] = 0
+        found[:1] = 0
+        moved = places[order] - 1
         n = len(texts) + len(order)
+        prefixes[len(texts) : n] = found
+        places[len(texts) : n] = moved
     suffixes = places[:n] + 1
     text = (suffixes - 1) // stride
     start = suffixes - left[text]
@@ -315,8 +329,8 @@ _FETCHED = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binar
 
 
 def _collect(batches: Iterator[pa.RecordBatch], collection: int) -> Iterator[pa.RecordBatch]:
-    """Of segments (anchor, content, doc, start, n, data) sorted by all but the last two: those of equal bytes repeat the first; those that
-    differ go by whole anchors, several to a collection."""
+    """Of segments (anchor, content, doc, start, n, data, mixed) sorted by the first four: those of equal bytes repeat the first; those
+    that differ and are mixed go by whole anchors, several to a collection."""
 
     def out(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*found, strict=True) if found else [[]] * 3, [pa.int64(), pa.int32(), pa.int32()], strict=True)], names=FOUND.names)
@@ -327,7 +341,7 @@ def _collect(batches: Iterator[pa.RecordBatch], collection: int) -> Iterator[pa.
     alike: set[bytes] = set()
     at = of = None
     for batch in batches:
-        for anchor, content, doc, start, n, data in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+        for anchor, content, doc, start, n, data, mixed in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
             if anchor != at:
                 if len(own) > 1:
                     if len(rows) + len(own) > collection and rows:
@@ -341,7 +355,8 @@ def _collect(batches: Iterator[pa.RecordBatch], collection: int) -> Iterator[pa.
                 whole.append((doc, start, n))
             else:
                 alike.add(data)
-                own.append((doc, start, n, data))
+                if mixed:
+                    own.append((doc, start, n, data))
         if whole:
             yield out(whole)
             whole = []
@@ -399,30 +414,33 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, collection: int = COLLE
     result = found.filter("repeats").select("doc", "start", "n")
     dealt = found.filter("not repeats").repartition(parts, "anchor").sortWithinPartitions("anchor", "content")
     compared = common.materialise(dealt.drop("repeats").mapInArrow(_compare, COMPARED_ROWS), "suffix-compared")
-    by_doc = compared.groupBy("doc").agg(F.collect_list(F.struct("anchor", "content", "start", "n")).alias("segments"))
+    by_doc = compared.groupBy("doc").agg(F.collect_list(F.struct("anchor", "content", "start", "n", "mixed")).alias("segments"))
     fetched = texts.join(by_doc, "doc").select("doc", F.encode("text", "utf-8").alias("data"), F.explode("segments").alias("s"))
-    fetched = fetched.select(F.col("s.anchor").alias("anchor"), F.col("s.content").alias("content"), "doc", F.col("s.start").alias("start"), F.col("s.n").alias("n"), F.expr(f"substring(data, s.start + 1, s.n + {LENGTH - 1})").alias("data"))
+    fetched = fetched.select(F.col("s.anchor").alias("anchor"), F.col("s.content").alias("content"), "doc", F.col("s.start").alias("start"), F.col("s.n").alias("n"), F.expr(f"substring(data, s.start + 1, s.n + {LENGTH - 1})").alias("data"), F.col("s.mixed").alias("mixed"))
+    columns = FETCHED.names[:6]
 
     def crowded(rows: DataFrame) -> DataFrame:
-        """Anchors with more than ``crowd`` different contents."""
+        """Anchors with more than ``crowd`` different contents, of rows with these two."""
         kinds = rows.groupBy("anchor", "content").agg(F.lit(1).alias("one")).groupBy("anchor").agg(F.count("one").alias("kinds"))
         return common.materialise(kinds.filter(F.col("kinds") > crowd).select("anchor"), "suffix-crowded")
 
     def collected(rows: DataFrame) -> DataFrame:
-        order = rows.select(*FETCHED.names[:6]).repartition(parts, "anchor").sortWithinPartitions("anchor", "content", "doc", "start")
+        order = rows.select(*columns, "mixed").repartition(parts, "anchor").sortWithinPartitions("anchor", "content", "doc", "start")
         return common.materialise(order.mapInArrow(partial(_collect, collection=collection), FOUND), "suffix-found")
 
-    many = crowded(compared)
+    many = crowded(compared.filter("mixed"))
     if many.isEmpty():
         return result.unionAll(collected(fetched))
     fetched = common.materialise(fetched, "suffix-fetched")
-    result = result.unionAll(collected(fetched.join(many, "anchor", "left_anti")))
-    rows, width = fetched.join(many, "anchor", "left_semi").select(*FETCHED.names[:6], F.lit(0).alias("low"), F.lit(PLACES).alias("high")), PLACES
+    # of crowded anchors, what isn't mixed is only compared whole
+    few = fetched.join(many.withColumn("crowded", F.lit(True)), "anchor", "left")
+    result = result.unionAll(collected(few.filter("crowded is null or not mixed")))
+    rows, width = few.filter("crowded and mixed").select(*columns, F.lit(0).alias("low"), F.lit(PLACES).alias("high")), PLACES
     while True:
         made = common.materialise(rows.mapInArrow(_halves, FETCHED), "suffix-halves")
         width = (width + 1) // 2
         result = result.unionAll(made.filter("repeats").select("doc", "start", "n"))
-        rows = made.filter("not repeats").drop("repeats")
+        rows = made.filter("not repeats").drop("repeats").withColumn("mixed", F.lit(True))
         many = crowded(rows) if width > 1 else None
         if many is None or many.isEmpty():
             return result.unionAll(collected(rows))

@@ -318,8 +318,9 @@ def test_equal_hashes_of_different_contents(spark, docs, texts, monkeypatch):
         assert not row["repeats"] or own in seen
         seen.add(own)
     rows = [(7, h, 10 * k, 0, 1, x * 100) for h, k, x in ((1, 0, b"a"), (1, 1, b"b"), (1, 2, b"a"), (1, 3, b"b"), (2, 4, b"c"))]
-    batch = suffix_dedup.pa.RecordBatch.from_arrays([list(x) for x in zip(*rows, strict=True)], names=["anchor", "content", "doc", "start", "n", "data"])
-    assert sorted(r["doc"] for b in suffix_dedup._collect(iter([batch]), 10) for r in b.to_pylist()) == [20, 30]
+    for mixed in (True, False):
+        batch = suffix_dedup.pa.RecordBatch.from_arrays([*map(list, zip(*rows, strict=True)), [mixed] * 5], names=["anchor", "content", "doc", "start", "n", "data", "mixed"])
+        assert sorted(r["doc"] for b in suffix_dedup._collect(iter([batch]), 10) for r in b.to_pylist()) == [20, 30]
 
 
 def test_zero_bytes(spark):
