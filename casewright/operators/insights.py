@@ -71,6 +71,7 @@ def _cards(rows: DataFrame, group: int, kind: str, title: Column, detail: Column
 def insights(t: Tables, as_of: date | datetime | str) -> DataFrame:
     """seq, type, title, detail, query: spikes, repeat accused, the weekly surge, forecasts, in this order of seq."""
     say = F.format_string
+    # The types, titles, details and questions are what results show.
     parts = [
         _cards(
             spikes(t, as_of),

@@ -1,5 +1,6 @@
 """Edge semantics on rows made by hand."""
 
+import time
 from datetime import date, datetime
 
 import pytest
@@ -226,3 +227,44 @@ def test_upkeep(spark):
     waiting = spark.createDataFrame([(3, "t", None), (1, "t", None), (2, None, None), (4, "t", [1.0])], "id int, text string, e array<float>")
     assert [r.id for r in upkeep.to_backfill(waiting, "id", "text", "e", 1).collect()] == [1]
     assert sorted(rows(upkeep.with_children(target, child, "id", ["cid"], [], "kids"))) == [(1, "a", [(10,)]), (2, "b", [(11,)])]
+
+
+def test_refused_batches_are_asked_again(spark):
+    from casewright.sources import store
+
+    class Service:
+        def __init__(self, refusals):
+            self.left = refusals
+
+        def __call__(self, values):
+            self.left -= 1
+            if self.left >= 0:
+                raise ConnectionError("too many requests")
+            return [v * 2 for v in values][:2]
+
+    rows = spark.range(3).coalesce(1)
+    told = lambda refusals: [r.n for r in store.enriched(rows, "id", "n", "bigint", Service(refusals), retries=2, wait=0.01).orderBy("id").collect()]
+    # results that are missing are null, as are those of a batch that is refused for good
+    assert told(0) == [0, 2, None] and told(2) == [0, 2, None] and told(3) == [None, None, None]
+    began = time.monotonic()
+    store.enriched(rows, "id", "n", "bigint", Service(0), batch=1, per_minute=600).collect()
+    assert time.monotonic() - began > 0.2
+
+
+def test_numbers_zips_and_histories(spark):
+    from casewright.operators import upkeep
+
+    rows = spark.createDataFrame([(k % 7, k) for k in range(500)], "a int, b int")
+    for ranges in (1, 4, 64):
+        got = sorted((r.a, r.b, r.i) for r in upkeep.with_ids(rows, "i", ["a", "b"], 5, ranges).collect())
+        assert [x[2] for x in got] == list(range(5, 505))
+    assert upkeep.with_ids(rows.limit(0), "i", ["a"]).count() == 0
+    pairs = upkeep.zipped(rows.select("b"), rows.filter("b < 3").select(F.col("b").alias("c")), ["b"], ["c"]).orderBy("place").collect()
+    assert [(r.place, r.b, r.c) for r in pairs] == [(0, 0, 0), (1, 1, 1), (2, 2, 2)]
+    last = upkeep.history(rows, 2, "a", ["b"]).filter("a = 0").collect()
+    assert sorted(r.b for r in last) == [490, 497]
+    merged = upkeep.merged_by_id(spark.createDataFrame([(1, "x"), (2, "y")], "id int, t string"), spark.createDataFrame([(2, "b"), (2, "a"), (3, "c")], "id int, t string"), "id")
+    assert [tuple(r) for r in merged.collect()] == [(2, "a")]
+    tables = {"p": rows, "c": rows, "g": rows, "o": rows}
+    left = upkeep.truncated(tables, ["p"], {"c": ["p"], "g": ["c", "o"]})
+    assert {k: v.count() for k, v in left.items()} == {"p": 0, "c": 0, "g": 0, "o": 500}
