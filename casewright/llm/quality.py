@@ -71,14 +71,14 @@ def divergence(p: Column, q: Column) -> Column:
     return _let(F.struct(total(p).alias("p"), total(q).alias("q")), distance)
 
 
-def bare(word: Column) -> Column:
-    """A word in lower case without the signs at its end."""
-    return F.lower(F.rtrim(word, F.lit(STOPS)))
+def bare_words(text: Column) -> Column:
+    """A text's words in lower case without the signs at their ends; with empty ones where nothing remains."""
+    return F.split(F.lower(text), f"[{STOPS}]*(?:[{common.SPACE_CLASS}]+|$)")
 
 
 def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Add to each row, from its whole text: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, chars (array of
-    counts by character class, the last of all others), bare (its words as ``bare`` has them)."""
+    counts by character class, the last of all others), bare (``bare_words``)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     length = lambda keep: F.length(F.regexp_replace(text, f"[^{keep}]+", "")).cast("bigint")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{common.SPACE_CLASS}]"))
@@ -93,16 +93,16 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint").alias("n_dup_lines"),
         _repeated(F.col("_words")).alias("n_repeat_words"),
         _let(classes, rest).alias("chars"),
-        F.transform("_words", bare).alias("bare"),
+        bare_words(text).alias("bare"),
     )
 
 
 def common_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", n: int = COMMON) -> DataFrame:
     """(lang, word, place): the ``n`` commonest words of each language over all its rows, by count and then by the word; place from 0."""
-    words = docs.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), f"[{common.SPACE_CLASS}]+")).alias("word"))
-    counted = words.filter("word != ''").groupBy("lang", bare(F.col("word")).alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    words = docs.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.explode(bare_words(F.coalesce(F.col(text_col), F.lit("")))).alias("word"))
+    counted = words.filter("word != ''").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    return counted.filter("word != ''").withColumn("place", F.row_number().over(order) - 1).filter(F.col("place") < n).select("lang", "word", "place")
+    return counted.withColumn("place", F.row_number().over(order) - 1).filter(F.col("place") < n).select("lang", "word", "place")
 
 
 def rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_char_distance: float = MAX_CHAR_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE, min_words: int = MIN_WORDS, min_words_for_words: int = MIN_WORDS_FOR_WORDS) -> DataFrame:
@@ -115,18 +115,19 @@ def rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_c
     """
     added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept")
     docs = docs.select(*[c for c in docs.columns if c not in added or c in (text_col, lang_col)])
-    # a row for each language and place, of which there are as many as languages times COMMON
-    listed = common.materialise(common_words(docs, text_col, lang_col), "quality-words")
+    # a row for each language
+    listed = common_words(docs, text_col, lang_col).groupBy(F.col("lang").alias("_of")).agg(F.array_sort(F.collect_list(F.struct("place", "word")))["word"].alias("_list"))
+    listed = common.materialise(listed, "quality-words")
     packed = docs.select(F.struct(*[c for c in docs.columns if c != text_col]).alias("_row"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
-    measured = measures(packed, "_text").drop("_text").withColumn("_id", F.monotonically_increasing_id())
-    kept = [c for c in measured.columns if c not in ("bare", "_id")]
     # a row of its own language is asked about that one, a row without about each
-    languages = F.array(*[F.lit(r.lang) for r in listed.select("lang").distinct().orderBy("lang").collect()]).cast("array<string>")
+    languages = F.array(*[F.lit(r[0]) for r in listed.select("_of").orderBy("_of").collect()]).cast("array<string>")
+    measured = measures(packed, "_text").drop("_text").withColumn("_id", F.monotonically_increasing_id())
     asked = measured.withColumn("_ref", F.explode(F.when(F.col("_lang").isNotNull() | (F.size(languages) == 0), F.array("_lang")).otherwise(languages)))
-    words = asked.select(F.struct(*kept).alias("_kept"), "_id", "_ref", F.explode_outer("bare").alias("_word"))
-    told = words.join(listed.select(F.col("lang").alias("_l"), F.col("word").alias("_w"), "place"), (F.col("_ref") == F.col("_l")) & (F.col("_word") == F.col("_w")), "left")
-    counts = F.array(*[F.sum(F.when(F.col("place") == k, 1).otherwise(0)).cast("bigint") for k in range(COMMON)], F.sum(F.when(F.col("place").isNull() & F.col("_word").isNotNull(), 1).otherwise(0)).cast("bigint"))
-    found = told.groupBy("_id", "_ref").agg(F.first("_kept").alias("_kept"), counts.alias("words")).select("_kept.*", "_id", "_ref", "words")
+    told = asked.join(listed, F.col("_ref") == F.col("_of"), "left").drop("_of")
+    times = lambda found: F.transform(F.sequence(F.lit(0), F.lit(COMMON - 1)), lambda k: F.coalesce(F.size(found) - F.size(F.array_remove(found, F.get("_list", k))), F.lit(0)).cast("bigint"))
+    counted = F.coalesce(_let(F.filter("bare", lambda w: F.array_contains("_list", w)), times), F.array_repeat(F.lit(0).cast("bigint"), COMMON))
+    rest = lambda counts: F.concat(counts, F.array(F.col("n_words") - F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, x: a + x)))
+    found = told.withColumn("words", _let(counted, rest)).drop("bare", "_list")
     return _judged(common.materialise(found, "quality"), max_char_distance, max_word_distance, min_words, min_words_for_words)
 
 
