@@ -17,8 +17,10 @@ from . import common
 
 #: So many of each language's commonest words are told apart.
 COMMON = 24
+#: Buckets of words within a language, in which the commonest are sought first.
+BUCKETS = 256
 #: Character classes, as what is deleted to leave the others; the rest is its own class.
-CHAR_CLASSES = {"lower": r"\p{Ll}", "upper": r"\p{Lu}\p{Lt}", "letter": r"\p{Lo}\p{Lm}\p{M}", "digit": r"\p{N}", "space": common.SPACE_CLASS, "stop": r".,;:!?'\"()\-"}
+CHAR_CLASSES = {"lower": r"\p{Ll}", "space": common.SPACE_CLASS, "upper": r"\p{Lu}\p{Lt}", "letter": r"\p{Lo}\p{Lm}\p{M}", "digit": r"\p{N}", "stop": r".,;:!?'\"()\-"}
 MAX_CHAR_DISTANCE = 0.30
 MAX_WORD_DISTANCE = 0.60
 #: Fewer words than this: no verdict by characters; none by words.
@@ -54,7 +56,8 @@ def _repeated(words: Column) -> Column:
         step = lambda acc, i: F.struct(i.alias("at"), (acc["n"] + F.least(i - acc["at"], F.lit(WINDOW))).alias("n"))
         return F.aggregate(marks, start, step)["n"]
 
-    differ = _let(windows(lambda _, w: F.xxhash64(*w)), lambda h: F.size(F.array_distinct(h)) == F.size(h))
+    hashes = F.transform(places, lambda i: F.xxhash64(F.slice(words, i + 1, WINDOW)))
+    differ = _let(hashes, lambda h: F.size(F.array_distinct(h)) == F.size(h))
     exact = _let(F.array_sort(windows(lambda i, w: F.struct(F.concat_ws(" ", *w).alias("w"), i.alias("i")))), covered)
     return F.when(differ, F.lit(0).cast("bigint")).otherwise(exact)
 
@@ -80,19 +83,23 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Add to each row, from its whole text: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, chars (array of
     counts by character class, the last of all others), bare (``bare_words``)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    length = lambda keep: F.length(F.regexp_replace(text, f"[^{keep}]+", "")).cast("bigint")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{common.SPACE_CLASS}]"))
-    split = docs.withColumn("_words", F.filter(F.split(text, f"[{common.SPACE_CLASS}]+"), lambda w: w != ""))
-    classes = F.array(*[length(c) for c in CHAR_CLASSES.values()])
-    rest = lambda found: F.concat(found, F.array(F.length(text).cast("bigint") - F.aggregate(found, F.lit(0).cast("bigint"), lambda a, x: a + x)))
+    split = docs.withColumn("_words", F.array_remove(F.split(text, f"[{common.SPACE_CLASS}]+"), "")).withColumn("_left0", text)
+    # each class is taken out of what the classes before have left, so only the first goes over the whole text
+    for k, c in enumerate(CHAR_CLASSES.values()):
+        split = split.withColumn(f"_left{k + 1}", F.regexp_replace(f"_left{k}", f"[{c}]+", ""))
+    left = [F.length(f"_left{k}").cast("bigint") for k in range(len(CHAR_CLASSES) + 1)]
+    counts = [a - b for a, b in zip(left, left[1:], strict=False)]
+    place = list(CHAR_CLASSES).index("space")
     return split.select(
         *docs.columns,
         F.size("_words").cast("bigint").alias("n_words"),
-        F.length(F.regexp_replace(text, f"[{common.SPACE_CLASS}]+", "")).cast("bigint").alias("word_chars"),
-        length(SYMBOLS).alias("n_symbols"),
+        (left[0] - counts[place]).alias("word_chars"),
+        # no class holds a symbol
+        F.length(F.regexp_replace(f"_left{len(CHAR_CLASSES)}", f"[^{SYMBOLS}]+", "")).cast("bigint").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint").alias("n_dup_lines"),
         _repeated(F.col("_words")).alias("n_repeat_words"),
-        _let(classes, rest).alias("chars"),
+        F.array(*counts, left[-1]).alias("chars"),
         bare_words(text).alias("bare"),
     )
 
@@ -101,8 +108,11 @@ def common_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     """(lang, word, place): the ``n`` commonest words of each language over all its rows, by count and then by the word; place from 0."""
     words = docs.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.explode(bare_words(F.coalesce(F.col(text_col), F.lit("")))).alias("word"))
     counted = words.filter("word != ''").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    return counted.withColumn("place", F.row_number().over(order) - 1).filter(F.col("place") < n).select("lang", "word", "place")
+    # the first of each bucket of words, then the first of these, so that no task sees all words of a language
+    dealt = counted.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)))
+    first = lambda rows, *keys: rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "word"))).filter(F.col("rank") <= n)
+    found = first(first(dealt, "lang", "bucket").drop("rank"), "lang")
+    return found.select("lang", "word", (F.col("rank") - 1).alias("place"))
 
 
 def rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_char_distance: float = MAX_CHAR_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE, min_words: int = MIN_WORDS, min_words_for_words: int = MIN_WORDS_FOR_WORDS) -> DataFrame:
