@@ -243,58 +243,67 @@ def _least_between(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> n
     return np.minimum(flat[at + first], flat[at + last + 1 - (np.int64(1) << levels)])
 
 
-def sorted_windows(texts: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sorted_windows(texts: list[bytes], counts_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows of a collection in the order of its suffixes: (text, start, whether equal to the one before).
 
-    Round t holds all suffixes of up to t symbols, in order, as the transform: the symbol before each. Put in order by that
-    symbol, stably, they are the suffixes one symbol longer; with the empty suffixes before them they make up the next round.
-    Texts end at their right edge; a suffix that is a whole text has no symbol before it and goes no further. Places tell
-    edges, not symbols, so texts may hold any byte.
+    Round t holds all suffixes of up to t symbols, in order, as the transform: the symbol before each. A suffix one symbol
+    longer stands where its symbol's occurrences before it in the transform say, behind the empty suffixes; so each round
+    inserts one symbol of every text, which is then that of its new suffix. Its common prefixes with its neighbours are one more
+    than the least between their suffixes in the round before. Texts end at their right edge; a suffix that is a whole text has no
+    symbol before it (0) and goes no further. Symbols are numbered from 1, so texts may hold any byte.
     """
     sizes = np.array([len(t) for t in texts])
-    width = int(sizes.max())
-    # texts lie with their ends aligned, behind a column of ends
-    grid = np.zeros((len(texts), width + 1), dtype=np.uint8)
+    width, m = int(sizes.max()), len(texts)
     raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    present = np.zeros(256, dtype=bool)
+    present[raw] = True
+    code = np.cumsum(present).astype(np.uint8 if present.sum() < 256 else np.uint16)
+    # texts lie with their ends aligned, behind a column of no symbols
+    stride = width + 1
+    flat = np.zeros(m * stride, dtype=code.dtype)
     begins = np.cumsum(sizes) - sizes
-    rows = np.repeat(np.arange(len(texts)), sizes)
-    grid[rows, np.arange(len(raw)) - begins[rows] + (width + 1 - sizes)[rows]] = raw
-    flat, stride = grid.ravel(), width + 1
-    edge = np.arange(1, len(texts) + 1, dtype=np.int32) * stride  # the empty suffixes
+    rows = np.repeat(np.arange(m), sizes)
+    flat[np.arange(len(raw)) - begins[rows] + (stride - sizes)[rows] + rows * stride] = code[raw]
+    edge = np.arange(1, m + 1, dtype=np.int32) * stride  # the empty suffixes
     left = edge - sizes.astype(np.int32)
-    # the places before the suffixes; those of the empty ones stay at the head; and each one's common prefix with that before
-    places = np.empty(len(raw) + len(texts), dtype=np.int32)
-    places[: len(texts)] = edge - 1
-    prefixes = np.zeros(len(places), dtype=np.uint8)
-    n = len(texts)
-    inside = np.ones(len(flat), dtype=bool)
-    inside[left - 1] = False
-    shortest = int(sizes.min())
-    for t in range(width):
-        # until the shortest text is all in, every suffix goes on
-        goes_on = None if t < shortest else np.flatnonzero(inside[places[:n]])
-        symbols = flat[places[:n] if goes_on is None else places[goes_on]]
-        own = np.argsort(symbols, kind="stable")
-        order, symbols = own if goes_on is None else goes_on[own], symbols[own]
-        # a common first symbol, and the least common prefix of what stood between in the round before
-        found = prefixes[order]
-        gaps = np.diff(order, prepend=-1)
-        far = np.flatnonzero(gaps != 1)
-        far = far[symbols[far] == symbols[far - 1]]
-        far = far[1:] if len(far) and far[0] == 0 else far
-        found[far] = _least_between(prefixes[:n], order[far - 1] + 1, order[far])
-        found = np.minimum(found, LENGTH - 1) + np.uint8(1)
-        found[np.flatnonzero(symbols[1:] != symbols[:-1]) + 1] = 0
-        found[:1] = 0
-        moved = places[order] - 1
-        n = len(texts) + len(order)
-        prefixes[len(texts) : n] = found
-        places[len(texts) : n] = moved
-    suffixes = places[:n] + 1
+    # the places before the suffixes, the symbols there, each one's common prefix with that before; and where the longest are
+    places, before, prefixes = edge - 1, flat[edge - 1], np.zeros(m, dtype=np.uint8)
+    longest = np.arange(m)
+    for _ in range(width):
+        n = len(places)
+        own = np.argsort(before, kind="stable")
+        counts = np.bincount(before, minlength=int(code[-1]) + 1)
+        first = np.cumsum(counts) - counts
+        longest = longest[before[longest] > 0]
+        longest = longest[np.argsort(before[longest], kind="stable")]
+        symbol = before[longest]
+        at = np.empty(len(longest), dtype=np.int64)
+        bounds = np.searchsorted(symbol, np.arange(len(counts) + 1))
+        for c in np.flatnonzero(np.diff(bounds)).tolist():
+            mine = slice(bounds[c], bounds[c + 1])
+            at[mine] = first[c] + np.searchsorted(own[first[c] : first[c] + counts[c]], longest[mine])
+        above = np.flatnonzero(at > first[symbol])
+        below = np.flatnonzero(at + 1 < first[symbol] + counts[symbol])
+        low = np.concatenate([own[at[above] - 1], longest[below]])
+        high = np.concatenate([longest[above], own[at[below] + 1]])
+        found = np.minimum(_least_between(prefixes, low + 1, high), LENGTH - 1) + np.uint8(1)
+        new = m + at - counts[0]
+        kept = np.ones(n + len(new), dtype=bool)
+        kept[new] = False
+        moved = places[longest] - 1
+        grown = [np.empty(n + len(new), dtype=x.dtype) for x in (places, before, prefixes)]
+        for to, old, added in zip(grown, (places, before, prefixes), (moved, flat[moved], np.uint8(0)), strict=True):
+            to[kept] = old
+            to[new] = added
+        places, before, prefixes = grown
+        prefixes[new[above]] = found[: len(above)]
+        prefixes[new[below] + 1] = found[len(above) :]
+        longest = new
+    suffixes = places + 1
     text = (suffixes - 1) // stride
     start = suffixes - left[text]
-    group = np.cumsum(prefixes[:n] < LENGTH)
-    real = np.flatnonzero((start >= 0) & (start < counts[text]) & (suffixes < edge[text]))
+    group = np.cumsum(prefixes < LENGTH)
+    real = np.flatnonzero((start >= 0) & (start < counts_of[text]) & (suffixes < edge[text]))
     group = group[real]
     equal = np.zeros(len(real), dtype=bool)
     equal[1:] = group[1:] == group[:-1]
