@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language, lm_scoring, packing, quality, simhash, spelling, suffix_dedup, token_output, warc
+from . import alignment, bpe, exact_dedup, language, lm_scoring, packing, quality, simhash, spelling, suffix_dedup, token_output, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_quality": quality.op10_quality,
+    "op11_alignment": alignment.op11_alignment,
     "op12_spelling": spelling.op12_spelling,
 }
 SQL: dict[str, str] = {
