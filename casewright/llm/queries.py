@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, bpe, exact_dedup, language, lm_scoring, packing, quality, simhash, spelling, suffix_dedup, token_output, warc
+from . import alignment, bpe, exact_dedup, language, lm_scoring, packing, quality, simhash, spelling, suffix_dedup, token_output, toxicity, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_quality": quality.op10_quality,
     "op11_alignment": alignment.op11_alignment,
     "op12_spelling": spelling.op12_spelling,
+    "op13_toxicity": toxicity.op13_toxicity,
 }
 SQL: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
