@@ -5,8 +5,8 @@ leads. The side that lags gives the next token, which shortens the suffix or tak
 closes a group: what was read of both sides since the last one covers the same bytes. A step depends on the state and the
 token only, so steps are kept once taken.
 
-Both tokenizers part a text at every single space between two other characters, so a text is its words, each with a
-space before it, aligned one by one; a word's result is kept for its next occurrence.
+Both tokenizers part a text at every single space between two other characters, so a text is its words, each with a space
+before it. A word's groups are kept for its next occurrence; words not seen before are encoded and aligned many at once.
 """
 
 from __future__ import annotations
@@ -27,15 +27,18 @@ from pyspark.sql import types as T
 
 from . import bpe, common, tokens
 
-#: Words kept in each of two generations, of this many characters at most; steps and suffixes of the transducer kept.
-KEPT_WORDS, KEPT_LENGTH, KEPT_STEPS = 120_000, 64, 1_000_000
+#: Words kept in each of two generations, of this many characters at most; steps of the transducer that are kept.
+KEPT_WORDS, KEPT_LENGTH, KEPT_STEPS = 180_000, 64, 1_000_000
+#: Characters of new words that are encoded at once, about.
+STRETCH = 8_000
 #: Of all linked pairs of ids, so many of the most frequent are sent to every executor; the others meet their texts in a join.
 HOT_PAIRS = 200_000
 #: The mark with which pieces write a space.
 MARK = "▁"
-FAILED = -1
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_ODD_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0  -     　]")
+#: Characters that all readers of the pre-token pattern class alike; texts with others go through the tokenizer's own.
+_ODD_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_PLAIN = re.compile("[\t\n\r -~\xa1-\u024f]*")
 
 
 def words(text: str) -> list[str]:
@@ -45,58 +48,88 @@ def words(text: str) -> list[str]:
     return text.split(" ")
 
 
+def stretches(found: list[str]) -> Iterator[list[str]]:
+    """The words, in lists of about STRETCH characters."""
+    since, size = 0, 0
+    for k, word in enumerate(found):
+        size += len(word) + 1
+        if size > STRETCH:
+            yield found[since : k + 1]
+            since, size = k + 1, 0
+    if since < len(found):
+        yield found[since:]
+
+
+def _steps(ends: np.ndarray) -> np.ndarray:
+    """The first of rising numbers, and by how much each other is over the one before."""
+    found = ends.copy()
+    found[1:] -= ends[:-1]
+    return found
+
+
+class Steps(dict):
+    """Of one state, the state after each token; found when first asked for."""
+
+    def __init__(self, transducer: Transducer, leader: int, suffix: bytes):
+        super().__init__()
+        self.transducer, self.leader, self.suffix = transducer, leader, suffix
+
+    def __missing__(self, token: int) -> Steps | None:
+        self.transducer.kept += 1
+        self[token] = after = self.transducer.step(self.leader, self.suffix, token)
+        return after
+
+
 class Transducer:
     """Steps over the tokens of two sides, A (0) and B (1), given the bytes of each id."""
 
     def __init__(self, a: list[bytes], b: list[bytes]):
         self.bytes = (a, b)
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
-        # state 0 is the empty suffix, which A's next token ends
-        self.states: list[tuple[int, bytes]] = [(1, b"")]
-        self.numbers: dict[tuple[int, bytes], int] = {(1, b""): 0}
-        self.steps: dict[tuple[int, int], int] = {}
+    def clear(self) -> None:
+        # at the empty suffix B counts as the leader, so A's token is next
+        self.kept, self.empty = 0, Steps(self, 1, b"")
+        self.states = {(1, b""): self.empty}
 
-    def step(self, state: int, token: int) -> int:
-        """The state after the lagging side's next token; FAILED if its bytes differ from the suffix, or it has none."""
-        leader, suffix = self.states[state]
+    def step(self, leader: int, suffix: bytes, token: int) -> Steps | None:
+        """The state after the lagging side's next token; None if its bytes differ from the suffix, or it has none."""
         given = self.bytes[1 - leader][token]
         if not given or not (suffix.startswith(given) or given.startswith(suffix)):
-            return FAILED
+            return None
         rest = (leader, suffix[len(given) :]) if len(given) <= len(suffix) else (1 - leader, given[len(suffix) :])
         if not rest[1]:
-            return 0
-        if (number := self.numbers.get(rest)) is None:
-            number = self.numbers[rest] = len(self.states)
-            self.states.append(rest)
-        return number
-
-    def groups(self, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]] | None:
-        """The groups of two lists of ids, or None if their bytes differ."""
-        if len(self.steps) > KEPT_STEPS:
-            self._clear()
-        sides, at, since = (a, b), [0, 0], (0, 0)
-        found, state, states, steps = [], 0, self.states, self.steps
-        while state or at[0] < len(a) or at[1] < len(b):
-            side = 1 - states[state][0]
-            if at[side] == len(sides[side]):
-                return None
-            token = sides[side][at[side]]
-            at[side] += 1
-            if (after := steps.get((state, token))) is None:
-                after = steps[state, token] = self.step(state, token)
-            if after == FAILED:
-                return None
-            if after == 0:
-                found.append((a[since[0] : at[0]], b[since[1] : at[1]]))
-                since = (at[0], at[1])
-            state = after
-        return found
+            return self.empty
+        if rest not in self.states:
+            self.states[rest] = Steps(self, *rest)
+        return self.states[rest]
+
+    def ends(self, a: list[int], b: list[int]) -> tuple[list[int], list[int]] | None:
+        """How many tokens of A and of B stand before the end of each group, or None if their bytes differ."""
+        if self.kept > KEPT_STEPS:
+            self.clear()
+        empty = state = self.empty
+        i, j, of_a, of_b = 0, 0, [], []
+        try:
+            while True:
+                if state is empty:
+                    of_a.append(i)
+                    of_b.append(j)
+                    if i == len(a):
+                        break
+                if state.leader:
+                    state = state[a[i]]
+                    i += 1
+                else:
+                    state = state[b[j]]
+                    j += 1
+        except (IndexError, AttributeError, TypeError):  # a side has no token left, or a step failed
+            return None
+        return (of_a[1:], of_b[1:]) if j == len(b) else None
 
 
 class Aligned(NamedTuple):
-    """One word: tokens of A and B, groups, their text, and the linked pairs as little-endian longs (A's id times 2**32 plus B's)."""
+    """One word: tokens of A and B, groups, these as text, and the linked pairs as little-endian longs (A's id times 2**32 plus B's)."""
 
     n_a: int
     n_b: int
@@ -111,6 +144,7 @@ class Aligner:
     def __init__(self, byte_path: str, piece_path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(byte_path)
@@ -119,11 +153,16 @@ class Aligner:
         self.a.no_truncation()
         alphabet = bpe.byte_alphabet()
         with open(byte_path, encoding="utf-8") as f:
-            ids: dict[str, int] = json.load(f)["model"]["vocab"]
-        a_bytes = [b""] * (max(ids.values()) + 1)
+            model = json.load(f)["model"]
+        ids: dict[str, int] = {t: i for t, i in model["vocab"].items() if all(c in alphabet for c in t)}
+        a_bytes = [b""] * (max(model["vocab"].values()) + 1)
         for token, i in ids.items():
-            if all(c in alphabet for c in token):
-                a_bytes[i] = bytes(alphabet[c] for c in token)
+            a_bytes[i] = bytes(alphabet[c] for c in token)
+        merged = [ids["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        # where ids rise with the merges, the order of ids says what is merged first
+        single = [i for t, i in ids.items() if len(t) == 1]
+        ranked = len(single) == 256 and merged == sorted(set(merged)) and max(single) < min(merged, default=1 << 30)
+        self.fast = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks={a_bytes[i]: i for i in (*single, *merged)}, special_tokens={}) if ranked else None
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any(MARK in p.lstrip(MARK) for p in pieces):
@@ -131,18 +170,42 @@ class Aligner:
         plain = lambda i: not (self.b.is_control(i) or self.b.is_unknown(i))
         b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() if plain(i) else b"" for i, p in enumerate(pieces)]
         self.transducer = Transducer(a_bytes, b_bytes)
+        # each id as text, with the sign that follows it: A's within a group, A's last, B's within, B's last, and the last of a word
+        self.shown = [f"{i}{sign}" for n, signs in ((len(a_bytes), ",|"), (len(b_bytes), ",;\n")) for sign in signs for i in range(n)]
+        self.size_a, self.size_b = len(a_bytes), len(b_bytes)
+        self.spaced = [np.array([x[:1] == b" " for x in side]) for side in (a_bytes, b_bytes)]
         self.young: dict[str, Aligned | None] = {}
         self.old: dict[str, Aligned | None] = {}
 
-    def _one(self, word: str, a: list[int], b: list[int]) -> Aligned | None:
-        if b"".join(map(self.transducer.bytes[0].__getitem__, a)) != b" " + word.encode():
-            return None
-        if (groups := self.transducer.groups(a, b)) is None:
-            return None
-        show = lambda ids: ",".join(map(str, ids))
+    def _together(self, found: list[str]) -> list[Aligned | None]:
+        """Words encoded and aligned as one text; several only if none holds a space or starts or ends in white space."""
+        text = " ".join(found)
+        a = self.fast.encode_ordinary(" " + text) if self.fast is not None and _PLAIN.fullmatch(text) else self.a.encode(" " + text, add_special_tokens=False).ids
+        ids_a, ids_b = np.array(a), np.array(b := self.b.encode(text))
+        # a token that starts with a space starts a word
+        heads = [np.flatnonzero(x[ids]) for x, ids in zip(self.spaced, (ids_a, ids_b), strict=True)]
+        if len(found) > 1 and not len(found) == len(heads[0]) == len(heads[1]):
+            return [y for w in found for y in self._together([w])]
+        ends = self.transducer.ends(a, b) if b"".join(map(self.transducer.bytes[0].__getitem__, a)) == b" " + text.encode() else None
+        if ends is None:
+            return [None] if len(found) == 1 else [y for w in found for y in self._together([w])]
+        ends_a, ends_b = np.array(ends[0]), np.array(ends[1])
+        words_a = np.append(heads[0][1:], len(a)) if len(found) > 1 else np.array([len(a)])
+        words_b = np.append(heads[1][1:], len(b)) if len(found) > 1 else np.array([len(b)])
+        last = np.searchsorted(ends_a, words_a)
+        # a token stands behind its side's earlier ones, and the other side's of earlier groups (for B, of its own group too)
+        codes = np.empty(len(a) + len(b), np.int64)
+        sign_a, sign_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        sign_a[ends_a - 1] = sign_b[ends_b - 1] = 1
+        sign_b[words_b - 1] = 2
+        codes[np.arange(len(a)) + np.repeat(np.append(0, ends_b[:-1]), _steps(ends_a))] = ids_a + sign_a * self.size_a
+        codes[np.arange(len(b)) + np.repeat(ends_a, _steps(ends_b))] = ids_b + 2 * self.size_a + sign_b * self.size_b
+        shown = "".join(map(self.shown.__getitem__, codes.tolist())).split("\n")
         # all tokens have bytes, so the last of each side are the only two of a group that end together
-        pairs = np.array([x[-1] << 32 | y[-1] for x, y in groups], dtype="<i8").tobytes()
-        return Aligned(len(a), len(b), len(groups), ";".join([f"{show(x)}|{show(y)}" for x, y in groups]), pairs)
+        pairs = (ids_a[ends_a - 1] << 32 | ids_b[ends_b - 1]).astype("<i8").tobytes()
+        n_a, n_b, n_groups = (_steps(x).tolist() for x in (words_a, words_b, last + 1))
+        upto = (last + 1).tolist()
+        return [Aligned(x, y, n, t, pairs[8 * (end - n) : 8 * end]) for x, y, n, t, end in zip(n_a, n_b, n_groups, shown, upto, strict=False)]
 
     def align(self, text: str | None) -> list[Aligned]:
         """The text's words, none if it is empty or the bytes of either side differ from the text's with a space before."""
@@ -151,13 +214,15 @@ class Aligner:
         if len(self.young) > KEPT_WORDS:
             self.old, self.young = self.young, {}
         cut, young, old = words(text), self.young, self.old
-        seen = {w for w in cut if w not in young}
-        missing = [w for w in seen if w not in old]
-        known = {w: old[w] for w in seen if w in old}
-        if missing:
-            a = self.a.encode_batch([" " + w for w in missing], add_special_tokens=False)
-            b = self.b.encode(missing, num_threads=1)
-            known |= {w: self._one(w, x.ids, y) for w, x, y in zip(missing, a, b, strict=True)}
+        new = {w for w in cut if w not in young}
+        known = {w: old[w] for w in new if w in old}
+        missing = [w for w in new if w not in old]
+        # others might not be parted from what is put beside them, or hold further spaces
+        whole = [w for w in missing if w and not (" " in w or MARK in w or w[0].isspace() or w[-1].isspace())]
+        for some in stretches(whole):
+            known.update(zip(some, self._together(some), strict=True))
+        if len(whole) < len(missing):
+            known.update((w, self._together([w])[0]) for w in missing if w not in known)
         young.update((w, v) for w, v in known.items() if len(w) <= KEPT_LENGTH)
         found = [known[w] if w in known else young[w] for w in cut] if known else list(map(young.__getitem__, cut))
         return [] if None in found else found  # type: ignore[return-value]
@@ -197,9 +262,9 @@ def align(docs: DataFrame, byte_path: str, piece_path: str, text_col: str = "tex
             found = [own.align(t) for t in batch.column(at).to_pylist()]
             links = [np.unique(np.frombuffer(b"".join([w.pairs for w in doc]), dtype="<i8"), return_counts=True) for doc in found]
             offsets = pa.array(np.cumsum([0, *[len(p) for p, _ in links]]), pa.int32())
-            flat = [np.concatenate([x[k] for x in links] or [np.zeros(0, np.int64)]) for k in (0, 1)]
+            pairs, times = (np.concatenate([np.zeros(0, np.int64), *[x[k] for x in links]]) for k in (0, 1))
             made = [pa.array([sum([w[k] for w in doc]) for doc in found], pa.int64()) for k in range(3)]
-            made += [pa.array([";".join([w.shown for w in doc]) for doc in found], pa.string()), pa.ListArray.from_arrays(offsets, pa.array(flat[0])), pa.ListArray.from_arrays(offsets, pa.array(flat[1].astype(np.int32)))]
+            made += [pa.array([";".join([w.shown for w in doc]) for doc in found], pa.string()), pa.ListArray.from_arrays(offsets, pa.array(pairs)), pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))]
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in places], *made], names=schema.names)
 
     return kept.mapInArrow(run, schema)
