@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from . import common
 
 #: Labelled rows of each class that are fitted on, at most about; a bound of the fit, not of what is scored.
-TRAIN_ROWS = 4_000
+TRAIN_ROWS = 3_000
 #: Characters of a spelling that are looked at together; the share of toxic words of a text that its likelihood supposes.
 ORDER, SHARE = 10, 0.02
 KEPT_WORDS = 200_000
@@ -78,15 +78,17 @@ def _hash(codes: np.ndarray) -> np.ndarray:
     h = np.full(len(codes), codes.shape[1], np.uint64)
     with np.errstate(over="ignore"):
         for k in range(codes.shape[1]):
-            h = (h ^ codes[:, k].astype(np.uint64)) * _BASE
+            h ^= codes[:, k]
+            h *= _BASE
             h ^= h >> np.uint64(29)
-        return h * _MIX
+        h *= _MIX
+    return h
 
 
 def _kinds(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of rows of characters, the place of the first of each kind, and each row's kind."""
     _, first, back = np.unique(_hash(rows), return_index=True, return_inverse=True)
-    return first, back
+    return first.astype(np.int32), back.astype(np.int32)
 
 
 def _discount(counts: np.ndarray) -> float:
@@ -133,22 +135,22 @@ class Ratio(NamedTuple):
         return np.add.reduceat(self.of(codes[places[:, None] + np.arange(ORDER)]), np.cumsum(sizes) - sizes)
 
 
-def build(grams: list[str], n0: np.ndarray, n1: np.ndarray) -> Ratio:
+def build(grams: pa.Array | pa.ChunkedArray, n0: np.ndarray, n1: np.ndarray) -> Ratio:
     """Both models and their ratio, from the counts of distinct spellings in ordinary (n0) and toxic (n1) texts."""
-    if not grams:
+    if not len(grams):
         return Ratio(*[np.zeros(0, t) for t in (np.uint64, np.float64, np.uint64, np.float64)])
-    codes = np.frombuffer("".join(grams).encode("utf-32-le"), dtype="<u4").reshape(-1, ORDER)
-    # the shared orders: of each shorter spelling, in how many ways it is preceded
-    orders = [codes]
+    codes = np.frombuffer("".join(grams.to_pylist()).encode("utf-32-le"), dtype="<u4").reshape(-1, ORDER)
+    # the shared orders: of each shorter spelling, one place that it is at, and in how many ways it is preceded
+    places = [np.arange(len(codes), dtype=np.int32)]
     up, ways = [], []
-    for _ in range(ORDER - 1):
-        first, back = _kinds(orders[-1][:, 1:])
+    for k in range(1, ORDER):
+        first, back = _kinds(codes[places[-1], k:])
         up.append(back)
-        ways.append(np.bincount(back).astype(np.float64))
-        orders.append(orders[-1][first, 1:])
-    below = np.full(len(orders[-1]), 1.0 / (len(orders[-1]) + 1))
+        ways.append(np.bincount(back).astype(np.float32))
+        places.append(places[-1][first])
+    below = np.full(len(places[-1]), 1.0 / (len(places[-1]) + 1))
     for k in range(ORDER - 2, -1, -1):
-        contexts = _kinds(orders[k + 1][:, :-1])[1]
+        contexts = _kinds(codes[places[k + 1], k + 1 : -1])[1]
         below = _interpolated(ways[k], contexts, below, _discount(ways[k]))[0][up[k]]
     first, contexts = _kinds(codes[:, :-1])
     histories = codes[first, :-1]
@@ -237,7 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     n = {r.toxic: r["count"] for r in there.groupBy("toxic").count().collect()}
     if len(n) < 2:
         odds = 30.0 if n.get(1) else -500.0
-        return Model(build([], np.zeros(0), np.zeros(0)), np.array([*[0.0] * len(MEASURES), odds]))
+        return Model(build(pa.array([], pa.string()), np.zeros(0), np.zeros(0)), np.array([*[0.0] * len(MEASURES), odds]))
     below = F.when(F.col("toxic") == 1, F.lit(min(1.0, train_rows / n[1]))).otherwise(F.lit(min(1.0, train_rows / n[0])))
     h = F.xxhash64(F.col("doc_id").cast("string"))
     # the chosen labels are 2 * train_rows at most, about, so sending them to all is safe
@@ -249,10 +251,10 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     counts = [table[c].to_numpy() for c in ("n0", "n1")]
 
     def of(rows_of: np.ndarray) -> Ratio:
-        return build(grams.filter(pa.array(rows_of)).to_pylist(), *[c[rows_of] for c in counts])
+        return build(grams.filter(pa.array(rows_of)), *[c[rows_of] for c in counts])
 
     both = table.group_by("gram").aggregate([("n0", "sum"), ("n1", "sum")])
-    whole = build(both["gram"].to_pylist(), both["n0_sum"].to_numpy(), both["n1_sum"].to_numpy())
+    whole = build(both["gram"], both["n0_sum"].to_numpy(), both["n1_sum"].to_numpy())
     # texts are measured with the half that doesn't hold them
     measured = [measures(rows.filter(F.col("half") == 1 - k).drop("half"), of(half == k)).drop("text").toArrow() for k in (0, 1)]
     seen = pa.concat_tables(measured)
