@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewright.functions import columns as C
-from casewright.operators import cases, filters, insights, network, retrieval, risk, upkeep
+from casewright.operators import cases, filters, insights, network, retrieval, risk, search, upkeep
 from casewright.plans import evaluate, sqlgate, star, tools, viz
 from casewright.sources import generator, store
 from casewright.sources.tables import Tables, from_star, star_sql
@@ -473,3 +473,14 @@ def _weekly(spark: SparkSession, folder: str) -> DataFrame:
     path = store.scratch(spark, "weekly")
     surge.run(surge.weekly(surge.read(spark, f"{folder}/[e]vents.parquet")), path, f"{path}-state")
     return spark.read.parquet(path).withColumn("week_start", F.col("week_start").cast("timestamp_ntz"))
+
+
+# search by indexes
+
+_SEARCHED = "onion and the onereing"
+
+
+@_add("search_indexed", search.search_sql(_SEARCHED, 20, "documents", "text", "doc_id"))
+def _search_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    index = search.build(_table(spark, folder, "documents"), store.scratch(spark, "words"), "text", "doc_id")
+    return search.search(spark, index, _SEARCHED, 20).select(F.col("id").alias("doc_id"), F.round("score", 9).alias("score"))
