@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewright.functions import columns as C
-from casewright.operators import cases, filters, insights, network, retrieval, risk, search, upkeep
+from casewright.operators import cases, filters, insights, network, retrieval, risk, search, upkeep, vectors
 from casewright.plans import evaluate, sqlgate, star, tools, viz
 from casewright.sources import generator, store
 from casewright.sources.tables import Tables, from_star, star_sql
@@ -484,3 +484,13 @@ _SEARCHED = "onion and the onereing"
 def _search_indexed(spark: SparkSession, folder: str) -> DataFrame:
     index = search.build(_table(spark, folder, "documents"), store.scratch(spark, "words"), "text", "doc_id")
     return search.search(spark, index, _SEARCHED, 20).select(F.col("id").alias("doc_id"), F.round("score", 9).alias("score"))
+
+
+@_add("vectors_indexed", """WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS asked FROM embeddings WHERE vec_id < 8), s AS (SELECT query, vec_id, list_cosine_similarity(embedding::DOUBLE[], asked) AS score FROM q, embeddings),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS place FROM s) SELECT query, vec_id, round(score, 6) AS score, place::INT AS place FROM r WHERE place <= 10""")
+def _vectors_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector is indexed; the first eight are what is asked for."""
+    rows = _table(spark, folder, "embeddings")
+    index = vectors.build(rows, store.scratch(spark, "cells"), "embedding", "vec_id")
+    asked = rows.filter("vec_id < 8").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    return vectors.search(spark, index, asked, 10).select("query", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), "place")
