@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewright.functions import columns as C
-from casewright.operators import cases, filters, insights, network, retrieval, risk, search, upkeep, vectors
+from casewright.operators import cases, filters, insights, nearest, network, retrieval, risk, search, upkeep, vectors
 from casewright.plans import evaluate, sqlgate, star, tools, viz
 from casewright.sources import generator, store
 from casewright.sources.tables import Tables, from_star, star_sql
@@ -413,11 +413,26 @@ def _capped(t: Tables) -> DataFrame:
     return t["CaseMaster"].sparkSession.createDataFrame([(len(rows), total)], "shown bigint, of_all bigint")
 
 
-@_add("evaluation", "SELECT 6 AS questions, 50.0::DOUBLE AS passed_percent")
+_SETS = """WITH s AS (SELECT conv_id * 1000 + turn AS idx, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), lambda x: length(x) >= 3)) AS a FROM conversations WHERE role = 'user'),
+p AS (SELECT q.idx AS query, s.idx, len(list_intersect(q.a, s.a)) AS common, len(q.a) + len(s.a) AS total FROM s q, s WHERE q.idx < {below} AND q.idx <> s.idx),
+v AS (SELECT query, idx, CASE WHEN total > common THEN common / (total - common) ELSE 0.0 END AS score FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, idx) AS place FROM v)
+"""
+
+
+@_add("examples_nearest", _SETS.format(below=60_000) + "SELECT query, idx, round(score, 9) AS score, place::INT AS place FROM r WHERE place <= 5")
+def _nearest_examples(spark: SparkSession, folder: str) -> DataFrame:
+    """The first sixty conversations' questions against all questions."""
+    rows = _questions(spark, folder)
+    asked = rows.filter("idx < 60000").withColumnRenamed("idx", "query")
+    return nearest.nearest_examples(rows, asked, 5, hold_out=True).select("query", "idx", F.round("score", 9).alias("score"), "place")
+
+
+@_add("evaluation", _SETS.format(below=20_000) + "SELECT count(*) AS questions, round(100.0 * count(*) FILTER (idx // 1000 % 3 < 2) / count(*), 1) AS passed_percent, round(avg(score), 6) AS top_score FROM r WHERE place = 1")
 def _evaluation(spark: SparkSession, folder: str) -> DataFrame:
-    examples = spark.createDataFrame([(k, f"question number {k}", f"SELECT {k} AS x") for k in range(6)], "idx bigint, question string, sql string")
-    told = evaluate.evaluate(spark, examples, lambda question, near: f"SELECT {question[-1]} AS x" if int(question[-1]) % 2 else "DROP TABLE x", hold_out=True)
-    return evaluate.summary(told).select("questions", "passed_percent")
+    """The first twenty conversations' questions, answered by what the nearest other question's statement is; every third is refused."""
+    rows = _questions(spark, folder).withColumn("sql", F.expr("CASE WHEN idx DIV 1000 % 3 < 2 THEN concat('SELECT ', idx, ' AS x') ELSE 'DROP TABLE x' END"))
+    told = evaluate.evaluate(spark, rows, lambda question, near: near[0]["sql"], hold_out=True, questions=rows.filter("idx < 20000"))
+    return evaluate.summary(told).select("questions", F.round("passed_percent", 1).alias("passed_percent"), F.round("top_score", 6).alias("top_score"))
 
 
 # conditions
