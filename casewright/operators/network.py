@@ -12,19 +12,60 @@ from casewright.sources.tables import Tables
 LEAST_SHARED, LEAST_DEGREE, MOST_PERSONS = 2, 2, 90
 
 
-def strong_pairs(t: Tables, least: int = LEAST_SHARED, among: list[str] | None = None) -> DataFrame:
-    """source, target, weight: pairs of persons (source < target), of ``among`` if given, with ``least`` or more distinct cases in common.
+#: Persons of a case, beyond which its pairs aren't listed.
+HEAVY = 500
 
-    A person counts once in a case, which is settled before the self-join. Persons on fewer than ``least`` cases can't be
-    in a pair and are taken out before it as well. A case with very many persons is a skewed key of an inner join, which
-    adaptive execution splits.
-    """
+
+def _entries(t: Tables, least: int, among: list[str] | None) -> DataFrame:
+    """CaseMasterID, PersonID without repeats, of persons (of ``among`` if given) on ``least`` or more cases; no other can be in a pair."""
     seen = t["Accused"].filter(F.col("PersonID").isNotNull() if among is None else F.col("PersonID").isin(among)).select("CaseMasterID", "PersonID").distinct()
     often = seen.groupBy("PersonID").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("PersonID")
-    kept = seen.join(often, "PersonID", "left_semi")
-    a, b = kept.withColumnRenamed("PersonID", "source"), kept.withColumnRenamed("PersonID", "target")
+    return seen.join(often, "PersonID", "left_semi")
+
+
+def _listed(entries: DataFrame) -> DataFrame:
+    """source, target, n: pairs of persons on common cases, and on how many."""
+    a, b = entries.withColumnRenamed("PersonID", "source"), entries.withColumnRenamed("PersonID", "target")
     pairs = a.join(b, "CaseMasterID").filter(F.col("source") < F.col("target"))
-    return pairs.groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight")).filter(F.col("weight") >= least)
+    return pairs.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _weighed(entries: DataFrame, heavy: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs that share a case that isn't heavy (source, target, n, common: heavy cases shared), and each person's heavy cases, sorted."""
+    sets = entries.join(heavy, "CaseMasterID", "left_semi").groupBy("PersonID").agg(F.array_sort(F.collect_set("CaseMasterID")).alias("cases"))
+    of = lambda end: sets.select(F.col("PersonID").alias(end), F.col("cases").alias(f"of_{end}"))
+    pairs = _listed(entries.join(heavy, "CaseMasterID", "left_anti")).join(of("source"), "source", "left").join(of("target"), "target", "left")
+    common = F.coalesce(F.size(F.array_intersect("of_source", "of_target")), F.lit(0))
+    return pairs.select("source", "target", "n", F.when(F.col("of_source").isNull() | F.col("of_target").isNull(), 0).otherwise(common).alias("common")), sets
+
+
+def _meeting(rows: DataFrame, ends: tuple[str, str]) -> DataFrame:
+    """Rows of ``rows`` (their key and sorted ``cases``) joined with those that share two or more cases, each pair once and in both orders;
+    common: how many they share. Rows meet by two cases at a time, and a pair counts where these are the first two that it shares."""
+    twos = F.expr("flatten(transform(cases, (x, i) -> transform(slice(cases, i + 2, size(cases)), y -> struct(x AS first, y AS second))))")
+    keyed = rows.filter(F.size("cases") > 1).withColumn("two", F.explode(twos))
+    a = keyed.select(F.col(rows.columns[0]).alias(ends[0]), F.col("cases").alias("left_cases"), "two", *[F.col(c).alias(f"left_{c}") for c in rows.columns[2:]])
+    b = keyed.select(F.col(rows.columns[0]).alias(ends[1]), F.col("cases").alias("right_cases"), "two", *[F.col(c).alias(f"right_{c}") for c in rows.columns[2:]])
+    met = a.join(b, "two").withColumn("shared", F.array_intersect("left_cases", "right_cases"))
+    return met.filter((F.col("shared")[0] == F.col("two.first")) & (F.col("shared")[1] == F.col("two.second"))).withColumn("common", F.size("shared"))
+
+
+def strong_pairs(t: Tables, least: int = LEAST_SHARED, among: list[str] | None = None, heavy: int = HEAVY) -> DataFrame:
+    """source, target, weight: pairs of persons (source < target), of ``among`` if given, with ``least`` or more distinct cases in common.
+
+    A person counts once in a case, which is settled before any join. Pairs of cases of up to ``heavy`` persons are listed and counted. A
+    larger case alone makes no pair strong: pairs that share a smaller one get their larger ones added from both persons' lists, and pairs
+    that share none are found by two larger cases at a time, so only pairs that are strong are made of them.
+    """
+    entries = _entries(t, least, among)
+    crowded = entries.groupBy("CaseMasterID").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > heavy).select("CaseMasterID")
+    if least < 2 or crowded.isEmpty():
+        return _listed(entries).select("source", "target", F.col("n").alias("weight")).filter(F.col("weight") >= least)
+    pairs, sets = _weighed(entries, crowded)
+    light = pairs.select("source", "target", (F.col("n") + F.col("common")).alias("weight"))
+    only_heavy = _meeting(sets, ("source", "target")).filter(F.col("source") < F.col("target")).select("source", "target", F.col("common").cast("bigint").alias("weight"))
+    # a pair of both kinds weighs more as the first
+    return light.unionByName(only_heavy).groupBy("source", "target").agg(F.max("weight").alias("weight")).filter(F.col("weight") >= least)
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -33,13 +74,31 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
 
 
+def strong_degrees(t: Tables, least: int = LEAST_SHARED, heavy: int = HEAVY) -> DataFrame:
+    """id, degree: in how many strong pairs each person is, as ``degrees(strong_pairs(t))``, without listing pairs of larger cases.
+
+    Persons with the same larger cases are counted as one group, and groups meet instead of persons.
+    """
+    entries = _entries(t, least, None)
+    crowded = entries.groupBy("CaseMasterID").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > heavy).select("CaseMasterID")
+    if least < 2 or crowded.isEmpty():
+        return degrees(strong_pairs(t, least, heavy=heavy))
+    pairs, sets = _weighed(entries, crowded)
+    # pairs with two larger cases and enough of them are counted by their groups
+    listed = pairs.filter((F.col("n") + F.col("common") >= least) & (F.col("common") < least))
+    groups = sets.groupBy(F.col("cases").alias("group"), "cases").agg(F.count(F.lit(1)).alias("persons"))
+    near = _meeting(groups, ("group", "other")).filter(F.col("common") >= least).groupBy("group").agg((F.sum("right_persons") - 1).alias("degree"))
+    by_group = sets.join(near, sets["cases"] == near["group"]).select(F.col("PersonID").alias("id"), "degree")
+    return degrees(listed).unionByName(by_group).groupBy("id").agg(F.sum("degree").alias("degree")).filter(F.col("degree") > 0)
+
+
 def edges(t: Tables, most: int = MOST_PERSONS) -> DataFrame:
     """Strong pairs among the ``most`` persons of highest degree, of those of degree 2 or more; heaviest first.
 
-    Persons of equal degree enter by id. The list of these few persons is found first, so all pairs are counted once, and
-    then only the entries of the listed persons are read into pairs again.
+    Persons of equal degree enter by id. The list of these few persons is found first, without listing the pairs of larger cases, and
+    then only the entries of the listed persons are read into pairs.
     """
-    clustered = degrees(strong_pairs(t)).filter(F.col("degree") >= LEAST_DEGREE).orderBy(F.desc("degree"), "id").limit(most)
+    clustered = strong_degrees(t).filter(F.col("degree") >= LEAST_DEGREE).orderBy(F.desc("degree"), "id").limit(most)
     shown = [r.id for r in clustered.collect()]
     return strong_pairs(t, among=shown).select("source", "target", "weight").orderBy(F.desc("weight"), "source", "target")
 
