@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewright.functions import columns as C
+from casewright.operators import names
 from casewright.sources.tables import Tables
 
 #: A dimension's table, its key, the cases' (or, for districts, the units') key, and what it needs first.
@@ -136,7 +137,7 @@ def map_data(counts: DataFrame, places: DataFrame) -> DataFrame:
     """
     ranked = counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("count"), "name"))).withColumn("share", F.col("count") / F.greatest(F.max("count").over(Window.partitionBy()), F.lit(1)))
     keyed = places.select(F.col("name").alias("_place"), "latitude", "longitude", "seq")
-    a, b = F.lower("name"), F.lower("_place")
-    near = ranked.join(keyed, a.contains(b) | b.contains(a))
+    pairs = names.either(counts.select("name"), places.select("name"), "name", "name")
+    near = ranked.withColumn("a", F.lower("name")).join(pairs, "a").join(keyed.withColumn("b", F.lower("_place")), "b")
     first = C.top_per_group(near, ["name"], [(F.col("name") == F.col("_place")).desc(), F.col("seq")])
     return first.select("rank", "name", "count", "share", "latitude", "longitude")

@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewright.functions import columns as C
-from casewright.operators import cases, filters, insights, nearest, network, retrieval, risk, search, upkeep, vectors
+from casewright.operators import cases, filters, insights, names, nearest, network, retrieval, risk, search, upkeep, vectors
 from casewright.plans import evaluate, sqlgate, star, tools, viz
-from casewright.sources import generator, store
+from casewright.sources import entries, generator, store
 from casewright.sources.tables import Tables, from_star, star_sql
 from casewright.streaming import surge
 
@@ -490,6 +490,50 @@ def _weekly(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(path).withColumn("week_start", F.col("week_start").cast("timestamp_ntz"))
 
 
+@_cases("sql_gate_subquery", "SELECT CaseMasterID FROM CaseMaster ORDER BY CaseMasterID LIMIT 200", "CaseMaster")
+def _gate_subquery(t: Tables) -> DataFrame:
+    t.register()
+    return sqlgate.run(t["CaseMaster"].sparkSession, "SELECT CaseMasterID FROM CaseMaster WHERE CaseMasterID IN (SELECT CaseMasterID FROM CaseMaster ORDER BY CaseMasterID LIMIT 4000) ORDER BY CaseMasterID")
+
+
+# entries of a cache, calls at a pace, names
+
+
+@_add("cache_by_entry", "WITH n AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN text || '!' ELSE text END AS text FROM documents) SELECT doc_id, length(text)::BIGINT AS n, text NOT IN (SELECT text FROM documents WHERE text IS NOT NULL) AS computed FROM n")
+def _cache_by_entry(spark: SparkSession, folder: str) -> DataFrame:
+    """All texts are computed and kept; the second run, with a tenth of the texts changed, computes only what it doesn't have."""
+    path, docs = store.scratch(spark, "entries"), _table(spark, folder, "documents").select("doc_id", "text")
+    measured = lambda run: lambda texts: texts.select("hash", F.struct(F.length("text").cast("bigint").alias("n"), F.lit(run).alias("run")).alias("value"))
+    entries.through(docs, "text", "kept", path, NOW, 60, measured(1))
+    changed = docs.withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    found = entries.through(changed, "text", "kept", path, NOW + timedelta(minutes=30), 60, measured(2))
+    return found.select("doc_id", F.col("kept.n").alias("n"), (F.col("kept.run") == 2).alias("computed"))
+
+
+@_add("paced_parts", "SELECT p_partkey, CASE WHEN p_partkey % 500 <> 7 THEN length(p_name)::BIGINT END AS n FROM part")
+def _paced(spark: SparkSession, folder: str) -> DataFrame:
+    """Some values are refused in the first run and null then; all others get theirs."""
+    rows = _table(spark, folder, "part").select("p_partkey", F.when(F.col("p_partkey") % 500 != 7, F.col("p_name")).alias("p_name"))
+    done, refused = entries.paced(rows, "p_partkey", "p_name", "n", "bigint", _Measured(), 6e7, batch=1, retries=0, in_flight=4)
+    return done.unionByName(refused.select("p_partkey", F.lit(None).cast("bigint").alias("n")))
+
+
+class _Measured:
+    """A service that can't take nulls."""
+
+    def __call__(self, values: list) -> list:
+        return [len(v) for v in values]
+
+
+@_add("names_within", "SELECT p_partkey, c_custkey FROM part JOIN customer ON contains(c_name, lpad(p_partkey::VARCHAR, 5, '0'))")
+def _names_within(spark: SparkSession, folder: str) -> DataFrame:
+    """Which customers' names hold a part's number."""
+    parts = _table(spark, folder, "part").select("p_partkey", F.lpad(F.col("p_partkey").cast("string"), 5, "0").alias("number"))
+    customers = _table(spark, folder, "customer").select("c_custkey", "c_name")
+    pairs = names.holding(parts, customers, "number", "c_name")
+    return pairs.join(parts, F.col("inner") == F.col("number")).join(customers, F.col("outer") == F.lower("c_name")).select("p_partkey", "c_custkey")
+
+
 # search by indexes
 
 _SEARCHED = "onion and the onereing"
