@@ -6,8 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def count_if(condition: Column) -> Column:
-    return F.count(F.when(condition, F.lit(1)))
+#: A column of rows that stand for several.
+WEIGHT = "_rows"
+
+
+def weight_of(rows: DataFrame) -> Column | None:
+    """How many rows each row stands for, if the table says so."""
+    return F.col(WEIGHT) if WEIGHT in rows.columns else None
+
+
+def count_if(condition: Column, weight: Column | None = None) -> Column:
+    """How many rows fulfil the condition; with ``weight``, rows stand for so many each."""
+    if weight is None:
+        return F.count(F.when(condition, F.lit(1)))
+    return F.coalesce(F.sum(F.when(condition, weight)), F.lit(0)).cast("bigint")
 
 
 def percent(condition: Column) -> Column:

@@ -24,7 +24,7 @@ def series(t: Tables, as_of: date | datetime | str) -> DataFrame:
     starts = [W.month_start(at, MONTHS - 1 - k) for k in range(MONTHS)]
     ends = [*starts[1:], W.month_start(at, -1)]
     recent = t["CaseMaster"].filter(W.since("CrimeRegisteredDate", starts[0]))
-    counts = [C.count_if(W.within("CrimeRegisteredDate", a, b)).alias(f"y{k}") for k, (a, b) in enumerate(zip(starts, ends, strict=True))]
+    counts = [C.count_if(W.within("CrimeRegisteredDate", a, b), C.weight_of(recent)).alias(f"y{k}") for k, (a, b) in enumerate(zip(starts, ends, strict=True))]
     by_unit = recent.groupBy("PoliceStationID", "CrimeMajorHeadID").agg(*counts)
     named = cases.attach(t, by_unit, "unit", "district", "head")
     summed = named.groupBy(F.col("DistrictName").alias("district"), F.col("CrimeGroupName").alias("crime_group")).agg(*[F.sum(f"y{k}").alias(f"y{k}") for k in range(MONTHS)])

@@ -21,7 +21,7 @@ def spikes(t: Tables, as_of: date | datetime | str, top: int = 3) -> DataFrame:
     at = W.moment(as_of)
     low, middle, high = W.month_start(at, 2), W.month_start(at, 1), W.month_start(at)
     recent = t["CaseMaster"].filter(W.within("CrimeRegisteredDate", low, high))
-    by_unit = recent.groupBy("PoliceStationID").agg(C.count_if(W.since("CrimeRegisteredDate", middle)).alias("now"), F.count(F.lit(1)).alias("both"))
+    by_unit = recent.groupBy("PoliceStationID").agg(C.count_if(W.since("CrimeRegisteredDate", middle), C.weight_of(recent)).alias("now"), C.count_if(F.lit(True), C.weight_of(recent)).alias("both"))
     found = cases.attach(t, by_unit, "unit", "district").groupBy(F.col("DistrictName").alias("district_name")).agg(F.sum("now").alias("this_month"), (F.sum("both") - F.sum("now")).alias("last_month"))
     now, before = F.col("this_month"), F.col("last_month")
     spiking = found.filter((before > LEAST_BEFORE) & (now > before * SPIKE_FACTOR))
@@ -33,7 +33,12 @@ def repeat_accused(t: Tables, as_of: date | datetime | str, days: int = 30, leas
     at = W.moment(as_of)
     recent = t["CaseMaster"].filter(W.since("CrimeRegisteredDate", at - timedelta(days=days))).select("CaseMasterID", "CrimeMajorHeadID")
     named = t["Accused"].filter(F.col("AccusedName").isNotNull()).select("CaseMasterID", F.col("AccusedName").alias("accused_name"))
-    rows = cases.attach(t, named.join(recent, "CaseMasterID"), "head")
+    return repeats_among(t, named.join(recent, "CaseMasterID"), least, top)
+
+
+def repeats_among(t: Tables, entries: DataFrame, least: int = LEAST_CASES, top: int = 2) -> DataFrame:
+    """As ``repeat_accused``, of entries of accused_name, CaseMasterID and CrimeMajorHeadID."""
+    rows = cases.attach(t, entries, "head")
     # one row for each name, case and group first, so that the distinct count needs no second pass over all rows
     distinct = rows.groupBy("accused_name", "CaseMasterID", "CrimeGroupName").agg(F.lit(1).alias("one"))
     found = distinct.groupBy("accused_name").agg(F.count_distinct("CaseMasterID").alias("case_count"), C.listed(F.col("CrimeGroupName")).alias("crime_types"))
@@ -46,7 +51,7 @@ def weekly_counts(rows: DataFrame, kind: str | Column, at: str, as_of: date | da
     bound = W.day if dates else W.instant
     start, middle = bound(now - timedelta(days=14)), bound(now - timedelta(days=7))
     recent = rows.filter(F.col(at) >= start)
-    return recent.groupBy(F.col(kind).alias("crime_type") if isinstance(kind, str) else kind.alias("crime_type")).agg(C.count_if(F.col(at) >= middle).alias("this_week"), C.count_if(F.col(at) < middle).alias("last_week"))
+    return recent.groupBy(F.col(kind).alias("crime_type") if isinstance(kind, str) else kind.alias("crime_type")).agg(C.count_if(F.col(at) >= middle, C.weight_of(rows)).alias("this_week"), C.count_if(F.col(at) < middle, C.weight_of(rows)).alias("last_week"))
 
 
 def surge_of(counts: DataFrame) -> DataFrame:
@@ -58,7 +63,7 @@ def surge_of(counts: DataFrame) -> DataFrame:
 
 def weekly_surge(t: Tables, as_of: date | datetime | str) -> DataFrame:
     """The surging crime group. The largest is chosen before it is tested: a smaller one that surges doesn't count."""
-    by_head = weekly_counts(t["CaseMaster"].select("CrimeMajorHeadID", "CrimeRegisteredDate"), "CrimeMajorHeadID", "CrimeRegisteredDate", as_of)
+    by_head = weekly_counts(t["CaseMaster"], "CrimeMajorHeadID", "CrimeRegisteredDate", as_of)
     named = cases.attach(t, by_head.withColumnRenamed("crime_type", "CrimeMajorHeadID"), "head")
     return surge_of(named.groupBy(F.col("CrimeGroupName").alias("crime_type")).agg(F.sum("this_week").alias("this_week"), F.sum("last_week").alias("last_week")))
 
@@ -68,8 +73,8 @@ def _cards(rows: DataFrame, group: int, kind: str, title: Column, detail: Column
     return rows.select((F.lit(1000 * group) + place).cast("int").alias("seq"), F.lit(kind).alias("type"), title.alias("title"), detail.alias("detail"), query.alias("query"))
 
 
-def insights(t: Tables, as_of: date | datetime | str) -> DataFrame:
-    """seq, type, title, detail, query: spikes, repeat accused, the weekly surge, forecasts, in this order of seq."""
+def insights(t: Tables, as_of: date | datetime | str, repeats: DataFrame | None = None) -> DataFrame:
+    """seq, type, title, detail, query: spikes, repeat accused (``repeats``, if they are known), the weekly surge, forecasts, in this order of seq."""
     say = F.format_string
     # The types, titles, details and questions are what results show.
     parts = [
@@ -83,7 +88,7 @@ def insights(t: Tables, as_of: date | datetime | str) -> DataFrame:
             [F.desc("this_month"), F.col("district_name")],
         ),
         _cards(
-            repeat_accused(t, as_of),
+            repeat_accused(t, as_of) if repeats is None else repeats,
             2,
             "repeat_suspect",
             say("Repeat accused: %s", "accused_name"),

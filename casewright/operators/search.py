@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from casewright.functions import stemming
 from casewright.operators import retrieval
 
-#: Folders of postings and of dictionary words; shares into which each is dealt, so that a word of all texts is no single task's.
+#: Folders of postings and of dictionary words; shares into which each is dealt at least, so that a word of all texts is no single task's.
 BUCKETS, SHARES = 32, 8
 #: Postings beyond which a search first tries the rarer stems alone.
 EAGER = 5_000_000
@@ -44,12 +44,13 @@ class Index:
         return spark.read.parquet(f"{self.path}/dictionary")
 
 
-def build(rows: DataFrame, path: str, text_col: str = "text", id_col: str = "id", buckets: int = BUCKETS, shares: int = SHARES) -> Index:
+def build(rows: DataFrame, path: str, text_col: str = "text", id_col: str = "id", buckets: int = BUCKETS, shares: int | None = None) -> Index:
     """Write an index of the words (as ``retrieval.words`` has them) of all texts. Null texts have no words; ids are distinct.
 
     Words are counted within their row. Postings are dealt out by word and by a share of the texts, and lie sorted by word in
-    their folder, so that a search skips most of each file.
+    their folder, so that a search skips most of each file. Shares grow with the session's shuffle partitions, unless they are given.
     """
+    shares = shares or max(SHARES, 8 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // buckets)
     sorted_words = F.array_sort(retrieval.words(F.col(f"`{text_col}`")))
     firsts = F.expr("filter(sequence(0, size(s) - 1), i -> i = 0 OR s[i] <> s[i - 1])")
     runs = F.expr("inline(transform(sequence(0, size(f) - 1), j -> named_struct('word', s[f[j]], 'n', coalesce(get(f, j + 1), size(s)) - f[j])))")
@@ -60,7 +61,7 @@ def build(rows: DataFrame, path: str, text_col: str = "text", id_col: str = "id"
     index = Index(path, buckets)
     words = index.postings(rows.sparkSession).groupBy("word").agg(F.count(F.lit(1)).alias("texts"), F.max("n").alias("most"))
     stems = stemming.with_stem(words).withColumn("bucket", _bucket("stem", buckets))
-    stems.repartition("bucket").sortWithinPartitions("bucket", "stem").write.partitionBy("bucket").parquet(f"{path}/dictionary")
+    stems.repartition("bucket", F.pmod(F.xxhash64("stem"), F.lit(shares))).sortWithinPartitions("bucket", "stem").write.partitionBy("bucket").parquet(f"{path}/dictionary")
     return index
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casewright.functions import columns as C
@@ -108,3 +108,31 @@ def with_children(parent: DataFrame, child: DataFrame, key: str, order: list[str
 def history(turns: DataFrame, last: int, conversation: str, order: list[str]) -> DataFrame:
     """The last turns of each conversation, which is what a planner is shown."""
     return C.top_per_group(turns, [conversation], [F.desc(c) for c in order], last)
+
+
+BUCKET = "_bucket"
+
+
+def _bucketed(rows: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    return rows.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+
+
+def stored(rows: DataFrame, path: str, keys: list[str], buckets: int = 64) -> None:
+    """Write a table in folders by a hash of its keys, for ``update_stored``."""
+    _bucketed(rows, keys, buckets).repartition(BUCKET).write.partitionBy(BUCKET).parquet(path)
+
+
+def update_stored(spark: SparkSession, path: str, changes: DataFrame, keys: list[str], buckets: int = 64) -> None:
+    """``update_from`` on a table that ``stored`` wrote, in place: only the folders that a change falls in are read and written.
+
+    ``buckets`` as it was stored with. The new files take the old ones' place when all of them are written; a job that fails
+    before that leaves the table as it was.
+    """
+    marked = _bucketed(changes, keys, buckets)
+    touched = [r[BUCKET] for r in marked.select(BUCKET).distinct().collect()]  # as many as there are folders, at most
+    if not touched:
+        return
+    whole = spark.read.parquet(path)
+    old = whole.filter(F.col(BUCKET).isin(touched))
+    updated = update_from(old, changes, keys).select(*whole.columns)
+    updated.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)

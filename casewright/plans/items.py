@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewright.functions import columns as C
-from casewright.operators import cases, filters, insights, names, nearest, network, retrieval, risk, search, upkeep, vectors
+from casewright.operators import cases, classify, daily, filters, insights, names, nearest, network, retrieval, risk, search, upkeep, vectors
 from casewright.plans import evaluate, sqlgate, star, tools, viz
 from casewright.sources import entries, generator, store
 from casewright.sources.tables import Tables, from_star, star_sql
@@ -496,6 +496,37 @@ def _gate_subquery(t: Tables) -> DataFrame:
     return sqlgate.run(t["CaseMaster"].sparkSession, "SELECT CaseMasterID FROM CaseMaster WHERE CaseMasterID IN (SELECT CaseMasterID FROM CaseMaster ORDER BY CaseMasterID LIMIT 4000) ORDER BY CaseMasterID")
 
 
+_ROLLING = """WITH d AS (SELECT unnest(generate_series(date_trunc('day', (SELECT min(ts) FROM events)) + INTERVAL '1 day', date_trunc('day', (SELECT max(ts) FROM events)), INTERVAL '1 day')) AS until),
+c AS (SELECT until, event_type, count(*) FILTER (ts >= until - INTERVAL '7 days') AS this_week, count(*) FILTER (ts < until - INTERVAL '7 days') AS last_week FROM d JOIN events ON ts >= until - INTERVAL '14 days' AND ts < until
+WHERE until <= (SELECT max(ts) - INTERVAL '1 day' FROM events) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY until ORDER BY this_week DESC, event_type) AS place FROM c)
+"""
+
+
+def _rolled(spark: SparkSession, folder: str) -> DataFrame:
+    path = store.scratch(spark, "rolling")
+    surge.run(surge.rolling(surge.read(spark, f"{folder}/[e]vents.parquet")), path, f"{path}-state")
+    return spark.read.parquet(path).withColumn("until", F.col("until").cast("timestamp_ntz"))
+
+
+_add("stream_rolling", _ROLLING + "SELECT until, event_type, this_week, last_week FROM c")(_rolled)
+
+
+@_add("stream_surge", _ROLLING + "SELECT until, event_type, this_week, last_week FROM r WHERE place = 1 AND this_week > 5 AND this_week > last_week * 1.3")
+def _stream_surge(spark: SparkSession, folder: str) -> DataFrame:
+    return surge.surges(_rolled(spark, folder))
+
+
+@_add("insights_incremental", star.SQL["insights"])
+def _incremental(spark: SparkSession, folder: str) -> DataFrame:
+    """Half a year up to ten days before is kept first; then the ten new days are added, and a stretch with late rows is counted anew."""
+    t, path, end = from_star(spark, folder), store.scratch(spark, "daily"), date.fromisoformat(star.AS_OF[:10])
+    new, late = end - timedelta(days=10), end - timedelta(days=40)
+    part = Tables({**{k: t[k] for k in t}, "CaseMaster": t["CaseMaster"].filter(~((F.col("CrimeRegisteredDate") >= F.lit(late)) & (F.col("CaseMasterID") % 7 == 0)))})
+    daily.refresh(part, path, [(end - timedelta(days=215), new)])
+    daily.refresh(t, path, [(late, new), (new, end + timedelta(days=32))])
+    return daily.insights_kept(t, path, star.AS_OF)
+
+
 # entries of a cache, calls at a pace, names
 
 
@@ -534,6 +565,36 @@ def _names_within(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.join(parts, F.col("inner") == F.col("number")).join(customers, F.col("outer") == F.lower("c_name")).select("p_partkey", "c_custkey")
 
 
+@_add("updated_in_place", "SELECT c_custkey, CASE WHEN c_custkey IN (11, 500) THEN 'new' ELSE c_name END AS c_name, c_nationkey FROM customer")
+def _updated_in_place(spark: SparkSession, folder: str) -> DataFrame:
+    path, rows = store.scratch(spark, "customers"), _table(spark, folder, "customer").select("c_custkey", "c_name", "c_nationkey")
+    upkeep.stored(rows, path, ["c_custkey"], 16)
+    changes = rows.filter("c_custkey IN (11, 500)").select("c_custkey", F.lit("new").alias("c_name"))
+    upkeep.update_stored(spark, path, changes, ["c_custkey"], 16)
+    return spark.read.parquet(path).select("c_custkey", "c_name", "c_nationkey")
+
+
+_MEASURES = ["size", "symbols", "kinds"]
+
+
+@_add("fitted_classifier", "SELECT count(*) AS n, true AS accurate, true AS ranked FROM documents JOIN labels USING (doc_id) WHERE doc_id % 5 = 0 AND quality IN (0, 1)")
+def _fitted(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents' quality from three measures of their texts and their language, fitted on four fifths of the labelled ones; of the rest,
+    at least nine in ten must be right, and a good one must be ranked over a bad one nine times in ten."""
+    words = F.split("text", "\\s+")
+    labelled = _table(spark, folder, "documents").join(_table(spark, folder, "labels").select("doc_id", "quality"), "doc_id")
+    path = store.scratch(spark, "measures")
+    labelled.select(
+        "doc_id", "quality", "lang", F.log1p("n_chars").alias("size"),
+        (F.length(F.regexp_replace("text", "[\\p{L}\\s]", "")) / F.greatest(F.length("text"), F.lit(1))).alias("symbols"),
+        (F.size(F.array_distinct(words)) / F.size(words)).alias("kinds"),
+    ).write.parquet(path)
+    rows = spark.read.parquet(path)
+    model = classify.fit(rows.filter("doc_id % 5 <> 0"), "quality", _MEASURES, ["lang"])
+    told = classify.measured(classify.scored(rows.filter("doc_id % 5 = 0"), model, _MEASURES, ["lang"]), "quality")
+    return told.select("n", (F.col("accuracy") >= 0.9).alias("accurate"), (F.col("auc") >= 0.9).alias("ranked"))
+
+
 # search by indexes
 
 _SEARCHED = "onion and the onereing"
