@@ -249,25 +249,24 @@ def align(docs: DataFrame, byte_path: str, piece_path: str, text_col: str = "tex
     by itself and whole, so repeated rows get equal results and an empty table stays empty.
     """
     common.prepare(docs.sparkSession)
-    added = [f.name for f in _FIELDS]
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added or c == text_col])
-    at = kept.columns.index(text_col)
-    schema = T.StructType([f for f in kept.schema.fields if f.name not in added] + _FIELDS)
-    places = [k for k, c in enumerate(kept.columns) if c not in added]
+    others = [c for c in docs.columns if c not in {f.name for f in _FIELDS}]
+    # other columns travel as one struct, whatever their names
+    kept = docs.select(F.col(f"`{text_col}`").alias("text"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others]).alias("rest"))
+    schema = T.StructType([kept.schema["rest"], *_FIELDS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.alone("alignment")
         own = aligner(byte_path, piece_path)
         for batch in batches:
-            found = [own.align(t) for t in batch.column(at).to_pylist()]
+            found = [own.align(t) for t in batch.column(0).to_pylist()]
             links = [np.unique(np.frombuffer(b"".join([w.pairs for w in doc]), dtype="<i8"), return_counts=True) for doc in found]
             offsets = pa.array(np.cumsum([0, *[len(p) for p, _ in links]]), pa.int32())
             pairs, times = (np.concatenate([np.zeros(0, np.int64), *[x[k] for x in links]]) for k in (0, 1))
             made = [pa.array([sum([w[k] for w in doc]) for doc in found], pa.int64()) for k in range(3)]
             made += [pa.array([";".join([w.shown for w in doc]) for doc in found], pa.string()), pa.ListArray.from_arrays(offsets, pa.array(pairs)), pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))]
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in places], *made], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(1), *made], names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema).select(*[F.col(f"rest.`{c}`").alias(c) for c in others], *[f.name for f in _FIELDS])
 
 
 def link_counts(aligned: DataFrame) -> DataFrame:

@@ -134,6 +134,7 @@ class Hashes:
 def keys(words: DataFrame, long: bool) -> DataFrame:
     """key, place, fresh, id, n, word of each word and of it less each character; strings of LONG code points and more if ``long``
     (these without ``word``), else shorter ones. ``words``: id, word, n."""
+    limit = LONG
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,7 +142,7 @@ def keys(words: DataFrame, long: bool) -> DataFrame:
             hashes = Hashes(texts.to_pylist())
             for low in range(0, len(hashes), STEP):
                 word, place, key = hashes.part(low, min(low + STEP, len(hashes)))
-                of_length = (hashes.lengths[word] - (place >= 0) >= LONG) == long
+                of_length = (hashes.lengths[word] - (place >= 0) >= limit) == long
                 word, place, key = word[of_length], place[of_length], key[of_length]
                 rows = pa.array(word)
                 shown = pa.nulls(len(word), pa.string()) if long else texts.take(rows)

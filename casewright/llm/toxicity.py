@@ -64,13 +64,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def spellings(counted: DataFrame) -> DataFrame:
-    """half, gram, n0, n1: how often each ORDER characters on end are in the words of each class, words starting with ORDER - 1 marks
+    """gram, n0, n1: how often each ORDER characters on end are in the words of each class, words starting with ORDER - 1 marks
     and ending with one."""
     marked = F.concat(F.lit(_START * (ORDER - 1)), "word", F.lit(_END))
     cut = F.expr(f"transform(sequence(1, length(w) - {ORDER - 1}), i -> substring(w, i, {ORDER}))")
-    each = counted.select("half", "toxic", "n", marked.alias("w")).select("half", "toxic", "n", F.explode(cut).alias("gram"))
+    each = counted.select("toxic", "n", marked.alias("w")).select("toxic", "n", F.explode(cut).alias("gram"))
     of = lambda toxic: F.coalesce(F.sum(F.when(F.col("toxic") == toxic, F.col("n"))), F.lit(0)).alias(f"n{toxic}")
-    return each.groupBy("half", "gram").agg(of(0), of(1))
+    return each.groupBy("gram").agg(of(0), of(1))
 
 
 def _hash(codes: np.ndarray) -> np.ndarray:
@@ -246,23 +246,19 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     chosen = there.filter(F.shiftrightunsigned(h, 2).cast("double") < below * F.lit(float(1 << 62))).withColumn("half", h.bitwiseAND(F.lit(1)).cast("int"))
     rows = common.materialise(texts.join(F.broadcast(chosen), "doc_id").select("half", "toxic", "text"), "toxicity-rows")
     counted = common.materialise(word_counts(rows), "toxicity-words")
-    table = spellings(counted).toArrow()
-    half, grams = table["half"].to_numpy(), table["gram"]
-    counts = [table[c].to_numpy() for c in ("n0", "n1")]
 
-    def of(rows_of: np.ndarray) -> Ratio:
-        return build(grams.filter(pa.array(rows_of)), *[c[rows_of] for c in counts])
+    def learned(words: DataFrame) -> Ratio:
+        table = spellings(words).toArrow()
+        return build(table["gram"], table["n0"].to_numpy(), table["n1"].to_numpy())
 
-    both = table.group_by("gram").aggregate([("n0", "sum"), ("n1", "sum")])
-    whole = build(both["gram"], both["n0_sum"].to_numpy(), both["n1_sum"].to_numpy())
     # texts are measured with the half that doesn't hold them
-    measured = [measures(rows.filter(F.col("half") == 1 - k).drop("half"), of(half == k)).drop("text").toArrow() for k in (0, 1)]
+    measured = [measures(rows.filter(F.col("half") == 1 - k).drop("half"), learned(counted.filter(F.col("half") == k))).drop("text").toArrow() for k in (0, 1)]
     seen = pa.concat_tables(measured)
     if len(seen) == 0 or len(set(seen["toxic"].to_pylist())) < 2:
-        return Model(whole, np.array([*[0.0] * len(MEASURES), math.log(n[1] / n[0])]))
+        return Model(learned(counted), np.array([*[0.0] * len(MEASURES), math.log(n[1] / n[0])]))
     toxic = seen["toxic"].to_numpy().astype(np.float64)
     weight = np.where(toxic == 1, n[1] / toxic.sum(), n[0] / (1 - toxic).sum())
-    return Model(whole, regression(np.column_stack([seen[c].to_numpy() for c in MEASURES]), toxic, weight))
+    return Model(learned(counted), regression(np.column_stack([seen[c].to_numpy() for c in MEASURES]), toxic, weight))
 
 
 _KEPT: dict[str, Measurer] = {}
