@@ -21,7 +21,8 @@ def fit(rows: DataFrame, label: str, numbers: Sequence[str] = (), names: Sequenc
     Rows without a label teach nothing; of more than ``sample`` labelled rows about as many are taken, by a hash of the columns. Null
     numbers count as 0, null names as a value of their own, null texts as empty. Names not seen in the fit count as none.
     """
-    labelled = prepared(rows.filter(F.col(label).isin(0, 1)), numbers, names, texts).withColumn("label", F.col(label).cast("double"))
+    used = rows.filter(F.col(label).isin(0, 1)).select(F.col(label).cast("double").alias("label"), *[c for c in dict.fromkeys([*numbers, *names, *texts])])
+    labelled = prepared(used, numbers, names, texts)
     n = labelled.count()
     if n > sample:
         labelled = labelled.filter(F.pmod(F.xxhash64(*numbers, *names, *texts, F.lit(seed)), F.lit(1 << 40)) < int(sample / n * (1 << 40)))
@@ -44,7 +45,7 @@ def prepared(rows: DataFrame, numbers: Sequence[str], names: Sequence[str], text
 def scored(rows: DataFrame, model: PipelineModel, numbers: Sequence[str] = (), names: Sequence[str] = (), texts: Sequence[str] = ()) -> DataFrame:
     """Add score, the probability of 1, and predicted, which is 1 from 0.5 on."""
     others = [c for c in rows.columns if c not in ("score", "predicted")]
-    packed = rows.select(*[F.col(c) for c in {*numbers, *names, *texts}], F.struct(*[F.col(c) for c in others]).alias("rest"))
+    packed = rows.select(*[F.col(c) for c in {*numbers, *names, *texts}], F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others]).alias("rest"))
     found = model.transform(prepared(packed, numbers, names, texts)).withColumn("score", vector_to_array("probability")[1])
     return found.select(*[F.col(f"rest.`{c}`").alias(c) for c in others], "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
