@@ -70,28 +70,39 @@ def _tool(t: Tables) -> DataFrame:
     return answer["rows"]
 
 
+#: Statements about a name, whether the gate lets them through, and how their results are shown.
 _STATEMENTS = [
-    (0, "SELECT 1", True, "table"),
-    (1, "WITH a AS (SELECT 1 AS x) SELECT * FROM a UNION SELECT 2", True, "table"),
-    (2, "DROP TABLE CaseMaster", False, "table"),
-    (3, "WITH a AS (SELECT 1) DELETE FROM CaseMaster", False, "table"),
-    (4, "SELECT 1; SELECT 2", False, "table"),
-    (5, "SELECT ';' AS x, count(*) FROM CaseMaster GROUP BY DistrictName", True, "chart"),
-    (6, "INSERT INTO CaseMaster SELECT * FROM CaseMaster", False, "table"),
-    (7, "-- nothing", False, "table"),
-    (8, "SELECT AccusedName, count(*) FROM Accused GROUP BY AccusedName", True, "graph"),
-    (9, "SELECT reflect('java.lang.System', 'exit')", False, "table"),
+    ("SELECT count(*) FROM CaseMaster WHERE DistrictName = '{}'", True, "table"),
+    ("WITH a AS (SELECT '{}' AS x) SELECT * FROM a UNION SELECT 'y'", True, "table"),
+    ("DROP TABLE {}", False, "table"),
+    ("WITH a AS (SELECT 1) DELETE FROM CaseMaster WHERE x = '{}'", False, "table"),
+    ("SELECT '{}'; SELECT 2", False, "table"),
+    ("SELECT ';' AS x, count(*) FROM CaseMaster WHERE x <> '{}' GROUP BY DistrictName", True, "chart"),
+    ("INSERT INTO CaseMaster SELECT '{}'", False, "table"),
+    ("-- {}", False, "table"),
+    ("SELECT AccusedName, count(*) FROM Accused WHERE x = '{}' GROUP BY AccusedName", True, "graph"),
+    ("SELECT reflect('java.lang.System', '{}')", False, "table"),
+    ("SELECT * FROM text.`{}`", False, "table"),
 ]
 
 
-@_add("sql_verdicts", _values("k, valid", [(k, valid) for k, _, valid, _ in _STATEMENTS]))
+def _statements(spark: SparkSession, folder: str) -> list[tuple[int, str]]:
+    """One for each supplier of a nation; the gate reads statements one by one, as they come."""
+    rows = _table(spark, folder, "supplier").join(_table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("k"), "n_name").toLocalIterator()
+    return [(r.k, _STATEMENTS[r.k % len(_STATEMENTS)][0].format(r.n_name)) for r in rows]
+
+
+_OF_STATEMENT = "SELECT s_suppkey AS k, ({})[(s_suppkey % 11)::INT + 1] AS {} FROM supplier JOIN nation ON s_nationkey = n_nationkey"
+
+
+@_add("sql_verdicts", _OF_STATEMENT.format([valid for _, valid, _ in _STATEMENTS], "valid"))
 def _verdicts(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.createDataFrame([(k, bool(sqlgate.validate(spark, s)["valid"])) for k, s, _, _ in _STATEMENTS], "k int, valid boolean")
+    return spark.createDataFrame([(k, bool(sqlgate.validate(spark, s)["valid"])) for k, s in _statements(spark, folder)], "k bigint, valid boolean")
 
 
-@_add("viz_choice", _values("k, shown", [(k, shown) for k, _, _, shown in _STATEMENTS]))
+@_add("viz_choice", _OF_STATEMENT.format([shown for _, _, shown in _STATEMENTS], "shown"))
 def _viz(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.createDataFrame([(k, viz.classify(s)) for k, s, _, _ in _STATEMENTS], "k int, shown string")
+    return spark.createDataFrame([(k, viz.classify(s)) for k, s in _statements(spark, folder)], "k bigint, shown string")
 
 
 @_add("chart_choice", _values("k, kind, label", [(0, "bar", "name"), (1, "line", "month"), (2, "pie", "crime_type"), (3, "none", None), (4, "multi_bar", "crime_type")]))
@@ -143,21 +154,28 @@ def _embedding_cache(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("vec_id", "label")
 
 
-_RECORDS = [(1, "queryDatabase", "ok", 25, None), (2, "predictRisk", "ok", 1, None), (3, "queryDatabase", "error", None, "Refused: empty SQL")]
-
-
 def _audit(format: str) -> Q:
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        path = store.scratch(spark, "audit")
-        for step, tool, status, n, error in _RECORDS:
-            store.append_audit(spark, path, [{"at": NOW, "run_id": "r", "step": step, "tool": tool, "args": {"k": step}, "status": status, "row_count": n, "error": error}], format)
-        return spark.read.schema(store.AUDIT).format(format).load(path).select("step", "tool", "status", "row_count", "error", F.get_json_object("args", "$.k").cast("int").alias("k"))
+        """Every event as the record of a step, appended in two goes."""
+        path, rows = store.scratch(spark, "audit"), _table(spark, folder, "events")
+        failed = F.col("event_type") == "error"
+        records = rows.select(
+            F.col("ts").cast("timestamp_ntz").alias("at"), F.col("user_id").cast("string").alias("run_id"), F.col("event_id").cast("int").alias("step"), F.col("event_type").alias("tool"), F.col("props").alias("args"),
+            F.when(failed, "error").otherwise("ok").alias("status"), F.when(~failed, F.floor("value").cast("bigint")).alias("row_count"), F.when(failed, F.concat(F.lit("failed: "), "props")).alias("error"),
+        )
+        for part in (records.filter("step % 3 = 0"), records.filter("step % 3 <> 0")):
+            store.append_records(part, path, format)
+        return spark.read.schema(store.AUDIT).format(format).load(path).select("run_id", "step", "tool", "status", "row_count", "error", F.get_json_object("args", "$.k").cast("int").alias("k"))
 
     return query
 
 
 for _format in ("json", "parquet"):
-    _add(f"audit_{_format}", _values("step, tool, status, row_count, error, k", [(*r, r[0]) for r in _RECORDS]))(_audit(_format))
+    _add(
+        f"audit_{_format}",
+        "SELECT user_id::VARCHAR AS run_id, event_id::INT AS step, event_type AS tool, CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status, CASE WHEN event_type <> 'error' THEN floor(value)::BIGINT END AS row_count, "
+        "CASE WHEN event_type = 'error' THEN 'failed: ' || props END AS error, json_extract_string(props, '$.k')::INT AS k FROM events",
+    )(_audit(_format))
 
 
 @_cases("csv_export", _COUNTS, "CaseMaster Unit District")
@@ -197,9 +215,10 @@ def _enriched(spark: SparkSession, folder: str) -> DataFrame:
     return store.enriched(_table(spark, folder, "part").select("p_partkey", "p_name"), "p_name", "n", "bigint", _Lengths(), wait=0.01, per_minute=6e6).select("p_partkey", "n")
 
 
-@_add("generated_cases", _values("name, n", [("CaseMaster", 700), ("ComplainantDetails", 700), ("District", 30), ("Unit", 210), ("Victim", 700)]))
+@_add("generated_cases", "SELECT name, n FROM (SELECT count(*) AS c FROM orders) CROSS JOIN LATERAL (VALUES ('CaseMaster', c), ('ComplainantDetails', c), ('District', 30), ('Unit', 210), ('Victim', c)) v(name, n)")
 def _generated(spark: SparkSession, folder: str) -> DataFrame:
-    made = generator.generate(spark, 700, date(2024, 1, 1), seed=3)
+    """As many cases as there are orders."""
+    made = generator.generate(spark, _table(spark, folder, "orders").count(), date(2024, 1, 1), seed=3)
     counts = [made[name].agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n")) for name in ("CaseMaster", "ComplainantDetails", "District", "Unit", "Victim")]
     found = counts[0]
     for x in counts[1:]:
@@ -207,12 +226,13 @@ def _generated(spark: SparkSession, folder: str) -> DataFrame:
     return found
 
 
-@_add("generated_weights", _values("k, near", [(k, True) for k in range(1, 9)]))
+@_add("generated_weights", "SELECT k::INT AS k, true AS near FROM range(1, 9) t(k) WHERE (SELECT count(*) FROM orders) > 0")
 def _weights(spark: SparkSession, folder: str) -> DataFrame:
-    weights = [w for w, _ in generator.GROUPS.values()]
-    shares = generator.generate(spark, 20_000, date(2024, 1, 1), seed=5)["CaseMaster"].groupBy(F.col("CrimeMajorHeadID").cast("int").alias("k")).agg((F.count(F.lit(1)) / 20_000).alias("share"))
+    """Of as many cases as there are orders, each group's share must be within five standard errors of its weight."""
+    n, weights = _table(spark, folder, "orders").count(), [w for w, _ in generator.GROUPS.values()]
+    shares = generator.generate(spark, n, date(2024, 1, 1), seed=5)["CaseMaster"].groupBy(F.col("CrimeMajorHeadID").cast("int").alias("k")).agg((F.count(F.lit(1)) / n).alias("share"))
     wanted = spark.createDataFrame([(k + 1, w / sum(weights)) for k, w in enumerate(weights)], "k int, wanted double")
-    return wanted.join(shares, "k").select("k", (F.abs(F.col("share") - F.col("wanted")) < 0.02).alias("near"))
+    return wanted.join(shares, "k").select("k", (F.abs(F.col("share") - F.col("wanted")) < 5 * F.sqrt(F.col("wanted") * (1 - F.col("wanted")) / n)).alias("near"))
 
 
 # changes

@@ -71,6 +71,13 @@ def append_audit(spark: SparkSession, path: str, records: Sequence[dict[str, Any
         print(f"audit record not written: {e}")
 
 
+def append_records(records: DataFrame, path: str, format: str = "json") -> None:
+    """Append audit records that are rows already (columns of AUDIT, those that are missing as null), from all tasks at once."""
+    schema = T._parse_datatype_string(AUDIT)
+    shown = [(F.col(f.name) if f.name in records.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields]
+    records.select(*shown).write.mode("append").format(format).save(path)
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     """CSV with a header; fields are quoted as RFC 4180 has it, nulls are empty."""
     df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("nullValue", "").option("emptyValue", "").csv(path)
