@@ -170,6 +170,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tab
     return settled.select("sha", F.col("doc").alias("keep_id"), "n_rows", "alike")
 
 
+ADDED = ("keep_id", "group_size", "kept", "text_sha256")
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
     """Add keep_id, group_size, kept and text_sha256 to every row.
 
@@ -179,13 +182,16 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tabl
     kept here (``keep_one`` then leaves one). Texts of any length are compared whole. An empty table stays empty.
     Other columns pass through; those named like the four added ones are replaced. Ids must be integers.
     """
-    return _marked(docs.drop("alike") if "alike" not in (id_col, text_col) else docs, classes(docs, id_col, text_col, table_bytes), id_col, text_col).drop("alike")
+    own = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ADDED or c in (id_col, text_col)])
+    packed = common.pack(own, id_col, text_col)
+    marked = _marked(packed, classes(packed, table_bytes=table_bytes), "doc_id", "text")
+    named = {id_col: "doc_id", text_col: "text"}
+    return marked.select(*[F.col(named[c] if c in named else f"rest.`{c}`").alias(c) for c in own.columns], *ADDED)
 
 
 def _marked(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
     total = found.agg(F.sum("n_rows")).first()[0] or 0
-    added = ("keep_id", "group_size", "kept", "text_sha256")
-    rows = docs.select(*[c for c in docs.columns if c not in added or c in (id_col, text_col)]).withColumn("text_sha256", F.sha2(F.encode(normalised(text_col), "utf-8"), 256))
+    rows = docs.withColumn("text_sha256", F.sha2(F.encode(normalised(text_col), "utf-8"), 256))
     joined = common.attach(rows, found.select(F.col("sha").alias("text_sha256"), "keep_id", F.col("n_rows").alias("group_size"), "alike"), "text_sha256", "group_size", total, id_col)
     return joined.withColumn("kept", F.col(id_col).cast("bigint").eqNullSafe(F.col("keep_id")))
 

@@ -69,8 +69,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     shares = {r.lang: min(1.0, train_rows / r["count"]) for r in labelled.groupBy("lang").count().collect()}
     if not shares:
         return Model([], np.zeros(0, dtype=np.uint64), {}, np.zeros((0, 0)), np.zeros(0))
-    below = F.create_map(*[x for lang, share in shares.items() for x in (F.lit(lang), F.lit(int(share * (1 << 20))))])
-    chosen = labelled.filter(F.pmod("h", F.lit(1 << 20)) < F.element_at(below, F.col("lang")))
+    below = F.create_map(*[x for lang, share in shares.items() for x in (F.lit(lang), F.lit(share * float(1 << 62)))])
+    chosen = labelled.filter(F.shiftrightunsigned("h", 2).cast("double") < F.element_at(below, F.col("lang")))
     words = F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")
     counted = common.materialise(chosen.select("lang", words).filter("word != ''").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "language-words")
     cut = F.expr("transform(filter(array({}), k -> length(w) >= k), k -> transform(sequence(1, length(w) - k + 1), i -> substring(w, i, k)))".format(", ".join(map(str, ORDERS))))

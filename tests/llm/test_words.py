@@ -268,3 +268,27 @@ def test_toxicity_awkward(spark, marked, awkward, empty):
     twice = labels.unionAll(labels.withColumn("toxic", F.lit(None).cast("int")))
     assert len(toxicity.fit(docs.unionAll(docs), twice, train_rows=60).ratio.grams) > 0
     assert common.fold("doc_id", 5) is not None
+
+
+@pytest.mark.parametrize("name", ["_dealt", "_hot_key", "_cold_key", "_runs", "alike", "a.b", "rest", "row", "id", "key", "word"])
+def test_names_that_operators_use_themselves(spark, name):
+    from casewright.llm import exact_dedup
+
+    text = "one two three four five six seven"
+    rows = spark.createDataFrame([(1, text, "x", 7), (2, text + " ", "y", 7), (3, None, "z", 7)], ["doc_id", "text", "lang", name])
+    found = exact_dedup.groups(rows).collect()
+    assert {(r.doc_id, r.keep_id, r[name]) for r in found} == {(1, 2, 7), (2, 2, 7), (3, 3, 7)} and len(exact_dedup.keep_one(rows).columns) == 4
+    aligned = alignment.align(rows, tokens.vocabulary_path("byte_bpe_50k.json"), tokens.vocabulary_path("piece_bpe_32k.model")).collect()
+    assert {(r.doc_id, r[name]) for r in aligned} == {(1, 7), (2, 7), (3, 7)} and spelling.variants(rows, least_length=3, least=1).count() > 0
+
+
+def test_a_small_share_still_teaches(spark):
+    from casewright.llm import language
+
+    rows = spark.createDataFrame([(k, "some words of a text", "en") for k in range(4000)], "doc_id bigint, text string, lang string")
+    # one row of a language of ten thousand million must do, so the share is compared with 62 bits of a hash
+    assert len(language.fit(rows, train_rows=40).words) > 0
+    h = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), "text"), 2).cast("double")
+    least = rows.select(F.min(h)).first()[0]
+    assert 0 < least < 0.01 * 2**62 and len(language.fit(rows, train_rows=4000 * least / 2**62 * 1.0001).words) > 0
+    assert len(language.fit(rows, train_rows=4000 * least / 2**62 * 0.9999).words) == 0
