@@ -191,10 +191,25 @@ def _printed(t: Tables) -> DataFrame:
     return store.for_print(t["CaseMaster"].select("CaseMasterID", "CrimeNo").orderBy("CaseMasterID"))
 
 
-@_cases("event_stream", "SELECT type, count(*) AS n FROM (SELECT unnest(['step', 'meta', 'done']) AS type UNION ALL SELECT 'row' FROM (" + _COUNTS + ")) GROUP BY 1", "CaseMaster Unit District")
+@_cases("event_stream", "SELECT type, count(*) AS n, max(rows) AS rows FROM (SELECT unnest(['step', 'meta']) AS type, NULL AS rows UNION ALL SELECT 'done', (SELECT count(*) FROM (" + _COUNTS + ")) UNION ALL SELECT 'row', NULL FROM (" + _COUNTS + ")) GROUP BY 1", "CaseMaster Unit District")
 def _stream(t: Tables) -> DataFrame:
-    lines = [(json.loads(x.removeprefix("data: "))["type"],) for x in store.server_sent(store.events(cases.district_counts(t), "?"))]
-    return t["CaseMaster"].sparkSession.createDataFrame(lines, "type string").groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    """A result's events, written as lines and read back."""
+    spark, path = t["CaseMaster"].sparkSession, store.scratch(t["CaseMaster"].sparkSession, "events")
+    store.event_lines(cases.district_counts(t), "?").select("data").write.text(path)
+    told = spark.read.text(path).select(F.get_json_object("value", "$.type").alias("type"), F.get_json_object("value", "$.rows").cast("bigint").alias("rows"))
+    return told.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.max("rows").alias("rows"))
+
+
+def _answered(t: Tables, tool: str, **arguments: object) -> DataFrame:
+    answer = tools.call(tools.Context(t["CaseMaster"].sparkSession, t, datetime.fromisoformat(star.AS_OF)), tool, **arguments)
+    if answer["status"] != "ok":
+        raise RuntimeError(answer["message"])
+    return answer["rows"]
+
+
+for _name, _same, _tool, _arguments in (("tool_insights", "insights", "checkInsights", {}), ("tool_map", "district_counts", "getNetworkOrMapData", {"kind": "map"}), ("tool_network", "network_edges", "getNetworkOrMapData", {"kind": "network"})):
+    QUERIES[_name] = lambda spark, folder, tool=_tool, arguments=_arguments: _answered(from_star(spark, folder), tool, **arguments)
+    SQL[_name] = star.SQL[_same]
 
 
 class _Lengths:
