@@ -223,7 +223,6 @@ class Subtrees:
         self.runs: dict[int, list[np.ndarray]] = {}
         self.own: dict[int, list[np.ndarray]] = {}
         self.weight: dict[int, list[np.ndarray]] = {}
-        self.present: dict[int, np.ndarray] = {}
         below: list[np.ndarray] | None = None
         for depth in range(DEPTH, BOUNDARY - 1, -1):
             code = keys >> np.uint64(8 * (DEPTH + 1 - depth)) << np.uint64(8) | keys & np.uint64(255)
@@ -249,8 +248,6 @@ class Subtrees:
                 own.append((ones + 0.5) / (total + 1))
                 weight.append(np.exp(estimate - np.log(2) - mixed))
                 weighted.append(mixed)
-                if level == 0:
-                    self.present[depth] = total > 0
             # a key of each run, by which the run above is found
             self._first = []
             for run, mixed in zip(runs, weighted, strict=True):
@@ -275,12 +272,12 @@ class Subtrees:
         out = np.zeros(len(self.keys))
         combine = top.at((self.keys >> np.uint64(8 * (DEPTH + 2 - BOUNDARY))).astype(np.int64))
         for level in range(8):
-            mixed = np.full(len(self.keys), np.nan)
-            for depth in range(DEPTH, BOUNDARY - 1, -1):
+            # a context that was never seen has no counts, so its estimate is one half, as is all below it
+            mixed = self.own[DEPTH][level][self.runs[DEPTH][level]]
+            for depth in range(DEPTH - 1, BOUNDARY - 1, -1):
                 run = self.runs[depth][level]
                 own, w = self.own[depth][level][run], self.weight[depth][level][run]
-                present = self.present[depth][self.runs[depth][0]]
-                mixed = np.where(present, np.where(np.isnan(mixed), own, w * own + (1 - w) * mixed), mixed)
+                mixed = w * own + (1 - w) * mixed
             decision = (1 << level) + (self.keys >> np.uint64(8 - level) & np.uint64((1 << level) - 1)).astype(np.int64)
             p = combine(decision, mixed)
             out += np.log10(np.where(self.keys >> np.uint64(7 - level) & np.uint64(1), p, 1 - p))
@@ -290,11 +287,11 @@ class Subtrees:
 class Top:
     """The nodes of fewer than BOUNDARY (three) bytes of context, at most 65,536 of two: what they make of the mixture below."""
 
-    def __init__(self, nodes: np.ndarray, keep: np.ndarray, pass_on: np.ndarray, alone: np.ndarray, nodes1: np.ndarray, alone1: np.ndarray, root: np.ndarray):
-        self.nodes, self.keep, self.pass_on, self.alone, self.nodes1, self.alone1, self.root = nodes, keep, pass_on, alone, nodes1, alone1, root
+    def __init__(self, nodes: np.ndarray, keep: np.ndarray, pass_on: np.ndarray, nodes1: np.ndarray, alone1: np.ndarray, root: np.ndarray):
+        self.nodes, self.keep, self.pass_on, self.nodes1, self.alone1, self.root = nodes, keep, pass_on, nodes1, alone1, root
 
     def at(self, context: np.ndarray):
-        """For contexts of two bytes: a function of decisions and mixtures below (nan: no longer context was seen)."""
+        """For contexts of two bytes: a function of decisions and mixtures below. Below a context that was never seen all is one half."""
 
         def place(nodes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             if not len(nodes):
@@ -310,7 +307,7 @@ class Top:
             if known1.any():
                 out = np.where(known1, self.alone1[k1, decision], out)
             if known.any():
-                out = np.where(known, np.where(np.isnan(mixed), self.alone[k, decision], self.keep[k, decision] + self.pass_on[k, decision] * mixed), out)
+                out = np.where(known, self.keep[k, decision] + self.pass_on[k, decision] * mixed, out)
             return out
 
         return combined
@@ -350,10 +347,10 @@ def _top(node: np.ndarray, slot: np.ndarray, value: np.ndarray) -> Top:
     counts1 = up(counts, parent, len(nodes1))
     weighted1, w1, own1 = node_of(counts1, up(weighted2, parent, len(nodes1)))
     _, w0, own0 = node_of(counts1.sum(axis=0, keepdims=True), weighted1.sum(axis=0, keepdims=True))
-    alone1 = w0 * own0 + (1 - w0) * own1
+    alone1 = w0 * own0 + (1 - w0) * (w1 * own1 + (1 - w1) / 2)
     keep1, pass1 = (w0 * own0 + (1 - w0) * w1 * own1)[parent], ((1 - w0) * (1 - w1))[parent]
     few = lambda x: x.astype(np.float32)
-    return Top(nodes, few(keep1 + pass1 * w2 * own2), few(pass1 * (1 - w2)), few(keep1 + pass1 * own2), nodes1, few(alone1), own0[0])
+    return Top(nodes, few(keep1 + pass1 * w2 * own2), few(pass1 * (1 - w2)), nodes1, few(alone1), (w0 * own0 + (1 - w0) / 2)[0])
 
 
 def _whole(top: int, rests: bytes) -> np.ndarray:
@@ -527,7 +524,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucke
     model = common.materialise(grams.select("part", "first", "second").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_fitted, MODEL), "lm-model")
     sums = model.filter("node is not null").groupBy("node", "slot").agg(F.sum("value").alias("value")).toArrow()
     top = _top(*(sums[c].to_numpy().astype(kind) for c, kind in (("node", np.int64), ("slot", np.int64), ("value", np.float64))))
-    shipped = spark.sparkContext.broadcast((top.nodes, top.keep, top.pass_on, top.alone, top.nodes1, top.alone1, top.root))
+    shipped = spark.sparkContext.broadcast((top.nodes, top.keep, top.pass_on, top.nodes1, top.alone1, top.root))
     none = lambda kind: F.lit(None).cast(kind)
     questions = model.filter("top is not null").select(F.col("top").alias("part"), none("bigint").alias("chunk"), "rests", "counts").unionAll(grams.select("part", "chunk", "first", none("binary")))
     answers = questions.repartition(parts, "part").sortWithinPartitions("part", "chunk").mapInArrow(_answers(shipped), CUT)

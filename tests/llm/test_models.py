@@ -133,7 +133,8 @@ def test_base_scores_by_hand(spark, folder, texts):
 
 
 def context_tree(data, depth):
-    """Log2 probabilities by definition: KT estimates of all contexts, mixed by halves, each binary decision on its own."""
+    """Log10 probabilities by definition: what a bit does to the weighted probability of the root, with KT estimates of all contexts mixed by halves, each
+    binary decision on its own. A context that was never seen has no counts and no children, so its probability is one."""
     from functools import lru_cache
 
     counts = Counter()
@@ -162,24 +163,27 @@ def context_tree(data, depth):
         own = kt(c, node)
         if len(c) == depth:
             return own
-        below = sum(weighted(x, node) for x in children[c])
+        below = sum(weighted(x, node) for x in children.get(c, ()))
         top = max(own, below)
         return top + math.log(math.exp(own - top) + math.exp(below - top)) - math.log(2)
 
+    def half(own, below):
+        top = max(own, below)
+        return top + math.log(math.exp(own - top) + math.exp(below - top)) - math.log(2)
+
+    def after(history, node, bit, d):
+        """Log weighted probability of the context of ``d`` bytes once the bit has been added to it and all longer ones of this history."""
+        c = history[len(history) - d :] if d else b""
+        a, b = counts[c, node, 0] + (bit == 0), counts[c, node, 1] + bit
+        own = math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+        if d == depth:
+            return own
+        child = history[len(history) - d - 1 :]
+        below = sum(weighted(x, node) for x in children.get(c, ()) if x != child)
+        return half(own, below + after(history, node, bit, d + 1))
+
     def predicted(history, node):
-        mixed = None
-        for d in range(depth, -1, -1):
-            c = history[len(history) - d :] if d else b""
-            if c not in contexts:
-                continue
-            a, b = counts[c, node, 0], counts[c, node, 1]
-            own = (b + 0.5) / (a + b + 1)
-            if mixed is None:
-                mixed = own
-                continue
-            w = math.exp(kt(c, node) - math.log(2) - weighted(c, node))
-            mixed = w * own + (1 - w) * mixed
-        return mixed
+        return math.exp(after(history, node, 1, 0) - weighted(b"", node))
 
     def score(t):
         total, padded = 0.0, b"\n" * depth + t + b"\n"
