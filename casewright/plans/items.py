@@ -462,12 +462,12 @@ def _nearest_examples(spark: SparkSession, folder: str) -> DataFrame:
     return nearest.nearest_examples(rows, asked, 5, hold_out=True).select("query", "idx", F.round("score", 9).alias("score"), "place")
 
 
-@_add("evaluation", _SETS.format(below=20_000) + "SELECT count(*) AS questions, round(100.0 * count(*) FILTER (idx // 1000 % 3 < 2) / count(*), 1) AS passed_percent, round(avg(score), 6) AS top_score FROM r WHERE place = 1")
+@_add("evaluation", _SETS.format(below=20_000) + "SELECT count(*) AS questions, round(100.0 * count(*) FILTER (idx // 1000 % 3 < 2) / count(*))::DOUBLE AS passed_percent, round(avg(score), 6) AS top_score FROM r WHERE place = 1")
 def _evaluation(spark: SparkSession, folder: str) -> DataFrame:
     """The first twenty conversations' questions, answered by what the nearest other question's statement is; every third is refused."""
     rows = _questions(spark, folder).withColumn("sql", F.expr("CASE WHEN idx DIV 1000 % 3 < 2 THEN concat('SELECT ', idx, ' AS x') ELSE 'DROP TABLE x' END"))
     told = evaluate.evaluate(spark, rows, lambda question, near: near[0]["sql"], hold_out=True, questions=rows.filter("idx < 20000"))
-    return evaluate.summary(told).select("questions", F.round("passed_percent", 1).alias("passed_percent"), F.round("top_score", 6).alias("top_score"))
+    return evaluate.summary(told).select("questions", "passed_percent", F.round("top_score", 6).alias("top_score"))
 
 
 # conditions
