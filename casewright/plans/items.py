@@ -617,13 +617,14 @@ def _fitted(spark: SparkSession, folder: str) -> DataFrame:
     """The documents' quality from three measures of their texts and their language, fitted on four fifths of the labelled ones; of the rest,
     at least nine in ten must be right, and a good one must be ranked over a bad one nine times in ten."""
     words = F.split("text", "\\s+")
-    labelled = _table(spark, folder, "documents").join(_table(spark, folder, "labels").select("doc_id", "quality"), "doc_id")
     path = store.scratch(spark, "measures")
-    labelled.select(
-        "doc_id", "quality", "lang", F.log1p("n_chars").alias("size"),
+    # measured before the join, so that no text travels
+    measured = _table(spark, folder, "documents").select(
+        "doc_id", "lang", F.log1p("n_chars").alias("size"),
         (F.length(F.regexp_replace("text", "[\\p{L}\\s]", "")) / F.greatest(F.length("text"), F.lit(1))).alias("symbols"),
         (F.size(F.array_distinct(words)) / F.size(words)).alias("kinds"),
-    ).write.parquet(path)
+    )
+    measured.join(_table(spark, folder, "labels").select("doc_id", "quality"), "doc_id").write.parquet(path)
     rows = spark.read.parquet(path)
     model = classify.fit(rows.filter("doc_id % 5 <> 0"), "quality", _MEASURES, ["lang"])
     told = classify.measured(classify.scored(rows.filter("doc_id % 5 = 0"), model, _MEASURES, ["lang"]), "quality")
