@@ -279,19 +279,22 @@ class Subtrees:
                 own, w = self.own[depth][level][run], self.weight[depth][level][run]
                 mixed = w * own + (1 - w) * mixed
             decision = (1 << level) + (self.keys >> np.uint64(8 - level) & np.uint64((1 << level) - 1)).astype(np.int64)
-            p = combine(decision, mixed)
-            out += np.log10(np.where(self.keys >> np.uint64(7 - level) & np.uint64(1), p, 1 - p))
+            bit = (self.keys >> np.uint64(7 - level) & np.uint64(1)).astype(np.int64)
+            out += np.log10(combine(bit, decision, np.where(bit, mixed, 1 - mixed)))
         return out
 
 
 class Top:
-    """The nodes of fewer than BOUNDARY (three) bytes of context, at most 65,536 of two: what they make of the mixture below."""
+    """The nodes of fewer than BOUNDARY (three) bytes of context, at most 65,536 of two: what they make of the mixture below.
+
+    ``keep``, ``alone1`` and ``root`` have a part for zeros and one for ones: a likely bit's rounded probability says nothing of the other's.
+    """
 
     def __init__(self, nodes: np.ndarray, keep: np.ndarray, pass_on: np.ndarray, nodes1: np.ndarray, alone1: np.ndarray, root: np.ndarray):
         self.nodes, self.keep, self.pass_on, self.nodes1, self.alone1, self.root = nodes, keep, pass_on, nodes1, alone1, root
 
     def at(self, context: np.ndarray):
-        """For contexts of two bytes: a function of decisions and mixtures below. Below a context that was never seen all is one half."""
+        """For contexts of two bytes: a function of bits, decisions and the bits' mixtures below. Below a context that was never seen all is one half."""
 
         def place(nodes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             if not len(nodes):
@@ -302,12 +305,12 @@ class Top:
         k, known = place(self.nodes, context)
         k1, known1 = place(self.nodes1, context >> 8)
 
-        def combined(decision: np.ndarray, mixed: np.ndarray) -> np.ndarray:
-            out = self.root[decision]
+        def combined(bit: np.ndarray, decision: np.ndarray, mixed: np.ndarray) -> np.ndarray:
+            out = self.root[bit, decision]
             if known1.any():
-                out = np.where(known1, self.alone1[k1, decision], out)
+                out = np.where(known1, self.alone1[bit, k1, decision], out)
             if known.any():
-                out = np.where(known, self.keep[k, decision] + self.pass_on[k, decision] * mixed, out)
+                out = np.where(known, self.keep[bit, k, decision] + self.pass_on[k, decision] * mixed, out)
             return out
 
         return combined
@@ -336,7 +339,7 @@ def _top(node: np.ndarray, slot: np.ndarray, value: np.ndarray) -> Top:
         zeros, ones = _bits(counts)
         estimate = _kt(zeros, ones)
         weighted = np.logaddexp(estimate, below) - np.log(2)
-        return weighted, np.exp(estimate - np.log(2) - weighted), (ones + 0.5) / (zeros + ones + 1)
+        return weighted, np.exp(estimate - np.log(2) - weighted), (np.stack([zeros, ones]) + 0.5) / (zeros + ones + 1)
 
     def up(rows: np.ndarray, to: np.ndarray, n: int) -> np.ndarray:
         out = np.zeros((n, 256))
@@ -348,9 +351,9 @@ def _top(node: np.ndarray, slot: np.ndarray, value: np.ndarray) -> Top:
     weighted1, w1, own1 = node_of(counts1, up(weighted2, parent, len(nodes1)))
     _, w0, own0 = node_of(counts1.sum(axis=0, keepdims=True), weighted1.sum(axis=0, keepdims=True))
     alone1 = w0 * own0 + (1 - w0) * (w1 * own1 + (1 - w1) / 2)
-    keep1, pass1 = (w0 * own0 + (1 - w0) * w1 * own1)[parent], ((1 - w0) * (1 - w1))[parent]
+    keep1, pass1 = (w0 * own0 + (1 - w0) * w1 * own1)[:, parent], ((1 - w0) * (1 - w1))[parent]
     few = lambda x: x.astype(np.float32)
-    return Top(nodes, few(keep1 + pass1 * w2 * own2), few(pass1 * (1 - w2)), nodes1, few(alone1), (w0 * own0 + (1 - w0) / 2)[0])
+    return Top(nodes, few(keep1 + pass1 * w2 * own2), few(pass1 * (1 - w2)), nodes1, few(alone1), (w0 * own0 + (1 - w0) / 2)[:, 0])
 
 
 def _whole(top: int, rests: bytes) -> np.ndarray:

@@ -220,6 +220,22 @@ def test_context_tree_by_definition(spark, monkeypatch, batch, chunk):
         assert abs(got - expected) < 1e-4 * max(1, abs(expected)), (got, expected)
 
 
+@pytest.mark.parametrize("n", [1, 10**6, 10**9])
+def test_rare_bytes_after_frequent_contexts(n):
+    """However often a context was followed by one byte, another one's probability is that of the bit in which they part, and halves after it."""
+    context = int.from_bytes(b"abcde", "big") << 8
+    keys = np.array([context + b for b in range(256)], dtype=np.uint64)
+    counts = np.where(np.arange(256) == ord("~"), n, 0)
+    tree = lm_scoring.Subtrees(keys, counts)
+    node, slot, value = tree.above()
+    node, slot = np.concatenate([node, np.full(256, context >> 32)]), np.concatenate([slot, 256 + np.arange(256)])
+    which, value = lm_scoring._summed(node << 9 | slot, np.concatenate([value, counts]))
+    logs = tree.log10(lm_scoring._top(which >> 9, which & 511, value))
+    parts = [(b ^ ord("~")).bit_length() for b in range(256)]
+    expected = [(8 - max(1, k)) * math.log10((n + 0.5) / (n + 1)) + (math.log10(0.5 / (n + 1)) + (k - 1) * math.log10(0.5) if k else math.log10((n + 0.5) / (n + 1))) for k in parts]
+    assert np.allclose(logs, expected, rtol=0, atol=1e-5) and abs((10**logs).sum() - 1) < 1e-6
+
+
 def test_many_contexts(spark):
     r = random.Random(3)
     train = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=1800)) for _ in range(40)]
