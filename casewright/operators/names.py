@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of the parts by which names are indexed; shorter names have parts as long as themselves.
-PART = 3
+PART = 5
 
 
 def _parts(name: str, size: str) -> str:
@@ -17,6 +17,7 @@ def holding(inner: DataFrame, outer: DataFrame, inner_col: str, outer_col: str)
     """inner, outer: the distinct values of both columns, in lower case, where the second holds the first.
 
     Each inner name is looked for under the rarest of its parts among the outer ones. Null and empty names hold nothing and are held by none.
+    Parts are many times the names that they come from, which sizes of files don't tell; so they are never broadcast.
     """
     needles = inner.select(F.lower(F.col(inner_col)).alias("inner")).filter("inner <> ''").distinct().withColumn("size", F.least(F.length("inner"), F.lit(PART)))
     sizes = [r["size"] for r in needles.select("size").distinct().collect()]  # PART at most
@@ -29,8 +30,8 @@ def holding(inner: DataFrame, outer: DataFrame, inner_col: str, outer_col: str)
         return needles.select("inner", F.col("inner").alias("outer"))
     held = places.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     # a part that no outer name has rules the inner one out
-    looked = needles.select("inner", F.explode(F.expr(_parts("inner", "size"))).alias("part")).join(held, "part", "left").groupBy("inner").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "part")).alias("rarest"))
-    return looked.filter("rarest.n > 0").select("inner", F.col("rarest.part").alias("part")).join(places, "part").filter(F.contains("outer", "inner")).select("inner", "outer")
+    looked = needles.select("inner", F.explode(F.expr(_parts("inner", "size"))).alias("part")).join(held.hint("merge"), "part", "left").groupBy("inner").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "part")).alias("rarest"))
+    return looked.filter("rarest.n > 0").select("inner", F.col("rarest.part").alias("part")).join(places.hint("merge"), "part").filter(F.contains("outer", "inner")).select("inner", "outer")
 
 
 def either(a: DataFrame, b: DataFrame, a_col: str, b_col: str) -> DataFrame:

@@ -597,7 +597,9 @@ def _names_within(spark: SparkSession, folder: str) -> DataFrame:
     parts = _table(spark, folder, "part").select("p_partkey", F.lpad(F.col("p_partkey").cast("string"), 5, "0").alias("number"))
     customers = _table(spark, folder, "customer").select("c_custkey", "c_name")
     pairs = names.holding(parts, customers, "number", "c_name")
-    return pairs.join(parts, F.col("inner") == F.col("number")).join(customers, F.col("outer") == F.lower("c_name")).select("p_partkey", "c_custkey")
+    # both tables are larger than their files tell, and a number may have several parts: merged, and the customers first
+    named = pairs.join(customers.hint("merge"), F.col("outer") == F.lower("c_name")).select("inner", "c_custkey")
+    return named.join(parts.hint("merge"), F.col("inner") == F.col("number")).select("p_partkey", "c_custkey")
 
 
 @_add("updated_in_place", "SELECT c_custkey, CASE WHEN c_custkey IN (11, 500) THEN 'new' ELSE c_name END AS c_name, c_nationkey FROM customer")
