@@ -143,7 +143,7 @@ def test_names_within_names(spark):
 
 def test_names_are_not_broadcast(spark):
     """Parts are many times what the names' size tells, so no join of them waits for the driver."""
-    a, b = (spark.createDataFrame([(f"{k:05d}",) for k in range(20)], "x string"), spark.createDataFrame([(f"No{k:07d}",) for k in range(0, 4000, 7)], "y string"))
+    a, b = spark.range(20).selectExpr("lpad(CAST(id AS STRING), 5, '0') AS x"), spark.range(0, 4000, 7).selectExpr("concat('No', lpad(CAST(id AS STRING), 7, '0')) AS y")
     found = names.holding(a, b, "x", "y")
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
     assert {tuple(r) for r in found.collect()} == {(f"{i:05d}", f"no{k:07d}") for i in range(20) for k in range(0, 4000, 7) if f"{i:05d}" in f"no{k:07d}"}
