@@ -86,10 +86,11 @@ _STATEMENTS = [
 ]
 
 
-def _statements(spark: SparkSession, folder: str) -> list[tuple[int, str]]:
-    """One for each supplier of a nation; the gate reads statements one by one, as they come."""
-    rows = _table(spark, folder, "supplier").join(_table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("k"), "n_name").toLocalIterator()
-    return [(r.k, _STATEMENTS[r.k % len(_STATEMENTS)][0].format(r.n_name)) for r in rows]
+def _statements(spark: SparkSession, folder: str) -> DataFrame:
+    """k, statement: one for each supplier of a nation."""
+    rows = _table(spark, folder, "supplier").join(_table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    forms = F.array(*[F.lit(form) for form, _, _ in _STATEMENTS])
+    return rows.select(F.col("s_suppkey").alias("k"), F.replace(F.get(forms, F.pmod("s_suppkey", F.lit(len(_STATEMENTS))).cast("int")), F.lit("{}"), F.col("n_name")).alias("statement"))
 
 
 _OF_STATEMENT = "SELECT s_suppkey AS k, ({})[(s_suppkey % 11)::INT + 1] AS {} FROM supplier JOIN nation ON s_nationkey = n_nationkey"
@@ -97,12 +98,13 @@ _OF_STATEMENT = "SELECT s_suppkey AS k, ({})[(s_suppkey % 11)::INT + 1] AS {} FR
 
 @_add("sql_verdicts", _OF_STATEMENT.format([valid for _, valid, _ in _STATEMENTS], "valid"))
 def _verdicts(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.createDataFrame([(k, bool(sqlgate.validate(spark, s)["valid"])) for k, s in _statements(spark, folder)], "k bigint, valid boolean")
+    rows = _statements(spark, folder)
+    return rows.join(sqlgate.verdicts(rows, "statement"), "statement").select("k", "valid")
 
 
 @_add("viz_choice", _OF_STATEMENT.format([shown for _, _, shown in _STATEMENTS], "shown"))
 def _viz(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.createDataFrame([(k, viz.classify(s)) for k, s in _statements(spark, folder)], "k bigint, shown string")
+    return _statements(spark, folder).select("k", F.udf(viz.classify, "string")("statement").alias("shown"))
 
 
 @_add("chart_choice", _values("k, kind, label", [(0, "bar", "name"), (1, "line", "month"), (2, "pie", "crime_type"), (3, "none", None), (4, "multi_bar", "crime_type")]))

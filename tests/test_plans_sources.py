@@ -7,7 +7,7 @@ from datetime import date, datetime
 import pytest
 
 from casewright.operators import cases, network
-from casewright.plans import sqlgate, tools, viz
+from casewright.plans import items, sqlgate, tools, viz
 from casewright.sources import generator, store
 from casewright.sources.tables import from_folder
 from casewright.streaming import surge
@@ -146,3 +146,15 @@ def test_listed_places(spark):
     places = lambda answer: [(r.idx, round(r.score, 2)) for r in retrieval.by_listed_places(examples, answer).collect()]
     assert places("best: [3, 9, 1, 3]") == [(3, 1.0), (1, 0.99)]
     assert places("none") == places(None) == places("[77]") == [(0, 1.0), (1, 0.99), (2, 0.98)]
+
+
+def test_equal_statements_are_read_once(spark, tmp_path, monkeypatch):
+    spark.range(500).selectExpr("id AS s_suppkey", "CAST(id % 2 AS INT) AS s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(0, "A{}"), (1, "B'")], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    read, validate = [], sqlgate.validate
+    monkeypatch.setattr(sqlgate, "validate", lambda spark, sql: (read.append(sql), validate(spark, sql))[1])
+    got = {r.k: r.valid for r in items.QUERIES["sql_verdicts"](spark, str(tmp_path)).collect()}
+    statements = {k: items._STATEMENTS[k % 11][0].format(("A{}", "B'")[k % 2]) for k in range(500)}
+    assert got == {k: validate(spark, s)["valid"] for k, s in statements.items()} and sorted(read) == sorted(set(statements.values()))
+    shown = {r.k: r.shown for r in items.QUERIES["viz_choice"](spark, str(tmp_path)).collect()}
+    assert shown == {k: viz.classify(s) for k, s in statements.items()}
