@@ -115,3 +115,12 @@ def jaccard(a: Column, b: Column) -> Column:
     """Common members in proportion to all; 0 for two empty sets."""
     union = F.size(F.array_union(a, b))
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))
+
+
+#: Rows that a task is given where nearly all of them are held, so that more of them make more tasks, not larger ones.
+SHARE = 250_000
+
+
+def shares(rows: DataFrame) -> int:
+    """Into how many parts ``rows`` are dealt where a task holds nearly all of its own: as many as run at once, at least."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // SHARE))
