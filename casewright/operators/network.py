@@ -16,25 +16,34 @@ LEAST_SHARED, LEAST_DEGREE, MOST_PERSONS = 2, 2, 90
 HEAVY = 500
 
 
-def _entries(t: Tables, least: int, among: list[str] | None) -> DataFrame:
+def _entries(t: Tables, least: int, among: list[str] | None, shares: int) -> DataFrame:
     """CaseMasterID, PersonID without repeats, of persons (of ``among`` if given) on ``least`` or more cases; no other can be in a pair."""
-    seen = t["Accused"].filter(F.col("PersonID").isNotNull() if among is None else F.col("PersonID").isin(among)).select("CaseMasterID", "PersonID").distinct()
+    named = t["Accused"].filter(F.col("PersonID").isNotNull() if among is None else F.col("PersonID").isin(among)).select("CaseMasterID", "PersonID")
+    # entries hardly repeat, so they are dealt out before they are told apart
+    seen = named.repartition(shares, "CaseMasterID", "PersonID").distinct()
     often = seen.groupBy("PersonID").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("PersonID")
-    return seen.join(often, "PersonID", "left_semi")
+    return seen.join(often.hint("shuffle_hash"), "PersonID", "left_semi")
 
 
-def _listed(entries: DataFrame) -> DataFrame:
+def _crowded(entries: DataFrame, heavy: int, shares: int) -> DataFrame:
+    """CaseMasterID of cases of more than ``heavy`` persons."""
+    return entries.repartition(shares, "CaseMasterID").groupBy("CaseMasterID").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > heavy).select("CaseMasterID")
+
+
+def _listed(entries: DataFrame, shares: int) -> DataFrame:
     """source, target, n: pairs of persons on common cases, and on how many."""
-    a, b = entries.withColumnRenamed("PersonID", "source"), entries.withColumnRenamed("PersonID", "target")
-    pairs = a.join(b, "CaseMasterID").filter(F.col("source") < F.col("target"))
-    return pairs.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
+    dealt = entries.repartition(shares, "CaseMasterID")
+    a, b = dealt.withColumnRenamed("PersonID", "source"), dealt.withColumnRenamed("PersonID", "target")
+    pairs = a.join(b, "CaseMasterID").filter(F.col("source") < F.col("target")).select("source", "target")
+    # most pairs occur once, so they too are dealt out before they are counted
+    return pairs.repartition(2 * shares, "source", "target").groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _weighed(entries: DataFrame, heavy: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _weighed(entries: DataFrame, heavy: DataFrame, shares: int) -> tuple[DataFrame, DataFrame]:
     """Pairs that share a case that isn't heavy (source, target, n, common: heavy cases shared), and each person's heavy cases, sorted."""
     sets = entries.join(heavy, "CaseMasterID", "left_semi").groupBy("PersonID").agg(F.array_sort(F.collect_set("CaseMasterID")).alias("cases"))
     of = lambda end: sets.select(F.col("PersonID").alias(end), F.col("cases").alias(f"of_{end}"))
-    pairs = _listed(entries.join(heavy, "CaseMasterID", "left_anti")).join(of("source"), "source", "left").join(of("target"), "target", "left")
+    pairs = _listed(entries.join(heavy, "CaseMasterID", "left_anti"), shares).join(of("source"), "source", "left").join(of("target"), "target", "left")
     common = F.coalesce(F.size(F.array_intersect("of_source", "of_target")), F.lit(0))
     return pairs.select("source", "target", "n", F.when(F.col("of_source").isNull() | F.col("of_target").isNull(), 0).otherwise(common).alias("common")), sets
 
@@ -57,11 +66,12 @@ def strong_pairs(t: Tables, least: int = LEAST_SHARED, among: list[str] | None =
     larger case alone makes no pair strong: pairs that share a smaller one get their larger ones added from both persons' lists, and pairs
     that share none are found by two larger cases at a time, so only pairs that are strong are made of them.
     """
-    entries = _entries(t, least, among)
-    crowded = entries.groupBy("CaseMasterID").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > heavy).select("CaseMasterID")
+    shares = C.shares(t["Accused"])
+    entries = _entries(t, least, among, shares)
+    crowded = _crowded(entries, heavy, shares)
     if least < 2 or crowded.isEmpty():
-        return _listed(entries).select("source", "target", F.col("n").alias("weight")).filter(F.col("weight") >= least)
-    pairs, sets = _weighed(entries, crowded)
+        return _listed(entries, shares).select("source", "target", F.col("n").alias("weight")).filter(F.col("weight") >= least)
+    pairs, sets = _weighed(entries, crowded, shares)
     light = pairs.select("source", "target", (F.col("n") + F.col("common")).alias("weight"))
     only_heavy = _meeting(sets, ("source", "target")).filter(F.col("source") < F.col("target")).select("source", "target", F.col("common").cast("bigint").alias("weight"))
     # a pair of both kinds weighs more as the first
@@ -79,11 +89,12 @@ def strong_degrees(t: Tables, least: int = LEAST_SHARED, heavy: int = HEAVY) ->
 
     Persons with the same larger cases are counted as one group, and groups meet instead of persons.
     """
-    entries = _entries(t, least, None)
-    crowded = entries.groupBy("CaseMasterID").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > heavy).select("CaseMasterID")
+    shares = C.shares(t["Accused"])
+    entries = _entries(t, least, None, shares)
+    crowded = _crowded(entries, heavy, shares)
     if least < 2 or crowded.isEmpty():
         return degrees(strong_pairs(t, least, heavy=heavy))
-    pairs, sets = _weighed(entries, crowded)
+    pairs, sets = _weighed(entries, crowded, shares)
     # pairs with two larger cases and enough of them are counted by their groups
     listed = pairs.filter((F.col("n") + F.col("common") >= least) & (F.col("common") < least))
     groups = sets.groupBy(F.col("cases").alias("group"), "cases").agg(F.count(F.lit(1)).alias("persons"))

@@ -1,6 +1,7 @@
 """Edge semantics on rows made by hand."""
 
 import time
+from collections import Counter
 from datetime import date, datetime
 
 import pytest
@@ -268,3 +269,19 @@ def test_numbers_zips_and_histories(spark):
     tables = {"p": rows, "c": rows, "g": rows, "o": rows}
     left = upkeep.truncated(tables, ["p"], {"c": ["p"], "g": ["c", "o"]})
     assert {k: v.count() for k, v in left.items()} == {"p": 0, "c": 0, "g": 0, "o": 500}
+
+
+def test_more_entries_make_more_tasks(spark, monkeypatch):
+    """Entries and pairs are dealt into parts by their number, whatever the session's partitions are."""
+    monkeypatch.setattr(C, "SHARE", 10)
+    people = [(10 * c + p, c, f"N{p}", 30, p) for c in range(100) for p in range(4) if (c + p) % 3]
+    made = spark.createDataFrame([(c, date.fromisoformat(AS_OF[:10])) for c in range(100)], "CaseMasterID bigint, CrimeRegisteredDate date")
+    accused = spark.createDataFrame([(*x[:4], str(x[4])) for x in people], "AccusedMasterID bigint, CaseMasterID bigint, AccusedName string, AgeYear int, PersonID string")
+    t = Tables({"CaseMaster": made, "Accused": accused})
+    pairs, repeated = network.strong_pairs(t), corpus.qx03_repeat_accused(t, AS_OF)
+    parts = -(-len(people) // 10)
+    for df, n in ((pairs, 2 * parts), (repeated, parts)):
+        assert f", {n})" in df._jdf.queryExecution().executedPlan().toString()
+    shared = Counter((str(a[4]), str(b[4])) for a in people for b in people if a[1] == b[1] and a[4] < b[4])
+    assert {(r.source, r.target): r.weight for r in pairs.collect()} == {k: n for k, n in shared.items() if n > 1}
+    assert {r.AccusedName: r.case_count for r in repeated.collect()} == Counter(x[2] for x in people)
