@@ -104,7 +104,8 @@ def _verdicts(spark: SparkSession, folder: str) -> DataFrame:
 
 @_add("viz_choice", _OF_STATEMENT.format([shown for _, _, shown in _STATEMENTS], "shown"))
 def _viz(spark: SparkSession, folder: str) -> DataFrame:
-    return _statements(spark, folder).select("k", F.udf(viz.classify, "string")("statement").alias("shown"))
+    rows = _statements(spark, folder)
+    return rows.join(viz.classified(rows, "statement"), "statement").select("k", "shown")
 
 
 @_add("chart_choice", _values("k, kind, label", [(0, "bar", "name"), (1, "line", "month"), (2, "pie", "crime_type"), (3, "none", None), (4, "multi_bar", "crime_type")]))
