@@ -1,13 +1,17 @@
 """Word search over an index: postings of words, and a dictionary of words by their stems.
 
-A search reads the asked stems' part of the dictionary and the postings of the words found there; no text is read. Words stand in the
+Postings are made and kept in blocks: a row holds a word's texts among a few thousand that one task read together, so what is dealt out and
+sorted is a row for each block and word, not for each text and word. A search reads the asked stems' part of the dictionary and the postings of the words found there; no text is read. Words stand in the
 index as the texts have them, so stemming is done once for each distinct word and may change without touching the postings.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +20,8 @@ from casewright.operators import retrieval
 
 #: Folders of postings and of dictionary words; shares into which each is dealt at least, so that a word of all texts is no single task's.
 BUCKETS, SHARES = 32, 8
+#: Bytes of text in a block of postings, with one text more at most.
+BLOCK_BYTES = 8 << 20
 #: Postings beyond which a search first tries the rarer stems alone.
 EAGER = 5_000_000
 #: Words of the asked stems that are named in the scan's filter; more of them meet the postings in a join.
@@ -37,6 +43,10 @@ class Index:
 
     def postings(self, spark: SparkSession) -> DataFrame:
         """bucket, word, id, n: how often each text has each word."""
+        return self.blocks(spark).selectExpr("bucket", "word", "inline(arrays_zip(ids, ns)) AS (id, n)")
+
+    def blocks(self, spark: SparkSession) -> DataFrame:
+        """bucket, word, texts, most, ids, ns: a block's texts that have the word, how often each, how many they are and the most occurrences."""
         return spark.read.parquet(f"{self.path}/postings")
 
     def dictionary(self, spark: SparkSession) -> DataFrame:
@@ -44,22 +54,61 @@ class Index:
         return spark.read.parquet(f"{self.path}/dictionary")
 
 
+def _blocks(rows: DataFrame, block_bytes: int) -> DataFrame:
+    """word, texts, most, ids, ns of blocks of rows (id, text in lower case)."""
+    names = ["word", "texts", "most", "ids", "ns"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part_of_word = np.zeros(256, dtype=bool)
+        part_of_word[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
+
+        def block(ids: pa.Array, data: np.ndarray, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+            # a word's first byte has none before it, its last has none behind it; no word goes from a text to the next
+            inside = part_of_word[data]
+            before, behind = np.append(False, inside[:-1]), np.append(inside[1:], False)
+            before[bounds[:-1][bounds[:-1] < len(data)]] = False
+            behind[bounds[1:][bounds[1:] > 0] - 1] = False
+            starts = np.flatnonzero(inside & ~before)
+            lengths = np.flatnonzero(inside & ~behind) + 1 - starts
+            kept = lengths > 2
+            if not kept.any():
+                return
+            letters, ends = data[inside][np.repeat(kept, lengths)], np.append(0, np.cumsum(lengths[kept])).astype(np.int32)
+            coded = pa.Array.from_buffers(pa.string(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(letters)]).dictionary_encode()
+            text = np.searchsorted(bounds, starts[kept], side="right") - 1
+            pairs, n = np.unique(coded.indices.to_numpy().astype(np.int64) * len(ids) + text, return_counts=True)
+            word, text = np.divmod(pairs, len(ids))
+            at = np.searchsorted(word, np.arange(len(coded.dictionary) + 1)).astype(np.int32)
+            n, offsets = n.astype(np.int32), pa.array(at)
+            listed = [pa.ListArray.from_arrays(offsets, x) for x in (ids.take(pa.array(text)), pa.array(n))]
+            yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(np.diff(at).astype(np.int64)), pa.array(np.maximum.reduceat(n, at[:-1])), *listed], names=names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            texts = batch.column(1).cast(pa.large_string())
+            ends = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
+            cuts = np.flatnonzero(np.diff((ends[:-1] - ends[0]) // block_bytes)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)], strict=True):
+                yield from block(batch.column(0).slice(a, b - a), data[ends[a] : ends[b]], ends[a : b + 1] - ends[a])
+
+    return rows.select("id", "text").mapInArrow(run, f"word string, texts bigint, most int, ids array<{rows.schema['id'].dataType.simpleString()}>, ns array<int>")
+
+
 def build(rows: DataFrame, path: str, text_col: str = "text", id_col: str = "id", buckets: int = BUCKETS, shares: int | None = None) -> Index:
     """Write an index of the words (as ``retrieval.words`` has them) of all texts. Null texts have no words; ids are distinct.
 
-    Words are counted within their row. Postings are dealt out by word and by a share of the texts, and lie sorted by word in
-    their folder, so that a search skips most of each file. Shares grow with the session's shuffle partitions, unless they are given.
+    Words are counted within blocks of texts that lie together. Blocks' rows are dealt out by word and by a share of them, and lie sorted by
+    word in their folder, so that a search skips most of each file. Shares grow with the session's shuffle partitions, unless they are given.
     """
     shares = shares or max(SHARES, 8 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // buckets)
-    sorted_words = F.array_sort(retrieval.words(F.col(f"`{text_col}`")))
-    firsts = F.expr("filter(sequence(0, size(s) - 1), i -> i = 0 OR s[i] <> s[i - 1])")
-    runs = F.expr("inline(transform(sequence(0, size(f) - 1), j -> named_struct('word', s[f[j]], 'n', coalesce(get(f, j + 1), size(s)) - f[j])))")
-    counted = rows.select(F.col(f"`{id_col}`").alias("id"), sorted_words.alias("s")).filter(F.size("s") > 0).select("id", "s", firsts.alias("f")).select("id", runs)
-    dealt = counted.withColumn("bucket", _bucket("word", buckets)).withColumn("share", F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(shares)))
-    placed = dealt.repartition("bucket", "share").drop("share").sortWithinPartitions("bucket", "word", F.desc("n"), "id")
-    placed.write.partitionBy("bucket").parquet(f"{path}/postings")
+    texts = rows.select(F.col(f"`{id_col}`").alias("id"), F.lower(F.col(f"`{text_col}`")).alias("text")).filter(F.col("text").isNotNull())
+    share = F.pmod(F.xxhash64("word", F.element_at("ids", 1).cast("string")), F.lit(shares))
+    dealt = _blocks(texts, BLOCK_BYTES).withColumn("bucket", _bucket("word", buckets)).withColumn("share", share)
+    dealt.repartition("bucket", "share").drop("share").sortWithinPartitions("bucket", "word").write.partitionBy("bucket").parquet(f"{path}/postings")
     index = Index(path, buckets)
-    words = index.postings(rows.sparkSession).groupBy("word").agg(F.count(F.lit(1)).alias("texts"), F.max("n").alias("most"))
+    words = index.blocks(rows.sparkSession).groupBy("word").agg(F.sum("texts").alias("texts"), F.max("most").alias("most"))
     stems = stemming.with_stem(words).withColumn("bucket", _bucket("stem", buckets))
     stems.repartition("bucket", F.pmod(F.xxhash64("stem"), F.lit(shares))).sortWithinPartitions("bucket", "stem").write.partitionBy("bucket").parquet(f"{path}/dictionary")
     return index

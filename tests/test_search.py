@@ -70,6 +70,23 @@ def test_words_beyond_those_named_meet_in_a_join(spark, index, monkeypatch):
     assert search.search(spark, made, "stealing cars", 4).collect() == want
 
 
+@pytest.mark.parametrize("block_bytes", [1, 40, search.BLOCK_BYTES])
+def test_postings_lie_in_blocks(spark, tmp_path, monkeypatch, block_bytes):
+    monkeypatch.setattr(search, "BLOCK_BYTES", block_bytes)
+    odd = ["", None, "ab", "Abc", "abc", "...", "d\u00e9j\u00e0vu abcd", "\u212aelvin \u0130stanbul", "abc\x00abc\tab\u2003abc_12 123", "\u00e9", "x" * 100, ""]
+    docs = spark.createDataFrame([(f"d{k}", t) for k, t in enumerate(odd + ["Theft of the cars, theft"] * 400)], "`a.b` string, `t.t` string").coalesce(1)
+    made = search.build(docs, str(tmp_path / "words"), "t.t", "a.b", buckets=4, shares=2)
+    each = docs.select(F.col("`a.b`").alias("id"), F.explode(retrieval.words(F.col("`t.t`"))).alias("word")).groupBy("word", "id").count()
+    want = {(r.word, r.id, r["count"]) for r in each.collect()}
+    got = [(r.word, r.id, r.n) for r in made.postings(spark).collect()]
+    assert len(got) == len(want) and set(got) == want
+    texts = {(r.word, r.texts, r.most) for r in made.dictionary(spark).collect()}
+    assert texts == {(w, len(x), max(x)) for w in {w for w, _, _ in want} for x in [[n for v, _, n in want if v == w]]}
+    if block_bytes == search.BLOCK_BYTES and block_bytes > 1000:
+        # 400 texts with three words are three rows, not 1,200
+        assert spark.read.parquet(f"{made.path}/postings").count() == len({w for w, _, _ in want})
+
+
 @pytest.fixture(scope="module")
 def points(spark):
     r = np.random.default_rng(3)
