@@ -99,50 +99,57 @@ def sequences(docs: DataFrame, tokenizer_path: str, text_col: str = "text", wind
     return docs.select(text_col).mapInArrow(run, SEQUENCES)
 
 
-def write(docs: DataFrame, folder: str, tokenizer_path: str, text_col: str = "text", window: int = WINDOW, key: int = KEY, shard_slots: int = SHARD_SLOTS, dtype: str = "<u2") -> DataFrame:
-    """Write all sequences in training order to shards in ``folder`` (a URI all executors share); returns the manifest by slot.
-
-    A shard is written under its attempt's name and then moved, so a lost executor leaves no half shard; a shard that is
-    there already with the very same bytes is kept, so a run can be resumed, and one of another key, vocabulary or text is
-    replaced. Shards that an earlier, longer run left behind the last one aren't read. Null and empty texts give their end id alone; repeated
-    rows are documents of their own; ids and other columns aren't used. An empty table gives no shard.
-    """
-    stride = window * np.dtype(dtype).itemsize
-    made = common.materialise(sequences(docs, tokenizer_path, text_col, window, dtype=dtype), "sequences")
+def placed(made: DataFrame, key: int = KEY) -> tuple[DataFrame, int]:
+    """The rows of ``sequences``, written before, with their slots: slot, n_tokens, packed; and how many there are."""
     # two numbers for each input partition
     counts = sorted((r.part, r.n) for r in made.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
     size, firsts = 0, []
     for part, n in counts:
         firsts.append((part, size))
         size += n
-    bases = docs.sparkSession.createDataFrame(firsts, "part int, base bigint")
 
     @F.pandas_udf("bigint")
     def slot(index: pd.Series) -> pd.Series:
         return pd.Series(permuted(index.to_numpy(), size, key))
 
+    # sent to the sequences: Spark doesn't know how small it is beforehand, and would deal out all sequences by part
+    bases = F.broadcast(made.sparkSession.createDataFrame(firsts, "part int, base bigint"))
+    return made.join(bases, "part").select(slot(F.col("base") + F.col("k")).alias("slot"), "n_tokens", "packed"), size
+
+
+def write(docs: DataFrame, folder: str, tokenizer_path: str, text_col: str = "text", window: int = WINDOW, key: int = KEY, shard_slots: int = SHARD_SLOTS, dtype: str = "<u2") -> DataFrame:
+    """Write all sequences in training order to shards in ``folder`` (a URI all executors share); returns the manifest by slot.
+
+    A shard is written under its attempt's name and then moved, so a lost executor leaves no half shard; a shard that is
+    there already with the very same bytes is kept, so a run can be resumed, and one of another key, vocabulary or text is
+    replaced. Shards that an earlier, longer run left behind the last one aren't read. Null and empty texts give their end id alone; repeated
+    rows are documents of their own; ids and other columns aren't used. An empty table gives no shard.
+    """
+    stride = window * np.dtype(dtype).itemsize
+    made = common.materialise(sequences(docs, tokenizer_path, text_col, window, dtype=dtype), "sequences")
+    rows, size = placed(made, key)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
         from pyspark import TaskContext
         from zstandard import ZstdDecompressor
 
         store, root = fs.FileSystem.from_uri(folder)
-        unpacker, rows, parts, attempt = ZstdDecompressor(), [], [], TaskContext.get().taskAttemptId()
+        unpacker, found, parts, attempt = ZstdDecompressor(), [], [], TaskContext.get().taskAttemptId()
         for batch in batches:
             for s, n, packed in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 ids = unpacker.decompress(packed, max_output_size=stride)
                 parts.append(ids)
-                rows.append((s, s // shard_slots, s % shard_slots * stride, n, zlib.crc32(ids)))
-        if rows:
-            path, data = f"{root}/{shard_name(rows[0][1])}", b"".join(parts)
+                found.append((s, s // shard_slots, s % shard_slots * stride, n, zlib.crc32(ids)))
+        if found:
+            path, data = f"{root}/{shard_name(found[0][1])}", b"".join(parts)
             if not _holds(store, path, data):
                 with store.open_output_stream(f"{path}.{attempt}", compression=None) as f:
                     f.write(data)
                 store.move(f"{path}.{attempt}", path)
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()], strict=True)], names=SHARDS.names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*found, strict=True), [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()], strict=True)], names=SHARDS.names)
 
-    placed = made.join(bases, "part").select(slot(F.col("base") + F.col("k")).alias("slot"), "n_tokens", "packed")
-    dealt = placed.repartitionById(max(1, -(-size // shard_slots)), F.floor(F.col("slot") / shard_slots).cast("int")).sortWithinPartitions("slot")
+    dealt = rows.repartitionById(max(1, -(-size // shard_slots)), F.floor(F.col("slot") / shard_slots).cast("int")).sortWithinPartitions("slot")
     dealt.mapInArrow(run, SHARDS).write.mode("overwrite").parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(SHARDS).parquet(f"{folder}/manifest")
 

@@ -204,6 +204,20 @@ def test_another_key_or_text_in_the_same_folder(spark, docs, tmp_path):
         assert back == {r.slot: r.ids_crc32 for r in manifest.collect()}
 
 
+def test_sequences_are_dealt_out_once(spark, docs, tmp_path):
+    token_output.sequences(docs.repartition(3), WORD, window=32).write.parquet(f"{tmp_path}/made")
+    rows, size = token_output.placed(spark.read.parquet(f"{tmp_path}/made"))
+    # as with sequences that are too many to be sent themselves
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    assert sorted(r.slot for r in rows.select("slot").collect()) == list(range(size))
+
+
 def test_op4(spark, folder):
     rows = token_output.op4_token_output(spark, folder).collect()
     assert len({r.slot for r in rows}) == len(rows) > 0 and all(r.ids_crc32 == r.read_crc32 for r in rows)
